@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, quality
+from . import chat, exact, mixing, near, quality
 from .common import table
 
 
@@ -53,12 +53,16 @@ from d window w as (partition by t)
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op1_chat": op1_chat, "op4_near_dedup": op4_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
