@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, near, quality
-from .common import table
+from . import chat, exact, mixing, near, quality, warc
+from .common import fresh_dir, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +57,27 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = r"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes >= 1000) end as last from p)
+select page_id, payload_bytes, payload_digest, case when last <> page_id then 'revisit' else 'response' end as record_type,
+       case when last <> page_id then last end as refers_to from q
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op4_near_dedup": op4_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op1_chat": op1_chat, "op4_near_dedup": op4_near_dedup, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat": OP1_SQL, "op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL}
