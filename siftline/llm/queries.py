@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, near, quality, warc
+from . import chat, exact, mixing, near, quality, tokenfile, warc
 from .common import fresh_dir, table
 
 
@@ -53,6 +53,16 @@ from d window w as (partition by t)
 """
 
 
+#: Where the vocabulary files of public tokenizers are; a parameter of the queries below.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    folder = fresh_dir(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer)
+    return tokenfile.checksums(spark, folder)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
@@ -76,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op4_near_dedup": op4_near_dedup, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op4_near_dedup": op4_near_dedup, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
