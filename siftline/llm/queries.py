@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, near, quality, rollup, tokenfile, warc
+from . import bpe, chat, exact, mixing, near, quality, rollup, tokenfile, warc
 from .common import fresh_dir, table
 
 
@@ -67,6 +67,15 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    both = bpe.round_trip(docs, vocabulary, "doc_id")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -114,7 +123,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op4_near_dedup": op4_near_dedup, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op4_near_dedup": op4_near_dedup, "op5_bpe": op5_bpe, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
