@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, near, quality, rollup, tokenfile, warc
+from . import bpe, chat, exact, mixing, near, pii, quality, rollup, tokenfile, warc
 from .common import fresh_dir, table
 
 
@@ -63,6 +63,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENI
     return tokenfile.checksums(spark, folder)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kind = F.array(*map(F.lit, pii.KINDS))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.get(kind, s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
@@ -123,7 +131,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op4_near_dedup": op4_near_dedup, "op5_bpe": op5_bpe, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op3_pii": op3_pii, "op4_near_dedup": op4_near_dedup, "op5_bpe": op5_bpe, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
