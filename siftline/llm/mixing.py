@@ -89,8 +89,8 @@ def _shard(n: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), n).cast("int")
 
 
-def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, *keep: str, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, source, ``keep`` columns, size, source_size, target, taken for every row.
 
     Null sources are one source, the last. Null and empty texts have size 0 and
     taken 0. Rows that repeat are separate documents, in a fixed order. An empty
@@ -106,8 +106,13 @@ def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataF
     kinds = "source string, source_size long, target double, n_shards int, place int"
     sources = spark.createDataFrame([(r["source"], r["w"], t, k, i) for i, (r, t, k) in enumerate(zip(found, goal, shards, strict=True))], kinds)
     # No hint: Spark broadcasts the sources while they are few, and else joins by key and splits hot ones.
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", sized["source"], "size", "source_size", "target", "place", _shard(F.col("n_shards"), seed).alias("shard"))
-    cells = placed.groupBy("place", "shard").agg(F.sum("size").alias("w")).collect()
+
+
+    def placed(*keep: str) -> DataFrame:
+        rows = _sized(docs, *keep)
+        return rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("doc_id", rows["source"], *keep, "size", "source_size", "target", "place", _shard(F.col("n_shards"), seed).alias("shard"))
+
+    cells = placed().groupBy("place", "shard").agg(F.sum("size").alias("w")).collect()
     by: dict[int, list] = {}
     for r in sorted(cells, key=lambda r: (r["place"], r["shard"])):
         by.setdefault(r["place"], []).append(r)
@@ -115,10 +120,10 @@ def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataF
     seats = sainte_lague(goal, round(sum(goal) / block_words), [sum(most.get(i, [])) for i in range(len(goal))])
     quotas = [(i, r["shard"], r["w"], q * block_words) for i, rows in by.items() for r, q in zip(rows, sainte_lague([float(r["w"]) for r in rows], seats[i], most[i]), strict=True)]
     quota = spark.createDataFrame(quotas, "place int, shard int, shard_size long, quota long")
-    placed = placed.join(quota, ["place", "shard"])
+    dealt = placed(*keep).join(quota, ["place", "shard"])
     order = "xxhash64(%d, doc_id, size), doc_id, size" % (seed + 1)
     before = F.expr(f"coalesce(sum(size) over (partition by place, shard order by {order} rows between unbounded preceding and 1 preceding), 0)")
     whole = F.when(F.col("shard_size") > 0, F.floor(F.try_divide("quota", "shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("quota") - whole * F.col("shard_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return dealt.select("doc_id", "source", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -22,7 +22,8 @@ from .common import WS
 N_BUCKETS = 1 << 15
 #: At most this many trusted documents make the target (8 bytes each, broadcast).
 MAX_TRUSTED = 20_000
-SMOOTHING = 1.0
+#: Added to a bucket's trusted count and to the count that its raw count lets expect, so that rare n-grams weigh little.
+SMOOTHING = 20.0
 THRESHOLD = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -56,10 +57,9 @@ def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_trus
     raw, good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     out = [0.0] * n_buckets
     if raw and good:
-        zr, zg = math.log(raw + smoothing * n_buckets), math.log(good + smoothing * n_buckets)
-        out = [zr - zg] * n_buckets
+        share = good / raw
         for r in rows:
-            out[r["b"]] = math.log(r["good"] + smoothing) - zg - math.log(r["raw"] + smoothing) + zr
+            out[r["b"]] = math.log((r["good"] + smoothing) / (r["raw"] * share + smoothing))
     return out
 
 
@@ -89,12 +89,15 @@ def features(docs: DataFrame, ratios: list[float], *keep: str) -> DataFrame:
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(table, _bucket(x, n_buckets)))
     mean = F.when(F.size("_h") > 0, (total("_h") + total("_b")) / (2 * F.size("_h"))).otherwise(0.0)
-    return wide.select(
-        *keep, "n_words", "word_chars", "n_symbols",
+    rules = F.struct(
+        "n_words", "word_chars", "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(s.isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         mean.alias("llr"),
     )
+    # A generator of one row: filters on what it makes stay above it. Pushed below, they
+    # would put whole columns into the functions over single words.
+    return wide.select(*keep, F.inline(F.array(rules)))
 
 
 def judge(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
