@@ -20,7 +20,8 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> Dat
     """
     rank = Window.partitionBy(*by).orderBy(F.desc("conf"), "image_id", "det_idx")
     run = flags.filter("flag >= 0").withColumn("tp", F.sum("flag").over(rank.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(rank))
-    env = F.max(F.col("tp") / F.col("n")).over(rank.rowsBetween(0, Window.unboundedFollowing))
+    # From the end on: a frame that ends at the current row is one running maximum, one that starts there is not.
+    env = F.max(F.col("tp") / F.col("n")).over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
     got = run.withColumn("env", env).groupBy(*by).agg(F.sum(F.when(F.col("flag") == 1, F.col("env")).otherwise(0.0)).alias("s"))
     ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0)))
     return totals.join(got, by, "left").select(*by, "n_gt", ap.alias("ap"))
