@@ -1 +1,193 @@
-QUERIES: dict = {}
+"""Queries on duplicates, splits and samples, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.identity import inventory_digest
+from ..operators import dedup, integrity, sampling
+from ..sources.fixtures import BOXES, CONTENT, IMAGES, MARKS, MARKS_DUCKDB, derive, read, with_tables
+from ..sources.labels import parse_labels
+from .detection import _r
+
+RADIUS = 14
+
+
+def exact_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_groups(derive(s, d, CONTENT), "byte_sha")
+
+
+EXACT_SQL = with_tables("""
+select byte_sha, count(*) as n, (count(*) * (count(*) - 1) / 2)::bigint as pairs, count(distinct split) as n_splits,
+       case when bool_and(split = 'train') then count(*) - 1 else 0 end as within_train from content group by 1 having count(*) > 1""", content=CONTENT)
+
+_NEAR = f"""
+select a.id as a, b.id as b, cast(bit_count(xor(a.hash, b.hash)) as int) as distance from marks a join marks b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= {RADIUS}
+"""
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return dedup.near_pairs(derive(s, d, MARKS), RADIUS)
+
+
+def near_dup_banded(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d)
+
+
+NEAR_SQL = with_tables("select * from near", marks=MARKS_DUCKDB, near=_NEAR)
+
+
+def two_hash_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of two hash families as one edge list: near fingerprints, and equal labels of near ones."""
+    e = _pairs(s, d)
+    return dedup.candidate_union(e, e.select("a", "b", (F.col("distance") + 1).alias("distance")))
+
+
+TWO_HASH_SQL = with_tables("select a, b, distance, distance = 0 as identical from near", marks=MARKS_DUCKDB, near=_NEAR)
+
+
+def leakage_matrix(s: SparkSession, d: str) -> DataFrame:
+    return _r(dedup.leakage_matrix(_pairs(s, d), derive(s, d, MARKS)), "rate")
+
+
+LEAKAGE_SQL = with_tables("""
+, sym as (select a, b from near union select b, a from near), total as (select split, count(*) as total from marks group by 1)
+select x.split as split_a, y.split as split_b, coalesce(m, 0) as matched, x.total, round(coalesce(m, 0) / x.total, 6) as rate from total x cross join total y
+left join (select p.split as sa, q.split as sb, count(distinct a) as m from sym join marks p on p.id = a join marks q on q.id = b group by 1, 2) on sa = x.split and sb = y.split""", marks=MARKS_DUCKDB, near=_NEAR).replace(")\n\n, sym", "),\nsym")
+
+
+def clean_dup_split(s: SparkSession, d: str) -> DataFrame:
+    return dedup.clean_and_duplicate(derive(s, d, MARKS), _pairs(s, d)).select("id", "split", "subset")
+
+
+CLEAN_SQL = with_tables("""
+select id, split, case when exists (select 1 from (select a, b from near union select b, a from near) e join marks t on t.id = e.b and t.split = 'train' where e.a = m.id) then 'dup' else 'clean' end as subset
+from marks m where split <> 'train'""", marks=MARKS_DUCKDB, near=_NEAR)
+
+
+def near_dup_components(s: SparkSession, d: str) -> DataFrame:
+    return dedup.components(_pairs(s, d))
+
+
+COMPONENTS_SQL = with_tables("select a as node, min(b) as label from reach group by 1", marks=MARKS_DUCKDB, near=_NEAR, edges="select a, b from near union select b, a from near union select a, a from near union select b, b from near", reach="select * from (with recursive r(a, b) as (select a, b from edges union select r.a, e.b from r join edges e on r.b = e.a) select * from r)")
+
+
+def equivalence_survivor(s: SparkSession, d: str) -> DataFrame:
+    return dedup.select_survivors(derive(s, d, CONTENT))
+
+
+SURVIVOR_SQL = with_tables("""
+, ranked as (select *, first_value(source_id) over w as best_id, first_value(split) over w as best_split, first_value(byte_sha) over w as best_byte from content where decode_error = 0 and dataset = 'target'
+  window w as (partition by pixel_sha order by case split when 'test' then 0 when 'val' then 1 else 2 end, source_id))
+select source_id, not ref and best_id = source_id as kept,
+       case when not ref and best_id = source_id then null when ref then 'cross_dataset_' || case when ref_byte then 'byte' else 'decoded' end || '_duplicate'
+            else case when best_split = split then 'within_split_' else 'cross_split_' end || case when best_byte = byte_sha then 'byte' else 'decoded' end || '_duplicate' end as reason
+from (select r.*, exists (select 1 from content c where c.decode_error = 0 and c.dataset = 'reference' and c.pixel_sha = r.pixel_sha) as ref,
+             exists (select 1 from content c where c.decode_error = 0 and c.dataset = 'reference' and c.byte_sha = r.byte_sha) as ref_byte from ranked r)
+union all select source_id, false, 'image_decode_failure' from content where decode_error <> 0 and dataset = 'target'""", content=CONTENT).replace(")\n\n, ranked", "),\nranked")
+
+
+def exclusion_reasons(s: SparkSession, d: str) -> DataFrame:
+    return equivalence_survivor(s, d).filter("not kept").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+REASONS_SQL = "select reason, count(*) as n from (" + SURVIVOR_SQL + ") where not kept group by 1"
+
+
+def adjacent_frames(s: SparkSession, d: str) -> DataFrame:
+    rows = derive(s, d, IMAGES).select(F.col("image_id").alias("id"), "split", (F.col("scene") % 50).alias("prefix"), (F.col("image_id") % 5000).alias("number"))
+    return dedup.adjacent_frames(rows)
+
+
+ADJACENT_SQL = with_tables("""
+select a.id as a, b.id as b from r a join r b on a.prefix = b.prefix and a.id < b.id and a.split <> b.split and abs(a.number - b.number) <= 3""", images=IMAGES, r="select image_id as id, split, scene % 50 as prefix, image_id % 5000 as number from images")
+
+
+def hash_partition(s: SparkSession, d: str) -> DataFrame:
+    return sampling.hash_partition(derive(s, d, IMAGES).select("image_id", "split"), "image_id", 10, "fold:").groupBy("split", "fold").agg(F.count("*").alias("n"), F.min("image_id").alias("first_id"))
+
+
+_HEX = "sha256('fold:' || image_id)"
+_FOLD = "(" + " + ".join(f"(strpos('0123456789abcdef', substr({_HEX}, {i + 1}, 1)) - 1) * {pow(16, 63 - i, 10)}" for i in range(64)) + ") % 10"
+HASH_SQL = with_tables(f"select split, cast({_FOLD} as int) as fold, count(*) as n, min(image_id) as first_id from images group by 1, 2", images=IMAGES)
+
+
+def stratified_hash_sample(s: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: 20 of each split by hash."""
+    return sampling.stratified_sample(derive(s, d, IMAGES), "split", "image_id", 20, "review:").select("split", "image_id")
+
+
+SAMPLE_SQL = with_tables("select split, image_id from (select *, row_number() over (partition by split order by sha256('review:' || image_id), image_id) as r from images) where r <= 20", images=IMAGES)
+
+
+def _negatives(s: SparkSession, d: str) -> DataFrame:
+    some = derive(s, d, BOXES).select("image_id").distinct().withColumn("_p", F.lit(1))
+    return derive(s, d, IMAGES).join(some, "image_id", "left").withColumn("negative", F.col("_p").isNull()).drop("_p")
+
+
+def oversample_negatives(s: SparkSession, d: str) -> DataFrame:
+    return sampling.oversample_negatives(_negatives(s, d), 3).groupBy("split", "negative").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images"), F.max("copy").alias("most"))
+
+
+OVERSAMPLE_SQL = with_tables("""
+select split, negative, sum(t)::bigint as n, count(*) as images, cast(max(t) as int) as most from (select *, case when split = 'train' and negative then 3 else 1 end as t from (
+  select i.*, not exists (select 1 from boxes b where b.image_id = i.image_id) as negative from images i)) group by 1, 2""", images=IMAGES, boxes=BOXES)
+
+
+def set_equality_gate(s: SparkSession, d: str) -> DataFrame:
+    """Order ids in orders against those in lineitem: what stands on one side only, by side."""
+    a, b = read(s, d, "orders").select(F.col("o_orderkey").alias("k")), read(s, d, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return integrity.set_difference(a, b, "k").groupBy("side").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
+
+
+GATE_SQL = "select side, count(*) as n, min(k) as first_key from (select 'left' as side, o_orderkey as k from (select distinct o_orderkey from orders) o where not exists (select 1 from lineitem where l_orderkey = o_orderkey) union all select 'right', l_orderkey from (select distinct l_orderkey from lineitem) l where not exists (select 1 from orders where o_orderkey = l_orderkey)) group by 1"
+
+
+def inventory_digests(s: SparkSession, d: str) -> DataFrame:
+    """One digest for each split's content, whatever the order of its rows."""
+    at = derive(s, d, CONTENT)
+    return at.groupBy("split").agg(inventory_digest(F.sha2(F.concat_ws(":", F.col("source_id"), F.col("byte_sha")), 256)).alias("digest"), F.count("*").alias("n"))
+
+
+DIGEST_SQL = with_tables("select split, sha256(string_agg(h, '' order by h)) as digest, count(*) as n from (select split, sha256(concat_ws(':', source_id, byte_sha)) as h from content) group by 1", content=CONTENT)
+
+
+def label_validate(s: SparkSession, d: str) -> DataFrame:
+    """Label lines made from line items, some of them faulty, through the strict parser."""
+    return parse_labels(s.sql(_LABEL_LINES, lineitem=read(s, d, "lineitem")), ["smoke", "fire"], id_="key").groupBy("reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("cls"), F.lit(0)).alias("cls_sum"))
+
+
+_LABEL_LINES = """
+select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key,
+       concat_ws(' ', case when l_partkey % 41 = 0 then '3' else cast(l_partkey % 2 as string) end, case when l_suppkey % 37 = 0 then 'nan' else '0.5' end, cast(l_partkey % 10 as string) || 'e-1',
+                 case when l_suppkey % 17 = 0 then '0' else '0.25' end, case when l_partkey % 29 = 0 then '' else '0.125' end) as line from {lineitem}
+"""
+LABEL_SQL = """
+with l as (select l_partkey % 41 = 0 as badcls, l_suppkey % 37 = 0 as isnan, l_suppkey % 17 = 0 as zero, l_partkey % 29 = 0 as short, l_partkey % 2 as c from lineitem)
+select reason, count(*) as n, coalesce(sum(case when reason is null then 1 - c end), 0)::bigint as cls_sum
+from (select c, case when short then 'field_count' when isnan then 'not_finite' when badcls then 'class' when zero then 'zero_area_box' end as reason from l) group by 1
+"""
+
+
+def split_counts(s: SparkSession, d: str) -> DataFrame:
+    """Images, backgrounds, boxes by class and boundary crossings by split."""
+    from ..functions.geometry import crosses_border
+
+    box = derive(s, d, BOXES).withColumn("cross", crosses_border().cast("long")).groupBy("image_id").agg(F.count_if(F.col("cls") == 0).alias("fire"), F.count_if(F.col("cls") == 1).alias("smoke"), F.sum("cross").alias("cross"))
+    at = derive(s, d, IMAGES).join(box, "image_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return at.groupBy("split").agg(F.count("*").alias("images"), F.count_if(F.col("fire").isNull()).alias("background"), total("fire").alias("fire"), total("smoke").alias("smoke"), total("cross").alias("crossing"))
+
+
+SPLIT_SQL = with_tables("""
+select split, count(*) as images, count(*) filter (where n is null) as background, coalesce(sum(f), 0)::bigint as fire, coalesce(sum(m), 0)::bigint as smoke, coalesce(sum(c), 0)::bigint as crossing
+from images i left join (select image_id, count(*) as n, count(*) filter (where cls = 0) as f, count(*) filter (where cls = 1) as m,
+  count(*) filter (where least(x - w / 2, y - h / 2) < -1e-5 or greatest(x + w / 2, y + h / 2) > 1 + 1e-5) as c from boxes group by 1) b on i.image_id = b.image_id group by 1""", images=IMAGES, boxes=BOXES)
+
+QUERIES = {
+    "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
+    "clean_dup_split": (clean_dup_split, CLEAN_SQL), "near_dup_components": (near_dup_components, COMPONENTS_SQL), "equivalence_survivor": (equivalence_survivor, SURVIVOR_SQL), "exclusion_reasons": (exclusion_reasons, REASONS_SQL),
+    "adjacent_frames": (adjacent_frames, ADJACENT_SQL), "hash_partition": (hash_partition, HASH_SQL), "stratified_hash_sample": (stratified_hash_sample, SAMPLE_SQL), "oversample_negatives": (oversample_negatives, OVERSAMPLE_SQL),
+    "set_equality_gate": (set_equality_gate, GATE_SQL), "inventory_digests": (inventory_digests, DIGEST_SQL), "label_validate": (label_validate, LABEL_SQL), "split_counts": (split_counts, SPLIT_SQL),
+}
