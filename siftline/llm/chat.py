@@ -110,8 +110,8 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    # "\\" pairs first become a character that no role has left as a pair's half.
-    parts = F.transform(F.split(unescape(role), r"\\\\\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    # Pairs of backslashes part the text; what is left of a backslash stands before an n.
+    parts = F.transform(F.split(unescape(role), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return F.array_join(parts, "\\")
 
 
