@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alarms, content, detection, events, runs
+from . import alarms, content, detection, events, reports, runs
 
-_ALL = detection.QUERIES | alarms.QUERIES | content.QUERIES | runs.QUERIES | events.QUERIES
+_ALL = detection.QUERIES | alarms.QUERIES | content.QUERIES | runs.QUERIES | events.QUERIES | reports.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
