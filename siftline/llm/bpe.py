@@ -12,6 +12,7 @@ puts the bytes together by an aggregation ordered by position.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +21,41 @@ from pyspark.sql import DataFrame
 
 from .tokenfile import PieceEncoder
 
-CHUNK_CHARS, CACHE_PIECES = 3_000_000, 500_000
-LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 1_500_000, 200_000
-MEMORY = "600MB"
-
-_STEP = """
-with recursive t(w, pos, tok) using key (w, pos) as (
-  select w, pos, tok from start
-  union
-  {contract}
+CHUNK_CHARS, CACHE_PIECES = 2_000_000, 150_000
+LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 400_000, 200_000
+MEMORY = "400MB"
+
+#: A word's tokens as one list: its pairs, by position, meet the merge table; the least (rank, position) is contracted.
+_ONE = """
+with recursive t(w, toks) as (
+  select w, toks from start
+  union all
+  select t.w, list_concat(list_append(t.toks[:(b.k & 4294967295) - 1], (b.k >> 32)::integer), t.toks[(b.k & 4294967295) + 2:])
+  from t join (
+    select w, min((m.m::bigint << 32) | p) as k
+    from (select w, unnest(toks[:-2]) as l, unnest(toks[2:]) as r, unnest(range(1, len(toks))) as p from t) x join merges m on m.l = x.l and m.r = x.r group by w) b on t.w = b.w
 )
-select w, list(tok order by pos) as ids from t where tok >= 0 group by w
+select w, arg_min(toks, len(toks)) as ids from t group by w
 """
-#: Of words that changed: each token with its right neighbour and their merge, and the word's least rank.
+#: Of long words that changed: each token with its right neighbour and their merge, and the word's least rank.
 _PAIRS = """
   select p.*, m.m, m.safe, min(m.m) over (partition by w) as best from (
     select r.w, r.pos, r.tok, row_number() over x as place, lead(r.tok) over x as right_tok, lead(r.pos) over x as right_pos
     from recurring.t r where r.tok >= 0 and r.w in (select w from t) window x as (partition by r.w order by r.pos)
   ) p join merges m on m.l = p.tok and m.r = p.right_tok
 """
-_ONE = _STEP.format(contract=f"""
-  select w, unnest([first, gone]), unnest([best, -1]) from (
-    select w, best, min(pos) as first, arg_min(right_pos, pos) as gone from ({_PAIRS}) where m = best group by w, best)
-""")
 #: In a run of pairs that overlap (a token and the same again), every second one counts from the left.
-_ALL = _STEP.format(contract=f"""
+_ALL = f"""
+with recursive t(w, pos, tok) using key (w, pos) as (
+  select w, pos, tok from start
+  union
   select w, unnest([pos, right_pos]), unnest([best, -1]) from (
     select *, row_number() over (partition by w, place - nth order by pos) % 2 = 1 as odd from (
       select *, row_number() over (partition by w order by pos) as nth from ({_PAIRS}) where m = best))
   where case when safe then odd else nth = 1 end
-""")
+)
+select w, list(tok order by pos) as ids from t where tok >= 0 group by w
+"""
 _DECODE = "select d, string_agg(v.piece, '' order by i.pos) as text from ids i join vocab v on v.id = i.id group by d"
 
 
@@ -70,22 +76,29 @@ class DuckBPE:
         left, right, to = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
         # A token is safe if no merge that takes it in has a smaller rank.
         unsafe = set(left[to <= left].tolist()) | set(right[to <= right].tolist())
+        self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": "false"})
         self._table("m", {"l": left, "r": right, "m": to, "safe": np.array([m not in unsafe for m in to.tolist()], bool)})
         self.con.execute("create table merges as select * from m")
         self._table("v", {"id": np.array(list(ranks.values()), np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.con.execute("create table vocab as select * from v")
+        # Two generations: a full cache becomes the old one, from which what is met again moves on.
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.old_plain, self.old_spaced = self.plain, self.spaced
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register(name, pa.table(columns))
 
     def _run(self, sql: str, words: list[bytes]) -> list[bytes]:
         n = np.array([len(x) for x in words], np.int64)
-        ends = np.cumsum(n)
-        self._table("start", {"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "pos": (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
+        ends, w = np.cumsum(n), np.arange(len(words), dtype=np.int32)
+        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        if sql is _ONE:
+            self._table("start", {"w": w, "toks": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tok, pa.int32()))})
+        else:
+            self._table("start", {"w": np.repeat(w, n), "pos": (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32), "tok": tok})
         got = self.con.sql(sql).to_arrow_table()
         lists = got["ids"].combine_chunks()
         flat, at = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
@@ -101,6 +114,9 @@ class DuckBPE:
             batch, raw, size = [], [], 0
             for w in words:
                 b = w.encode()
+                if b in self.ranks:  # a word of the vocabulary is one token, as the library has it
+                    out[w] = struct.pack("<i", self.ranks[b])
+                    continue
                 if (len(b) > LONG_WORD) != long_:
                     continue
                 batch.append(w)
@@ -116,7 +132,7 @@ class DuckBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four little-endian bytes each."""
         if len(self.plain) + len(self.spaced) > CACHE_PIECES:
-            self.plain, self.spaced = {}, {}
+            self.old_plain, self.old_spaced, self.plain, self.spaced = self.plain, self.spaced, {}, {}
         plain, spaced = self.plain, self.spaced
         cut, new_plain, new_spaced = [], set(), set()
         for t in texts:  # see PieceEncoder for why a text may be cut at such spaces
@@ -128,12 +144,19 @@ class DuckBPE:
             new_plain.update(p for p in first if p not in plain)
             new_spaced.update(p for p in rest if p not in spaced)
             cut.append((first, rest))
-        parts = {(False, p): self.pattern.findall(p) for p in new_plain} | {(True, p): self.pattern.findall(" " + p) for p in new_spaced}
+        parts = {}
+        for new, cache, old, before in ((new_plain, plain, self.old_plain, ""), (new_spaced, spaced, self.old_spaced, " ")):
+            for p in new:
+                if (got := old.get(p)) is not None:
+                    cache[p] = got
+                else:
+                    parts[before == " ", p] = self.pattern.findall(before + p)
         known: dict[str, bytes] = {}
         ask: list[str] = []
         for w in {w for x in parts.values() for w in x}:
-            got = spaced.get(w[1:]) if w[0] == " " else plain.get(w)
-            if got is None:
+            name, now, old = (w[1:], spaced, self.old_spaced) if w[0] == " " else (w, plain, self.old_plain)
+            got = now.get(name)
+            if got is None and (got := old.get(name)) is None:
                 ask.append(w)
             else:
                 known[w] = got
