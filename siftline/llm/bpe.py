@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from .tokenfile import PieceEncoder
 
-CHUNK_CHARS, CACHE_PIECES = 2_000_000, 150_000
+CHUNK_CHARS, CACHE_PIECES = 1_000_000, 150_000
 LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 400_000, 200_000
-MEMORY = "400MB"
+MEMORY = "300MB"
 
 #: A word's tokens as one list: its pairs, by position, meet the merge table; the least (rank, position) is contracted.
 _ONE = """
@@ -231,6 +231,7 @@ def _encoder(path: str, keep: int, decode: bool):
                 if decode:
                     out["decoded"] = pa.array(bpe.decode([np.frombuffer(p, "<i4") for p in parts]), pa.binary())
                 yield pa.record_batch(out)
+        pa.default_memory_pool().release_unused()
 
     return run
 
