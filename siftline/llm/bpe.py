@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokenfile import PieceEncoder
+from .pieces import Pieces
 
 CHUNK_CHARS, CACHE_PIECES = 1_000_000, 150_000
 LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 400_000, 200_000
@@ -64,14 +64,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class DuckBPE:
+class DuckBPE(Pieces):
     """One connection with merge table and vocabulary, and the ids of the pieces met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import duckdb
-        import regex
 
-        self.pattern = regex.compile(pattern)
+        super().__init__(pattern, CACHE_PIECES)
         merges = [(l, r, m) for token, m in ranks.items() for k in range(1, len(token)) if (l := ranks.get(token[:k])) is not None and (r := ranks.get(token[k:])) is not None]
         left, right, to = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
         # A token is safe if no merge that takes it in has a smaller rank.
@@ -83,10 +82,6 @@ class DuckBPE:
         self.con.execute("create table merges as select * from m")
         self._table("v", {"id": np.array(list(ranks.values()), np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.con.execute("create table vocab as select * from v")
-        # Two generations: a full cache becomes the old one, from which what is met again moves on.
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.old_plain, self.old_spaced = self.plain, self.spaced
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register(name, pa.table(columns))
@@ -129,42 +124,6 @@ class DuckBPE:
                 out.update(zip(batch, self._run(sql, raw), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four little-endian bytes each."""
-        if len(self.plain) + len(self.spaced) > CACHE_PIECES:
-            self.old_plain, self.old_spaced, self.plain, self.spaced = self.plain, self.spaced, {}, {}
-        plain, spaced = self.plain, self.spaced
-        cut, new_plain, new_spaced = [], set(), set()
-        for t in texts:  # see PieceEncoder for why a text may be cut at such spaces
-            if PieceEncoder._UNSAFE.search(t):
-                first, rest = self.pattern.findall(t), []
-            else:
-                first, *rest = t.split(" ")
-                first = [first] if first else []
-            new_plain.update(p for p in first if p not in plain)
-            new_spaced.update(p for p in rest if p not in spaced)
-            cut.append((first, rest))
-        parts = {}
-        for new, cache, old, before in ((new_plain, plain, self.old_plain, ""), (new_spaced, spaced, self.old_spaced, " ")):
-            for p in new:
-                if (got := old.get(p)) is not None:
-                    cache[p] = got
-                else:
-                    parts[before == " ", p] = self.pattern.findall(before + p)
-        known: dict[str, bytes] = {}
-        ask: list[str] = []
-        for w in {w for x in parts.values() for w in x}:
-            name, now, old = (w[1:], spaced, self.old_spaced) if w[0] == " " else (w, plain, self.old_plain)
-            got = now.get(name)
-            if got is None and (got := old.get(name)) is None:
-                ask.append(w)
-            else:
-                known[w] = got
-        known.update(self.words(ask))
-        for (with_space, p), x in parts.items():
-            (spaced if with_space else plain)[p] = b"".join([known[w] for w in x])
-        return [b"".join((*map(plain.__getitem__, first), *map(spaced.__getitem__, rest))) for first, rest in cut]
-
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids; long rows go through the query in parts."""
         out: list[list[str]] = [[] for _ in ids]

@@ -13,21 +13,22 @@ data bytes; the distinct ids by rank (u32); document ids (i64) and flags (u8,
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .pieces import Pieces
 
 MAGIC = b"SLTB"
 _HEAD = struct.Struct("<4sIQIQ")
 BLOCK_TOKENS, FILE_BLOCKS = 2_000_000, 64
 END_ID = 0
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 CHUNK_CHARS = 4_000_000
 
 _CODES = np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
@@ -94,56 +95,29 @@ def blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
         yield decode_block(got, body[:-4])
 
 
-class PieceEncoder:
-    """The tokenizer's ids of whole texts, each distinct piece of text encoded once.
-
-    The pre-tokenizer lets no token reach over a space that stands between two
-    characters that aren't white space, so a text is cut there and the pieces
-    are looked up. Texts where a space touches other white space are cut by the
-    pre-tokenizer's own pattern.
-    """
+class PieceEncoder(Pieces):
+    """The tokenizer's ids, without special tokens."""
 
-    _UNSAFE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n ")
+    by_word = False
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
+        super().__init__(public_tokenizers.PATTERN, CACHE_PIECES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in texts are ordinary text
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = list(pieces)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, four little-endian bytes each."""
-        if len(self.plain) + len(self.spaced) > CACHE_PIECES:
-            self.plain, self.spaced = {}, {}
-        cut, new_plain, new_spaced = [], set(), set()
-        plain, spaced = self.plain, self.spaced
-        for t in texts:
-            if self._UNSAFE.search(t):
-                first, rest = self.pattern.findall(t), []
-            else:
-                first, *rest = t.split(" ")
-                first = [first] if first else []
-            new_plain.update(p for p in first if p not in plain)
-            new_spaced.update(p for p in rest if p not in spaced)
-            cut.append((first, rest))
-        self._fill(plain, new_plain, "")
-        self._fill(spaced, new_spaced, " ")
-        return [b"".join((*map(plain.__getitem__, first), *map(spaced.__getitem__, rest))) for first, rest in cut]
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[w] = array("I", e.ids).tobytes()
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -202,7 +176,7 @@ def _writer(folder: str, tokenizer: str, block_tokens: int, file_blocks: int):
 
         def take(ids: list, texts: list[str]) -> None:
             nonlocal held
-            for i, got in zip(ids, encode(texts), strict=True):
+            for i, got in zip(ids, encode.encode(texts), strict=True):
                 doc_ids.append(i)
                 parts.append(got + end)
                 held += len(parts[-1]) // 4
@@ -256,18 +230,19 @@ def _reader(folder: str, fold):
 
 
 def _starts(spark: SparkSession, folder: str) -> DataFrame:
-    """file, start: the ids before each file. The window sees one row per file."""
+    """file, start: the ids before each file, dealt to as many tasks as there are files. The window sees one row per file."""
     m = spark.read.schema(_MANIFEST).parquet(folder + "/manifest")
-    return m.selectExpr("file", "coalesce(sum(n_tokens) over (order by part, roll rows between unbounded preceding and 1 preceding), 0) as start")
+    at = m.selectExpr("file", "coalesce(sum(n_tokens) over (order by part, roll rows between unbounded preceding and 1 preceding), 0) as start")
+    return at.repartition(max(1, m.count()), "file")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian u32) from the files that the manifest names."""
     fold = lambda d, s, n, parts: pa.record_batch({"doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())})
-    return _starts(spark, folder).repartition(F.col("file")).mapInArrow(_reader(folder + "/data", fold), _DOCS)
+    return _starts(spark, folder).mapInArrow(_reader(folder + "/data", fold), _DOCS)
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """As read, with the CRC-32 of the ids instead of the ids."""
     fold = lambda d, s, n, parts: pa.record_batch({"doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64())})
-    return _starts(spark, folder).repartition(F.col("file")).mapInArrow(_reader(folder + "/data", fold), _DOCS.replace("ids binary", "ids_crc32 long"))
+    return _starts(spark, folder).mapInArrow(_reader(folder + "/data", fold), _DOCS.replace("ids binary", "ids_crc32 long"))
