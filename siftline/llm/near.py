@@ -176,7 +176,7 @@ def _close(a: str, b: str):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Those of the pairs a, b whose whole sets are similar enough."""
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, items array<long>")
     sets = cut(sets)
     one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
