@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import band_value, bands, hamming
+from ..functions.pixels import dhash_left, dhash_right, phash, ssim_global, ssim_windowed
 
 
 def exact_groups(df: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -44,6 +45,53 @@ def candidate_union(*edges: DataFrame) -> DataFrame:
     return out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max((F.col("distance") == 0).cast("int")).cast("boolean").alias("identical"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once: by a checkpoint where the session has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def _both(edges: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+    """Edges a, b with the named columns of both ends, as a_name and b_name."""
+    for end in ("a", "b"):
+        edges = edges.join(rows.select(F.col("id").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names)), end)
+    return edges
+
+
+def two_hash_confirmed(images: DataFrame, near: int = 5, dhash_max: int = 18, phash_max: int = 12, ssim_min: float = 0.88, dhash_tight: int = 4, phash_tight: int = 6) -> DataFrame:
+    """a, b, dhash_distance, phash_distance, ssim of the pairs of images (id, gray) that both hashes and the pixels confirm.
+
+    Candidates are within ``near`` by either hash, each banded on its own. A
+    candidate needs both distances within their limits, and then similar pixels
+    or two tight distances. The two stages are the rule: a pair that is no
+    candidate is not looked at, even if the limits would let it through.
+    """
+    marks = _kept(images.filter("gray is not null").select("id", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
+    found = near_pairs(marks, near, hash_="dhash").unionByName(near_pairs(marks, near, hash_="phash")).select("a", "b").distinct()
+    at = _both(found, marks, "dhash", "phash").select("a", "b", hamming(F.col("a_dhash"), F.col("b_dhash")).alias("dhash_distance"), hamming(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"))
+    at = at.filter((F.col("dhash_distance") <= dhash_max) & (F.col("phash_distance") <= phash_max))
+    out = _both(at, images, "gray").select("a", "b", "dhash_distance", "phash_distance", ssim_windowed("a_gray", "b_gray").alias("ssim"))
+    return out.filter((F.col("ssim") >= ssim_min) | ((F.col("dhash_distance") <= dhash_tight) & (F.col("phash_distance") <= phash_tight)))
+
+
+def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_min: float = 0.95, flat: float = 5.0) -> DataFrame:
+    """a, b, phash_distance, dhash_distance, ssim, low_texture of images (id, dataset, split, gray): pHash, then dHash, then whole-image similarity.
+
+    Pairs within the reference, or within one split of a dataset, are not
+    screened. low_texture: one of the two has a deviation of gray below ``flat``.
+    """
+    marks = _kept(images.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
+    apart = ((F.col("a_dataset") != F.col("b_dataset")) | (F.col("a_split") != F.col("b_split"))) & ((F.col("a_dataset") != "reference") | (F.col("b_dataset") != "reference"))
+    at = _both(near_pairs(marks, phash_max, hash_="phash").withColumnRenamed("distance", "phash_distance"), marks, "dataset", "split", "dhash").filter(apart)
+    at = at.withColumn("dhash_distance", hamming(F.col("a_dhash"), F.col("b_dhash"))).filter(F.col("dhash_distance") <= dhash_max).select("a", "b", "phash_distance", "dhash_distance")
+
+    def texture(gray: str) -> Column:
+        total = lambda of: F.aggregate(gray, F.lit(0.0), lambda s, v: s + of(v))
+        return F.sqrt(total(lambda v: v * v) / F.size(gray) - F.pow(total(lambda v: v) / F.size(gray), 2))
+
+    out = _both(at, images, "gray").withColumn("ssim", ssim_global("a_gray", "b_gray")).filter(F.col("ssim") >= ssim_min)
+    return out.select("a", "b", "phash_distance", "dhash_distance", "ssim", (F.least(texture("a_gray"), texture("b_gray")) < flat).alias("low_texture"))
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import inventory_digest
 from ..operators import dedup, integrity, sampling
-from ..sources.fixtures import BOXES, CONTENT, IMAGES, MARKS, MARKS_DUCKDB, derive, read, with_tables
+from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_DUCKDB, derive, read, with_tables
 from ..sources.labels import parse_labels
 from .detection import _r
 
@@ -47,6 +47,16 @@ def two_hash_candidates(s: SparkSession, d: str) -> DataFrame:
 TWO_HASH_SQL = with_tables("select a, b, distance, distance = 0 as identical from near", marks=MARKS_DUCKDB, near=_NEAR)
 
 
+def two_hash_confirmed(s: SparkSession, d: str) -> DataFrame:
+    """Near duplicates by two independent hashes of gray images, confirmed by both distances and the pixels."""
+    return _r(dedup.two_hash_confirmed(derive(s, d, GRAYS).select("id", "gray")), "ssim")
+
+
+def near_dup_screen(s: SparkSession, d: str) -> DataFrame:
+    """Near duplicates across splits and datasets: pHash, then dHash, then pixels, with low texture marked."""
+    return _r(dedup.near_screen(derive(s, d, GRAYS)), "ssim")
+
+
 def leakage_matrix(s: SparkSession, d: str) -> DataFrame:
     return _r(dedup.leakage_matrix(_pairs(s, d), derive(s, d, MARKS)), "rate")
 
@@ -186,7 +196,7 @@ from images i left join (select image_id, count(*) as n, count(*) filter (where
   count(*) filter (where least(x - w / 2, y - h / 2) < -1e-5 or greatest(x + w / 2, y + h / 2) > 1 + 1e-5) as c from boxes group by 1) b on i.image_id = b.image_id group by 1""", images=IMAGES, boxes=BOXES)
 
 QUERIES = {
-    "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
+    "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "two_hash_confirmed": (two_hash_confirmed, None), "near_dup_screen": (near_dup_screen, None), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
     "clean_dup_split": (clean_dup_split, CLEAN_SQL), "near_dup_components": (near_dup_components, COMPONENTS_SQL), "equivalence_survivor": (equivalence_survivor, SURVIVOR_SQL), "exclusion_reasons": (exclusion_reasons, REASONS_SQL),
     "adjacent_frames": (adjacent_frames, ADJACENT_SQL), "hash_partition": (hash_partition, HASH_SQL), "stratified_hash_sample": (stratified_hash_sample, SAMPLE_SQL), "oversample_negatives": (oversample_negatives, OVERSAMPLE_SQL),
     "set_equality_gate": (set_equality_gate, GATE_SQL), "inventory_digests": (inventory_digests, DIGEST_SQL), "label_validate": (label_validate, LABEL_SQL), "split_counts": (split_counts, SPLIT_SQL),

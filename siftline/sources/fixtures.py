@@ -69,6 +69,14 @@ _MARKS = "select vec_id as id, case when vec_id % 10 < 2 then 'val' else 'train'
 MARKS = _MARKS.format(fold="aggregate(slice(embedding, 1, 60), 0L, (a, v) -> a * 2 + case when v > 0 then 1L else 0L end)")
 MARKS_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_transform(embedding[1:60], lambda v: case when v > 0 then 1::bigint else 0::bigint end)), lambda a, v: a * 2 + v)")
 
+#: Gray images of 32 x 32: a cell of 4 x 4 for each embedding value. Three in eight have a copy: brighter, with one corner changed, or noisy.
+GRAYS = """
+select 4 * vec_id + k as id, case when vec_id % 7 = 0 then 'reference' else 'target' end as dataset, case when (vec_id + k) % 10 < 2 then 'val' else 'train' end as split,
+       transform(sequence(0, 1023), i -> cast(greatest(0, least(255, floor(128 + 300 * embedding[8 * (i div 128) + i % 32 div 4] + case
+         when k = 1 then 20 when k = 2 and i < 256 and i % 32 < 8 then 60 when k = 3 then (i * 31 + vec_id) % 13 * 3 - 18 else 0 end))) as int)) as gray
+from (select vec_id, embedding, explode(array(0, 1, 2, 3)) as k from {embeddings} where size(embedding) = 64) e where k = 0 or vec_id % 8 = k
+"""
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
