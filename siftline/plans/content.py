@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import inventory_digest
 from ..operators import dedup, integrity, sampling
-from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_DUCKDB, derive, read, with_tables
+from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, derive, in_64, read, with_tables
 from ..sources.labels import parse_labels
 from .detection import _r
 
@@ -27,20 +29,20 @@ select a.id as a, b.id as b, cast(bit_count(xor(a.hash, b.hash)) as int) as dist
 """
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return dedup.near_pairs(derive(s, d, MARKS), RADIUS)
+def _pairs(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return dedup.near_pairs(derive(s, d, marks), RADIUS)
 
 
-def near_dup_banded(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d)
+def near_dup_banded(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return _pairs(s, d, marks)
 
 
 NEAR_SQL = with_tables("select * from near", marks=MARKS_DUCKDB, near=_NEAR)
 
 
-def two_hash_candidates(s: SparkSession, d: str) -> DataFrame:
+def two_hash_candidates(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
     """Candidates of two hash families as one edge list: near fingerprints, and equal labels of near ones."""
-    e = _pairs(s, d)
+    e = _pairs(s, d, marks)
     return dedup.candidate_union(e, e.select("a", "b", (F.col("distance") + 1).alias("distance")))
 
 
@@ -57,8 +59,8 @@ def near_dup_screen(s: SparkSession, d: str) -> DataFrame:
     return _r(dedup.near_screen(derive(s, d, GRAYS)), "ssim")
 
 
-def leakage_matrix(s: SparkSession, d: str) -> DataFrame:
-    return _r(dedup.leakage_matrix(_pairs(s, d), derive(s, d, MARKS)), "rate")
+def leakage_matrix(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return _r(dedup.leakage_matrix(_pairs(s, d, marks), derive(s, d, marks)), "rate")
 
 
 LEAKAGE_SQL = with_tables("""
@@ -67,8 +69,8 @@ select x.split as split_a, y.split as split_b, coalesce(m, 0) as matched, x.tota
 left join (select p.split as sa, q.split as sb, count(distinct a) as m from sym join marks p on p.id = a join marks q on q.id = b group by 1, 2) on sa = x.split and sb = y.split""", marks=MARKS_DUCKDB, near=_NEAR).replace(")\n\n, sym", "),\nsym")
 
 
-def clean_dup_split(s: SparkSession, d: str) -> DataFrame:
-    return dedup.clean_and_duplicate(derive(s, d, MARKS), _pairs(s, d)).select("id", "split", "subset")
+def clean_dup_split(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return dedup.clean_and_duplicate(derive(s, d, marks), _pairs(s, d, marks)).select("id", "split", "subset")
 
 
 CLEAN_SQL = with_tables("""
@@ -76,8 +78,8 @@ select id, split, case when exists (select 1 from (select a, b from near union s
 from marks m where split <> 'train'""", marks=MARKS_DUCKDB, near=_NEAR)
 
 
-def near_dup_components(s: SparkSession, d: str) -> DataFrame:
-    return dedup.components(_pairs(s, d))
+def near_dup_components(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return dedup.components(_pairs(s, d, marks))
 
 
 COMPONENTS_SQL = with_tables("select a as node, min(b) as label from reach group by 1", marks=MARKS_DUCKDB, near=_NEAR, edges="select a, b from near union select b, a from near union select a, a from near union select b, b from near", reach="select * from (with recursive r(a, b) as (select a, b from edges union select r.a, e.b from r join edges e on r.b = e.a) select * from r)")
@@ -201,3 +203,5 @@ QUERIES = {
     "adjacent_frames": (adjacent_frames, ADJACENT_SQL), "hash_partition": (hash_partition, HASH_SQL), "stratified_hash_sample": (stratified_hash_sample, SAMPLE_SQL), "oversample_negatives": (oversample_negatives, OVERSAMPLE_SQL),
     "set_equality_gate": (set_equality_gate, GATE_SQL), "inventory_digests": (inventory_digests, DIGEST_SQL), "label_validate": (label_validate, LABEL_SQL), "split_counts": (split_counts, SPLIT_SQL),
 }
+#: Those above on 60 signs keep the result of their SQL; these take all 64.
+QUERIES |= {f"{n}_64": (partial(f, marks=MARKS_64), in_64(sql)) for n, (f, sql) in QUERIES.items() if n in ("near_dup_banded", "two_hash_candidates", "leakage_matrix", "clean_dup_split", "near_dup_components")}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import ap, association, curves, dedup, matching, reports
-from ..sources.fixtures import BOXES, CURVES, IMAGES, MARKS, MARKS_DUCKDB, PREDICTIONS, SCORES, derive, read, with_tables
+from ..sources.fixtures import BOXES, CURVES, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, PREDICTIONS, SCORES, derive, in_64, read, with_tables
 from .content import _NEAR, _pairs
 from .detection import _MATCH, _T, _r
 
@@ -140,8 +142,8 @@ def binned_quality(s: SparkSession, d: str) -> DataFrame:
 BINNED_SQL = with_tables("select g_cls, cast(least(floor(round(iou, 6) * 10), 9) as int) as bin, count(*) as n, round(avg(conf), 6) as mean from matched group by 1, 2", **_T, matched=_MATCH.replace("iou >= 0.5", "iou >= 0.1"))
 
 
-def clean_dup_premium(s: SparkSession, d: str) -> DataFrame:
-    rows = dedup.clean_and_duplicate(derive(s, d, MARKS), _pairs(s, d)).join(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+def clean_dup_premium(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    rows = dedup.clean_and_duplicate(derive(s, d, marks), _pairs(s, d, marks)).join(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     return _r(reports.clean_dup_premium(rows, "label", ["split"]), "full", "clean", "dup", "full_premium", "dup_premium")
 
 
@@ -152,8 +154,8 @@ select split, round(f, 6) as "full", round(c, 6) as clean, round(u, 6) as dup, r
   join embeddings on vec_id = m.id group by 1)""", marks=MARKS_DUCKDB, near=_NEAR)
 
 
-def leak_verdicts(s: SparkSession, d: str) -> DataFrame:
-    return dedup.leakage_matrix(_pairs(s, d), derive(s, d, MARKS)).select("split_a", "split_b", reports.verdict(F.col("rate")).alias("verdict"))
+def leak_verdicts(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
+    return dedup.leakage_matrix(_pairs(s, d, marks), derive(s, d, marks)).select("split_a", "split_b", reports.verdict(F.col("rate")).alias("verdict"))
 
 
 VERDICT_SQL = with_tables("""
@@ -219,3 +221,5 @@ QUERIES = {
     "clean_dup_premium": (clean_dup_premium, PREMIUM_SQL), "leak_verdicts": (leak_verdicts, VERDICT_SQL), "longest_match": (longest_match, LONGEST_SQL), "epoch_deltas": (epoch_deltas, DELTAS_SQL),
     "seed_alignment": (seed_alignment, ALIGNED_SQL), "run_completeness": (run_completeness, COMPLETE_SQL), "merged_sources": (merged_sources, MERGED_SQL), "label_support": (label_support, SUPPORT_SQL),
 }
+#: Those above on 60 signs keep the result of their SQL; these take all 64.
+QUERIES |= {f"{n}_64": (partial(f, marks=MARKS_64), in_64(sql)) for n, (f, sql) in QUERIES.items() if n in ("clean_dup_premium", "leak_verdicts")}

@@ -69,6 +69,9 @@ _MARKS = "select vec_id as id, case when vec_id % 10 < 2 then 'val' else 'train'
 MARKS = _MARKS.format(fold="aggregate(slice(embedding, 1, 60), 0L, (a, v) -> a * 2 + case when v > 0 then 1L else 0L end)")
 MARKS_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_transform(embedding[1:60], lambda v: case when v > 0 then 1::bigint else 0::bigint end)), lambda a, v: a * 2 + v)")
 
+#: The same over all 64 signs, the first one the sign bit of a long.
+MARKS_64 = _MARKS.format(fold="aggregate(embedding, 0L, (a, v) -> shiftleft(a, 1) | case when v > 0 then 1L else 0L end)")
+MARKS_64_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_transform(embedding[2:64], lambda v: case when v > 0 then 1::bigint else 0::bigint end)), lambda a, v: a * 2 + v) + case when embedding[1] > 0 then -9223372036854775808 else 0 end")
 #: Gray images of 32 x 32: a cell of 4 x 4 for each embedding value. Three in eight have a copy: brighter, with one corner changed, or noisy.
 GRAYS = """
 select 4 * vec_id + k as id, case when vec_id % 7 = 0 then 'reference' else 'target' end as dataset, case when (vec_id + k) % 10 < 2 then 'val' else 'train' end as split,
@@ -78,6 +81,12 @@ from (select vec_id, embedding, explode(array(0, 1, 2, 3)) as k from {embeddings
 """
 
 
+def in_64(sql: str) -> str:
+    """A DuckDB query over the marks, over the marks of all 64 signs."""
+    tables = {t: t for t in _TABLES}
+    return sql.replace(MARKS_DUCKDB.format(**tables), MARKS_64_DUCKDB.format(**tables))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,3 +43,13 @@ def test_two_hashes_confirm(spark):
     df = spark.createDataFrame([(i, *place[i], gray[i]) for i in ids] + [(-1, "target", "val", None)], "id long, dataset string, split string, gray array<int>")
     assert {(r["a"], r["b"], r["dhash_distance"], r["phash_distance"]) for r in dedup.two_hash_confirmed(df).collect()} == both
     assert {(r["a"], r["b"], r["phash_distance"], r["dhash_distance"], r["low_texture"]) for r in dedup.near_screen(df).collect()} == screen
+
+
+def test_all_64_signs(spark):
+    from conftest import DATA
+
+    from siftline.plans import registry
+
+    v = {r["vec_id"]: np.array(r["embedding"]) > 0 for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    want = {(i, j, int((v[i] != v[j]).sum())) for i in v for j in v if i < j and (v[i] != v[j]).sum() <= 14}
+    assert {tuple(r) for r in registry.queries()["near_dup_banded_64"](spark, DATA).collect()} == want
