@@ -107,6 +107,36 @@ def matched_point(sweep: DataFrame, target: float, by: tuple[str, ...] = ("cls",
     return sweep.groupBy(*by).agg(best).select(*by, "b.factor", "b.recall", "b.fpr")
 
 
+def background_sweep(scores: DataFrame, thresholds: DataFrame, factors: list[float]) -> DataFrame:
+    """factor, recall_0, recall_1, recall_any, alarm with the thresholds of classes 0 and 1 multiplied by each factor in turn.
+
+    alarm: share of images without any class on which any class alarms;
+    recall_any: share of images with a class where one that is there is found.
+    Null where there is nothing to divide by. How many of the ascending factors
+    a score reaches says all about it, so images are counted by that number and
+    only a few rows for each factor are left to be summed.
+    """
+    grid = sorted(factors)
+    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda f: F.col("score") >= F.col("threshold") * f))
+    at = scores.join(F.broadcast(thresholds.select("cls", "threshold")), "cls").withColumn("g", reached)
+    there = F.col("label") == 1
+    of = lambda c: F.max(F.when(there & (F.col("cls") == c), F.col("g")))
+    image = at.groupBy("image_id").agg(of(0).alias("recall_0"), of(1).alias("recall_1"), F.max(F.when(there, F.col("g"))).alias("recall_any"), F.when(F.max("label") == 0, F.max("g")).alias("alarm"))
+    kinds = ("recall_0", "recall_1", "recall_any", "alarm")
+    few = image.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("g")) for k in kinds))).alias("x")).select("x.*").filter("g is not null").groupBy("kind", "g").agg(F.count("*").alias("n"))
+    every = scores.sparkSession.createDataFrame(list(enumerate(grid, 1)), "place int, factor double")
+    rate = lambda k: (F.sum(F.when((F.col("kind") == k) & (F.col("g") >= F.col("place")), F.col("n")).otherwise(0)) / F.nullif(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)), F.lit(0))).alias(k)
+    return every.join(few, F.lit(True), "left").groupBy("factor").agg(*map(rate, kinds))
+
+
+def background_matched(sweep: DataFrame, targets: list[float]) -> DataFrame:
+    """target and the row of a background sweep whose alarm is closest to it, the smallest factor of ties."""
+    row = F.struct(*sweep.columns)
+    each = sweep.select(F.explode(F.array(*map(F.lit, targets))).alias("target"), row.alias("row"))
+    best = F.min(F.struct(F.abs(F.col("row.alarm") - F.col("target")).alias("gap"), F.col("row.factor").alias("factor"), "row")).alias("b")
+    return each.groupBy("target").agg(best).select("target", "b.row.*")
+
+
 def draw(replicate: Column, number: Column, n: Column, seed: int) -> Column:
     """A unit in [0, n) for a draw of a replicate, by hash: any engine with MD5 makes the same."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), replicate, number)), 1, 12), 16, 10).cast("long") % n

@@ -112,6 +112,25 @@ def matched_operating_point(s: SparkSession, d: str) -> DataFrame:
 MATCHED_SQL = with_tables("select cls, factor, recall, fpr from (select *, row_number() over (partition by cls order by round(abs(fpr - 0.05e0), 9), factor) as r from sweep) where r = 1", scores=SCORES, th=_TH, sweep=_SWEEP)
 
 
+#: Multipliers of a sweep, the grid on which a background alarm rate is met, and the rates.
+SWEEP = [0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0, 4.0, 6.0]
+GRID = [0.05 + i * ((12 - 0.05) / 239) for i in range(239)] + [12.0]
+TARGETS = [0.02, 0.05, 0.1]
+
+
+def _background(s: SparkSession, d: str, factors: list[float]) -> DataFrame:
+    return A.background_sweep(_scores(s, d, "test"), A.threshold_under_budget(_scores(s, d, "val"), BUDGET), factors)
+
+
+def background_sweep(s: SparkSession, d: str) -> DataFrame:
+    return _r(_background(s, d, SWEEP), "recall_0", "recall_1", "recall_any", "alarm")
+
+
+def background_matched(s: SparkSession, d: str) -> DataFrame:
+    """Recall at the same share of alarms on backgrounds, over both classes."""
+    return _r(A.background_matched(_background(s, d, GRID), TARGETS), "factor", "recall_0", "recall_1", "recall_any", "alarm")
+
+
 def _seeded(s: SparkSession, d: str) -> DataFrame:
     return _scores(s, d).withColumn("seed", (F.col("image_id") % 3).cast("int"))
 
@@ -182,5 +201,6 @@ QUERIES = {
     "image_scores": (image_scores, IMAGE_SCORES_SQL), "alarm_threshold": (alarm_threshold, THRESHOLD_SQL), "alarm_metrics": (alarm_metrics, METRICS_SQL), "background_alarms": (background_alarms, BACKGROUND_SQL),
     "calibration_ece_brier": (calibration_ece_brier, ECE_SQL), "temperature_fit": (temperature_fit, TEMPERATURE_SQL), "calibrated_report": (calibrated_report, None), "operating_sweep": (operating_sweep, SWEEP_SQL),
     "matched_operating_point": (matched_operating_point, MATCHED_SQL), "fixed_vs_reselected": (fixed_vs_reselected, FIXED_SQL), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_SQL),
+    "background_sweep": (background_sweep, None), "background_matched": (background_matched, None),
     "false_alarm_attribution": (false_alarm_attribution, ATTRIBUTION_SQL), "hardest_negatives": (hardest_negatives, HARDEST_SQL),
 }

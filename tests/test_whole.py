@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from siftline.functions import pixels
-from siftline.operators import dedup
+from siftline.operators import alarms, dedup
 
 
 def _far(a, b):
@@ -53,3 +53,29 @@ def test_all_64_signs(spark):
     v = {r["vec_id"]: np.array(r["embedding"]) > 0 for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
     want = {(i, j, int((v[i] != v[j]).sum())) for i in v for j in v if i < j and (v[i] != v[j]).sum() <= 14}
     assert {tuple(r) for r in registry.queries()["near_dup_banded_64"](spark, DATA).collect()} == want
+
+
+SCORED = "image_id long, cls int, score double, label int, scene string"
+
+
+def test_background_sweep(spark):
+    from siftline.plans.alarms import GRID, SWEEP, TARGETS
+
+    random.seed(9)
+    y = np.array([[int(random.random() < 0.3), int(random.random() < 0.3)] for _ in range(400)])
+    p = np.round(np.array([[random.random() ** 2, random.random() ** 3] for _ in y]) * 0.6, 2)
+    t = np.array([0.12, 0.08])
+    rows = spark.createDataFrame([(i, c, float(p[i, c]), int(y[i, c]), None) for i in range(len(y)) for c in (0, 1)], SCORED)
+    limits = spark.createDataFrame([(0, 0.12), (1, 0.08)], "cls int, threshold double")
+
+    def point(k):
+        hit, bg = p >= t * k, y.sum(1) == 0
+        return hit[y[:, 0] == 1, 0].mean(), hit[y[:, 1] == 1, 1].mean(), (hit & (y == 1)).any(1)[~bg].mean(), hit[bg].any(1).mean()
+
+    assert np.array_equal(np.array(GRID), np.linspace(0.05, 12, 240))
+    got = {r["factor"]: tuple(r)[1:] for r in alarms.background_sweep(rows, limits, SWEEP).collect()}
+    assert set(got) == set(SWEEP) and len(SWEEP) == 11 and all(np.allclose(got[k], point(k)) for k in SWEEP)
+    got = {r["target"]: r["factor"] for r in alarms.background_matched(alarms.background_sweep(rows, limits, GRID), TARGETS).collect()}
+    assert got == {a: min(GRID, key=lambda k: (abs(point(k)[3] - a), k)) for a in (0.02, 0.05, 0.1)}
+    none = alarms.background_sweep(rows.filter("cls = 0").withColumn("label", rows["label"] * 0 + 1), limits, SWEEP).first()
+    assert none["alarm"] is None and none["recall_1"] is None and none["recall_0"] == none["recall_any"]
