@@ -143,16 +143,34 @@ def draw(replicate: Column, number: Column, n: Column, seed: int) -> Column:
 
 
 def bootstrap(scores: DataFrame, thresholds: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """cls, n_replicates, low, high: percentile interval of recall, drawing scenes with replacement.
+    """cls, n_replicates, low, high: percentile interval of recall by class, as bootstrap_report has it."""
+    got = bootstrap_report(scores, thresholds, replicates, seed)
+    return got.filter("cls is not null").select("cls", "n_replicates", "low", "high")
 
-    Scenes are summed first, so a replicate draws rows of sums. Replicates
-    without positives are left out.
+
+def bootstrap_report(scores: DataFrame, thresholds: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """metric, cls, n_replicates, low, high: percentile intervals of recall by class and of background_alarm_fraction (cls null), drawing scenes with replacement.
+
+    Where all scenes are null, images are drawn; where some are, the query
+    fails. One draw serves all metrics. Units are summed first, so a replicate
+    draws rows of sums. Replicates with nothing to divide by are left out, by metric.
     """
     hit = (F.col("score") >= F.col("threshold")).cast("long")
-    unit = scores.join(thresholds.select("cls", "threshold"), "cls").groupBy("cls", "scene").agg(F.sum("label").alias("pos"), F.sum(hit * F.col("label")).alias("tp"))
-    w = Window.partitionBy("cls")
-    unit = unit.select("cls", "pos", "tp", (F.row_number().over(w.orderBy("scene")) - 1).alias("unit"), F.count("*").over(w).alias("n"))
-    draws = unit.select("cls", "n", F.col("unit").alias("number"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select("cls", "replicate", draw(F.col("replicate"), F.col("number"), F.col("n"), seed).alias("unit"))
-    each = draws.join(unit, ["cls", "unit"]).groupBy("cls", "replicate").agg(F.sum("tp").alias("tp"), F.sum("pos").alias("pos")).filter("pos > 0").withColumn("recall", F.col("tp") / F.col("pos"))
-    return each.groupBy("cls").agg(F.count("*").alias("n_replicates"), F.percentile("recall", F.lit(0.025)).alias("low"), F.percentile("recall", F.lit(0.975)).alias("high"))
+    at = scores.join(thresholds.select("cls", "threshold"), "cls").withColumn("hit", hit)
+    known = at.agg(F.count("scene").alias("known"), F.count("*").alias("rows"))
+    mixed = (F.col("known") > 0) & (F.col("known") < F.col("rows"))
+    at = at.join(F.broadcast(known), F.when(mixed, F.raise_error(F.lit("some scenes are null: give all or none")).cast("boolean")).otherwise(True))
+    # A unit is (scene, null) or (null, image).
+    at = at.withColumn("image", F.when(F.col("known") == 0, F.col("image_id")))
+    recall = at.select("scene", "image", F.lit("recall").alias("metric"), "cls", F.col("label").cast("long").alias("of"), (F.col("hit") * F.col("label")).alias("is"))
+    images = at.groupBy("scene", "image", "image_id").agg(F.max("label").alias("any"), F.max("hit").alias("alarm"))
+    alarm = images.select("scene", "image", F.lit("background_alarm_fraction").alias("metric"), F.lit(None).cast("int").alias("cls"), (1 - F.col("any")).cast("long").alias("of"), ((1 - F.col("any")) * F.col("alarm")).alias("is"))
+    sums = recall.unionByName(alarm).groupBy("scene", "image", "metric", "cls").agg(F.sum("of").alias("of"), F.sum("is").alias("is"))
+    sums = sums.groupBy("scene", "image").agg(F.collect_list(F.struct("metric", "cls", "of", "is")).alias("sums"))
+    unit = sums.select("sums", (F.row_number().over(Window.orderBy("scene", "image")) - 1).alias("unit"), F.count("*").over(Window.partitionBy()).alias("n"))
+    draws = unit.select("n", F.col("unit").alias("number"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = draws.select("replicate", draw(F.col("replicate"), F.col("number"), F.col("n"), seed).alias("unit"))
+    few = draws.groupBy("replicate", "unit").agg(F.count("*").alias("times"))
+    drawn = few.join(unit.select("unit", "sums"), "unit").select("replicate", "times", F.explode("sums").alias("s")).select("replicate", "times", "s.*")
+    each = drawn.groupBy("metric", "cls", "replicate").agg(F.sum(F.col("times") * F.col("is")).alias("is"), F.sum(F.col("times") * F.col("of")).alias("of")).filter("of > 0").withColumn("value", F.col("is") / F.col("of"))
+    return each.groupBy("metric", "cls").agg(F.count("*").alias("n_replicates"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))

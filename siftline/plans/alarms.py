@@ -172,6 +172,11 @@ each as (select d.cls, d.r, sum(tp) / sum(pos) as recall from draws d join unit
 select cls, count(*) as n_replicates, round(quantile_cont(recall, 0.025), 6) as low, round(quantile_cont(recall, 0.975), 6) as high from each group by 1""", scores=SCORES, th=_TH).replace(")\n\n, unit", "),\nunit")
 
 
+def bootstrap_report(s: SparkSession, d: str) -> DataFrame:
+    """All three intervals of 1000 replicates."""
+    return _r(A.bootstrap_report(_scores(s, d, "test"), A.threshold_under_budget(_scores(s, d, "val"), BUDGET)), "low", "high")
+
+
 def false_alarm_attribution(s: SparkSession, d: str) -> DataFrame:
     """Test images without any class: which classes alarm on them."""
     at = _scores(s, d, "test").join(A.threshold_under_budget(_scores(s, d, "val"), BUDGET).select("cls", "threshold"), "cls")
@@ -201,6 +206,6 @@ QUERIES = {
     "image_scores": (image_scores, IMAGE_SCORES_SQL), "alarm_threshold": (alarm_threshold, THRESHOLD_SQL), "alarm_metrics": (alarm_metrics, METRICS_SQL), "background_alarms": (background_alarms, BACKGROUND_SQL),
     "calibration_ece_brier": (calibration_ece_brier, ECE_SQL), "temperature_fit": (temperature_fit, TEMPERATURE_SQL), "calibrated_report": (calibrated_report, None), "operating_sweep": (operating_sweep, SWEEP_SQL),
     "matched_operating_point": (matched_operating_point, MATCHED_SQL), "fixed_vs_reselected": (fixed_vs_reselected, FIXED_SQL), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_SQL),
-    "background_sweep": (background_sweep, None), "background_matched": (background_matched, None),
+    "background_sweep": (background_sweep, None), "background_matched": (background_matched, None), "bootstrap_report": (bootstrap_report, None),
     "false_alarm_attribution": (false_alarm_attribution, ATTRIBUTION_SQL), "hardest_negatives": (hardest_negatives, HARDEST_SQL),
 }

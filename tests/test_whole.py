@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from siftline.functions import pixels
 from siftline.operators import alarms, dedup
@@ -79,3 +80,28 @@ def test_background_sweep(spark):
     assert got == {a: min(GRID, key=lambda k: (abs(point(k)[3] - a), k)) for a in (0.02, 0.05, 0.1)}
     none = alarms.background_sweep(rows.filter("cls = 0").withColumn("label", rows["label"] * 0 + 1), limits, SWEEP).first()
     assert none["alarm"] is None and none["recall_1"] is None and none["recall_0"] == none["recall_any"]
+
+
+def test_bootstrap_units(spark):
+    import hashlib
+
+    random.seed(2)
+    rows = [(i, c, random.random(), int(random.random() < 0.4), None) for i in range(40) for c in (0, 1)]
+    limits = spark.createDataFrame([(0, 0.5), (1, 0.4)], "cls int, threshold double")
+    for scene in (lambda i: None, lambda i: f"s{i % 7}"):
+        use = [(*r[:4], scene(r[0])) for r in rows]
+        units = {}
+        for r in use:
+            units.setdefault(r[4] if r[4] is not None else r[0], []).append(r)
+        units, values = [units[k] for k in sorted(units)], {}
+        for b in range(1000):
+            drawn = [r for u in range(len(units)) for r in units[int(hashlib.md5(f"0:{b}:{u}".encode()).hexdigest()[:12], 16) % len(units)]]
+            on = [(r[1], r[3], r[2] >= (0.5, 0.4)[r[1]]) for r in drawn]
+            for c in (0, 1):
+                values.setdefault(("recall", c), []).append(np.mean([h for k, label, h in on if k == c and label]))
+            pairs = [(on[k][2] or on[k + 1][2]) for k in range(0, len(on), 2) if not on[k][1] and not on[k + 1][1]]
+            values.setdefault(("background_alarm_fraction", None), []).extend([np.mean(pairs)] if pairs else [])
+        got = {(r["metric"], r["cls"]): (r["n_replicates"], r["low"], r["high"]) for r in alarms.bootstrap_report(spark.createDataFrame(use, SCORED), limits).collect()}
+        assert set(got) == set(values) and all(np.allclose(got[k], (len(v), *np.quantile(v, [0.025, 0.975]))) for k, v in values.items())
+    with pytest.raises(Exception, match="all or none"):
+        alarms.bootstrap_report(spark.createDataFrame([(*rows[0][:4], "s"), *rows[1:]], SCORED), limits).collect()
