@@ -15,10 +15,16 @@ def variance_decomposition(runs: DataFrame, by: str = "config") -> DataFrame:
 
 
 def paired_effects(runs: DataFrame, reference: int, by: str = "config") -> DataFrame:
-    """by, n, mean, mdd, significant: differences to the reference run of the same seed; mdd and significant null with one pair."""
-    ref = runs.filter(F.col(by) == reference).select("seed", F.col("best").alias("ref"))
-    d = runs.filter(F.col(by) != reference).join(ref, "seed").withColumn("d", F.col("best") - F.col("ref"))
-    got = d.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    """by, n, mean, mdd, significant: differences to the reference run of the same seed; mdd and significant null with one pair.
+
+    Where no seed is shared, mean is the difference of the two means, n is 0
+    (no pairs), and mdd and significant are null.
+    """
+    ref = runs.filter((F.col(by) == reference) & F.col("best").isNotNull()).select("seed", F.col("best").alias("ref"))
+    rest = runs.filter(F.col(by) != reference)
+    d = rest.join(ref, "seed", "left").withColumn("d", F.col("best") - F.col("ref"))
+    got = d.groupBy(by).agg(F.count("d").alias("n"), F.avg("d").alias("paired"), F.stddev_samp("d").alias("sd"), F.avg("best").alias("own"))
+    got = got.join(ref.agg(F.avg("ref").alias("other")), F.lit(True)).withColumn("mean", F.when(F.col("n") > 0, F.col("paired")).otherwise(F.col("own") - F.col("other"))).filter("mean is not null")
     least = F.when(F.col("n") > 1, mdd(F.col("sd"), F.col("n")))
     return got.select(by, "n", "mean", least.alias("mdd"), (F.abs("mean") > least).alias("significant"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from siftline.functions import pixels
-from siftline.operators import alarms, dedup
+from siftline.operators import alarms, dedup, power
 
 
 def _far(a, b):
@@ -105,3 +105,9 @@ def test_bootstrap_units(spark):
         assert set(got) == set(values) and all(np.allclose(got[k], (len(v), *np.quantile(v, [0.025, 0.975]))) for k, v in values.items())
     with pytest.raises(Exception, match="all or none"):
         alarms.bootstrap_report(spark.createDataFrame([(*rows[0][:4], "s"), *rows[1:]], SCORED), limits).collect()
+
+
+def test_effects_without_a_common_seed(spark):
+    runs = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (3, 1, 1.5), (3, 2, 2.75), (6, 8, 5.0), (6, 9, 6.0)], "config int, seed int, best double")
+    got = {r["config"]: tuple(r)[1:] for r in power.paired_effects(runs, 0).collect()}
+    assert got[6] == (0, 4.0, None, None) and got[3][:2] == (2, 0.625) and got[3][3] is False
