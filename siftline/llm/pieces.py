@@ -3,7 +3,8 @@
 The pre-tokenizers' pattern lets no token reach over a space that stands
 between two characters that aren't white space, so a text is cut there and its
 pieces are looked up; texts where a space touches other white space are cut by
-the pattern itself. Where encoding a word is dear, only the new words of a new
+the pattern itself, after the strings of special tokens, which hold no space,
+are taken off. Where encoding a word is dear, only the new words of a new
 piece are encoded; else the piece is, as a whole.
 """
 
@@ -20,9 +21,12 @@ class Pieces:
     #: Whether words() wants single words.
     by_word = True
 
-    def __init__(self, pattern: str, most: int) -> None:
+    def __init__(self, pattern: str, most: int, special: list[str] | None = None) -> None:
         import regex
 
+        if any(" " in x for x in special or []):
+            raise ValueError("a special token holds a space")
+        self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pattern, self.most = regex.compile(pattern), most
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -32,6 +36,12 @@ class Pieces:
         """The ids of single matches of the pattern (of whole pieces, if not by_word), four little-endian bytes each."""
         raise NotImplementedError
 
+    def _cut(self, text: str) -> list[str]:
+        """Matches of the pattern, special tokens apart."""
+        if self.special is None:
+            return self.pattern.findall(text)
+        return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self.pattern.findall(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four little-endian bytes each."""
         if len(self.plain) + len(self.spaced) > self.most:
@@ -40,7 +50,7 @@ class Pieces:
         cut, new_plain, new_spaced = [], set(), set()
         for t in texts:
             if _UNSAFE.search(t):
-                first, rest = self.pattern.findall(t), []
+                first, rest = self._cut(t), []
             else:
                 first, *rest = t.split(" ")
                 first = [first] if first else []

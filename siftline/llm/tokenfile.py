@@ -96,7 +96,7 @@ def blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
 
 
 class PieceEncoder(Pieces):
-    """The tokenizer's ids, without special tokens."""
+    """The tokenizer's ids: none are added, and the strings of its own special tokens in texts are these tokens, as the library has it."""
 
     by_word = False
 
@@ -107,9 +107,8 @@ class PieceEncoder(Pieces):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__(public_tokenizers.PATTERN, CACHE_PIECES)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in texts are ordinary text
+        super().__init__(public_tokenizers.PATTERN, CACHE_PIECES, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         out = {}

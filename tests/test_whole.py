@@ -111,3 +111,13 @@ def test_effects_without_a_common_seed(spark):
     runs = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (3, 1, 1.5), (3, 2, 2.75), (6, 8, 5.0), (6, 9, 6.0)], "config int, seed int, best double")
     got = {r["config"]: tuple(r)[1:] for r in power.paired_effects(runs, 0).collect()}
     assert got[6] == (0, 4.0, None, None) and got[3][:2] == (2, 0.625) and got[3][3] is False
+
+
+def test_special_tokens_as_the_library_has_them():
+    tokenizers, tokenfile = pytest.importorskip("tokenizers"), pytest.importorskip("siftline.llm.tokenfile")
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    random.seed(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", " \n", "a", "the", "don't", "12", "!", "\u3000"]
+    texts = ["a<|endoftext|>b"] + ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(4000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokenfile.PieceEncoder(path).encode(texts)]
+    assert got[0] == [64, 50256, 65] and got == [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
