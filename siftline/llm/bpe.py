@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .pieces import Pieces
+from .pieces import Pieces, chunks
 
-CHUNK_CHARS, CACHE_PIECES = 1_000_000, 150_000
+CHUNK_BYTES, CACHE_PIECES = 4_000_000, 250_000
 LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 400_000, 200_000
 MEMORY = "300MB"
 
@@ -56,7 +57,7 @@ with recursive t(w, pos, tok) using key (w, pos) as (
 )
 select w, list(tok order by pos) as ids from t where tok >= 0 group by w
 """
-_DECODE = "select d, string_agg(v.piece, '' order by i.pos) as text from ids i join vocab v on v.id = i.id group by d"
+_DECODE = "select d, string_agg(v.piece, '' order by i.pos) as text, count(*) as n from ids i join vocab v on v.id = i.id group by d"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,53 +103,38 @@ class DuckBPE(Pieces):
             out[w] = flat[at[k] : at[k + 1]].tobytes()
         return out
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word, four bytes each."""
-        out: dict[str, bytes] = {}
-        for long_, sql in ((False, _ONE), (True, _ALL)):
-            batch, raw, size = [], [], 0
-            for w in words:
-                b = w.encode()
-                if b in self.ranks:  # a word of the vocabulary is one token, as the library has it
-                    out[w] = struct.pack("<i", self.ranks[b])
-                    continue
-                if (len(b) > LONG_WORD) != long_:
-                    continue
-                batch.append(w)
-                raw.append(b)
-                size += len(b)
-                if size >= BATCH_BYTES:
-                    out.update(zip(batch, self._run(sql, raw), strict=True))
-                    batch, raw, size = [], [], 0
-            if batch:
-                out.update(zip(batch, self._run(sql, raw), strict=True))
+    def words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        raw = [w.encode() for w in words]
+        short, long_ = [], []
+        for k, b in enumerate(raw):
+            if (own := self.ranks.get(b)) is not None:  # a word of the vocabulary is one token, as the library has it
+                out[k] = struct.pack("<i", own)
+            else:
+                (long_ if len(b) > LONG_WORD else short).append(k)
+        for sql, todo in ((_ONE, short), (_ALL, long_)):
+            while todo:
+                ends = np.cumsum([len(raw[k]) for k in todo])
+                now = max(1, int(np.searchsorted(ends, BATCH_BYTES)))
+                for k, ids in zip(todo[:now], self._run(sql, [raw[k] for k in todo[:now]]), strict=True):
+                    out[k] = ids
+                todo = todo[now:]
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each row of ids; long rows go through the query in parts."""
-        out: list[list[str]] = [[] for _ in ids]
-        part, held = [], 0
-
-        def flush() -> None:
-            nonlocal part, held
-            if part:
-                n = np.array([len(x) for _, x in part], np.int64)
-                ends = np.cumsum(n)
-                self._table("ids", {"d": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": np.arange(ends[-1], dtype=np.int64), "id": np.concatenate([x for _, x in part])})
-                got = self.con.sql(_DECODE).to_arrow_table()
-                texts = dict(zip(got["d"].to_pylist(), got["text"].to_pylist(), strict=True))
-                for k, (row, _) in enumerate(part):
-                    out[row].append(texts[k])
-            part, held = [], 0
-
-        for row, x in enumerate(ids):
-            for at in range(0, len(x), DECODE_IDS):
-                part.append((row, x[at : at + DECODE_IDS]))
-                held += len(part[-1][1])
-                if held >= DECODE_IDS:
-                    flush()
-        flush()
-        return ["".join(x).encode("latin-1") for x in out]
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The bytes of rows of ids, which stand one after another, n[k] in row k; parts of long rows go through the query one by one."""
+        out = [b""] * len(n)
+        ends = np.cumsum(n)
+        row_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        for at in range(0, len(ids), DECODE_IDS):
+            part = slice(at, at + DECODE_IDS)
+            self._table("ids", {"d": row_of[part], "pos": np.arange(at, min(at + DECODE_IDS, len(ids)), dtype=np.int64), "id": ids[part].astype(np.int32)})
+            got = self.con.sql(_DECODE).to_arrow_table()
+            if pc.sum(got["n"]).as_py() != len(ids[part]):
+                raise ValueError("an id that the vocabulary lacks")
+            for k, text in sorted(zip(got["d"].to_pylist(), got["text"].to_pylist(), strict=True)):
+                out[k] += text.encode("latin-1")
+        return out
 
 
 _BPE: dict[str, DuckBPE] = {}
@@ -162,21 +148,9 @@ def _bpe(path: str) -> DuckBPE:
     return _BPE[path]
 
 
-def _ids_array(parts: list[bytes]) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-
-
-def _chunks(b: pa.RecordBatch, size) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about CHUNK_CHARS characters or ids."""
-    start = held = 0
-    for k in range(b.num_rows):
-        held += size(k)
-        if held >= CHUNK_CHARS:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < b.num_rows:
-        yield start, b.num_rows
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32), pa.int32()))
 
 
 def _encoder(path: str, keep: int, decode: bool):
@@ -184,11 +158,11 @@ def _encoder(path: str, keep: int, decode: bool):
         bpe = _bpe(path)
         for b in batches:
             texts = b.column(keep)
-            for a, z in _chunks(b, lambda k, t=texts: len(t[k].as_py() or "")):
-                parts = bpe.encode([t or "" for t in texts[a:z].to_pylist()])
-                out = {b.schema.names[k]: b.column(k)[a:z] for k in range(keep)} | {"ids": _ids_array(parts)}
+            for a, z in chunks(texts, CHUNK_BYTES):
+                ids, n = bpe.encode(texts[a:z])
+                out = {b.schema.names[k]: b.column(k)[a:z] for k in range(keep)} | {"ids": _lists(ids, n)}
                 if decode:
-                    out["decoded"] = pa.array(bpe.decode([np.frombuffer(p, "<i4") for p in parts]), pa.binary())
+                    out["decoded"] = pa.array(bpe.decode(ids, n), pa.binary())
                 yield pa.record_batch(out)
         pa.default_memory_pool().release_unused()
 
@@ -211,9 +185,10 @@ def decode(coded: DataFrame, path: str, *keep: str) -> DataFrame:
         bpe = _bpe(path)
         for b in batches:
             ids = b.column(len(keep))
-            for a, z in _chunks(b, lambda k, t=ids: len(t[k].as_py() or ())):
-                rows = [np.array(x or [], np.int32) for x in ids[a:z].to_pylist()]
-                yield pa.record_batch({b.schema.names[k]: b.column(k)[a:z] for k in range(len(keep))} | {"decoded": pa.array(bpe.decode(rows), pa.binary())})
+            n = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+            kept = {b.schema.names[k]: b.column(k) for k in range(len(keep))}
+            yield pa.record_batch(kept | {"decoded": pa.array(bpe.decode(flat, n), pa.binary())})
 
     return coded.select(*keep, "ids").mapInArrow(run, _schema(coded, list(keep)) + "decoded binary")
 

@@ -53,13 +53,17 @@ from d window w as (partition by t)
 """
 
 
-#: Where the vocabulary files of public tokenizers are; a parameter of the queries below.
-TOKENIZERS = "/opt/tokenizers"
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; a parameter of the queries below."""
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
-def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+
+def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from token files."""
     folder = fresh_dir(spark, "tokens")
-    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer)
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer or vocabulary("byte_bpe_50k.json"))
     return tokenfile.checksums(spark, folder)
 
 
@@ -75,13 +79,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary)
-
-
-def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    both = bpe.round_trip(docs, vocabulary, "doc_id")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def op5_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, for every document."""
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken"), "doc_id")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

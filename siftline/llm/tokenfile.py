@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .pieces import Pieces
+from .pieces import Pieces, chunks
 
 MAGIC = b"SLTB"
 _HEAD = struct.Struct("<4sIQIQ")
 BLOCK_TOKENS, FILE_BLOCKS = 2_000_000, 64
 END_ID = 0
-CACHE_PIECES = 500_000
-CHUNK_CHARS = 4_000_000
+CACHE_PIECES = 600_000
+CHUNK_BYTES = 16_000_000
+#: Ids below this are counted in a table.
+TABLE_IDS = 1 << 24
 
 _CODES = np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
 #: By control byte: length of each of its four ranks, their places, and the length of all.
@@ -40,23 +42,34 @@ TOTALS = LENGTHS.sum(axis=1)
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint32)
-    seen, of, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -counts))
-    rank_of = np.empty(len(seen), np.uint32)
-    rank_of[order] = np.arange(len(seen), dtype=np.uint32)
-    ranks = rank_of[of] if len(ids) else np.empty(0, np.uint32)
-    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    # Ids are a vocabulary's: counted in a table. Far larger ones are first numbered in their order.
+    near = not len(ids) or int(ids.max()) < TABLE_IDS
+    names, places = (None, ids) if near else np.unique(ids, return_inverse=True)
+    counts = np.bincount(places)
+    found = np.flatnonzero(counts)
+    order = found[np.lexsort((found, -counts[found]))]
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    ranked = order.astype("<u4") if near else names[order].astype("<u4")
+    ranks = rank_of[places]
+    size = np.ones(len(ids), np.int64)
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        if len(order) > most + 1:
+            size += ranks > most
     at = np.cumsum(size) - size
     data = np.empty(int(size.sum()), np.uint8)
-    for k in range(4):
-        have = size > k
-        data[at[have] + k] = (ranks[have] >> (8 * k)) & 0xFF
+    data[at] = ranks & 0xFF
+    for k in range(1, 4):
+        if len(order) > 1 << (8 * k):
+            have = np.flatnonzero(size > k)
+            data[at[have] + k] = (ranks[have] >> (8 * k)) & 0xFF
     codes = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     codes[: len(ids)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
     out = b"".join((
-        _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(seen), len(data)), seen[order].astype("<u4").tobytes(),
-        np.array([i or 0 for i in doc_ids], "<i8").tobytes(), bytes(int(i is None) for i in doc_ids), np.array(lengths, "<u8").tobytes(), control.tobytes(), data.tobytes(),
+        _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(ranked), len(data)), ranked.tobytes(),
+        np.array([i or 0 for i in doc_ids], "<i8").tobytes(), bytes(int(i is None) for i in doc_ids),
+        np.array(lengths, "<u8").tobytes(), control.tobytes(), data.tobytes(),
     ))
     return out + struct.pack("<I", zlib.crc32(out))
 
@@ -98,8 +111,6 @@ def blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
 class PieceEncoder(Pieces):
     """The tokenizer's ids: none are added, and the strings of its own special tokens in texts are these tokens, as the library has it."""
 
-    by_word = False
-
     def __init__(self, path: str) -> None:
         import os
 
@@ -108,14 +119,14 @@ class PieceEncoder(Pieces):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        super().__init__(public_tokenizers.PATTERN, CACHE_PIECES, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        super().__init__(public_tokenizers.PATTERN, CACHE_PIECES, special)
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
+    def words(self, words: list[str]) -> list[bytes]:
+        out = []
         for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[w] = array("I", e.ids).tobytes()
+            found = self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
         return out
 
 
@@ -158,40 +169,30 @@ def _writer(folder: str, tokenizer: str, block_tokens: int, file_blocks: int):
 
         fs, path = FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        task, encode, end = TaskContext.get(), encoder(tokenizer), struct.pack("<I", END_ID)
-        done, file, doc_ids, parts, held = [], None, [], [], 0
+        task, encode = TaskContext.get(), encoder(tokenizer)
+        done, file, doc_ids, lengths, parts, held = [], None, [], [], [], 0
 
         def flush() -> None:
-            nonlocal file, doc_ids, parts, held
+            nonlocal file, doc_ids, lengths, parts, held
             if not doc_ids:
                 return
             if file is None:
                 file = _File(fs, path, task.partitionId(), len(done), task.taskAttemptId())
-            file.put(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"))
-            doc_ids, parts, held = [], [], 0
+            file.put(doc_ids, lengths, np.concatenate(parts))
+            doc_ids, lengths, parts, held = [], [], [], 0
             if file.blocks >= file_blocks:
                 done.append(file.close())
                 file = None
 
-        def take(ids: list, texts: list[str]) -> None:
-            nonlocal held
-            for i, got in zip(ids, encode.encode(texts), strict=True):
-                doc_ids.append(i)
-                parts.append(got + end)
-                held += len(parts[-1]) // 4
+        for b in batches:
+            for a, z in chunks(b.column(1), CHUNK_BYTES):
+                ids, n = encode.encode(b.column(1)[a:z])
+                doc_ids += b.column(0)[a:z].to_pylist()
+                lengths += (n + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(n), END_ID))
+                held += len(parts[-1])
                 if held >= block_tokens:
                     flush()
-
-        for b in batches:
-            ids, texts, n = [], [], 0
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                ids.append(i.as_py())
-                texts.append(t.as_py() or "")
-                n += len(texts[-1])
-                if n >= CHUNK_CHARS:
-                    take(ids, texts)
-                    ids, texts, n = [], [], 0
-            take(ids, texts)
         flush()
         if file is not None:
             done.append(file.close())

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from siftline.llm import bpe, chat, common, exact, mixing, near, pii, quality, queries, rollup, tokenfile, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-BYTE_BPE, MULTI = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+BYTE_BPE, MULTI = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -102,7 +104,6 @@ def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     folder = common.fresh_dir(spark, "test")
     tokenfile.write(odd, folder, BYTE_BPE, block_tokens=50, file_blocks=2)
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -127,6 +128,30 @@ def test_block_round_trip():
             list(tokenfile.blocks(io.BytesIO(data[:-5] + bytes([data[-5] ^ 1]) + data[-4:])))
 
 
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    random.seed(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", " \n", "a", "the", "don't", "12", "!", "\u3000", "it's"]
+    texts = ["a<|endoftext|>b"] + ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(4000)]
+    ids, n = tokenfile.PieceEncoder(BYTE_BPE).encode(pa.array(texts))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got[0] == [64, 50256, 65] and got == [e.ids for e in Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_caches_of_few_pieces(monkeypatch):
+    """Generations turn over between and within chunks of texts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "CACHE_PIECES", 5)
+    random.seed(8)
+    coder, library = tokenfile.PieceEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for _ in range(60):
+        texts = [" ".join(random.choice(["ab", "the.", "x", "", "It's", "a\nb", "\n", "é!"]) for _ in range(random.randint(0, 6))) for _ in range(random.randint(0, 5))]
+        ids, n = coder.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[: len(n)]] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 # --- PII ---
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -241,9 +266,11 @@ def test_bpe(spark, odd):
     random.seed(2)
     parts = [" ", "  ", "\n", " \n", "\t", "　", "\x1c", " ", "\xa0", "a", "the", "'s", "don't", "12", "é", "日本", "<|endoftext|>", "!!", "\x85", "x" * 50, "", "ab" * 60, "entier"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(800)] + ["a" * 2000, "ab" * 700, "", "é" * 500]
-    ids = [np.frombuffer(x, "<i4") for x in coder.encode(texts)]
-    assert [x.tolist() for x in ids] == [enc.encode_ordinary(t) for t in texts]
-    assert coder.decode(ids) == [t.encode() for t in texts]
+    ids, n = coder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(t) for t in texts]
+    assert coder.decode(ids, n) == [t.encode() for t in texts]
+    with pytest.raises(ValueError):
+        coder.decode(np.array([1, 60_000]), np.array([2]))
     got = bpe.decode(bpe.encode(odd, MULTI, "doc_id", "text"), MULTI, "doc_id", "text").collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in got)
 
