@@ -7,15 +7,13 @@ reads back. All but the last return the columns they got.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, exact, mixing, near, quality
 from siftline.llm.common import fresh_dir, table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-
-
 def _packed(docs: DataFrame, *also: str) -> DataFrame:
     """The rows as one column, so that no name of theirs meets an operator's."""
     return docs.select(F.struct("*").alias("_row"), *also)
@@ -49,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text decoded from the ids."""
-    both = bpe.round_trip(docs, VOCABULARY, "doc_id", "lang", "source")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.round_trip(docs, ranks, "doc_id", "lang", "source")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
