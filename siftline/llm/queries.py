@@ -68,11 +68,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of base spans by kind, base_sha256, spans, and of all spans n_secret and n_spans, for every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
     kind = F.array(*map(F.lit, pii.KINDS))
-    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.get(kind, s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    name = lambda s: F.concat(F.get(kind, s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])
+    text = lambda c: F.array_join(F.transform(c, name), ",")
+    count = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count("base", pii.KINDS.index(k)).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
+        F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"),
+        count("spans", pii.KINDS.index("secret")).alias("n_secret"), F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
