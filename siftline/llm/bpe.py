@@ -1,12 +1,17 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, per partition.
 
 Each task cuts its texts by the vocabulary's pattern and puts the distinct
-words that it has not met into one query: rows are (word, position, token),
-and until nothing changes each word's neighbours are joined with the merge
-table and its leftmost pair of least rank is contracted. Long words take all
-occurrences of that pair in a step where that is the same: where no pair with
-the new token has a smaller rank. Decoding joins ids with the vocabulary and
-puts the bytes together by an aggregation ordered by position.
+words that it has not met into one query: rows are (word, position, token, next
+token), and until nothing changes they meet the merge table and each word's
+leftmost pair of least rank is contracted. Decoding joins ids with the
+vocabulary and puts the bytes together by an aggregation ordered by position.
+
+Long words are cut where the encodings of overlapping windows have a token end
+in common, and a cut is kept only if the two parts beside it, encoded as one,
+are what they are apart. That is exact: as long as no merge has crossed a cut,
+two neighbours take the same steps in the word as in their own run, so if no
+run of two neighbours crosses its cut, no first crossing can happen in the
+word. Cuts that fail are taken out and their neighbours are tried again.
 """
 
 from __future__ import annotations
@@ -23,22 +28,31 @@ from pyspark.sql import DataFrame
 from .pieces import Pieces, chunks
 
 CHUNK_BYTES, CACHE_PIECES = 4_000_000, 250_000
-LONG_WORD, BATCH_BYTES, DECODE_IDS = 64, 400_000, 200_000
+DECODE_IDS = 200_000
+#: Words of more bytes are cut by windows of twice WINDOW bytes; parts of more than UNCUT bytes take another query.
+LONG_WORD, WINDOW, UNCUT = 64, 48, 600
+#: A query gets words of so many bytes, squared and summed, which is twice the rows that it makes at most.
+BATCH_SQUARES = 6_000_000
 MEMORY = "300MB"
 
-#: A word's tokens as one list: its pairs, by position, meet the merge table; the least (rank, position) is contracted.
+#: A contraction at p: the row takes the merged token and its lost neighbour's next one, the row before learns of it, all after move up.
 _ONE = """
-with recursive t(w, toks) as (
-  select w, toks from start
+with recursive t(w, step, pos, tok, next) as (
+  select w, 0, pos, tok, next from start
   union all
-  select t.w, list_concat(list_append(t.toks[:(b.k & 4294967295) - 1], (b.k >> 32)::integer), t.toks[(b.k & 4294967295) + 2:])
+  select t.w, t.step + 1, t.pos - (t.pos > k.p)::integer, case when t.pos = k.p then k.m else t.tok end,
+         case when t.pos = k.p then k.after when t.pos = k.p - 1 then k.m else t.next end
   from t join (
-    select w, min((m.m::bigint << 32) | p) as k
-    from (select w, unnest(toks[:-2]) as l, unnest(toks[2:]) as r, unnest(range(1, len(toks))) as p from t) x join merges m on m.l = x.l and m.r = x.r group by w) b on t.w = b.w
+    select b.w, b.m, b.p, x.next as after from (
+      select w, (min(k) >> 32)::integer as m, (min(k) & 4294967295)::integer as p
+      from (select t.w, (m.m::bigint << 32) | t.pos as k from t join merges m on m.l = t.tok and m.r = t.next) group by w) b
+    join t x on x.w = b.w and x.pos = b.p + 1) k on t.w = k.w
+  where t.pos <> k.p + 1
 )
-select w, arg_min(toks, len(toks)) as ids from t group by w
+select w, list(tok order by pos) as ids from t join (select w as v, max(step) as last from t group by w) z on z.v = t.w and z.last = t.step group by w
 """
-#: Of long words that changed: each token with its right neighbour and their merge, and the word's least rank.
+#: For parts of long words that nothing could cut: all occurrences of a pair in a step where that is the same, which
+#: is where no pair with the new token has a smaller rank. Of words that changed: each token with its right neighbour and their merge, and the word's least rank.
 _PAIRS = """
   select p.*, m.m, m.safe, min(m.m) over (partition by w) as best from (
     select r.w, r.pos, r.tok, row_number() over x as place, lead(r.tok) over x as right_tok, lead(r.pos) over x as right_pos
@@ -77,6 +91,8 @@ class DuckBPE(Pieces):
         # A token is safe if no merge that takes it in has a smaller rank.
         unsafe = set(left[to <= left].tolist()) | set(right[to <= right].tolist())
         self.ranks = ranks
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": "false"})
         self._table("m", {"l": left, "r": right, "m": to, "safe": np.array([m not in unsafe for m in to.tolist()], bool)})
@@ -91,10 +107,9 @@ class DuckBPE(Pieces):
         n = np.array([len(x) for x in words], np.int64)
         ends, w = np.cumsum(n), np.arange(len(words), dtype=np.int32)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        if sql is _ONE:
-            self._table("start", {"w": w, "toks": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tok, pa.int32()))})
-        else:
-            self._table("start", {"w": np.repeat(w, n), "pos": (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32), "tok": tok})
+        following = np.append(tok[1:], -1).astype(np.int32)
+        following[ends - 1] = -1
+        self._table("start", {"w": np.repeat(w, n), "pos": (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32), "tok": tok, "next": following})
         got = self.con.sql(sql).to_arrow_table()
         lists = got["ids"].combine_chunks()
         flat, at = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
@@ -103,6 +118,60 @@ class DuckBPE(Pieces):
             out[w] = flat[at[k] : at[k + 1]].tobytes()
         return out
 
+    def _merged(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of each word by merges alone. Words of about the same length go together, as a query runs as long as its longest word."""
+        out = [b""] * len(raw)
+        todo = sorted(range(len(raw)), key=lambda k: len(raw[k]))
+        while todo:
+            sql = _ONE if len(raw[todo[0]]) <= UNCUT else _ALL
+            squares = np.cumsum([len(raw[k]) ** 2 for k in todo])
+            now = max(1, int(np.searchsorted(squares, BATCH_SQUARES)))
+            now = max(1, sum(len(raw[k]) <= UNCUT for k in todo[:now])) if sql is _ONE else now
+            for k, ids in zip(todo[:now], self._run(sql, [raw[k] for k in todo[:now]]), strict=True):
+                out[k] = ids
+            todo = todo[now:]
+        return out
+
+    def _long(self, raw: list[bytes]) -> list[bytes]:
+        """As _merged, for words that are cut into parts first."""
+        known: dict[bytes, bytes] = {}
+
+        def ask(parts) -> None:
+            new = list({p for p in parts if p not in known})
+            known.update(zip(new, self._merged(new), strict=True))
+
+        def ends(word: bytes, at: int) -> np.ndarray:
+            return at + np.cumsum(self.size[np.frombuffer(known[word[at : at + 2 * WINDOW]], "<i4")])
+
+        places = [range(0, max(1, len(x) - WINDOW), WINDOW) for x in raw]
+        ask(x[at : at + 2 * WINDOW] for x, own in zip(raw, places, strict=True) for at in own)
+        cuts: list[list[int]] = []
+        for x, own in zip(raw, places, strict=True):
+            cut, before = [0], None
+            for at in own:
+                here = ends(x, at)
+                if before is not None:
+                    both = np.intersect1d(before, here)
+                    if len(both := both[(both > cut[-1]) & (both < len(x))]):
+                        cut.append(int(both[np.argmin(np.abs(both - at - WINDOW // 2))]))
+                before = here
+            cuts.append([*cut, len(x)])
+        part = lambda i, a, z: raw[i][cuts[i][a] : cuts[i][z]]
+        sure: list[set[int]] = [set() for _ in raw]
+        while tried := [(i, j) for i, c in enumerate(cuts) for j in range(1, len(c) - 1) if c[j] not in sure[i]]:
+            ask(x for i, j in tried for x in (part(i, j - 1, j), part(i, j, j + 1), part(i, j - 1, j + 1)))
+            failed: dict[int, set[int]] = {}
+            for i, j in tried:
+                sure[i].add(cuts[i][j])
+                if known[part(i, j - 1, j + 1)] != known[part(i, j - 1, j)] + known[part(i, j, j + 1)]:
+                    failed.setdefault(i, set()).add(cuts[i][j])
+            for i, gone in failed.items():
+                c = cuts[i]
+                sure[i] -= {c[k + d] for k, x in enumerate(c) if x in gone for d in (-1, 1)}
+                cuts[i] = [x for x in c if x not in gone]
+        ask(part(i, j, j + 1) for i, c in enumerate(cuts) for j in range(len(c) - 1))
+        return [b"".join(known[part(i, j, j + 1)] for j in range(len(c) - 1)) for i, c in enumerate(cuts)]
+
     def words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         raw = [w.encode() for w in words]
@@ -112,13 +181,9 @@ class DuckBPE(Pieces):
                 out[k] = struct.pack("<i", own)
             else:
                 (long_ if len(b) > LONG_WORD else short).append(k)
-        for sql, todo in ((_ONE, short), (_ALL, long_)):
-            while todo:
-                ends = np.cumsum([len(raw[k]) for k in todo])
-                now = max(1, int(np.searchsorted(ends, BATCH_BYTES)))
-                for k, ids in zip(todo[:now], self._run(sql, [raw[k] for k in todo[:now]]), strict=True):
-                    out[k] = ids
-                todo = todo[now:]
+        for encode, some in ((self._merged, short), (self._long, long_)):
+            for k, ids in zip(some, encode([raw[k] for k in some]), strict=True):
+                out[k] = ids
         return out
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
