@@ -24,20 +24,24 @@ def spark(tmp_path_factory):
     out.stop()
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def oracle():
+    """Runs SQL on a connection of its own, so that an engine that breaks off spoils no other test."""
     import duckdb
 
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
 
-    def rows(sql):
+    def rows(sql, *before):
+        for statement in before:
+            con.execute(statement)
         got = con.execute(sql)
         names = [c[0] for c in got.description]
         return canonical(names, got.fetchall())
 
-    return rows
+    yield rows
+    con.close()
 
 
 def canonical(names, rows):

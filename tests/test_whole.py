@@ -111,36 +111,3 @@ def test_effects_without_a_common_seed(spark):
     runs = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (3, 1, 1.5), (3, 2, 2.75), (6, 8, 5.0), (6, 9, 6.0)], "config int, seed int, best double")
     got = {r["config"]: tuple(r)[1:] for r in power.paired_effects(runs, 0).collect()}
     assert got[6] == (0, 4.0, None, None) and got[3][:2] == (2, 0.625) and got[3][3] is False
-
-
-def test_special_tokens_as_the_library_has_them():
-    tokenizers, tokenfile = pytest.importorskip("tokenizers"), pytest.importorskip("siftline.llm.tokenfile")
-    path = "/opt/tokenizers/byte_bpe_50k.json"
-    random.seed(6)
-    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", " \n", "a", "the", "don't", "12", "!", "\u3000"]
-    texts = ["a<|endoftext|>b"] + ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(4000)]
-    got = [np.frombuffer(x, "<u4").tolist() for x in tokenfile.PieceEncoder(path).encode(texts)]
-    assert got[0] == [64, 50256, 65] and got == [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-
-
-def test_chat_layouts_with_more_keys(spark):
-    import json
-
-    chat = pytest.importorskip("siftline.llm.chat")
-    two = [("user", "q"), ("assistant", "a")]
-    rows = [
-        ({"id": 1, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "tools": [{"f": 1}]}, "messages", two),
-        ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "system": "s"}, "sharegpt", [("system", "s"), *two]),
-        ({"prompt": "q", "completion": "a", "id": "x"}, "prompt", two), ({"id": 1, "prompt": "q", "response": "a"}, "response", two),
-        ({"id": 1, "instruction": "q", "input": "", "output": "a"}, "instruction", two), ({"instruction": "q", "output": "a", "meta": {"k": [1]}}, "instruction_only", two),
-        ({"prompt": {"x": 1}, "completion": "a", "id": 1}, None, None), ({"messages": [{"role": "user"}], "id": 1}, None, None), ({"id": 1}, None, None),
-    ]
-    got = {r["conv_id"]: r for r in chat.from_json_rows(spark.createDataFrame([(i, json.dumps(r[0])) for i, r in enumerate(rows)], "conv_id long, json string")).collect()}
-    for i, (_, layout, turns) in enumerate(rows):
-        assert (got[i]["layout"], got[i]["turns"] and [tuple(t) for t in got[i]["turns"]]) == (layout, turns)
-    for kind, row in {
-        "messages array<struct<role:string,content:string,name:string>>, id int": ([("user", "q", "n"), ("assistant", "a", None)], 1),
-        "conversations array<struct<`from`:string,value:string>>": ([("human", "q"), ("gpt", "a")],), "prompt string, completion string": ("q", "a"),
-        "prompt string, response string": ("q", "a"), "instruction string, input string, output string": ("q", None, "a"), "instruction string, output string": ("q", "a"),
-    }.items():
-        assert [tuple(t) for t in chat.from_table(spark.createDataFrame([(5, *row)], "conv_id long, " + kind)).first()["turns"]] == two
