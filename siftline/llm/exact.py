@@ -2,18 +2,19 @@
 
 The key of a text is the SHA-256 of its normal form. Keys live in an index: a
 cuckoo filter (short fingerprints, two places each, insertion and deletion) in
-front of the stored keys, which are kept in buckets by key. A filter miss
-proves a key new without touching the buckets; a hit is verified against the
-bucket, so false positives cost a look but never a document. An insertion that
+front of buckets by key that hold the normal form itself. A filter miss proves
+a key new without touching the buckets; a hit is verified against the bucket's
+content, so a false positive costs a look but never a document, and two texts
+of one digest would be an error and not a lost document. An insertion that
 finds no place doubles the filter, which is rebuilt from the stored keys.
 
 Over a table the index works twice: each input task folds its rows into an
 index of its own and hands on one row per key and task (so a key with a third
 of all rows reaches no task more than once per input task), then the keys are
-dealt by hash and each task folds what it got. What a task holds is the keys of
-one batch of ``max_keys``: beyond that it hands on what it has and starts anew,
-before the deal; after the deal equal keys stand next to each other, so the
-index is emptied between keys without losing a match.
+dealt by hash and each task folds what it got. What a task holds is bounded by
+``max_keys`` and ``max_bytes`` of content: beyond that it hands on what it has
+and starts anew, before the deal; after the deal equal keys stand next to each
+other, so the index is emptied between keys without losing a match.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import WS_CLASS
 
-#: Keys that one index holds before it is handed on.
-MAX_KEYS = 500_000
+#: Keys, and bytes of their contents, that one index holds before it is handed on.
+MAX_KEYS, MAX_BYTES = 500_000, 64_000_000
 SLOTS, KICKS = 4, 200
 _KEYS = "key binary, keep_id long, group_size long"
+_CONTENTS = _KEYS.replace(",", ", content binary,", 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +86,23 @@ class CuckooFilter:
                 return True
         return False
 
+    def insert_many(self, hashes: np.ndarray) -> bool:
+        """As insert, for many: those that find a free slot at once go in together, one to a place and round."""
+        prints, one, two = self.places(hashes)
+        left = np.arange(len(hashes))
+        for place in (one, two):
+            for _ in range(SLOTS):
+                if not len(left):
+                    break
+                first = np.unique(place[left], return_index=True)[1]
+                at = place[left[first]]
+                free = self.slots[at] == 0
+                has = free.any(axis=1)
+                self.slots[at[has], free[has].argmax(axis=1)] = prints[left[first[has]]]
+                left = np.delete(left, first[has])
+        self.size += len(hashes) - len(left)
+        return all(self.insert(h) for h in hashes[left].tolist())
+
     def delete(self, h: int) -> bool:
         prints, one, two = self.places(np.array([h], np.uint64))
         for place in (int(one[0]), int(two[0])):
@@ -96,85 +115,103 @@ class CuckooFilter:
 
 
 class DigestIndex:
-    """Live keys with the smallest document id and the number of documents of each."""
+    """Live keys with their content, the smallest document id and the number of documents of each."""
 
     def __init__(self, capacity: int = 4096) -> None:
         self.filter = CuckooFilter(capacity)
         self.buckets: dict[bytes, list] = {}
-        self.resizes = 0
+        self.resizes = self.bytes = 0
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
 
-    def _insert(self, h: int) -> None:
-        if not self.filter.insert(h):
-            self.resize()
-
     def resize(self) -> None:
-        """A filter of twice the size, from the stored keys (the last insertion's among them)."""
-        capacity = self.filter.n * SLOTS * 2
+        """A filter of twice the size, from the stored keys."""
+        capacity, hashes = self.filter.n * SLOTS * 2, self.hashes(list(self.buckets))
         while True:
             self.filter, self.resizes = CuckooFilter(capacity), self.resizes + 1
-            if all(self.filter.insert(int(h)) for h in self.hashes(list(self.buckets))):
+            if self.filter.insert_many(hashes):
                 return
             capacity *= 2
 
-    def add(self, keys: list[bytes], ids: list, counts: list[int]) -> None:
+    @staticmethod
+    def _same(held: list, content: bytes) -> list:
+        if held[0] != content:
+            raise ValueError("two texts of one digest")
+        return held
+
+    def add(self, keys: list[bytes], contents: list[bytes], ids: list, counts: list[int]) -> None:
         if not keys:
             return
-        hashes = self.hashes(keys)
-        hit, fresh = self.filter.contains(hashes), set()
-        for key, h, i, n, seen in zip(keys, hashes.tolist(), ids, counts, hit.tolist(), strict=True):
+        hashes, fresh = self.hashes(keys), {}
+        hit = self.filter.contains(hashes)
+        for k, (key, content, i, n, seen) in enumerate(zip(keys, contents, ids, counts, hit.tolist(), strict=True)):
             held = self.buckets.get(key) if seen or key in fresh else None
             if held is None:
-                self.buckets[key] = [i, n]
-                fresh.add(key)
-                self._insert(h)
+                self.buckets[key] = [content, i, n]
+                self.bytes += len(content)
+                fresh[key] = k
             else:
-                held[0] = i if held[0] is None or (i is not None and i < held[0]) else held[0]
-                held[1] += n
+                self._same(held, content)
+                held[1] = i if held[1] is None or (i is not None and i < held[1]) else held[1]
+                held[2] += n
+        if not self.filter.insert_many(hashes[list(fresh.values())]):
+            self.resize()
 
-    def lookup(self, keys: list[bytes]) -> list:
+    def lookup(self, keys: list[bytes], contents: list[bytes]) -> list:
         """(smallest id, count) of each key that is live, else None."""
         if not keys:
             return []
-        return [tuple(self.buckets[k]) if seen and k in self.buckets else None for k, seen in zip(keys, self.filter.contains(self.hashes(keys)).tolist(), strict=True)]
+        hit = self.filter.contains(self.hashes(keys)).tolist()
+        held = [self.buckets.get(k) if seen else None for k, seen in zip(keys, hit, strict=True)]
+        return [None if h is None else tuple(self._same(h, c)[1:]) for h, c in zip(held, contents, strict=True)]
 
-    def remove(self, key: bytes, n: int = 1) -> bool:
+    def remove(self, key: bytes, content: bytes, n: int = 1) -> bool:
         """Take n documents from a key; with its last one the key leaves filter and buckets. False if it isn't live."""
         h = self.hashes([key])
         if not self.filter.contains(h)[0] or key not in self.buckets:
             return False
-        held = self.buckets[key]
-        held[1] -= n
-        if held[1] <= 0:
+        held = self._same(self.buckets[key], content)
+        held[2] -= n
+        if held[2] <= 0:
             del self.buckets[key]
+            self.bytes -= len(content)
             self.filter.delete(int(h[0]))
         return True
 
-    def drain(self) -> pa.RecordBatch:
-        keys = list(self.buckets)
-        out = pa.record_batch({"key": pa.array(keys, pa.binary()), "keep_id": pa.array([self.buckets[k][0] for k in keys], pa.int64()), "group_size": pa.array([self.buckets[k][1] for k in keys], pa.int64())})
-        self.buckets, self.filter = {}, CuckooFilter(4096)
+    def full(self, max_keys: int, max_bytes: int) -> bool:
+        return len(self.buckets) >= max_keys or self.bytes >= max_bytes
+
+    def drain(self, with_content: bool = True) -> pa.RecordBatch:
+        rows = list(zip(*self.buckets.values(), strict=True)) or [(), (), ()]
+        out = pa.record_batch(
+            {"key": pa.array(list(self.buckets), pa.binary())} | ({"content": pa.array(rows[0], pa.binary())} if with_content else {})
+            | {"keep_id": pa.array(rows[1], pa.int64()), "group_size": pa.array(rows[2], pa.int64())}
+        )
+        self.buckets, self.filter, self.bytes = {}, CuckooFilter(4096), 0
         return out
 
 
-def _fold(batches: Iterator[pa.RecordBatch], max_keys: int = MAX_KEYS, ordered: bool = False) -> Iterator[pa.RecordBatch]:
+#: Rows that an index takes at a time; between them it may be handed on.
+ROWS = 1000
+
+
+def _fold(batches: Iterator[pa.RecordBatch], max_keys: int = MAX_KEYS, max_bytes: int = MAX_BYTES, ordered: bool = False) -> Iterator[pa.RecordBatch]:
     index = DigestIndex(16_384)
-    for b in batches:
-        keys = b.column("key").to_pylist()
-        if len(index.buckets) >= max_keys:
-            if ordered and keys:  # the last key may go on in this batch
-                last = next(reversed(index.buckets))
-                kept = index.buckets.pop(last)
-                yield index.drain()
-                index.add([last], [kept[0]], [kept[1]])
-            else:
-                yield index.drain()
-        index.add(keys, b.column("keep_id").to_pylist(), b.column("group_size").to_pylist())
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
+            if index.full(max_keys, max_bytes):
+                last = index.buckets.popitem() if ordered else None  # the last key may go on in this batch
+                if index.buckets:
+                    yield index.drain(not ordered)
+                if last:
+                    index.filter, index.bytes = CuckooFilter(4096), 0
+                    index.add([last[0]], *([x] for x in last[1]))
+            index.add(*(b.column(c).to_pylist() for c in ("key", "content", "keep_id", "group_size")))
     if index.buckets:
-        yield index.drain()
+        yield index.drain(not ordered)
 
 
 def normal_form(text):
@@ -185,12 +222,15 @@ def keyed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.unhex(F.sha2(normal_form(F.col("text")), 256)).alias("key"))
 
 
-def groups(keys: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
-    """key, keep_id, group_size: one row per distinct key of (key, doc_id)."""
-    one = keys.select("key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    near = one.mapInArrow(lambda it: _fold(it, max_keys), _KEYS)
+def groups(docs: DataFrame, max_keys: int = MAX_KEYS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """key, keep_id, group_size: one row per distinct key of (doc_id, text)."""
+    one = docs.select(F.col("doc_id").alias("keep_id"), normal_form(F.col("text")).alias("t"))
+    # Through a generator of one row, so that the normal form is made once and not for the digest and the content each.
+    one = one.select(F.inline(F.array(F.struct(F.col("t").cast("binary").alias("content"), F.sha2("t", 256).alias("sha")))), "keep_id")
+    one = one.select(F.unhex("sha").alias("key"), "content", "keep_id", F.lit(1).cast("long").alias("group_size"))
+    near = one.mapInArrow(lambda it: _fold(it, max_keys, max_bytes), _CONTENTS)
     dealt = near.repartition(F.col("key")).sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: _fold(it, max_keys, ordered=True), _KEYS)
+    return dealt.mapInArrow(lambda it: _fold(it, max_keys, max_bytes, ordered=True), _KEYS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -198,8 +238,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty, and empty texts are equal to each other. Of rows
     that share text and smallest doc_id (repeated rows) all have kept true. A
-    null doc_id is never smallest unless a group has no other.
+    null doc_id is never smallest unless a group has no other. An empty table
+    gives an empty result; columns beyond doc_id and text play no part.
     """
-    keys = keyed(docs, "doc_id")
-    joined = keys.join(groups(keys), "key")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
+    joined = keyed(docs, "doc_id").join(groups(docs), "key")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
