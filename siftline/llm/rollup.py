@@ -1,72 +1,136 @@
 """Token counts by delta-maintained rollups.
 
 A change feed holds signed counts: an insert adds a document's tokens, a delete
-takes its old count away, a revision does both. A batch of changes is folded to
-one row per (source, lang, tokenizer) and appended to the store under its batch
-id; totals are sums over the store, so a batch costs what it holds and not what
-the corpus holds. Commits are idempotent: a batch is written under a temporary
-name and then renamed to its id, and a batch whose id is there is left alone,
-so a run that is repeated, or that died between batches, counts nothing twice.
+takes its old count away, a revision does both, each under the version of the
+tokenizer that made the count. A batch of changes is folded to one row per
+(source, lang, tokenizer) and appended to the store under its batch id; totals
+are sums over the store, so a batch costs what it holds and not what the corpus
+holds. Commits are idempotent: a batch is written under a name of its writer's
+own and then renamed to its id, a rename that fails where that id is there, so
+a run that is repeated, that died between batches or that runs beside another
+counts nothing twice.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import WS_CLASS
 from .mixing import n_words
+from .pieces import chunks
+from .tokenfile import encoder
 
 KEYS = ("source", "lang", "tokenizer")
-_DELTA = "source string, lang string, tokenizer string, docs long, tokens long, inserts long, deletes long, revisions long"
+_SUMS = ("docs", "tokens", "inserts", "deletes", "revisions")
+_DELTA = "source string, lang string, tokenizer string, " + ", ".join(f"{c} long" for c in _SUMS)
+CHUNK_BYTES = 16_000_000
+
+Plain = Callable[[Column], Column]
+
+
+def as_is(text: Column) -> Column:
+    return text
+
+
+def single_spaced(text: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(text, WS_CLASS + "+", " ")
+
+
+def counted(docs: DataFrame, words: dict[str, Plain], vocabularies: dict[str, tuple[str, Plain]]) -> DataFrame:
+    """doc_id, source, lang and counts (a map by version of a tokenizer) for every row, from one pass over the texts.
+
+    ``words`` count words of the text as a function of it gives it;
+    ``vocabularies`` count the ids of the tokenizers library, by the place of
+    its file. Null and empty texts count 0; rows that repeat are documents of
+    their own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    names = [*vocabularies, *words]
+    paths = [path for path, _ in vocabularies.values()]
+    at = docs.select(
+        F.struct("doc_id", "source", "lang").alias("row"), F.array(*(n_words(f(text)) for f in words.values())).cast("array<long>").alias("plain"),
+        *(f(text).alias(f"t{k}") for k, (_, f) in enumerate(vocabularies.values())),
+    )
+    row = at.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z in chunks(b.column(2), CHUNK_BYTES):
+                n = [encoder(path).encode(b.column(2 + k)[a:z])[1].tolist() for k, path in enumerate(paths)]
+                yield pa.record_batch([b.column(0)[a:z], b.column(1)[a:z], pa.array([list(x) for x in zip(*n, strict=True)], pa.list_(pa.int64()))], ["row", "plain", "n"])
+
+    if paths:
+        at = at.mapInArrow(run, f"row {row}, plain array<long>, n array<long>").select("row", F.concat("n", "plain").alias("n"))
+    else:
+        at = at.select("row", F.col("plain").alias("n"))
+    return at.select("row.*", F.map_from_arrays(F.array(*map(F.lit, names)), "n").alias("counts"))
 
-#: Tokenizers by version; each maps a text column to a count. Null texts count 0.
-TOKENIZERS = {
-    "words-1": n_words,
-    "utf8-bytes-1": lambda text: F.octet_length(F.coalesce(text, F.lit(""))).cast("long"),
-    "utf8-bytes-2": lambda text: F.octet_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")).cast("long"),
-}
 
+def of(counts: DataFrame, *versions: str) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens: a row per document and version."""
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("tokenizer"), F.col("counts")[v].alias("tokens")) for v in versions))).alias("c")
+    return counts.select("doc_id", "source", "lang", each).select("doc_id", "source", "lang", "c.*")
 
-def counted(docs: DataFrame, tokenizer: str, *keep: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens."""
-    count: Column = TOKENIZERS[tokenizer](F.col("text"))
-    return docs.select("doc_id", "source", "lang", *keep, F.lit(tokenizer).alias("tokenizer"), count.alias("tokens"))
+
+def moved(counts: DataFrame, old: str, new: str) -> DataFrame:
+    """The rows of a revision from one version to another."""
+    return counts.select(
+        "doc_id", "source", "lang", F.lit(old).alias("old_tokenizer"), F.lit(new).alias("tokenizer"),
+        F.col("counts")[old].alias("old_tokens"), F.col("counts")[new].alias("tokens"),
+    )
 
 
 def inserts(rows: DataFrame) -> DataFrame:
-    return _changes(rows, "insert", F.lit(None), F.col("tokens"))
+    return _changes(rows, F.lit(None), F.col("tokenizer"), F.lit(None), F.col("tokens"))
 
 
 def deletes(rows: DataFrame) -> DataFrame:
-    return _changes(rows, "delete", F.col("tokens"), F.lit(None))
+    return _changes(rows, F.col("tokenizer"), F.lit(None), F.col("tokens"), F.lit(None))
 
 
-def revisions(rows: DataFrame, old: str = "old_tokens", new: str = "tokens") -> DataFrame:
-    return _changes(rows, "revise", F.col(old), F.col(new))
+def revisions(rows: DataFrame) -> DataFrame:
+    """From old_tokenizer and old_tokens to tokenizer and tokens; the version may stay the same."""
+    return _changes(rows, F.col("old_tokenizer"), F.col("tokenizer"), F.col("old_tokens"), F.col("tokens"))
 
 
-def _changes(rows: DataFrame, op: str, old: Column, new: Column) -> DataFrame:
-    return rows.select(*KEYS, F.lit(op).alias("op"), old.cast("long").alias("old"), new.cast("long").alias("new"))
+def _changes(rows: DataFrame, old: Column, new: Column, old_tokens: Column, tokens: Column) -> DataFrame:
+    text, long_ = lambda c, n: c.cast("string").alias(n), lambda c, n: c.cast("long").alias(n)
+    return rows.select("source", "lang", text(old, "old"), text(new, "new"), long_(old_tokens, "old_tokens"), long_(tokens, "new_tokens"))
 
 
 def delta(changes: DataFrame) -> DataFrame:
-    """One signed row per key; null keys are keys of their own, null counts are 0."""
-    one = lambda op: F.sum(F.when(F.col("op") == op, 1).otherwise(0))
-    return changes.groupBy(*KEYS).agg(
-        (one("insert") - one("delete")).alias("docs"),
-        F.coalesce(F.sum(F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))), F.lit(0)).alias("tokens"),
-        one("insert").alias("inserts"), one("delete").alias("deletes"), one("revise").alias("revisions"),
+    """One signed row per key: what a change takes from the old version's and adds to the new version's. Null sources and languages are keys of their own, null counts are 0; a change has an old version, a new one or both."""
+    old, new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    one = lambda cond: cond.cast("long")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    take = F.struct(
+        F.col("old").alias("tokenizer"), F.lit(-1).cast("long").alias("docs"), (-count("old_tokens")).alias("tokens"),
+        F.lit(0).cast("long").alias("inserts"), one(~new).alias("deletes"), F.lit(0).cast("long").alias("revisions"),
     )
+    add = F.struct(
+        F.col("new").alias("tokenizer"), F.lit(1).cast("long").alias("docs"), count("new_tokens").alias("tokens"),
+        one(~old).alias("inserts"), F.lit(0).cast("long").alias("deletes"), one(old).alias("revisions"),
+    )
+    signed = changes.select("source", "lang", F.explode(F.filter(F.array(take, add), lambda s: s["tokenizer"].isNotNull())).alias("s"))
+    return signed.select("source", "lang", "s.*").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
 class RollupStore:
-    """A folder with one subfolder per committed batch, on any file system Spark writes to."""
+    """A folder with one subfolder per committed batch, on a file system whose rename of a folder is one step (HDFS, local disks)."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = lambda name: self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        self._fs = self._path("x").getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._rename = self._jvm.org.apache.hadoop.fs.Options.Rename
 
     def batches(self) -> list[str]:
         if not self._fs.exists(self._path("batches")):
@@ -74,23 +138,29 @@ class RollupStore:
         return sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(self._path("batches")))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """False if this batch was committed before; then nothing is read or written."""
+        """False if this batch was committed before; then nothing of this call stays."""
+        from py4j.protocol import Py4JJavaError
+
         if not batch_id or set(batch_id) & set("/\\:=") or batch_id.startswith(("_", ".")):
             raise ValueError("a batch id is a plain name")
-        to, temp = self._path(f"batches/batch={batch_id}"), self._path(f"tmp/{batch_id}")
+        to, own = self._path(f"batches/batch={batch_id}"), f"tmp/{batch_id}-{uuid.uuid4().hex}"
         if self._fs.exists(to):
             return False
-        delta(changes).write.mode("overwrite").parquet(f"{self.folder}/tmp/{batch_id}")
+        delta(changes).write.parquet(f"{self.folder}/{own}")
         self._fs.mkdirs(self._path("batches"))
-        if not self._fs.rename(temp, to):
+        options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
+        options[0] = self._rename.NONE  # fails where the name is taken, unlike the rename of a FileSystem
+        try:
+            self._context.rename(self._path(own), to, options)
+        except Py4JJavaError:
+            self._fs.delete(self._path(own), True)
             if self._fs.exists(to):  # another writer was first with the same batch
-                self._fs.delete(temp, True)
                 return False
-            raise OSError(f"can't commit {batch_id}")
+            raise
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens and how many changes of each kind; empty without batches."""
-        paths = [f"{self.folder}/batches/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "inserts", "deletes", "revisions")))
+        some = self.batches()
+        rows = self.spark.read.schema(_DELTA).parquet(f"{self.folder}/batches") if some else self.spark.createDataFrame([], _DELTA)
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
