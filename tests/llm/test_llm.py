@@ -390,27 +390,62 @@ def test_warc(spark):
 
 def test_index_inserts_deletes_resizes():
     index = exact.DigestIndex(16)
-    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(4000)]
-    index.add(keys, list(range(4000)), [1] * 4000)
-    assert index.resizes > 0 and all(x == (i, 1) for i, x in enumerate(index.lookup(keys)))
-    index.add(keys[:3], [9, -4, None], [2, 2, 2])
-    assert index.lookup(keys[:3]) == [(0, 3), (-4, 3), (2, 3)]
-    for k in keys[:2000]:
-        while index.remove(k):
+    texts = [str(i).encode() for i in range(4000)]
+    keys = [hashlib.sha256(t).digest() for t in texts]
+    index.add(keys, texts, list(range(4000)), [1] * 4000)
+    assert index.resizes > 0 and all(x == (i, 1) for i, x in enumerate(index.lookup(keys, texts))) and index.filter.size == 4000
+    index.add(keys[:3], texts[:3], [9, -4, None], [2, 2, 2])
+    assert index.lookup(keys[:3], texts[:3]) == [(0, 3), (-4, 3), (2, 3)]
+    for k, t in zip(keys[:2000], texts, strict=False):
+        while index.remove(k, t):
             pass
-    assert not any(index.lookup(keys[:2000])) and all(index.lookup(keys[2000:])) and index.filter.size == 2000
-    index.add([keys[0]], [77], [1])
-    assert index.lookup([keys[0]]) == [(77, 1)] and not index.remove(keys[1])
+    assert not any(index.lookup(keys[:2000], texts[:2000])) and all(index.lookup(keys[2000:], texts[2000:])) and index.filter.size == 2000
+    index.add([keys[0]], [texts[0]], [77], [1])
+    assert index.lookup([keys[0]], [texts[0]]) == [(77, 1)] and not index.remove(keys[1], texts[1])
+
+
+def test_hits_are_verified_against_content():
+    """A filter hit of another key is no match, and the same digest with another content is an error."""
+    index = exact.DigestIndex()
+    key = hashlib.sha256(b"a").digest()
+    index.add([key], [b"a"], [1], [1])
+    alike = key[:8] + bytes(24)  # the filter can't tell it from key
+    assert index.filter.contains(index.hashes([alike]))[0] and index.lookup([alike], [b"b"]) == [None] and not index.remove(alike, b"b")
+    index.add([alike], [b"b"], [0], [1])
+    assert index.lookup([key, alike], [b"a", b"b"]) == [(1, 1), (0, 1)]
+    for use in (lambda: index.add([key], [b"x"], [2], [1]), lambda: index.lookup([key], [b"x"]), lambda: index.remove(key, b"x")):
+        with pytest.raises(ValueError):
+            use()
+
+
+def test_many_insertions():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 3000):
+        hashes = rng.integers(0, 2**63, n, dtype=np.uint64)
+        f = exact.CuckooFilter(n)
+        assert f.insert_many(hashes) and f.contains(hashes).all() and f.size == n
+    same = np.full(9, 5, np.uint64)  # eight slots hold one fingerprint
+    assert not exact.CuckooFilter(64).insert_many(same) and exact.CuckooFilter(64).insert_many(same[:8])
 
 
-def test_exact_dedup_in_small_batches(spark, docs):
-    keys = exact.keyed(docs, "doc_id")
-    small = {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in exact.groups(keys, max_keys=3).collect()}
-    whole = {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in exact.groups(keys).collect()}
+def test_exact_dedup_in_small_batches(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact, "ROWS", 2)
+    small = {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in exact.groups(docs, max_keys=3).collect()}
+    bytes_ = {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in exact.groups(docs, max_bytes=5000).collect()}
+    whole = {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in exact.groups(docs).collect()}
     want = defaultdict(list)
     for i, t in docs.select("doc_id", "text").collect():
         want[hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t).encode()).digest()].append(i)
-    assert small == whole == {k: (min(v), len(v)) for k, v in want.items()}
+    assert small == bytes_ == whole == {k: (min(v), len(v)) for k, v in want.items()}
+
+
+def test_a_fold_hands_on_between_keys():
+    """One key over many small pieces of the input, dealt out and sorted, is one row."""
+    keys = sorted(hashlib.sha256(str(i).encode()).digest() for i in range(7))
+    rows = [(k, b"c" + k, i, 1) for k in keys for i in range(5)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "content", "keep_id", "group_size"), r, strict=True))]) for r in rows]
+    got = [tuple(r.values()) for b in exact._fold(iter(batches), 1, 10, ordered=True) for r in b.to_pylist()]
+    assert got == [(k, 0, 5) for k in keys]
 
 
 # --- quality ---
@@ -448,18 +483,60 @@ def test_quality_verdict(spark, docs):
 # --- rollups ---
 
 
-def test_rollup(spark, odd):
+def test_rollup(spark, odd, empty):
     store = rollup.RollupStore(spark, common.fresh_dir(spark, "test"))
     assert store.totals().count() == 0
-    rows = rollup.counted(odd, "words-1")
+    counts = rollup.counted(odd, {"words-1": rollup.as_is, "words-2": rollup.single_spaced}, {})
+    rows = rollup.of(counts, "words-1")
     assert store.commit("a", rollup.inserts(rows)) and not store.commit("a", rollup.inserts(rows))
-    assert store.commit("b", rollup.revisions(rows.withColumn("old_tokens", F.col("tokens")).withColumn("tokens", F.col("tokens") + 1)))
-    assert store.commit("c", rollup.deletes(rows.withColumn("tokens", F.col("tokens") + 1))) and store.batches() == ["a", "b", "c"]
+    want = Counter()
+    for r in odd.collect():
+        want[r["source"], r["lang"]] += len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w])
+    assert {(r["source"], r["lang"]): r["tokens"] for r in store.totals().collect()} == want
+    assert store.commit("b", rollup.revisions(rollup.moved(counts, "words-1", "words-2")))
+    assert all((r["docs"], r["tokens"]) == (0, 0) for r in store.totals().filter("tokenizer = 'words-1'").collect())
+    assert {(r["source"], r["lang"]): r["tokens"] for r in store.totals().filter("tokenizer = 'words-2'").collect()} == want
+    assert store.commit("c", rollup.deletes(rollup.of(counts, "words-2"))) and store.batches() == ["a", "b", "c"]
     assert all((r["docs"], r["tokens"]) == (0, 0) for r in store.totals().collect()) and store.totals().count() > 1
+    assert store.commit("none", rollup.inserts(rollup.of(rollup.counted(empty, {"words-1": rollup.as_is}, {}), "words-1")))
     with pytest.raises(ValueError):
         store.commit("x/y", rollup.inserts(rows))
 
 
+def test_a_batch_has_one_winner(spark, odd, monkeypatch):
+    """Two writers of one batch at once: both find it free and write, one renames."""
+    store = rollup.RollupStore(spark, common.fresh_dir(spark, "test"))
+    rows = rollup.inserts(rollup.of(rollup.counted(odd, {"w": rollup.as_is}, {}), "w"))
+    inner, won = rollup.delta, []
+
+    def late(changes):
+        monkeypatch.setattr(rollup, "delta", inner)
+        won.append(store.commit("a", rows))  # the other writer, after this one has looked
+        return inner(changes)
+
+    monkeypatch.setattr(rollup, "delta", late)
+    assert [store.commit("a", rows), *won] == [False, True]
+    assert store.batches() == ["a"] and store.totals().agg(F.sum("docs")).first()[0] == odd.count()
+
+
+def test_token_counts_whole(spark, docs):
+    """The query against the tokenizers library, a document at a time."""
+    from tokenizers import Tokenizer
+
+    library, want = Tokenizer.from_file(BYTE_BPE), defaultdict(lambda: [0] * 5)
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["toxic"] == 1}
+    assert toxic
+    for i, text, lang, source, _ in docs.select("doc_id", "text", "lang", "source", "n_chars").collect():
+        stays, text = int(i not in toxic), text or ""
+        one, two = (len(library.encode(t, add_special_tokens=False).ids) for t in (text, re.sub(r"[\x20\x09-\x0D]+", " ", text)))
+        n = len([w for w in re.split(r"[\x20\x09-\x0D]+", text) if w])
+        for version, row in (("words-1", (stays, n * stays, 1, 1 - stays, 0)), ("byte_bpe_50k-1", (0, 0, 1, 1 - stays, 0)), ("byte_bpe_50k-2", (stays, two * stays, 0, 0, stays))):
+            if version != "byte_bpe_50k-2" or stays:
+                want[source, lang, version] = [a + b for a, b in zip(want[source, lang, version], row, strict=True)]
+    got = {tuple(r[:3]): list(r[3:]) for r in queries.op9_token_counts(spark, DATA).collect()}
+    assert got == dict(want)
+
+
 # --- mixing ---
 
 
@@ -476,7 +553,46 @@ def test_sainte_lague():
         assert got == mixing.sainte_lague(votes, seats, most)
 
 
-def test_mix(spark, docs):
+def _mixed(rows, seed=1, words=mixing.BLOCK_WORDS):
+    """taken of each (doc_id, text, source), by a walk over every word of every shard."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    xx = lambda data, seed: xxhash.xxh64(data, seed=seed % 2**64).intdigest()
+    long_ = lambda x, seed: xx(int(x).to_bytes(8, "little", signed=True), seed)
+    mark = lambda t: signed(xx(int(t is None).to_bytes(4, "little"), xx((t or "").encode(), 42)))
+    first = lambda x, i, m: signed(long_(m, long_(i, xx(int(x).to_bytes(4, "little"), 42))))
+    at = [(i, s, mark(t), len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])) for i, t, s in rows]
+    names = sorted({r[1] for r in at}, key=lambda s: (s is None, s or ""))
+    size = [sum(r[3] for r in at if r[1] == s) for s in names]
+    goal = mixing.targets(size)
+    seats = mixing.sainte_lague(goal, round(sum(goal) / words), [-(-3 * w // words) for w in size])
+    out = []
+    for place, s in enumerate(names):
+        mine = [r for r in at if r[1] == s]
+        n = max(1, -(-size[place] // mixing.SHARD_WORDS), -(-len(mine) // mixing.SHARD_DOCS))
+        shards = defaultdict(list)
+        for r in mine:
+            shards[first(seed, r[0], r[2]) % n].append(r)
+        ids = sorted(shards)
+        w = [sum(r[3] for r in shards[k]) for k in ids]
+        blocks = [max(1, (x + words // 2) // words) for x in w]
+        quota = mixing.sainte_lague([float(x) for x in w], seats[place], [3 * b if x else 0 for b, x in zip(blocks, w, strict=True)])
+        for k, x, b, q in zip(ids, w, blocks, quota, strict=True):
+            of = np.searchsorted([(j + 1) * x // b for j in range(b)], np.arange(x), side="right")  # each word's block
+            rnd = random.Random(f"{seed} {place} {k}")
+            step = rnd.randrange(1, b + 1)
+            while np.gcd(step, b) != 1:
+                step = step % b + 1
+            offset, word = rnd.randrange(b), 0
+            for r in sorted(shards[k], key=lambda r: (first(seed + 1, r[0], r[2]), r[0], r[2])):
+                taken = 0
+                for _ in range(r[3]):
+                    taken += q // b + ((int(of[word]) * step + offset) % b < q % b)
+                    word += 1
+                out.append((r[0], s, r[3], taken))
+    return sorted(map(str, out))
+
+
+def test_mix(spark, docs, odd, monkeypatch):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     by = defaultdict(lambda: [0, 0, None])
@@ -488,6 +604,18 @@ def test_mix(spark, docs):
     for size, taken, (target, source_size) in by.values():
         assert size == source_size and abs(taken - target) <= 2 * mixing.BLOCK_WORDS
     assert mixing.targets([100, 5, 0, 7]) == [76.0, 15.0, 0.0, 21.0]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    assert sorted(str((r["doc_id"], r["source"], r["size"], r["taken"])) for r in got) == _mixed(rows)
+    # Several shards for each source; odd rows, those that share an id among them.
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    more = odd.filter("doc_id is not null").unionByName(odd.filter("doc_id = 4").withColumn("text", F.lit("another text of that id")))
+    for df in (docs, more):
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+        got = mixing.mix(df, "lang", block_words=8).collect()
+        assert sorted(str((r["doc_id"], r["source"], r["size"], r["taken"])) for r in got) == _mixed(rows, words=8)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs)
 
 
 # --- pipeline ---
