@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,12 @@ def sha_mod(text: Column, n: int) -> Column:
     return F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * 16 + F.conv(c, 16, 10).cast("long")) % n)
 
 
-def inventory_digest(row_digest: Column) -> Column:
-    """An aggregate: digest of a set of rows, whatever their order."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(row_digest)), ""), 256)
+def inventory_digest(rows: DataFrame, by: list[str], digest: str, prefix: int = 3) -> DataFrame:
+    """by, digest, n: digest of a bag of rows (hex digests), whatever their order.
+
+    Rows are digested by the first hex digits of theirs, and these digests, in
+    order, again: no task holds more than one prefix's rows.
+    """
+    part = rows.groupBy(*by, F.substring(digest, 1, prefix).alias("_p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256).alias("_d"), F.count("*").alias("_n"))
+    both = F.array_sort(F.collect_list(F.struct("_p", "_d")))
+    return part.groupBy(*by).agg(F.sha2(F.array_join(F.transform(both, lambda s: s["_d"]), ""), 256).alias("digest"), F.sum("_n").alias("n"))

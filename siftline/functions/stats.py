@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import any_range, running_sums
+
 #: Two-sided 5 % points of Student's t for 1 to 30 degrees of freedom; fixed values.
 T_CRITICAL = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
               2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042)
@@ -35,11 +37,15 @@ def required_n(spark: SparkSession, targets: DataFrame, most: int = 5000) -> Dat
 
 def quantiles(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """One quantile by each of the five conventions in use: linear interpolation, nearest rank (halves to even), floor(n q), upper median, floor(q (n - 1))."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    # Distinct values with their counts, ranked by ranges: a value holds the places from before it on.
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    run = running_sums(values, by, "v", [], {"upto": F.col("c")}, any_range(F.col("v")), descending=False)
+    ranked = run.join(values.groupBy(*by).agg(F.sum("c").alias("n")), by)
+    at = lambda k: F.max(F.when((k < F.col("upto")) & (k >= F.col("upto") - F.col("c")), F.col("v")))
     n = F.col("n")
+    place = (F.col("n") - 1) * q
+    low, part = at(F.floor(place)), F.max(place - F.floor(place))
     return ranked.groupBy(*by).agg(
-        F.percentile("v", F.lit(q)).alias("linear"), at(F.bround((n - 1) * q).cast("int")).alias("nearest"), at(F.least(n - 1, F.floor(n * q))).alias("floor_n"),
+        (low + (at(F.ceil(place)) - low) * part).alias("linear"), at(F.bround((n - 1) * q).cast("int")).alias("nearest"), at(F.least(n - 1, F.floor(n * q))).alias("floor_n"),
         at(F.floor(n / 2)).alias("upper_median"), at(F.floor((n - 1) * q)).alias("floor_n1"),
     )

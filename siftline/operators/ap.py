@@ -5,7 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import greedy_flags
+from ..functions.lineage import cut
+from ..functions.ranges import running_sums, unit_range
+from .matching import greedy_matches
+
+
+def _envelope_sums(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """by, and for each column of flags the sum, over its true positives, of the largest precision from there on.
+
+    One ranking serves all columns. Precision peaks at true positives, so the
+    rest only counts. Both running values, the counts from the top and the
+    largest precision from the end, go by ranges of confidence.
+    """
+    rows = cut(rows.select(*by, "conf", "image_id", "det_idx", *names))
+    hit = lambda n: (F.col(n) == 1).cast("long")
+    seen = lambda n: (F.col(n) >= 0).cast("long")
+    values = {f"{kind}_{n}": f(n) for n in names for kind, f in (("hits", hit), ("seen", seen))}
+    run = running_sums(rows, by, "conf", ["image_id", "det_idx"], values, unit_range(F.col("conf")))
+    precision = {n: F.when(F.col(n) == 1, F.col(f"hits_{n}") / F.col(f"seen_{n}")).alias(f"p_{n}") for n in names}
+    run = run.select(*by, "_range", "conf", "image_id", "det_idx", *precision.values())
+    top = run.groupBy(*by, "_range").agg(*(F.max(f"p_{n}").alias(f"t_{n}") for n in names))
+    lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    later = top.select(*by, "_range", *(F.max(f"t_{n}").over(lower).alias(f"l_{n}") for n in names))
+    # From the end on: a frame that ends at the current row is one running maximum, one that starts there is not.
+    end = Window.partitionBy(*by, "_range").orderBy("conf", F.desc("image_id"), F.desc("det_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    at = run.join(later, [*by, "_range"])
+    env = at.select(*by, *(F.when(F.col(f"p_{n}").isNotNull(), F.greatest(F.max(f"p_{n}").over(end), f"l_{n}")).alias(n) for n in names))
+    return env.groupBy(*by).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
 
 
 def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -15,31 +41,36 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> Dat
     the largest precision from there on: so ap is the sum of that over true
     positives, divided by n_gt. Ignored detections (flag -1) leave the ranking.
     Null without ground truth, 0 without detections. Equal scores rank by image
-    and detection. A group is ranked in one task; where there are few groups,
-    ranges of scores would have to be summed first (see README).
+    and detection.
     """
-    rank = Window.partitionBy(*by).orderBy(F.desc("conf"), "image_id", "det_idx")
-    run = flags.filter("flag >= 0").withColumn("tp", F.sum("flag").over(rank.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(rank))
-    # From the end on: a frame that ends at the current row is one running maximum, one that starts there is not.
-    env = F.max(F.col("tp") / F.col("n")).over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-    got = run.withColumn("env", env).groupBy(*by).agg(F.sum(F.when(F.col("flag") == 1, F.col("env")).otherwise(0.0)).alias("s"))
-    ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0)))
+    got = _envelope_sums(flags, by, ["flag"])
+    ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("flag", "n_gt"), F.lit(0.0)))
     return totals.join(got, by, "left").select(*by, "n_gt", ap.alias("ap"))
 
 
-def stratified_ap(boxes: DataFrame, detections: DataFrame, bands: dict[str, tuple[float, float]], thresholds: list[float]) -> DataFrame:
-    """band, cls, n_gt, ap50, ap75, ap (mean over thresholds). ``boxes`` has a column size; a band is half open.
+def stratified_ap(boxes: DataFrame, detections: DataFrame, bands: dict[str, tuple[float, float]], thresholds: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, band, cls, n_gt, ap50, ap75, ap (mean over thresholds). ``boxes`` has a column size; a band is half open.
 
     Ground truth outside the band is there to be matched but ignored;
-    detections without a match count as false in every band.
+    detections without a match count as false in every band. Matching does not
+    depend on the band, so it is done once, and one ranking serves every band
+    and threshold. ``by`` names columns that both tables have beside cls.
     """
-    out = None
-    for name, edges in bands.items():
-        flags = greedy_flags(boxes, detections, thresholds, edges)
-        inside = boxes.groupBy("cls").agg(F.sum(F.when((F.col("size") >= edges[0]) & (F.col("size") < edges[1]), 1).otherwise(0)).alias("n_gt"))
-        totals = inside.select("cls", "n_gt", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-        one = average_precision(flags, totals, ["cls", "threshold"]).groupBy("cls", "n_gt").agg(
-            F.max(F.when(F.col("threshold") == thresholds[0], F.col("ap"))).alias("ap50"), F.max(F.when(F.round("threshold", 2) == 0.75, F.col("ap"))).alias("ap75"), F.avg("ap").alias("ap")
-        ).withColumn("band", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select("band", "cls", "n_gt", "ap50", "ap75", "ap")
+    keys = [*by, "cls"]
+    match = greedy_matches(boxes, detections, thresholds, by=by)
+    inside = lambda size, edges: (size >= edges[0]) & (size < edges[1])
+    names = {(b, k): f"f_{i}_{k}" for i, b in enumerate(bands) for k in range(len(thresholds))}
+    flag = lambda b, k: F.when(F.col("sizes")[k].isNull(), 0).when(inside(F.col("sizes")[k], bands[b]), 1).otherwise(-1)
+    wide = match.select(*keys, "conf", "image_id", "det_idx", *(flag(b, k).alias(n) for (b, k), n in names.items()))
+    sums = _envelope_sums(wide, keys, list(names.values()))
+    n_gt = boxes.groupBy(*keys).agg(*(F.count_if(inside(F.col("size"), edges)).alias(f"n_{i}") for i, edges in enumerate(bands.values())))
+    at = n_gt.join(sums, keys, "left")
+
+    def row(i: int, b: str):
+        of = lambda k: F.when(F.col(f"n_{i}") > 0, F.coalesce(F.try_divide(names[b, k], f"n_{i}"), F.lit(0.0)))
+        pick = lambda t: next((of(k) for k, x in enumerate(thresholds) if round(x, 2) == t), F.lit(None).cast("double"))
+        mean = sum((of(k) for k in range(len(thresholds))), F.lit(0.0)) / len(thresholds)
+        return F.struct(F.lit(b).alias("band"), F.col(f"n_{i}").alias("n_gt"), pick(0.5).alias("ap50"), pick(0.75).alias("ap75"), mean.alias("ap"))
+
+    each = at.select(*keys, F.explode(F.array(*(row(i, b) for i, b in enumerate(bands)))).alias("r"))
+    return each.select(*by, "r.band", "cls", "r.n_gt", "r.ap50", "r.ap75", "r.ap")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ranges import any_range, running_sums
 
-def average_rank(col: str, by: list[str]) -> Column:
-    """Rank with ties averaged, by group."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / 2
+
+def with_average_rank(df: DataFrame, col: str, by: list[str], name: str) -> DataFrame:
+    """df with the rank of a column, ties averaged, by group. Distinct values are ranked, by ranges, and joined back."""
+    values = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
+    run = running_sums(values, by, col, [], {"_upto": F.col("_n")}, any_range(F.col(col), 1.0), descending=False)
+    rank = run.select(*by, col, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    return df.join(rank, [*by, col])
 
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, pearson, spearman; null where a side does not vary."""
     ranked = df.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
-    ranked = ranked.withColumn("rx", average_rank("x", by)).withColumn("ry", average_rank("y", by))
+    ranked = with_average_rank(with_average_rank(cut(ranked), "x", by, "rx"), "y", by, "ry")
     safe = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), safe("x", "y").alias("pearson"), safe("rx", "ry").alias("spearman"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import band_value, bands, hamming
+from ..functions.lineage import cut
 from ..functions.pixels import dhash_left, dhash_right, phash, ssim_global, ssim_windowed
 
 
@@ -16,25 +17,31 @@ def exact_groups(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return got.filter("n > 1").select(key, "n", (n * (n - 1) / 2).cast("long").alias("pairs"), "n_splits", F.when(F.col("_out") == 0, n - 1).otherwise(0).alias("within_train"))
 
 
-def near_pairs(df: DataFrame, radius: int, id_: str = "id", hash_: str = "hash") -> DataFrame:
-    """a, b, distance of all pairs a < b within a Hamming radius.
+def near_classes(df: DataFrame, radius: int, hash_: str = "hash") -> DataFrame:
+    """p, q, distance of all pairs p < q of different hashes within a Hamming radius.
 
     radius + 1 bands cover the hash, so a pair within the radius agrees in one
     whole band: an equi-join on (band, value) with the distance as residual,
-    complete by the pigeonhole. Equal hashes meet in every band; they are
-    grouped first and expanded last, so copies don't multiply candidates.
+    complete by the pigeonhole. Copies of an image share a hash and are one
+    class here, however many they are; rows belong to classes by their hash.
     """
-    keyed = df.select(F.col(id_).alias("id"), F.col(hash_).alias("h")).filter("h is not null")
-    one = keyed.select("h").distinct()
+    one = df.select(F.col(hash_).alias("h")).filter("h is not null").distinct()
     parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band_value(F.col("h"), s, w).alias("v")) for k, (s, w) in enumerate(bands(radius)))))
-    cut = one.select("h", parts.alias("p")).select("h", "p.k", "p.v")
-    x, y = cut.alias("x"), cut.alias("y")
+    cut_ = one.select("h", parts.alias("p")).select("h", "p.k", "p.v")
+    x, y = cut_.alias("x"), cut_.alias("y")
     d = hamming(F.col("x.h"), F.col("y.h"))
-    apart = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & (d <= radius)).select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), d.alias("distance")).distinct()
-    links = apart.unionByName(one.select(F.col("h").alias("p"), F.col("h").alias("q"), F.lit(0).alias("distance")))
+    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & (d <= radius)
+    return x.join(y, on).select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), d.cast("int").alias("distance")).distinct()
+
+
+def near_pairs(df: DataFrame, radius: int, id_: str = "id", hash_: str = "hash") -> DataFrame:
+    """a, b, distance of all pairs a < b of rows within a Hamming radius: the listing, which for copies is the square of their number. Counts and components go by near_classes."""
+    keyed = df.select(F.col(id_).alias("id"), F.col(hash_).alias("h")).filter("h is not null")
+    same = keyed.select("h").distinct().select(F.col("h").alias("p"), F.col("h").alias("q"), F.lit(0).alias("distance"))
+    links = near_classes(keyed, radius, "h").unionByName(same)
     a, b = keyed.select(F.col("id").alias("i"), F.col("h").alias("p")), keyed.select(F.col("id").alias("j"), F.col("h").alias("q"))
     full = links.join(a, "p").join(b, "q").filter((F.col("p") != F.col("q")) | (F.col("i") < F.col("j")))
-    return full.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("distance").cast("int").alias("distance"))
+    return full.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
 
 
 def candidate_union(*edges: DataFrame) -> DataFrame:
@@ -45,11 +52,6 @@ def candidate_union(*edges: DataFrame) -> DataFrame:
     return out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max((F.col("distance") == 0).cast("int")).cast("boolean").alias("identical"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: by a checkpoint where the session has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
 def _both(edges: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     """Edges a, b with the named columns of both ends, as a_name and b_name."""
     for end in ("a", "b"):
@@ -65,7 +67,7 @@ def two_hash_confirmed(images: DataFrame, near: int = 5, dhash_max: int = 18, ph
     or two tight distances. The two stages are the rule: a pair that is no
     candidate is not looked at, even if the limits would let it through.
     """
-    marks = _kept(images.filter("gray is not null").select("id", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
+    marks = cut(images.filter("gray is not null").select("id", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
     found = near_pairs(marks, near, hash_="dhash").unionByName(near_pairs(marks, near, hash_="phash")).select("a", "b").distinct()
     at = _both(found, marks, "dhash", "phash").select("a", "b", hamming(F.col("a_dhash"), F.col("b_dhash")).alias("dhash_distance"), hamming(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"))
     at = at.filter((F.col("dhash_distance") <= dhash_max) & (F.col("phash_distance") <= phash_max))
@@ -79,9 +81,9 @@ def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_
     Pairs within the reference, or within one split of a dataset, are not
     screened. low_texture: one of the two has a deviation of gray below ``flat``.
     """
-    marks = _kept(images.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
-    apart = ((F.col("a_dataset") != F.col("b_dataset")) | (F.col("a_split") != F.col("b_split"))) & ((F.col("a_dataset") != "reference") | (F.col("b_dataset") != "reference"))
-    at = _both(near_pairs(marks, phash_max, hash_="phash").withColumnRenamed("distance", "phash_distance"), marks, "dataset", "split", "dhash").filter(apart)
+    marks = cut(images.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
+    near = near_pairs(marks, phash_max, hash_="phash").withColumnRenamed("distance", "phash_distance")
+    at = _both(cross_scope(near, marks), marks, "dhash")
     at = at.withColumn("dhash_distance", hamming(F.col("a_dhash"), F.col("b_dhash"))).filter(F.col("dhash_distance") <= dhash_max).select("a", "b", "phash_distance", "dhash_distance")
 
     def texture(gray: str) -> Column:
@@ -96,34 +98,57 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def leakage_matrix(edges: DataFrame, rows: DataFrame, id_: str = "id") -> DataFrame:
-    """split_a, split_b, matched, total, rate: of split a's rows, how many have a match in split b."""
-    where = rows.select(F.col(id_).alias("_i"), "split")
-    a, b = where.select(F.col("_i").alias("a"), F.col("split").alias("split_a")), where.select(F.col("_i").alias("b"), F.col("split").alias("split_b"))
-    got = symmetric(edges).join(a, "a").join(b, "b").groupBy("split_a", "split_b").agg(F.countDistinct("a").alias("matched"))
-    total = where.groupBy(F.col("split").alias("split_a")).agg(F.count("*").alias("total"))
-    every = total.join(total.select(F.col("split_a").alias("split_b")), F.lit(True))
-    return every.join(got, ["split_a", "split_b"], "left").select("split_a", "split_b", F.coalesce("matched", F.lit(0)).alias("matched"), "total", (F.coalesce("matched", F.lit(0)) / F.col("total")).alias("rate"))
-
-
-def clean_and_duplicate(rows: DataFrame, edges: DataFrame, id_: str = "id") -> DataFrame:
-    """The rows of val and test with subset clean or dup: dup has a match in train."""
-    train = rows.filter("split = 'train'").select(F.col(id_).alias("b"))
-    dup = symmetric(edges).join(train, "b", "left_semi").select(F.col("a").alias(id_)).distinct().withColumn("_d", F.lit(1))
-    return rows.filter("split != 'train'").join(dup, id_, "left").withColumn("subset", F.when(F.col("_d") == 1, "dup").otherwise("clean")).drop("_d")
+def split_neighbours(rows: DataFrame, radius: int, hash_: str = "hash") -> DataFrame:
+    """hash, split_a, n, split_b: for each class of equal hashes its rows by split, and each split in which such a row has another row within the radius."""
+    held = cut(rows.filter(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h"), "split").agg(F.count("*").alias("n")))
+    links = near_classes(rows, radius, hash_).select("p", "q")
+    both = links.unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    far = both.join(held.select(F.col("h").alias("q"), F.col("split").alias("split_b")), "q").select(F.col("p").alias("h"), "split_b").distinct()
+    a, b = held.alias("a"), held.alias("b")
+    # Within a class: a row's copies in other splits, and in its own if there are two.
+    own = a.join(b, F.col("a.h") == F.col("b.h")).filter((F.col("a.split") != F.col("b.split")) | (F.col("b.n") > 1))
+    own = own.select(F.col("a.h").alias("h"), F.col("a.split").alias("split_a"), F.col("a.n").alias("n"), F.col("b.split").alias("split_b"))
+    apart = held.withColumnRenamed("split", "split_a").join(far, "h").select("h", "split_a", "n", "split_b")
+    return own.unionByName(apart).distinct().withColumnRenamed("h", hash_)
+
+
+def leakage_matrix(rows: DataFrame, radius: int, hash_: str = "hash") -> DataFrame:
+    """split_a, split_b, matched, total, rate: of split a's rows, how many have another row within the radius in split b. Splits are a few."""
+    got = split_neighbours(rows, radius, hash_).groupBy("split_a", "split_b").agg(F.sum("n").alias("matched"))
+    total = rows.groupBy(F.col("split").alias("split_a")).agg(F.count("*").alias("total"))
+    names = total.agg(F.collect_list("split_a").alias("names"))
+    every = total.join(F.broadcast(names), F.lit(True)).select("split_a", "total", F.explode("names").alias("split_b"))
+    matched = F.coalesce("matched", F.lit(0))
+    return every.join(got, ["split_a", "split_b"], "left").select("split_a", "split_b", matched.alias("matched"), "total", (matched / F.col("total")).alias("rate"))
+
+
+def clean_and_duplicate(rows: DataFrame, radius: int, hash_: str = "hash") -> DataFrame:
+    """The rows of val and test with subset clean or dup: dup has a row of train within the radius."""
+    dup = split_neighbours(rows, radius, hash_).filter("split_b = 'train' and split_a != 'train'").select(hash_).distinct().withColumn("_d", F.lit(1))
+    at = rows.filter("split != 'train'").join(dup, hash_, "left")
+    return at.withColumn("subset", F.when(F.col("_d") == 1, "dup").otherwise("clean")).drop("_d")
+
+
+def near_components(rows: DataFrame, radius: int, id_: str = "id", hash_: str = "hash") -> DataFrame:
+    """node, label (the smallest id reachable) of rows that have another row within the radius. Classes of equal hashes are the nodes, named by their smallest id."""
+    keyed = rows.filter(F.col(hash_).isNotNull()).select(F.col(id_).alias("node"), F.col(hash_).alias("h"))
+    held = cut(keyed.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    name = lambda end: held.select(F.col("h").alias(end), F.col("least").alias(f"{end}_least"))
+    links = near_classes(rows, radius, hash_).join(name("p"), "p").join(name("q"), "q")
+    found = components(links.select(F.col("p_least").alias("a"), F.col("q_least").alias("b")))
+    at = held.join(found.select(F.col("node").alias("least"), "label"), "least", "left").filter("label is not null or n > 1")
+    return keyed.join(at.select("h", F.coalesce("label", "least").alias("label")), "h").select("node", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable. Each round halves paths by the label's label; every round is cut by a checkpoint where the session has a folder for it."""
-    both = symmetric(edges)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
-    both, labels = keep(both), keep(labels)
+    """node, label: the smallest node reachable. Each round halves paths by the label's label and ends in a checkpoint."""
+    both = cut(symmetric(edges))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         to = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "m").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        new = keep(to.join(up, "to").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")))
+        new = cut(to.join(up, "to").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")))
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels
@@ -133,20 +158,34 @@ def _reason(scope: str | Column, kind: Column) -> Column:
     return F.concat(F.lit(scope) if isinstance(scope, str) else scope, F.lit("_"), kind, F.lit("_duplicate"))
 
 
+def equivalents(rows: DataFrame) -> DataFrame:
+    """rows with ``component``: what shares bytes or pixels, directly or through others.
+
+    The name is the pixel digest, the byte digest where there is none, the id
+    where there is neither. Bytes decode to one picture, so that is nearly all;
+    only names that one byte digest holds together are linked by components.
+    """
+    name = F.coalesce(F.concat(F.lit("p"), "pixel_sha"), F.concat(F.lit("b"), "byte_sha"), F.concat(F.lit("i"), F.col("source_id").cast("string")))
+    at = cut(rows.withColumn("_name", name))
+    least = at.filter("byte_sha is not null").groupBy("byte_sha").agg(F.min("_name").alias("a"), F.max("_name").alias("b")).filter("a != b").select("byte_sha", "a")
+    torn = at.select("byte_sha", F.col("_name").alias("b")).distinct().join(least, "byte_sha").filter("a != b").select("a", "b")
+    label = components(torn).select(F.col("node").alias("_name"), "label")
+    return at.join(label, "_name", "left").withColumn("component", F.coalesce("label", "_name")).drop("_name", "label")
+
+
 def select_survivors(rows: DataFrame) -> DataFrame:
     """source_id, kept, reason for target rows of (source_id, dataset, split, byte_sha, pixel_sha, decode_error).
 
-    Rows of the same bytes decode to the same pixels, so a component is one
-    pixel digest. A component with a reference row loses all its targets; else
-    the first in order of test, val, train and source_id stays. Rows that don't
-    decode go. Reasons tell bytes or pixels, across datasets, across splits or within one.
+    A component with a reference row loses all its targets; else the first in
+    order of test, val, train and source_id stays. Rows that don't decode go.
+    Reasons tell bytes or pixels, across datasets, across splits or within one.
     """
-    live, bad = rows.filter("decode_error = 0"), rows.filter("decode_error <> 0 and dataset = 'target'")
+    live, bad = equivalents(rows.filter("decode_error = 0")), rows.filter("decode_error <> 0 and dataset = 'target'")
     rank = F.when(F.col("split") == "test", 0).when(F.col("split") == "val", 1).otherwise(2)
     target = F.col("dataset") == "target"
-    group = live.groupBy("pixel_sha").agg(F.max((~target).cast("int")).alias("has_ref"), F.min(F.when(target, F.struct(rank.alias("rank"), "source_id", "split", "byte_sha"))).alias("best"))
+    group = live.groupBy("component").agg(F.max((~target).cast("int")).alias("has_ref"), F.min(F.when(target, F.struct(rank.alias("rank"), "source_id", "split", "byte_sha"))).alias("best"))
     ref_bytes = live.filter(~target).select("byte_sha").distinct().withColumn("ref_byte", F.lit(1))
-    at = live.filter(target).join(group, "pixel_sha").join(ref_bytes, "byte_sha", "left")
+    at = live.filter(target).join(group, "component").join(ref_bytes, "byte_sha", "left")
     kept = (F.col("has_ref") == 0) & (F.col("best.source_id") == F.col("source_id"))
     kind = lambda same: F.when(same, "byte").otherwise("decoded")
     scope = F.when(F.col("best.split") == F.col("split"), "within_split").otherwise("cross_split")
@@ -155,6 +194,43 @@ def select_survivors(rows: DataFrame) -> DataFrame:
     return out.unionByName(bad.select("source_id", F.lit(False).alias("kept"), F.lit("image_decode_failure").alias("reason")))
 
 
+def scope_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """kind, scope, n: candidate pairs (a, b) by scope, the two ends' dataset/split in order, and distinct images of each dataset/split in any pair. Scopes of rows (id, dataset, split)."""
+    place = F.concat("dataset", F.lit("/"), "split")
+    where = rows.select("id", place.alias("at"))
+    both = pairs.select("a", "b").join(where.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(where.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
+    scope = F.concat(F.least("x", "y"), F.lit(" <-> "), F.greatest("x", "y"))
+    ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("x").alias("scope")), F.struct(F.col("b").alias("id"), F.col("y").alias("scope")))).alias("e")).select("e.*").distinct()
+    by_pair = both.groupBy(scope.alias("scope")).agg(F.count("*").alias("n")).select(F.lit("pairs").alias("kind"), "scope", "n")
+    return by_pair.unionByName(ends.groupBy("scope").agg(F.count("*").alias("n")).select(F.lit("images").alias("kind"), "scope", "n"))
+
+
+def cross_scope(pairs: DataFrame, rows: DataFrame, reference: str = "reference") -> DataFrame:
+    """pairs without those within one split of a dataset and those of two reference images."""
+    at = _both(pairs, rows, "dataset", "split")
+    apart = ((F.col("a_dataset") != F.col("b_dataset")) | (F.col("a_split") != F.col("b_split"))) & ((F.col("a_dataset") != reference) | (F.col("b_dataset") != reference))
+    return at.filter(apart).select(pairs.columns)
+
+
+def matches_in_reference(added: DataFrame, reference: DataFrame, radius: int, most: int = 5) -> DataFrame:
+    """id, matches of added rows (id, sha, hash) with a match in the reference: exact ones first, then near ones by distance and id; a report of the first ``most`` each.
+
+    The reference may have copies: each hash stands once for all its rows, named
+    by their smallest id, as in an index of it.
+    """
+    exact = added.join(reference.groupBy("sha").agg(F.min("id").alias("with")), "sha").select("id", F.struct(F.lit(0).alias("place"), F.lit(0).alias("distance"), "with", F.lit(True).alias("identical")).alias("m"))
+    names = reference.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("with"))
+    mine = added.filter("hash is not null").select("id", "hash")
+    links = near_classes(mine.select("hash").unionByName(names.select("hash")), radius)
+    both = links.unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q"), "distance"))
+    both = both.unionByName(names.select(F.col("hash").alias("p"), F.col("hash").alias("q"), F.lit(0).alias("distance")))
+    near = mine.join(both, F.col("hash") == F.col("p")).join(names.select(F.col("hash").alias("q"), "with"), "q")
+    near = near.select("id", F.struct(F.lit(1).alias("place"), "distance", "with", F.lit(False).alias("identical")).alias("m"))
+    w = Window.partitionBy("id").orderBy("m")
+    first = exact.unionByName(near).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
+    return first.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("m")).select("id", F.transform("m", lambda m: F.struct(m["with"].alias("with"), m["distance"].alias("distance"), m["identical"].alias("identical"))).alias("matches"))
+
+
 def adjacent_frames(rows: DataFrame, gap: int = 3) -> DataFrame:
     """a, b of rows (id, split, prefix, number) of one prefix and different splits with numbers at most ``gap`` apart.
 

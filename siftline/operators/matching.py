@@ -31,20 +31,20 @@ def two_pass_match(pairs: DataFrame, least: float | Column = 0.5) -> DataFrame:
     return one.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
-def greedy_flags(boxes: DataFrame, detections: DataFrame, thresholds: list[float], edges: tuple[float, float] | None = None, strict: bool = False) -> DataFrame:
-    """Greedy matching by confidence, for each image and class, at several thresholds in one pass.
+def greedy_matches(boxes: DataFrame, detections: DataFrame, thresholds: list[float], strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, image_id, cls, det_idx, conf, sizes: greedy matching by confidence, for each image and class, at several thresholds in one pass.
 
     Each detection takes the unused box of greatest overlap (the first of
-    ties): flag 1 if that reaches the threshold and the box's ``size`` lies in
-    ``edges`` (half open), -1 (ignored) if it lies outside, else 0. With
+    ties) if that reaches the threshold; sizes has, for each threshold, the
+    ``size`` of that box (0 where boxes have none), null without a match. With
     ``strict`` an overlap of 0 takes no box. Sequential within a group, and a
     group is one image's boxes, so it is a fold over arrays in the JVM.
     """
-    low, high = edges or (float("-inf"), float("inf"))
-    size = F.col("size") if "size" in boxes.columns else F.lit(0.0)
-    g = boxes.groupBy("image_id", "cls").agg(F.sort_array(F.collect_list(F.struct("box_idx", "x", "y", "w", "h", ((size >= low) & (size < high)).alias("inside")))).alias("gt"))
-    d = detections.groupBy("image_id", "cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("order"), "det_idx", "conf", "x", "y", "w", "h"))).alias("det"))
-    at = d.join(g, ["image_id", "cls"], "left").withColumn("gt", F.coalesce("gt", F.array().cast(g.schema["gt"].dataType)))
+    keys = [*by, "image_id", "cls"]
+    size = F.col("size").cast("double") if "size" in boxes.columns else F.lit(0.0)
+    g = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("box_idx", "x", "y", "w", "h", size.alias("size")))).alias("gt"))
+    d = detections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("order"), "det_idx", "conf", "x", "y", "w", "h"))).alias("det"))
+    at = d.join(g, keys, "left").withColumn("gt", F.coalesce("gt", F.array().cast(g.schema["gt"].dataType)))
 
     def over(a: Column, b: Column) -> Column:
         side = lambda p, w: F.greatest(F.lit(0.0), F.least(a[p] + a[w] / 2, b[p] + b[w] / 2) - F.greatest(a[p] - a[w] / 2, b[p] - b[w] / 2))
@@ -52,27 +52,32 @@ def greedy_flags(boxes: DataFrame, detections: DataFrame, thresholds: list[float
         union = a["w"] * a["h"] + b["w"] * b["h"] - both
         return F.when(union > 0, both / union).otherwise(0.0)
 
-    # Overlaps once, then a fold for each threshold: (box used so far, flags).
+    # Overlaps once, then a fold for each threshold over the box that each detection takes, -1 for none.
     at = at.withColumn("m", F.transform("det", lambda x: F.transform("gt", lambda y: over(y, x))))
 
     def fold(t: float) -> Column:
-        def step(s: Column, row: Column) -> Column:
-            free = F.transform(row, lambda v, i: F.when(F.array_contains(s["used"], i), -1.0).otherwise(v))
+        def step(used: Column, row: Column) -> Column:
+            free = F.transform(row, lambda v, i: F.when(F.array_contains(used, i), -1.0).otherwise(v))
             best = F.array_max(free)
-            where = (F.array_position(free, best) - 1).cast("int")
             hit = (best >= t) & ((best > 0) if strict else (best >= 0))
-            return F.when(hit, F.struct(F.concat(s["used"], F.array(where)).alias("used"), F.concat(s["flags"], F.array(F.when(F.get(F.col("gt"), where)["inside"], 1).otherwise(-1))).alias("flags"))).otherwise(
-                F.struct(s["used"].alias("used"), F.concat(s["flags"], F.array(F.lit(0))).alias("flags"))
-            )
-
-        start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("flags"))
-        return F.aggregate("m", start, step)["flags"]
-
-    flags = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), fold(t).alias("flags")) for t in thresholds))
-    each = at.select("image_id", "cls", "det", F.explode(flags).alias("f"))
-    return each.select("image_id", "cls", F.col("f.threshold").alias("threshold"), F.explode(F.arrays_zip("det", F.col("f.flags").alias("flag"))).alias("r")).select(
-        "image_id", "cls", "threshold", F.col("r.det.det_idx").alias("det_idx"), F.col("r.det.conf").alias("conf"), F.col("r.flag").alias("flag")
-    )
+            return F.concat(used, F.array(F.when(hit, F.array_position(free, best) - 1).otherwise(-1).cast("int")))
+
+        return F.aggregate("m", F.array().cast("array<int>"), step)
+
+    taken = at.select(*keys, "det", "gt", *(fold(t).alias(f"t{k}") for k, t in enumerate(thresholds)))
+    each = taken.select(*keys, "gt", F.posexplode("det").alias("k", "d"), *(f"t{k}" for k in range(len(thresholds))))
+    sizes = F.array(*(F.get(F.col("gt.size"), F.get(f"t{k}", F.col("k"))) for k in range(len(thresholds))))
+    return each.select(*keys, "d.det_idx", "d.conf", sizes.alias("sizes"))
+
+
+def greedy_flags(boxes: DataFrame, detections: DataFrame, thresholds: list[float], edges: tuple[float, float] | None = None, strict: bool = False) -> DataFrame:
+    """image_id, cls, threshold, det_idx, conf, flag of greedy_matches: 1 for a match, -1 (ignored) for one whose ``size`` lies outside ``edges`` (half open), else 0."""
+    low, high = edges or (float("-inf"), float("inf"))
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("threshold"), F.col("sizes").alias("size"))).alias("s")
+    at = greedy_matches(boxes, detections, thresholds, strict).select("image_id", "cls", "det_idx", "conf", each)
+    size = F.col("s.size")
+    flag = F.when(size.isNull(), 0).when((size >= low) & (size < high), 1).otherwise(-1)
+    return at.select("image_id", "cls", F.col("s.threshold").alias("threshold"), "det_idx", "conf", flag.alias("flag"))
 
 
 def miss_reasons(boxes: DataFrame, detections: DataFrame, least_conf: float = 0.25) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import coverage
+from ..functions.lineage import cut
+from ..functions.ranges import running_sums, unit_range
 from .matching import overlaps
 
 
@@ -25,11 +27,14 @@ def category_gap(recall: DataFrame, on: list[str], category: str, a: str, b: str
 
 def score_variants(rows: DataFrame, gamma: float = 0.5) -> DataFrame:
     """Each detection (conf, quality, flag) once per way to rank it: p, p q, p q^gamma, q, and an oracle that ranks true positives by quality within the places they hold."""
-    w = Window.partitionBy("cls", "flag")
+    rows = cut(rows)
+    hits = rows.filter("flag = 1")
+    ranked = lambda by: running_sums(hits, ["cls"], by, ["image_id", "det_idx"], {"_k": F.lit(1)}, unit_range(F.col(by)))
     # The k-th true positive by confidence gives its place to the k-th by quality.
-    places = rows.select("cls", "flag", F.col("conf").alias("_place"), F.row_number().over(w.orderBy(F.desc("conf"), "image_id", "det_idx")).alias("_k"))
-    at = rows.withColumn("_k", F.row_number().over(w.orderBy(F.desc("quality"), "image_id", "det_idx"))).join(places, ["cls", "flag", "_k"])
-    oracle = F.when(F.col("flag") == 1, F.col("_place")).otherwise(F.col("conf"))
+    places = ranked("conf").select("cls", "_k", F.col("conf").alias("_place"))
+    moved = ranked("quality").join(places, ["cls", "_k"]).select("cls", "image_id", "det_idx", "_place")
+    at = rows.join(moved, ["cls", "image_id", "det_idx"], "left")
+    oracle = F.coalesce("_place", "conf")
     kinds = F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("score")) for n, c in (
         ("p", F.col("conf")), ("pq", F.col("conf") * F.col("quality")), ("pq_gamma", F.col("conf") * F.pow("quality", F.lit(gamma))), ("q", F.col("quality")), ("oracle", oracle))))
     return at.withColumn("v", F.explode(kinds)).select("cls", "image_id", "det_idx", "flag", F.col("v.variant").alias("variant"), F.col("v.score").alias("conf"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import inventory_digest
 from ..operators import dedup, integrity, sampling
-from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, derive, in_64, read, with_tables
+from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, STEPS, STEPS_DUCKDB, derive, in_64, read, with_tables
 from ..sources.labels import parse_labels
 from .detection import _r
 
@@ -41,12 +41,11 @@ NEAR_SQL = with_tables("select * from near", marks=MARKS_DUCKDB, near=_NEAR)
 
 
 def two_hash_candidates(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    """Candidates of two hash families as one edge list: near fingerprints, and equal labels of near ones."""
-    e = _pairs(s, d, marks)
-    return dedup.candidate_union(e, e.select("a", "b", (F.col("distance") + 1).alias("distance")))
+    """Candidates of two hash families as one edge list: signs of embedding values, and of the steps from one value to the next. Equal in either family is distance 0."""
+    return dedup.candidate_union(_pairs(s, d, marks), _pairs(s, d, STEPS))
 
 
-TWO_HASH_SQL = with_tables("select a, b, distance, distance = 0 as identical from near", marks=MARKS_DUCKDB, near=_NEAR)
+TWO_HASH_SQL = with_tables("select a, b, min(distance) as distance, bool_or(distance = 0) as identical from (select * from near union all select * from near2) group by 1, 2", marks=MARKS_DUCKDB, near=_NEAR, steps=STEPS_DUCKDB, near2=_NEAR.replace("marks", "steps"))
 
 
 def two_hash_confirmed(s: SparkSession, d: str) -> DataFrame:
@@ -60,7 +59,7 @@ def near_dup_screen(s: SparkSession, d: str) -> DataFrame:
 
 
 def leakage_matrix(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    return _r(dedup.leakage_matrix(_pairs(s, d, marks), derive(s, d, marks)), "rate")
+    return _r(dedup.leakage_matrix(derive(s, d, marks), RADIUS), "rate")
 
 
 LEAKAGE_SQL = with_tables("""
@@ -70,7 +69,7 @@ left join (select p.split as sa, q.split as sb, count(distinct a) as m from sym
 
 
 def clean_dup_split(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    return dedup.clean_and_duplicate(derive(s, d, marks), _pairs(s, d, marks)).select("id", "split", "subset")
+    return dedup.clean_and_duplicate(derive(s, d, marks), RADIUS).select("id", "split", "subset")
 
 
 CLEAN_SQL = with_tables("""
@@ -79,7 +78,7 @@ from marks m where split <> 'train'""", marks=MARKS_DUCKDB, near=_NEAR)
 
 
 def near_dup_components(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    return dedup.components(_pairs(s, d, marks))
+    return dedup.near_components(derive(s, d, marks), RADIUS)
 
 
 COMPONENTS_SQL = with_tables("select a as node, min(b) as label from reach group by 1", marks=MARKS_DUCKDB, near=_NEAR, edges="select a, b from near union select b, a from near union select a, a from near union select b, b from near", reach="select * from (with recursive r(a, b) as (select a, b from edges union select r.a, e.b from r join edges e on r.b = e.a) select * from r)")
@@ -159,10 +158,13 @@ GATE_SQL = "select side, count(*) as n, min(k) as first_key from (select 'left'
 def inventory_digests(s: SparkSession, d: str) -> DataFrame:
     """One digest for each split's content, whatever the order of its rows."""
     at = derive(s, d, CONTENT)
-    return at.groupBy("split").agg(inventory_digest(F.sha2(F.concat_ws(":", F.col("source_id"), F.col("byte_sha")), 256)).alias("digest"), F.count("*").alias("n"))
+    return inventory_digest(at.select("split", F.sha2(F.concat_ws(":", F.col("source_id"), F.col("byte_sha")), 256).alias("h")), ["split"], "h")
 
 
-DIGEST_SQL = with_tables("select split, sha256(string_agg(h, '' order by h)) as digest, count(*) as n from (select split, sha256(concat_ws(':', source_id, byte_sha)) as h from content) group by 1", content=CONTENT)
+DIGEST_SQL = with_tables("""
+select split, sha256(string_agg(d, '' order by p)) as digest, sum(n)::bigint as n from (
+  select split, substr(h, 1, 3) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as n
+  from (select split, sha256(concat_ws(':', source_id, byte_sha)) as h from content) group by 1, 2) group by 1""", content=CONTENT)
 
 
 def label_validate(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import ap, association, curves, dedup, matching, reports
 from ..sources.fixtures import BOXES, CURVES, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, PREDICTIONS, SCORES, derive, in_64, read, with_tables
-from .content import _NEAR, _pairs
+from .content import _NEAR, RADIUS
 from .detection import _MATCH, _T, _r
 
 
@@ -143,7 +143,7 @@ BINNED_SQL = with_tables("select g_cls, cast(least(floor(round(iou, 6) * 10), 9)
 
 
 def clean_dup_premium(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    rows = dedup.clean_and_duplicate(derive(s, d, marks), _pairs(s, d, marks)).join(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    rows = dedup.clean_and_duplicate(derive(s, d, marks), RADIUS).join(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     return _r(reports.clean_dup_premium(rows, "label", ["split"]), "full", "clean", "dup", "full_premium", "dup_premium")
 
 
@@ -155,7 +155,7 @@ select split, round(f, 6) as "full", round(c, 6) as clean, round(u, 6) as dup, r
 
 
 def leak_verdicts(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
-    return dedup.leakage_matrix(_pairs(s, d, marks), derive(s, d, marks)).select("split_a", "split_b", reports.verdict(F.col("rate")).alias("verdict"))
+    return dedup.leakage_matrix(derive(s, d, marks), RADIUS).select("split_a", "split_b", reports.verdict(F.col("rate")).alias("verdict"))
 
 
 VERDICT_SQL = with_tables("""

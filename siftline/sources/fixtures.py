@@ -72,6 +72,9 @@ MARKS_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_tran
 #: The same over all 64 signs, the first one the sign bit of a long.
 MARKS_64 = _MARKS.format(fold="aggregate(embedding, 0L, (a, v) -> shiftleft(a, 1) | case when v > 0 then 1L else 0L end)")
 MARKS_64_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_transform(embedding[2:64], lambda v: case when v > 0 then 1::bigint else 0::bigint end)), lambda a, v: a * 2 + v) + case when embedding[1] > 0 then -9223372036854775808 else 0 end")
+#: A second family of fingerprints, independent of the first: whether a value rises to the next, over 63 steps.
+STEPS = _MARKS.format(fold="aggregate(sequence(1, 63), 0L, (a, i) -> a * 2 + case when element_at(embedding, i + 1) > element_at(embedding, i) then 1L else 0L end)")
+STEPS_DUCKDB = _MARKS.format(fold="list_reduce(list_prepend(0::bigint, list_transform(range(1, 64), lambda i: case when embedding[i + 1] > embedding[i] then 1::bigint else 0::bigint end)), lambda a, v: a * 2 + v)")
 #: Gray images of 32 x 32: a cell of 4 x 4 for each embedding value. Three in eight have a copy: brighter, with one corner changed, or noisy.
 GRAYS = """
 select 4 * vec_id + k as id, case when vec_id % 7 = 0 then 'reference' else 'target' end as dataset, case when (vec_id + k) % 10 < 2 then 'val' else 'train' end as split,
