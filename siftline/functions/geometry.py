@@ -57,11 +57,22 @@ def coco_area(width_px: Column, height_px: Column) -> Column:
     return F.when(area < 32 * 32, "small").when(area < 96 * 96, "medium").otherwise("large")
 
 
-def long_side_bucket(side: Column) -> Column:
-    out = F.when(side <= 480, "<=480")
-    for low, high in ((481, 720), (721, 1080), (1081, 1440), (1441, 1920)):
-        out = out.when(side <= high, f"{low}-{high}")
-    return out.otherwise(">1920")
+def long_side_bucket(side: Column, tops: Sequence[int] = (480, 720, 1080, 1440, 1920)) -> Column:
+    """The inclusive range of whole pixels that a side lies in, by the ranges' upper ends."""
+    out = F.when(side <= tops[0], f"<={tops[0]}")
+    for low, high in zip(tops, tops[1:], strict=False):
+        out = out.when(side <= high, f"{low + 1}-{high}")
+    return out.otherwise(f">{tops[-1]}")
+
+
+#: Upper ends of the ranges of a census of inputs; fixed values.
+CENSUS = (416, 640, 960, 1280, 1920)
+
+
+def input_ratio(size: int, width: Column, height: Column) -> Column:
+    """An aggregate: pixels of square inputs, sides rounded down, over native pixels."""
+    side = F.greatest(width, height)
+    return F.sum(F.pow(F.floor(side * (size / side)), F.lit(2))) / F.sum(width * height)
 
 
 def resize_direction(scale: Column) -> Column:

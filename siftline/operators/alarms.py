@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.ranges import running_sums, unit_range
+from ..functions.stats import mdd
 
 #: The double after 1: no probability reaches it.
 NEVER = 1.0000000000000002
@@ -176,3 +178,47 @@ def bootstrap_report(scores: DataFrame, thresholds: DataFrame, replicates: int =
     drawn = few.join(unit.select("unit", "sums"), "unit").select("replicate", "times", F.explode("sums").alias("s")).select("replicate", "times", "s.*")
     each = drawn.groupBy("metric", "cls", "replicate").agg(F.sum(F.col("times") * F.col("is")).alias("is"), F.sum(F.col("times") * F.col("of")).alias("of")).filter("of > 0").withColumn("value", F.col("is") / F.col("of"))
     return each.groupBy("metric", "cls").agg(F.count("*").alias("n_replicates"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+
+
+def calibration_report(fit_on: DataFrame, scores: DataFrame, max_fpr: float) -> DataFrame:
+    """cls, temperature, threshold from ``fit_on``, and of ``scores`` ece and brier before and after scaling, recall and fpr at the threshold."""
+    c = cut(calibrate(fit_on, max_fpr))
+    new = scores.join(c.select("cls", "temperature"), "cls").withColumn("score", scaled(F.col("score"), F.col("temperature")))
+    named = lambda df, when: df.select("cls", F.col("ece").alias(f"ece_{when}"), F.col("brier").alias(f"brier_{when}"))
+    out = c.select("cls", "temperature", "threshold").join(named(ece_brier(scores), "before"), "cls").join(named(ece_brier(new), "after"), "cls")
+    return out.join(alarm_metrics(new, c).drop("n"), "cls")
+
+
+def background_boxes(images: DataFrame, boxes: DataFrame, detections: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """n_background, false_boxes, per_image: detections at or over their class's threshold on images without any box; per_image null without such images."""
+    none = images.join(boxes.select("image_id").distinct(), "image_id", "left_anti").select("image_id")
+    over = detections.join(thresholds.select("cls", "threshold"), "cls").filter("conf >= threshold").groupBy("image_id").agg(F.count("*").alias("k"))
+    got = none.join(over, "image_id", "left").agg(F.count("*").alias("n_background"), F.coalesce(F.sum("k"), F.lit(0)).alias("false_boxes"))
+    return got.withColumn("per_image", F.try_divide("false_boxes", "n_background"))
+
+
+def endpoints(scores: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """by, endpoint, value: recall and fpr of each class, background alarm, ece and brier of each class; absent where there is nothing to divide by."""
+    at = cut(scores.join(thresholds.select("cls", "threshold"), "cls").withColumn("hit", (F.col("score") >= F.col("threshold")).cast("double")))
+    rate = lambda label: F.avg(F.when(F.col("label") == label, F.col("hit")))
+    kinds = ("recall", "fpr")
+    each = at.groupBy(*by, "cls").agg(rate(1).alias("recall"), rate(0).alias("fpr")).unpivot([*by, "cls"], list(kinds), "kind", "value")
+    other = ece_brier(at, by=(*by, "cls")).unpivot([*by, "cls"], ["ece", "brier"], "kind", "value")
+    named = each.unionByName(other).select(*by, F.concat("kind", F.lit("_"), "cls").alias("endpoint"), "value")
+    image = at.groupBy(*by, "image_id").agg(F.max("label").alias("any"), F.max("hit").alias("alarm")).filter("any = 0")
+    alarm = image.groupBy(*by).agg(F.avg("alarm").alias("value")).select(*by, F.lit("background_alarm").alias("endpoint"), "value")
+    return named.unionByName(alarm).filter("value is not null")
+
+
+def effects_by_endpoint(values: DataFrame, parents: DataFrame) -> DataFrame:
+    """config, parent, endpoint, n, effect, sd, mdd of rows (config, seed, endpoint, value) against a parent (config, parent), paired by seed; sd and mdd null with one pair, mdd null where nothing varies."""
+    base = values.select(F.col("config").alias("parent"), "seed", "endpoint", F.col("value").alias("base"))
+    d = values.join(parents, "config").join(base, ["parent", "seed", "endpoint"]).withColumn("d", F.col("value") - F.col("base"))
+    got = d.groupBy("config", "parent", "endpoint").agg(F.count("*").alias("n"), F.avg("d").alias("effect"), F.stddev_samp("d").alias("sd"))
+    return got.withColumn("mdd", F.when((F.col("n") > 1) & (F.col("sd") > 0), mdd(F.col("sd"), F.col("n"))))
+
+
+def transfer(source: DataFrame, target: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """cls, and recall and fpr of source and target at the same thresholds, which the target has no part in."""
+    named = lambda df, name: alarm_metrics(df, thresholds).select("cls", F.col("recall").alias(f"{name}_recall"), F.col("fpr").alias(f"{name}_fpr"))
+    return named(source, "source").join(named(target, "target"), "cls", "full_outer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import coverage
 from ..functions.lineage import cut
 from ..functions.ranges import running_sums, unit_range
+from ..functions.stats import mdd, quantiles
 from .matching import overlaps
 
 
@@ -100,3 +101,92 @@ def best_per_metric(rows: DataFrame, metric: str = "metric") -> DataFrame:
     """The configuration of each metric with the most seeds, then the smallest detectable effect."""
     w = Window.partitionBy(metric).orderBy(F.desc("n"), "mdd", "config")
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def name_category(name: Column) -> Column:
+    """Letters before the first underscore of a path's last part, else (other)."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_extract(name, r"([^/]*)$", 1), r"^([A-Za-z]+)_", 1), F.lit("")), F.lit("(other)"))
+
+
+def stem_parts(stem: Column) -> Column:
+    """letters and number of a stem: all its letters, and all its digits as one number, -1 without any."""
+    digits = F.regexp_replace(stem, "[^0-9]", "")
+    return F.struct(F.regexp_replace(stem, r"[^\p{L}]", "").alias("letters"), F.when(digits == "", F.lit("-1")).otherwise(digits).cast("decimal(38,0)").alias("number"))
+
+
+def alarm_by(images: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, alarms, rate of images (image_id, any, alarm) without a class."""
+    got = images.filter("any = 0").groupBy(*by).agg(F.count("*").alias("n"), F.sum("alarm").alias("alarms"))
+    return got.withColumn("rate", F.col("alarms") / F.col("n"))
+
+
+def gap_change(curves: DataFrame, rows: int = 10, least: int = 12, by: str = "run") -> DataFrame:
+    """by, first_epoch, first, last_epoch, last, change of a column gap over its last rows that have one; runs of fewer than ``least`` are left out."""
+    w = Window.partitionBy(by)
+    at = curves.filter("gap is not null").withColumn("_r", F.row_number().over(w.orderBy(F.desc("epoch")))).withColumn("_n", F.count("*").over(w))
+    tail = at.filter((F.col("_n") >= least) & (F.col("_r") <= rows))
+    got = tail.groupBy(by).agg(F.min(F.struct("epoch", "gap")).alias("a"), F.max(F.struct("epoch", "gap")).alias("z"))
+    return got.select(by, F.col("a.epoch").alias("first_epoch"), F.col("a.gap").alias("first"), F.col("z.epoch").alias("last_epoch"), F.col("z.gap").alias("last"), (F.col("z.gap") - F.col("a.gap")).alias("change"))
+
+
+def resume_deltas(curves: DataFrame, base: DataFrame, resumed: DataFrame, on: list[str], by: str = "run", before: int = 10) -> DataFrame:
+    """by and what a resumption (by, resumed_at) did to a run against its base (on, epoch, metric), in hundredths: mean, least and largest difference over the epochs before, the last of them, and the lowest metric from the resumption on (first of ties) with its epoch and difference."""
+    other = base.select(*on, "epoch", F.col("metric").alias("_base"))
+    at = curves.join(resumed, by).join(other, [*on, "epoch"], "left").withColumn("_d", 100 * (F.col("metric") - F.col("_base")))
+    early = (F.col("epoch") < F.col("resumed_at")) & (F.col("epoch") >= F.col("resumed_at") - before)
+    d = F.when(early, F.col("_d"))
+    low = F.min(F.when(F.col("epoch") >= F.col("resumed_at"), F.struct("metric", "epoch", "_d"))).alias("low")
+    got = at.groupBy(by, "resumed_at").agg(F.avg(d).alias("mean_before"), F.min(d).alias("least_before"), F.max(d).alias("most_before"), F.max(F.when(F.col("epoch") == F.col("resumed_at") - 1, F.col("_d"))).alias("last_before"), low)
+    return got.select(by, "mean_before", "least_before", "most_before", "last_before", F.col("low.epoch").alias("lowest_epoch"), F.col("low.metric").alias("lowest"), F.col("low._d").alias("lowest_delta"))
+
+
+def edge_errors(pairs: DataFrame) -> DataFrame:
+    """g_cls, n, iou and the medians of the four absolute edge errors, left, top, right, bottom, in widths and heights of the box."""
+    edge = lambda axis, side, sign: F.abs((F.col(f"d_{axis}") + sign * F.col(f"d_{side}") / 2 - F.col(f"g_{axis}") - sign * F.col(f"g_{side}") / 2) / F.col(f"g_{side}"))
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    four = {"left": edge("x", "w", -1), "top": edge("y", "h", -1), "right": edge("x", "w", 1), "bottom": edge("y", "h", 1)}
+    return pairs.groupBy("g_cls").agg(F.count("*").alias("n"), median("iou").alias("iou"), *(median(e).alias(k) for k, e in four.items()))
+
+
+def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, mean, sd, median, p95 (the sample at int(0.95 (n - 1)) in order), per_second of times in milliseconds."""
+    q = quantiles(samples, by, value, 0.95).select(*by, F.col("floor_n1").alias("p95"))
+    middle = quantiles(samples, by, value, 0.5).select(*by, F.col("linear").alias("median"))
+    got = samples.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return got.join(middle, by).join(q, by).select(*by, "n", "mean", "sd", "median", "p95", F.try_divide(F.lit(1000.0), "mean").alias("per_second"))
+
+
+def seed_statistics(values: DataFrame, seeds: int) -> DataFrame:
+    """metric, mean, sd, mdd of rows (seed, metric, value): metrics that every seed has and that say something.
+
+    Bin numbers, counts and metrics without variance between seeds are no
+    measurements and are left out.
+    """
+    known = values.filter("value is not null").groupBy("seed", "metric").agg(F.avg("value").alias("value"))
+    got = known.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter(F.col("n") == seeds)
+    dull = F.col("metric").contains(".bins") | F.col("metric").endswith("_count")
+    return got.filter(~dull & (F.col("sd") > 0)).select("metric", "mean", "sd", mdd(F.col("sd"), F.col("n")).alias("mdd"))
+
+
+def ranking_conflicts(boxes: DataFrame, detections: DataFrame, least: float = 0.1, good: float = 0.75) -> DataFrame:
+    """cls, n_gt, with_good, conflicts, multi: boxes that a detection of their class overlaps well, those where the most confident overlapping one does not, and detections that cover 80 % of two or more boxes of their class."""
+    pairs = overlaps(boxes, detections)
+    top = F.max(F.when(F.col("iou") >= least, F.struct("conf", (-F.col("det_idx")).alias("o"), "iou")))
+    each = pairs.groupBy("image_id", "box_idx", F.col("g_cls").alias("cls")).agg(F.max("iou").alias("best"), top["iou"].alias("first"))
+    box = each.groupBy("cls").agg(F.count_if(F.col("best") >= good).alias("with_good"), F.count_if((F.col("best") >= good) & (F.col("first") < good)).alias("conflicts"))
+    held = pairs.groupBy("image_id", "det_idx", F.col("d_cls").alias("cls")).agg(F.count_if(coverage("g_", "d_") >= 0.8).alias("k")).groupBy("cls").agg(F.count_if(F.col("k") >= 2).alias("multi"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return boxes.groupBy("cls").agg(F.count("*").alias("n_gt")).join(box, "cls", "left").join(held, "cls", "left").select("cls", "n_gt", zero("with_good"), zero("conflicts"), zero("multi"))
+
+
+def first_existing(ids: DataFrame, candidates: list[Column], listing: DataFrame, id_: str = "id") -> DataFrame:
+    """id, path: the first of an id's candidate paths that the listing (path) has, null if it has none."""
+    each = ids.select(id_, F.posexplode(F.array(*candidates)).alias("k", "path"))
+    there = each.join(listing.select("path").distinct(), "path")
+    best = there.groupBy(id_).agg(F.min(F.struct("k", "path")).alias("b")).select(id_, F.col("b.path").alias("path"))
+    return ids.select(id_).join(best, id_, "left")
+
+
+def information_tag(ratio: Column) -> Column:
+    """What an input size does to native pixels: loses some, is close to them, or only interpolates."""
+    return F.when(ratio < 0.9, "loses").when(ratio <= 1.3, "native").otherwise("interpolates")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: One image per order; one in five loses its boxes and is background.
+#: One image per order; one in five loses its boxes and is background, with false detections only.
 IMAGES = """
 select o_orderkey as image_id, case when o_orderkey % 10 = 0 then 'test' when o_orderkey % 10 = 1 then 'val' else 'train' end as split,
        cast(320 + (o_orderkey * 37) % 1701 as int) as width, cast(240 + (o_orderkey * 53) % 1201 as int) as height, o_custkey as scene
@@ -19,14 +19,14 @@ from {orders}
 """
 _LINES = """
 select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as line
-from {lineitem} where l_orderkey % 5 <> 3
+from {lineitem}
 """
 #: Ground truth: even lines. Sizes run from a few pixels to half the image.
 BOXES = f"""
 select l_orderkey as image_id, cast(line as int) as box_idx, case when l_returnflag = 'R' then 0 else 1 end as cls,
        0.25 + cast((l_partkey * 13 + line * 7) % 50 as double) / 100 as x, 0.25 + cast((l_suppkey * 11 + line * 3) % 50 as double) / 100 as y,
        0.008 + cast((l_suppkey * 7 + l_partkey) % 40 as double) / 100 as w, 0.008 + cast((l_partkey * 3 + l_suppkey) % 40 as double) / 100 as h
-from ({_LINES}) lines where line % 2 = 0
+from ({_LINES}) lines where line % 2 = 0 and l_orderkey % 5 <> 3
 """
 #: Detections: most ground truth moved a little (some in the other class), and odd lines as false ones.
 PREDICTIONS = f"""
@@ -36,7 +36,7 @@ select image_id, cast(row_number() over (partition by image_id order by conf des
          0.25 + cast((l_suppkey * 11 + line * 3) % 50 as double) / 100 + cast(l_suppkey % 5 - 2 as double) / 200 as y,
          0.008 + cast((l_suppkey * 7 + l_partkey) % 40 as double) / 100 as w, 0.008 + cast((l_partkey * 3 + l_suppkey) % 40 as double) / 100 as h,
          0.1 + cast((l_partkey * 31 + l_suppkey * 17 + line * 5) % 8999 as double) / 10000 as conf
-  from ({_LINES}) lines where line % 2 = 0 and (l_partkey + l_suppkey) % 6 <> 0
+  from ({_LINES}) lines where line % 2 = 0 and l_orderkey % 5 <> 3 and (l_partkey + l_suppkey) % 6 <> 0
   union all
   select l_orderkey, line, case when l_returnflag = 'N' then 0 else 1 end,
          0.25 + cast((l_partkey * 17 + line) % 50 as double) / 100, 0.25 + cast((l_suppkey * 5 + line) % 50 as double) / 100,

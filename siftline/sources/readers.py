@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runs import curves, run_folder, run_keys  # noqa: F401
+
 #: Detector output: a header and a list of images, boxes as positional lists (class, x, y, w, h[, confidence]).
 PREDICTION_FILE = "schema int, dataset string, split string, names array<string>, checkpoint_sha256 string, manifest_sha256 string, training_dataset string, method string, seed int, tag string, training_recipe_sha256 string, images array<struct<id:string,`group`:string,truth:array<array<double>>,predictions:array<array<double>>>>"
 #: Fixed-confidence audit rows: parallel arrays per image, candidates of missed boxes by index.
@@ -86,27 +88,6 @@ def yaml_keys(spark: SparkSession, path: str) -> DataFrame:
     return at.filter("key != ''").withColumn("value", F.regexp_replace(F.trim("value"), r"^['\"]|['\"]$", ""))
 
 
-def curves(spark: SparkSession, path: str) -> DataFrame:
-    """run, epoch, metric, value from every results.csv below a folder; names are trimmed, cells that are no number drop."""
-    wide = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "results.csv").csv(path).withColumn("_run", run_folder(F.col("_metadata.file_path")))
-    names = [c for c in wide.columns if c.strip() != "epoch" and c != "_run"]
-    epoch = next(c for c in wide.columns if c.strip() == "epoch")
-    tick = lambda c: F.col(f"`{c}`")
-    long_ = wide.select(F.col("_run").alias("run"), F.trim(tick(epoch)).try_cast("int").alias("epoch"), *(tick(c).alias(c.strip()) for c in names)).unpivot(["run", "epoch"], [tick(c.strip()) for c in names], "metric", "value")
-    return long_.withColumn("value", F.trim("value").try_cast("double")).filter("value is not null")
-
-
-def run_folder(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
-
-
-def run_keys(run: Column) -> Column:
-    """config, seed of a run folder: seed from a folder seedN or a suffix _seedN, module tags cut off; seed null without one."""
-    seed = F.coalesce(F.nullif(F.regexp_extract(run, r"/seed(\d+)[^/]*$", 1), F.lit("")), F.nullif(F.regexp_extract(run, r"_seed(\d+)$", 1), F.lit(""))).try_cast("int")
-    name = F.regexp_replace(F.regexp_replace(run, r"/seed\d+[^/]*$", ""), r"_seed\d+$", "")
-    return F.struct(F.regexp_replace(F.regexp_extract(name, r"([^/]+)$", 1), r"_module-[^_]*", "").alias("config"), seed.alias("seed"))
-
-
 def exposure_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return (spark.readStream if stream else spark.read).schema(EXPOSURE).json(path)
 
