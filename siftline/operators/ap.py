@@ -10,28 +10,18 @@ from ..functions.ranges import running_sums, unit_range
 from .matching import greedy_matches
 
 
-def _envelope_sums(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """by, and for each column of flags the sum, over its true positives, of the largest precision from there on.
+ORDER = ["image_id", "det_idx"]
 
-    One ranking serves all columns. Precision peaks at true positives, so the
-    rest only counts. Both running values, the counts from the top and the
-    largest precision from the end, go by ranges of confidence.
-    """
-    rows = cut(rows.select(*by, "conf", "image_id", "det_idx", *names))
-    hit = lambda n: (F.col(n) == 1).cast("long")
-    seen = lambda n: (F.col(n) >= 0).cast("long")
-    values = {f"{kind}_{n}": f(n) for n in names for kind, f in (("hits", hit), ("seen", seen))}
-    run = running_sums(rows, by, "conf", ["image_id", "det_idx"], values, unit_range(F.col("conf")))
-    precision = {n: F.when(F.col(n) == 1, F.col(f"hits_{n}") / F.col(f"seen_{n}")).alias(f"p_{n}") for n in names}
-    run = run.select(*by, "_range", "conf", "image_id", "det_idx", *precision.values())
-    top = run.groupBy(*by, "_range").agg(*(F.max(f"p_{n}").alias(f"t_{n}") for n in names))
+
+def _envelope_sums(run: DataFrame, by: list[str]) -> DataFrame:
+    """by, s: the sum over true positives (_range, conf, image_id, det_idx, precision) of the largest precision from there on, by ranges of confidence."""
+    top = run.groupBy(*by, "_range").agg(F.max("precision").alias("_t"))
     lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    later = top.select(*by, "_range", *(F.max(f"t_{n}").over(lower).alias(f"l_{n}") for n in names))
+    later = top.select(*by, "_range", F.max("_t").over(lower).alias("_l"))
     # From the end on: a frame that ends at the current row is one running maximum, one that starts there is not.
     end = Window.partitionBy(*by, "_range").orderBy("conf", F.desc("image_id"), F.desc("det_idx")).rowsBetween(Window.unboundedPreceding, 0)
-    at = run.join(later, [*by, "_range"])
-    env = at.select(*by, *(F.when(F.col(f"p_{n}").isNotNull(), F.greatest(F.max(f"p_{n}").over(end), f"l_{n}")).alias(n) for n in names))
-    return env.groupBy(*by).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+    env = run.join(later, [*by, "_range"]).select(*by, F.greatest(F.max("precision").over(end), "_l").alias("e"))
+    return env.groupBy(*by).agg(F.sum("e").alias("s"))
 
 
 def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -43,8 +33,10 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> Dat
     Null without ground truth, 0 without detections. Equal scores rank by image
     and detection.
     """
-    got = _envelope_sums(flags, by, ["flag"])
-    ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("flag", "n_gt"), F.lit(0.0)))
+    rows = cut(flags.filter("flag >= 0").select(*by, "conf", *ORDER, "flag"))
+    run = running_sums(rows, by, "conf", ORDER, {"hits": F.col("flag"), "seen": F.lit(1)}, unit_range(F.col("conf")))
+    got = _envelope_sums(run.filter("flag = 1").withColumn("precision", F.col("hits") / F.col("seen")), by)
+    ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0)))
     return totals.join(got, by, "left").select(*by, "n_gt", ap.alias("ap"))
 
 
@@ -53,24 +45,23 @@ def stratified_ap(boxes: DataFrame, detections: DataFrame, bands: dict[str, tupl
 
     Ground truth outside the band is there to be matched but ignored;
     detections without a match count as false in every band. Matching does not
-    depend on the band, so it is done once, and one ranking serves every band
-    and threshold. ``by`` names columns that both tables have beside cls.
+    depend on the band, so it is done once. All detections are ranked once too:
+    what a band and a threshold still have to count are their matched ones,
+    true or ignored.
     """
     keys = [*by, "cls"]
-    match = greedy_matches(boxes, detections, thresholds, by=by)
-    inside = lambda size, edges: (size >= edges[0]) & (size < edges[1])
-    names = {(b, k): f"f_{i}_{k}" for i, b in enumerate(bands) for k in range(len(thresholds))}
-    flag = lambda b, k: F.when(F.col("sizes")[k].isNull(), 0).when(inside(F.col("sizes")[k], bands[b]), 1).otherwise(-1)
-    wide = match.select(*keys, "conf", "image_id", "det_idx", *(flag(b, k).alias(n) for (b, k), n in names.items()))
-    sums = _envelope_sums(wide, keys, list(names.values()))
-    n_gt = boxes.groupBy(*keys).agg(*(F.count_if(inside(F.col("size"), edges)).alias(f"n_{i}") for i, edges in enumerate(bands.values())))
-    at = n_gt.join(sums, keys, "left")
-
-    def row(i: int, b: str):
-        of = lambda k: F.when(F.col(f"n_{i}") > 0, F.coalesce(F.try_divide(names[b, k], f"n_{i}"), F.lit(0.0)))
-        pick = lambda t: next((of(k) for k, x in enumerate(thresholds) if round(x, 2) == t), F.lit(None).cast("double"))
-        mean = sum((of(k) for k in range(len(thresholds))), F.lit(0.0)) / len(thresholds)
-        return F.struct(F.lit(b).alias("band"), F.col(f"n_{i}").alias("n_gt"), pick(0.5).alias("ap50"), pick(0.75).alias("ap75"), mean.alias("ap"))
-
-    each = at.select(*keys, F.explode(F.array(*(row(i, b) for i, b in enumerate(bands)))).alias("r"))
-    return each.select(*by, "r.band", "cls", "r.n_gt", "r.ap50", "r.ap75", "r.ap")
+    match = cut(greedy_matches(boxes, detections, thresholds, by=by))
+    ranked = running_sums(match, keys, "conf", ORDER, {"rank": F.lit(1)}, unit_range(F.col("conf")))
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("threshold"), F.col("sizes").alias("size"))).alias("m")
+    band = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for b, (low, high) in bands.items()))).alias("b")
+    wide = ranked.select(*keys, "conf", *ORDER, "rank", each).filter("m.size is not null").select("*", band)
+    inside = ((F.col("m.size") >= F.col("b.low")) & (F.col("m.size") < F.col("b.high"))).cast("int")
+    rows = cut(wide.select(*keys, "b.band", "m.threshold", "conf", *ORDER, "rank", inside.alias("hit")))
+    groups = [*keys, "band", "threshold"]
+    run = running_sums(rows, groups, "conf", ORDER, {"hits": F.col("hit"), "ignored": 1 - F.col("hit")}, unit_range(F.col("conf")))
+    sums = _envelope_sums(run.filter("hit = 1").withColumn("precision", F.col("hits") / (F.col("rank") - F.col("ignored"))), groups)
+    n_gt = boxes.select(*keys, "size", band).groupBy(*keys, "b.band").agg(F.count_if((F.col("size") >= F.col("b.low")) & (F.col("size") < F.col("b.high"))).alias("n_gt"))
+    every = n_gt.select("*", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")).join(sums, groups, "left")
+    ap = every.withColumn("ap", F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0))))
+    at = lambda t: F.max(F.when(F.round("threshold", 2) == t, F.col("ap")))
+    return ap.groupBy(*by, "band", "cls", "n_gt").agg(at(0.5).alias("ap50"), at(0.75).alias("ap75"), F.avg("ap").alias("ap")).select(*by, "band", "cls", "n_gt", "ap50", "ap75", "ap")

@@ -204,7 +204,7 @@ HARDEST_SQL = with_tables("select cls, rank, image_id, round(score, 6) as score
 
 QUERIES = {
     "image_scores": (image_scores, IMAGE_SCORES_SQL), "alarm_threshold": (alarm_threshold, THRESHOLD_SQL), "alarm_metrics": (alarm_metrics, METRICS_SQL), "background_alarms": (background_alarms, BACKGROUND_SQL),
-    "calibration_ece_brier": (calibration_ece_brier, ECE_SQL), "temperature_fit": (temperature_fit, TEMPERATURE_SQL), "calibrated_report": (calibrated_report, None), "operating_sweep": (operating_sweep, SWEEP_SQL),
+    "calibration_ece_brier": (calibration_ece_brier, ECE_SQL), "temperature_fit": (temperature_fit, TEMPERATURE_SQL), "operating_sweep": (operating_sweep, SWEEP_SQL),
     "matched_operating_point": (matched_operating_point, MATCHED_SQL), "fixed_vs_reselected": (fixed_vs_reselected, FIXED_SQL), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_SQL),
     "background_sweep": (background_sweep, None), "background_matched": (background_matched, None), "bootstrap_report": (bootstrap_report, None),
     "false_alarm_attribution": (false_alarm_attribution, ATTRIBUTION_SQL), "hardest_negatives": (hardest_negatives, HARDEST_SQL),

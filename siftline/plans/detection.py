@@ -164,6 +164,27 @@ def greedy_match(s: SparkSession, d: str) -> DataFrame:
     return got.select("image_id", "cls", "threshold", "det_idx", "flag")
 
 
+def _greedy_sql(steps: str) -> dict[str, str]:
+    """Texts of a fold over an image's detections, a step of the recursion for each: what is used so far, and the place of the box that the last one took."""
+    return {
+        "det": "select *, row_number() over (partition by image_id, cls order by conf desc, det_idx) as k from predictions",
+        "ov": "select d.image_id, d.cls, d.k, coalesce(list(p.iou order by p.box_idx) filter (where p.box_idx is not null), []) as m from det d left join (select * from pairs where g_cls = d_cls) p on p.image_id = d.image_id and p.det_idx = d.det_idx group by 1, 2, 3",
+        "fold": f"""
+select * from (with recursive g(image_id, cls, t, k, used, place) as (
+  select image_id, cls, t, 0::bigint, []::bigint[], 0::bigint from (select distinct image_id, cls from det) cross join (values {steps}) x(t)
+  union all
+  select image_id, cls, t, k, case when hit then list_append(used, list_position(free, best)) else used end, case when hit then list_position(free, best) else 0 end from (
+    select *, coalesce(best >= t and best >= 0, false) as hit from (
+      select *, list_max(free) as best from (
+        select g.image_id, g.cls, g.t, o.k, g.used, list_transform(o.m, lambda v, i: case when list_contains(g.used, i) then -1e0 else v end) as free
+        from g join ov o on o.image_id = g.image_id and o.cls = g.cls and o.k = g.k + 1)))
+) select image_id, cls, t, k, place from g where k > 0)""",
+    }
+
+
+GREEDY_SQL = with_tables("select f.image_id, f.cls, t as threshold, det_idx, cast(place > 0 as int) as flag from fold f join det d on d.image_id = f.image_id and d.cls = f.cls and d.k = f.k", **_T, **_greedy_sql("(0.5e0), (0.75e0)"))
+
+
 def average_precision(s: SparkSession, d: str) -> DataFrame:
     """AP at 0.5 and 0.75 on the two-pass match."""
     boxes, found = derive(s, d, BOXES), derive(s, d, PREDICTIONS)
@@ -188,6 +209,20 @@ def stratified_ap(s: SparkSession, d: str) -> DataFrame:
     return _r(ap.stratified_ap(sized, derive(s, d, PREDICTIONS), bands, [0.5 + 0.05 * i for i in range(10)]), "ap50", "ap75", "ap")
 
 
+_STEPS = ", ".join(f"({0.5 + 0.05 * i!r}::double)" for i in range(10))
+STRATIFIED_SQL = with_tables("""
+, size as (select image_id, cls, list(px order by box_idx) as px from sized where input = 640 group by 1, 2),
+flags as (select band, f.cls, f.t, conf, f.image_id, det_idx, case when place = 0 then 0 when px[place] >= low and px[place] < high then 1 else -1 end as flag
+  from fold f join det d on d.image_id = f.image_id and d.cls = f.cls and d.k = f.k left join size s on s.image_id = f.image_id and s.cls = f.cls cross join band_),
+run as (select *, sum(flag) over w / row_number() over w as prec, row_number() over w as n from flags where flag >= 0 window w as (partition by band, cls, t order by conf desc, image_id, det_idx rows unbounded preceding)),
+env as (select band, cls, t, sum(case when flag = 1 then e else 0 end) as s from (select *, max(prec) over (partition by band, cls, t order by n desc rows unbounded preceding) as e from run) group by 1, 2, 3),
+gt as (select band, cls, count(*) filter (where px >= low and px < high) as n_gt from sized cross join band_ where input = 640 group by 1, 2),
+each as (select g.band, g.cls, n_gt, x.t, case when n_gt > 0 then coalesce(s, 0) / n_gt end as ap from gt g cross join (values """ + _STEPS + """) x(t) left join env e on e.band = g.band and e.cls = g.cls and e.t = x.t)
+select band, cls, n_gt, round(max(ap) filter (where t = 0.5), 6) as ap50, round(max(ap) filter (where round(t, 2) = 0.75), 6) as ap75, round(case when n_gt > 0 then sum(ap) / 10 end, 6) as ap
+from each group by band, cls, n_gt""", images=IMAGES, **_T, sized=_SIZED, **_greedy_sql(_STEPS),
+    band_="select * from (values ('all', 0e0, 'inf'::double), ('tiny', 0e0, 32e0), ('small', 32e0, 128e0), ('large', 128e0, 'inf'::double)) b(band, low, high)").replace(")\n\n, size", "),\nsize")
+
+
 def score_iou_association(s: SparkSession, d: str) -> DataFrame:
     m = matching.two_pass_match(matching.overlaps(derive(s, d, BOXES), derive(s, d, PREDICTIONS)), 0.1)
     return _r(association.correlations(m.withColumn("q", F.round("iou", 6)), "conf", "q", ["g_cls"]), "pearson", "spearman")
@@ -222,7 +257,7 @@ from (select *, row_number() over (partition by split, cls order by px) - 1 as k
 QUERIES = {
     "scene_category": (scene_category, SCENE_SQL), "size_band_distribution": (size_band_distribution, SIZE_BAND_SQL), "resolvability": (resolvability, RESOLVABILITY_SQL),
     "resolution_census": (resolution_census, RESOLUTION_SQL), "coco_area_shares": (coco_area_shares, COCO_SQL), "iou_join": (iou_join, IOU_SQL), "two_pass_match": (two_pass_match, TWO_PASS_SQL),
-    "tp_by_iou": (tp_by_iou, TP_SQL), "fp_fn_reason": (fp_fn_reason, REASON_SQL), "coverage_by_iou": (coverage_by_iou, COVERAGE_SQL), "greedy_match": (greedy_match, None),
-    "average_precision": (average_precision, AP_SQL), "stratified_ap": (stratified_ap, None), "score_iou_association": (score_iou_association, ASSOCIATION_SQL),
+    "tp_by_iou": (tp_by_iou, TP_SQL), "fp_fn_reason": (fp_fn_reason, REASON_SQL), "coverage_by_iou": (coverage_by_iou, COVERAGE_SQL), "greedy_match": (greedy_match, GREEDY_SQL),
+    "average_precision": (average_precision, AP_SQL), "stratified_ap": (stratified_ap, STRATIFIED_SQL), "score_iou_association": (score_iou_association, ASSOCIATION_SQL),
     "geometry_summary": (geometry_summary, GEOMETRY_SQL), "quantile_conventions": (quantile_conventions, QUANTILE_SQL),
 }

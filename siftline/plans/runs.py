@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import required_n as _required_n
-from ..functions.stats import t_critical
+from ..functions.stats import T_CRITICAL, t_critical
 from ..operators import curves as C
 from ..operators import power as P
 from ..sources.fixtures import CURVES, derive, with_tables
@@ -147,6 +147,12 @@ def required_n(s: SparkSession, d: str) -> DataFrame:
     return _required_n(s, t).select("config", "share", "n")
 
 
+_FACTORS = "select n, (case when n <= 31 then [" + ", ".join(f"{t}e0" for t in T_CRITICAL) + "][n - 1] else 1.959964e0 + (1.959964e0 ** 3 + 1.959964e0) / 4 / (n - 1) + (5 * 1.959964e0 ** 5 + 16 * 1.959964e0 ** 3 + 3 * 1.959964e0) / 96 / ((n - 1) * (n - 1)) end) / sqrt(n) as factor from range(2, 5001) r(n)"
+REQUIRED_SQL = with_tables("""
+select config, share, cast(min(n) as int) as n from (select config, share, sigma, round(sigma * share, 9) as target from (select config, stddev_samp(best) as sigma from runs group by 1 having stddev_samp(best) > 0) cross join (values (0.1e0), (0.5e0), (1e0)) s(share))
+left join factors on factor * sigma <= target group by 1, 2""", **_F, factors=_FACTORS)
+
+
 def interval_95(s: SparkSession, d: str) -> DataFrame:
     low, high = P.interval("n", "mean", "sd")
     return _r(P.seed_summary(_runs(s, d), ["config"]).select("config", low.alias("low"), high.alias("high"), t_critical(F.col("n") - 1).alias("t")), "low", "high")
@@ -157,5 +163,5 @@ INTERVAL_SQL = with_tables(f"select config, round(mean - {_T} * sd / sqrt(n), 6)
 QUERIES = {
     "best_last_epoch": (best_last_epoch, BEST_SQL), "plateau_stats": (plateau_stats, PLATEAU_SQL), "tail_slope": (tail_slope, SLOPE_SQL), "window_means": (window_means, WINDOW_SQL), "missing_epochs": (missing_epochs, MISSING_SQL),
     "same_epoch_join": (same_epoch_join, SAME_SQL), "nearest_step_join": (nearest_step_join, NEAREST_SQL), "pareto_frontier": (pareto_frontier, PARETO_SQL), "running_best": (running_best, RUNNING_SQL),
-    "variance_decomposition": (variance_decomposition, VARIANCE_SQL), "paired_effects": (paired_effects, PAIRED_SQL), "seed_summary": (seed_summary, SUMMARY_SQL), "required_n": (required_n, None), "interval_95": (interval_95, INTERVAL_SQL),
+    "variance_decomposition": (variance_decomposition, VARIANCE_SQL), "paired_effects": (paired_effects, PAIRED_SQL), "seed_summary": (seed_summary, SUMMARY_SQL), "required_n": (required_n, REQUIRED_SQL), "interval_95": (interval_95, INTERVAL_SQL),
 }

@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..operators import alarms as A
 from ..operators import ap, matching, reports
 from ..sources.fixtures import BOXES, IMAGES, PREDICTIONS, SCORES, derive, with_tables
-from .alarms import _P, _Q, _TH, BUDGET, _scores
+from .alarms import _P, _Q, _TH, BUDGET, _scores, calibrated_report
 from .detection import _MATCH, _T, _r, _sized
 from .reports import _C, _categorised, _matched
 
@@ -216,7 +216,16 @@ env as (select *, max(prec) over (partition by cls, seed, t order by k desc rows
 select cls, t, count(*) as seeds, round(avg(ap), 6) as ap from (select g.cls, g.seed, e.t, sum(case when flag = 1 then e else 0 end) / any_value(n_gt) as ap
   from (select cls, image_id % 2 as seed, count(*) as n_gt from boxes group by 1, 2) g join env e on e.cls = g.cls and e.seed = g.seed group by 1, 2, 3) group by 1, 2""", **_T, matched=_MATCH).replace(")\n\n, flags", "),\nflags")
 
+CALIBRATED_SQL = with_tables("""
+select f.cls, round(t, 6) as temperature, round(a.ece, 6) as ece, round(a.brier, 6) as brier, a.n::bigint as n, round(m.recall, 6) as recall, round(m.fpr, 6) as fpr
+from fit f join after_ a on a.cls = f.cls
+join (select s.cls, avg(case when label = 1 then cast(score >= threshold as int) end) as recall, avg(case when label = 0 then cast(score >= threshold as int) end) as fpr
+      from scaled s join cal on cal.cls = s.cls where split = 'test' group by 1) m on m.cls = f.cls""",
+    scores=SCORES, fit=_FIT, scaled=_SCALED, cal=_THRESHOLD.replace("{rows}", "(select * from scaled where split = 'val')").replace("{budget}", str(BUDGET)),
+    after_=_ECE.replace("{rows}", "scaled").replace("as brier from", "as brier, sum(n) as n from"))
+
 QUERIES = {
+    "calibrated_report": (calibrated_report, CALIBRATED_SQL),
     "calibration_before_after": (calibration_before_after, BEFORE_AFTER_SQL), "background_boxes": (background_boxes, BACKGROUND_BOXES_SQL),
     "alarm_by_resolution": (alarm_by_resolution, ALARM_RESOLUTION_SQL), "recall_by_name": (recall_by_name, RECALL_NAME_SQL),
     "zero_shot_transfer": (zero_shot_transfer, TRANSFER_SQL), "module_effects": (module_effects, EFFECTS_SQL), "cross_domain_strata": (cross_domain_strata, None),
