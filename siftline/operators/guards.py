@@ -13,14 +13,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The protocol version that readers know; fixed value.
-PROTOCOL = "paper-v1"
+#: The protocol version that readers know: any name, version 1.
+PROTOCOL = re.compile(r"[a-z]+-v1")
 _TAG = re.compile(r"[A-Za-z0-9_-]+")
 
 
-def check_protocol(config: Mapping, known: str | None = None) -> Mapping:
-    """The configuration, if it names a known protocol."""
-    if config.get("protocol") != (known or PROTOCOL):
+def check_protocol(config: Mapping) -> Mapping:
+    """The configuration, if it names a protocol of the known version."""
+    if not PROTOCOL.fullmatch(str(config.get("protocol"))):
         raise ValueError(f"unknown protocol {config.get('protocol')!r}")
     return config
 

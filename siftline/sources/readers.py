@@ -51,10 +51,19 @@ def content_scan(spark: SparkSession, path: str) -> DataFrame:
     return wide.withColumns({c: F.conv(F.conv(F.col(c).cast("string"), 10, 16), 16, -10).cast("long") for c in ("dhash", "phash")})
 
 
+def all_paths(spark: SparkSession, path: str) -> DataFrame:
+    """path of every file below a folder, empty ones too, which Spark's readers leave out: names only, from the listing that the driver makes for any reader."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
 def file_inventory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
-    """path, split, stem, suffix, length of files below a folder; contents are not read."""
+    """path, length, modificationTime (null for empty files), suffix, stem, split of files below a folder; contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    at = listed.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), split_of(F.col("path")).alias("split"))
+    # One spelling of local paths: the listing's has three slashes, the reader's one.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    full = all_paths(spark, path).withColumn("path", plain("path")).join(listed.withColumn("path", plain("path")), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    at = full.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), split_of(F.col("path")).alias("split"))
     return at.filter(F.col("suffix").isin(*suffixes))
 
 
@@ -77,7 +86,7 @@ def label_path(path: Column) -> Column:
 
 def split_list(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a split list file, in order; CRLF is fine, blank lines drop, entries that leave ./images/ fail."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "entry")).select("line", F.trim("entry").alias("entry")).filter("entry != ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "entry")).select("line", F.trim("entry").alias("entry")).filter("entry != ''")
     bad = ~F.col("entry").startswith("./images/") | F.col("entry").contains("..")
     return lines.withColumn("entry", F.when(bad, F.raise_error(F.concat(F.lit("not below ./images/: "), F.col("entry")))).otherwise(F.col("entry")))
 

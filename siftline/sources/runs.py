@@ -16,7 +16,7 @@ def run_folder(path: Column) -> Column:
 
 def _whole(spark: SparkSession, path: str, name: str) -> DataFrame:
     """run, value: the whole text of every file of a name below a folder, by its folder."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
     return text.select(run_folder(F.col("_metadata.file_path")).alias("run"), "value")
 
 
@@ -44,7 +44,7 @@ def curves_of(at: DataFrame, prefix: str = "") -> DataFrame:
 
 def bundled_curves(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """As curves, from JSON documents that hold CSV texts by file name."""
-    doc = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "text"))
+    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "text"))
     return curves_of(cells(run_folder(F.col("file")), F.col("text"), doc.filter(F.col("file").endswith("results.csv"))), prefix)
 
 
@@ -73,7 +73,7 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def costs(spark: SparkSession, path: str) -> DataFrame:
     """match (lower case), params, gflops of a complexity table; rows without a name part or a cost drop."""
-    at = cells(F.lit("x"), F.col("value"), spark.read.option("wholetext", "true").text(path)).groupBy("line").pivot("name", ["run_match", "params", "gflops"]).agg(F.first("value"))
+    at = cells(F.lit("x"), F.col("value"), spark.read.text(path, wholetext=True)).groupBy("line").pivot("name", ["run_match", "params", "gflops"]).agg(F.first("value"))
     return at.select(F.lower(F.trim("run_match")).alias("match"), F.col("params").try_cast("long").alias("params"), F.col("gflops").try_cast("double").alias("gflops")).filter("match != '' and gflops is not null")
 
 
