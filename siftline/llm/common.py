@@ -14,25 +14,34 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, as a full URI (a path without a scheme lies in the default file system).
 
-    Only where the session sets none (tests, one machine) is a local one made.
+    Only where the session sets none and Spark runs in one process (tests, one
+    machine) is a local one made; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, as a URI."""
-    base = shared_dir(spark).rstrip("/")
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base}/siftline-{what}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark).rstrip('/')}/siftline-{what}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,3 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_each(files: DataFrame) -> DataFrame:
+    """The rows of a manifest, dealt out one by one in turn to as many tasks as there are rows."""
+    return files.coalesce(1).repartition(max(1, files.count()))

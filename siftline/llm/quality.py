@@ -50,16 +50,23 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
-    """Log ratio by bucket. Counts cover every document; an empty corpus or target gives zeros."""
+    """log(p_target / p_raw) by bucket, both multinomials over all buckets. Counts cover every document; an empty corpus or target gives zeros.
+
+    Pseudo-counts are ``smoothing`` a bucket in the target, and as much in
+    proportion in the raw corpus: so a bucket that neither has seen says
+    nothing, and a rare one says little.
+    """
     ids = F.broadcast(trusted_ids(labels, max_trusted).withColumn("_good", F.lit(1)))
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
     rows = _hashes(marked, "_good").select("_good", F.explode(F.transform(F.concat("_h", "_b"), lambda x: _bucket(x, n_buckets))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")).collect()
     raw, good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     out = [0.0] * n_buckets
     if raw and good:
-        share = good / raw
+        more = smoothing * raw / good
         for r in rows:
-            out[r["b"]] = math.log((r["good"] + smoothing) / (r["raw"] * share + smoothing))
+            target = (r["good"] + smoothing) / (good + smoothing * n_buckets)
+            corpus = (r["raw"] + more) / (raw + more * n_buckets)
+            out[r["b"]] = math.log(target / corpus)
     return out
 
 
@@ -107,4 +114,10 @@ def judge(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns, the counts of the rules, llr, base_failed and kept for every row.
+
+    Null, empty and blank texts have no words and fail the rules. Rows that
+    repeat are judged each. Without labels every ratio is 0 and the rules alone
+    decide; labels of no document, repeated ones and null ones don't matter.
+    """
     return judge(features(docs, fit(docs, labels), *keep))

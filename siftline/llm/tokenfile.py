@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import one_each
 from .pieces import Pieces, chunks
 
 MAGIC = b"SLTB"
@@ -230,10 +231,10 @@ def _reader(folder: str, fold):
 
 
 def _starts(spark: SparkSession, folder: str) -> DataFrame:
-    """file, start: the ids before each file, dealt to as many tasks as there are files. The window sees one row per file."""
+    """file, start: the ids before each file, a task for each. The window sees one row per file."""
     m = spark.read.schema(_MANIFEST).parquet(folder + "/manifest")
     at = m.selectExpr("file", "coalesce(sum(n_tokens) over (order by part, roll rows between unbounded preceding and 1 preceding), 0) as start")
-    return at.repartition(max(1, m.count()), "file")
+    return one_each(at)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import one_each
 
 ROLL_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 1000
@@ -196,4 +197,4 @@ def _reader(folder: str, with_payload: bool):
 def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the files that the manifest names, digests checked. Payloads of revisits are null."""
     names = spark.read.schema(_MANIFEST).parquet(folder + "/manifest").select("file")
-    return names.repartition(max(1, names.count()), "file").mapInArrow(_reader(folder + "/data", with_payload), _RECORDS)
+    return one_each(names).mapInArrow(_reader(folder + "/data", with_payload), _RECORDS)

@@ -46,18 +46,74 @@ def test_parity(name, spark, oracle, collected):
     assert collected(queries.queries()[name](spark, DATA)) == oracle(queries.oracle_sql()[name])
 
 
-def test_every_operator_on_odd_rows(spark, odd, empty):
-    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 1, None), (9, None, None)], "doc_id long, quality int, toxic int")
-    for rows, n in ((odd, odd.count()), (empty, 0)):
-        assert quality.quality(rows, labels, "doc_id").count() == n
-        assert exact.exact_dedup(rows).count() == n
-        assert near.near_dedup(rows, 2).count() == n
-        assert mixing.mix(rows).count() == n
-        assert pii.find(rows).count() == n
-        assert bpe.encode(rows, MULTI, "doc_id").count() == n
-        folder = common.fresh_dir(spark, "test")
-        tokenfile.write(rows, folder, BYTE_BPE)
-        assert tokenfile.checksums(spark, folder).count() == n
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def _words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def test_every_operator_on_odd_rows(spark, odd):
+    """By value: nulls, empty, blank and long texts, ties, repeated rows, columns of operators' own names."""
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 1, None), (9, None, None)], LABELS)
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    count = lambda some: Counter(map(str, some))
+
+    got = quality.quality(odd, labels, "doc_id", "text", "key").collect()
+    assert count((r["doc_id"], r["text"]) for r in got) == count(rows)
+    for r in got:
+        windows = Counter(zip(*(_words(r["text"])[k:] for k in range(3)), strict=False))
+        assert r["n_words"] == len(_words(r["text"])) and r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
+        assert r["base_failed"] == (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]) and (r["n_repeat_words"] > 0) == any(n > 1 for n in windows.values())
+    assert all(r["llr"] == 0 for r in quality.quality(odd, spark.createDataFrame([], LABELS), "doc_id").collect())
+
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[normal(t)].append(i)
+    first = lambda ids: min((i for i in ids if i is not None), default=None)
+    want = [(i, first(groups[normal(t)]), len(groups[normal(t)]), i == first(groups[normal(t)]), hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows]
+    assert count(tuple(r) for r in exact.exact_dedup(odd).collect()) == count(want)
+
+    named = [(i, t) for i, t in rows if i is not None]
+    linked = _components(dict(named).items(), 2)
+    want = [(i, linked[i][0], linked[i][1], linked[i][1] == i) if i is not None else (None, len(near.shingle_set(t, 2)), None, True) for i, t in rows]
+    assert count(tuple(r) for r in near.near_dedup(odd, 2).collect()) == count(want)
+
+    assert count((r["doc_id"], *((tuple(s) for s in r["base"]))) for r in pii.find(odd).collect()) == count((i, *_base(t or "")) for i, t in rows)
+    got = mixing.mix(odd, "text").collect()
+    assert count((r["doc_id"], r["text"], r["size"]) for r in got) == count((i, t, len(_words(t))) for i, t in rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+
+    coded = bpe.encode(odd, MULTI, "doc_id", "text").collect()
+    assert count((r["doc_id"], r["text"]) for r in coded) == count(rows) and all((len(r["ids"]) == 0) == (not r["text"]) for r in coded)
+
+
+def test_every_operator_on_an_empty_table(spark, empty):
+    none = spark.createDataFrame([], LABELS)
+    assert quality.quality(empty, none, "doc_id").count() == exact.exact_dedup(empty).count() == near.near_dedup(empty, 2).count() == 0
+    assert mixing.mix(empty).count() == pii.find(empty).count() == bpe.encode(empty, MULTI, "doc_id").count() == bpe.round_trip(empty, MULTI, "doc_id").count() == 0
+    assert rollup.counted(empty, {"w": rollup.as_is}, {"b": (BYTE_BPE, rollup.as_is)}).count() == 0
+    folder = common.fresh_dir(spark, "test")
+    tokenfile.write(empty, folder, BYTE_BPE)
+    assert tokenfile.checksums(spark, folder).count() == tokenfile.read(spark, folder).count() == 0
+    assert chat.from_table(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert chat.from_json_rows(spark.createDataFrame([], "conv_id long, json string")).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns called like the operators' own change nothing."""
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>" * 300), (2, None, "<p>x</p>" * 300), (3, "w", None)], "page_id long, url string, html string")
+    clash = pages.withColumns({c: F.lit(7) for c in ("payload", "digest", "d", "n", "last", "mark", "refers_to", "file")})
+    folders = [common.fresh_dir(spark, "test") for _ in range(2)]
+    made = [sorted((r["file"], r["sha1"]) for r in warc.write(x, f).collect()) for x, f in zip((pages, clash), folders, strict=True)]
+    assert made[0] == made[1]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    clash = turns.withColumns({c: F.lit(7) for c in ("t", "turns", "v", "layout", "fingerprint", "system")})
+    assert chat.from_table(turns).collect() == chat.from_table(clash).collect()
+    docs = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
+    clash = docs.withColumns({c: F.lit(7) for c in ("row", "plain", "n", "t0", "counts", "tokenizer", "tokens")})
+    made = [rollup.of(rollup.counted(x, {"w": rollup.as_is}, {"b": (BYTE_BPE, rollup.as_is)}), "w", "b").collect() for x in (docs, clash)]
+    assert made[0] == made[1] and len(made[0]) == 2
 
 
 # --- chat ---
@@ -621,15 +677,60 @@ def test_mix(spark, docs, odd, monkeypatch):
 # --- pipeline ---
 
 
+def _stage_by_stage(spark, rows, sf_dir):
+    import corpus_pipeline as c
+
+    out = []
+    for _, stage in c.STAGES:
+        rows = common.cut(stage(spark, rows, sf_dir))
+        out.append(rows)
+    return out
+
+
 def test_pipeline(spark, docs):
+    """Each stage against its brute-force version on what its predecessor kept."""
+    kept, unique, apart, mixed, coded = _stage_by_stage(spark, docs, DATA)
+    assert all(x.columns == docs.columns for x in (kept, unique, apart, mixed))
+    of = lambda df: sorted(map(tuple, df.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+    rows, labels = of(docs), spark.read.parquet(f"{DATA}/labels.parquet")
+    ratios = quality.fit(docs, labels)
+    good = lambda n: n[0] >= 50 and 2 * n[4] <= n[0] and n[5] >= quality.THRESHOLD
+    want = [r for r in rows if good(_brute(r[1], ratios))]
+    assert 0 < len(want) < len(rows) and of(kept) == want
+    first = {}
+    for r in want:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
+    assert of(unique) == sorted(first.values()) and len(first) < len(want)
+    linked = _components([r[:2] for r in sorted(first.values())], 5)
+    want = [r for r in sorted(first.values()) if linked[r[0]][1] == r[0]]
+    assert of(apart) == want
+    taken = Counter()
+    for i, _, size, n in map(eval, _mixed([(r[0], r[1], r[3]) for r in want])):
+        taken[i] += int(n / size + 0.5)
+    assert of(mixed) == sorted(r for r in want for _ in range(taken[r[0]]))
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(MULTI), special_tokens={})
+    got = sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["ids"], r["n_tokens"]) for r in coded.collect())
+    assert got == [(r[0], r[1], r[2], r[3], ids, len(ids)) for r in of(mixed) for ids in [enc.encode_ordinary(r[1])]]
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     import corpus_pipeline as c
 
-    rows = docs
-    for k, (_, stage) in enumerate(c.STAGES):
-        out = common.cut(stage(spark, rows, DATA))
-        if k < 4:
-            assert out.columns == docs.columns
-        if k < 3:
-            assert out.exceptAll(rows).count() == 0 and 0 < out.count() <= rows.count()
-        before, rows = rows, out
-    assert rows.count() == before.count() and rows.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0
+    of = lambda df: Counter(str((r["doc_id"], r["text"], r["key"], r["label"], r["size"])) for r in df.collect())
+    rows, stages = of(odd), {k: f(spark, odd, DATA) for k, f in c.STAGES[:4]}
+    assert all(x.columns == odd.columns for x in stages.values())
+    text = {str((r["doc_id"], r["text"], r["key"], r["label"], r["size"])): (r["doc_id"], r["text"]) for r in odd.collect()}
+    assert not of(stages["quality rules"]) - rows and all(len(_words(text[k][1])) >= 50 for k in of(stages["quality rules"]))
+    # Null, empty and one null id's texts are one group: the smallest id stays; the repeated row stays twice.
+    blank = [k for k, (_, t) in text.items() if not t]
+    got = of(stages["exact dedup"])
+    assert [k for k in blank if k in got] == [k for k in blank if text[k][0] == 0] and got[next(k for k in text if text[k][0] == 4)] == 2
+    got = of(stages["near dedup"])
+    assert all(got[k] == rows[k] for k in text if len(_words(text[k][1])) == 0 or text[k][0] is None) and not got - rows
+    assert not set(blank) & set(of(stages["mixing"]))
+    back = {(r["doc_id"], r["text"], r["n_tokens"] == 0) for r in c.encode_and_decode(spark, odd, DATA).collect()}
+    assert back == {(i, t or "", not t) for i, t in text.values()}
+    for x in _stage_by_stage(spark, empty, DATA):
+        assert x.count() == 0
