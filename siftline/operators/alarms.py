@@ -21,19 +21,20 @@ def image_scores(images: DataFrame, boxes: DataFrame, detections: DataFrame) ->
     return both.join(top, ["image_id", "cls"], "left").join(there, ["image_id", "cls"], "left").select("image_id", "split", "scene", "cls", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
-def threshold_under_budget(scores: DataFrame, max_fpr: float, by: tuple[str, ...] = ("cls",)) -> DataFrame:
+def threshold_under_budget(scores: DataFrame, max_fpr: float, by: tuple[str, ...] = ("cls",), one_label: bool = False) -> DataFrame:
     """by, threshold, recall, fpr: the highest recall with fpr <= max_fpr, then the lowest fpr, then the highest threshold.
 
     Thresholds stand at distinct scores only, so rows are summed by score
-    before the running sum. Where nothing fits the budget, or a group has one
-    label only, the threshold is NEVER, with recall and fpr 0.
+    before the running sum. Where nothing fits the budget the threshold is
+    NEVER, with recall and fpr 0. Groups without both labels are left out, or
+    with ``one_label`` have NEVER too.
     """
     ties = scores.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     totals = scores.groupBy(*by).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).filter("pos > 0 and neg > 0")
     run = running_sums(ties, list(by), "score", [], {"tp": F.col("p"), "fp": F.col("n")}, unit_range(F.col("score")))
     at = run.join(totals, list(by))
     each = at.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("pos")).alias("recall"), (F.col("fp") / F.col("neg")).alias("fpr"))
-    never = scores.select(*by).distinct().select(*by, F.lit(NEVER).alias("threshold"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("fpr"))
+    never = (scores if one_label else totals).select(*by).distinct().select(*by, F.lit(NEVER).alias("threshold"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("fpr"))
     best = F.max(F.when(F.col("fpr") <= max_fpr, F.struct("recall", (-F.col("fpr")).alias("minus"), "threshold"))).alias("b")
     return each.unionByName(never).groupBy(*by).agg(best).select(*by, "b.threshold", "b.recall", (-F.col("b.minus")).alias("fpr"))
 

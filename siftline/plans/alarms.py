@@ -138,7 +138,7 @@ def _seeded(s: SparkSession, d: str) -> DataFrame:
 def fixed_vs_reselected(s: SparkSession, d: str) -> DataFrame:
     """Recall by seed with its own threshold, seed 0's, and the mean of all."""
     rows = _seeded(s, d)
-    own = A.threshold_under_budget(rows.filter("split = 'val'"), BUDGET, ("seed", "cls")).select("seed", "cls", "threshold")
+    own = A.threshold_under_budget(rows.filter("split = 'val'"), BUDGET, ("seed", "cls"), one_label=True).select("seed", "cls", "threshold")
     first = own.filter("seed = 0").select("cls", "threshold")
     mean = own.groupBy("cls").agg(F.avg("threshold").alias("threshold"))
     seeds = own.select("seed", "cls")
