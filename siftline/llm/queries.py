@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, near, pii, quality, rollup, tokenfile, warc
+from . import bpe, chat, exact, fim, merkle, mixing, near, pii, quality, rollup, tokenfile, toxicity, warc
 from .common import cut, fresh_dir, table
 
 
@@ -135,9 +135,70 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; labels of the held-out third are not learned from."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what its proof leads to where a third of the texts is lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.when(chosen, merkle.lower_a_z(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(docs, text, with_path=False)
+
+
+OP12_SQL = r"""
+with recursive
+d as (select lang, doc_id, text, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+             xor(list_reduce(list_transform(range(length(doc_id::varchar)), lambda i: ascii(substr(doc_id::varchar, (i + 1)::int, 1))::ubigint),
+                 lambda c, b: list_reduce(range(8)::ubigint[], lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end, xor(c, b)),
+                 4294967295::ubigint), 4294967295::ubigint) % 3 = 0 as chosen from documents),
+e as (select lang, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+             sha256(head || coalesce(strlen(text) || ':' || case when chosen then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end, '-')) as other from d),
+t as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from e),
+lv as (select lang, 0 as lvl, pos, leaf as h, count(*) over (partition by lang) as n from t
+       union all select lang, lvl + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (any_value(n) + 7) // 8 from lv where n > 1 group by lang, lvl, pos // 8),
+r as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as gpos from lv where n = 1),
+gv as (select 0 as lvl, gpos as pos, subroot as h, count(*) over () as n from r
+       union all select lvl + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (any_value(n) + 7) // 8 from gv where n > 1 group by lvl, pos // 8),
+near as (select t.lang, t.pos, lvl as step, s.pos as place, s.h, t.pos // (8 ** lvl)::bigint as own from t join lv s on s.lang is not distinct from t.lang and s.n > 1 and s.pos // 8 = t.pos // (8 ** (lvl + 1))::bigint
+         union all select t.lang, t.pos, 100 + lvl, s.pos, s.h, gpos // (8 ** lvl)::bigint from t join r on r.lang is not distinct from t.lang join gv s on s.n > 1 and s.pos // 8 = gpos // (8 ** (lvl + 1))::bigint),
+steps as (select lang, pos, step, coalesce(string_agg(h, '' order by place) filter (place < own), '') as l, coalesce(string_agg(h, '' order by place) filter (place > own), '') as r from near group by all),
+paths as (select lang, pos, sha256(string_agg(l || r, '' order by step)) as proof, list(l || '|' || r order by step) as path from steps group by lang, pos),
+f as (select t.doc_id, t.leaf, r.subroot, (select h from gv where n = 1) as root, coalesce(p.proof, sha256('')) as proof_sha256,
+             list_reduce(coalesce(p.path, []), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2)), t.other) as folded_root
+      from t join r on r.lang is not distinct from t.lang left join paths p on p.lang is not distinct from t.lang and p.pos = t.pos)
+select *, folded_root = root as verified from f
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the parts, and digests of the output and of the text that is rebuilt from it, for every document."""
+    made = fim.transform(table(spark, sf_dir, "documents"), "doc_id")
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select doc_id, t, length(t) as n, ('0x' || x[1:8])::ubigint as h1, ('0x' || x[9:16])::ubigint as h2, ('0x' || x[17:24])::ubigint as h3, ('0x' || x[25:32])::ubigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1))::bigint as lo, greatest(h1 % (n + 1), h2 % (n + 1))::bigint as hi,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, lo) as pre, substr(t, lo + 1, hi - lo) as mid, substr(t, hi + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256 from p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_token_files": op2_token_files, "op3_pii": op3_pii, "op4_near_dedup": op4_near_dedup, "op5_bpe": op5_bpe, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+    every = (op1_chat, op2_token_files, op3_pii, op4_near_dedup, op5_bpe, op6_warc, op7_exact_dedup, op8_quality, op9_token_counts, op10_mixing, op11_toxicity, op12_merkle, op13_fim)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat": OP1_SQL, "op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle": OP12_SQL, "op13_fim": OP13_SQL}
