@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,13 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _clear(spans: list[tuple], held: list[tuple[int, int]]) -> list[tuple]:
+    """The spans (whose last two items are start and end) that overlap none of ``held``: of those that begin before a span's end, the largest end tells."""
+    held = sorted(held)
+    starts, tops = [a for a, _ in held], list(accumulate((z for _, z in held), max))
+    return [x for x in spans if not (k := bisect_left(starts, x[-1])) or tops[k - 1] <= x[-2]]
+
+
 def scan(text: str, secrets: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and candidates: (kind, start, end), in code points, each in order of kind and start. Without ``secrets`` the text is known to have none."""
     base, more = [], []
@@ -122,15 +131,12 @@ def scan(text: str, secrets: bool = True) -> tuple[list[tuple[int, int, int]], l
                 if 9 <= len(_digits(m[0])) <= 15:
                     base.append((3, *m.span()))
                     taken.append(m.span())
-        for m in _NATIONAL.finditer(text):
-            if not any(a < m.end() and m.start() < z for a, z in taken):
-                more.append((3, *m.span()))
+        more += _clear([(3, *m.span()) for m in _NATIONAL.finditer(text)], taken)
     if secrets:
         named = [m.span(1) for m in _SECRET.finditer(text)]
         bare = [m.span() for m in _HEX.finditer(text)]
-        more += [(4, *x) for x in sorted({*named, *(x for x in bare if not any(a < x[1] and x[0] < z for a, z in named))})]
-    held = [(a, z) for _, a, z in base]
-    return base, [x for x in more if not any(a < x[2] and x[1] < z for a, z in held)] if more else more
+        more += [(4, *x) for x in sorted({*named, *_clear(bare, named)})]
+    return base, _clear(more, [(a, z) for _, a, z in base]) if more else more
 
 
 def _said(words: tuple[str, ...]) -> re.Pattern:

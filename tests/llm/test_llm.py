@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,24 @@ def test_very_long_parts():
             pii.votes(text, k, a, z, True), pii.traits(text, k, a, z)
 
 
+def test_many_spans_in_one_text():
+    """Time in proportion to the spans of a text, and base spans as ever."""
+    rnd = random.Random(8)
+    kinds = ["+1 (212) 555-{:04d}", "(212) 555-{:04d}", "a{}@b.co", "a{} at b dot com", "10.0.{}.1", "300.1.{}.1", "4111 1111 1111 1111", "4111 1111 1111 {:04d}", "token=abcdefgh{}", "{:040d}"]
+    some = [rnd.choice(kinds).format(rnd.randrange(10_000)) for _ in range(40_000)]
+    text = " | ".join(some[:20_000])
+    assert sorted(pii.scan(text)[0]) == _base(text)
+    spent = []
+    for n in (5_000, 40_000):
+        t = time.process_time()
+        pii.scan(" | ".join(some[:n]))
+        spent.append(time.process_time() - t)
+    assert spent[1] < 3 and spent[1] < 24 * max(spent[0], 0.01)
+    held = sorted((a := rnd.randrange(3000), a + rnd.randrange(1, 60)) for _ in range(40))
+    spans = [(0, a, a + rnd.randrange(1, 40)) for a in range(0, 3000, 7)]
+    assert pii._clear(spans, held) == [x for x in spans if not any(a < x[2] and x[1] < z for a, z in held)]
+
+
 def test_weak_supervision_adds_spans(spark):
     rows = [(i, f"please call +1 (212) 555-{1000 + i:04d} now") for i in range(300)] + [(1000 + i, f"please call (212) 555-{1000 + i:04d} now") for i in range(100)] + [(2000 + i, f"order version 212-555-{1000 + i:04d}x") for i in range(100)]
     got = {r["doc_id"]: (len(r["base"]), len(r["spans"])) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
