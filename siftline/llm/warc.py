@@ -31,19 +31,21 @@ _RECORDS = "page_id long, url string, record_type string, refers_to long, payloa
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest (hex), refers_to, mark: a row per page (mark 1), and one before each that revisits (mark 0: id, digest and refers_to only).
+    """page_id, url, payload, digest (SHA-1 in hex), sha256, refers_to, mark: a row per page (mark 1), and one before each that revisits (mark 0: id, digests and refers_to only).
 
-    Of payloads that are equal and long enough the one with the largest page_id
+    A null html is an empty payload. Payloads are equal if both digests are: the
+    archive's own, SHA-1, has known collisions, which lose nothing here. Of payloads that are equal and long enough the one with the largest page_id
     is the response. Rows that repeat it, page_id and all, are responses too. A
     null page_id is never the largest unless a group has no other. Marks meet
     their pages in the range sort, so payloads are dealt out once.
     """
-    at = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    long_ = at.filter(F.octet_length("payload") >= MIN_REVISIT_BYTES).select("page_id", "digest")
-    last = long_.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    again = long_.join(last, long_["digest"] == last["d"]).filter(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
-    marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("mark"))
-    return at.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("mark")).unionByName(marks)
+    at = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumns({"digest": F.sha1("payload"), "sha256": F.sha2("payload", 256)})
+    same = ["digest", "sha256"]
+    long_ = at.filter(F.octet_length("payload") >= MIN_REVISIT_BYTES).select("page_id", *same)
+    last = long_.groupBy(*same).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    again = long_.join(last, same).filter(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", *same, F.col("last").alias("refers_to")).distinct()
+    marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), *same, "refers_to", F.lit(0).alias("mark"))
+    return at.select("page_id", "url", "payload", *same, F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("mark")).unionByName(marks)
 
 
 def _urn(page_id: int | None) -> str:
@@ -103,19 +105,19 @@ def _writer(folder: str, roll_bytes: int):
 
         fs, path = FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        task, at, done, seen = TaskContext.get(), None, [], (None,) * 3
+        task, at, done, seen = TaskContext.get(), None, [], (None,) * 4
         for b in batches:
             for k in range(b.num_rows):
                 *row, mark = (c[k].as_py() for c in b.columns)
-                page_id, _, _, digest, refers_to = row
+                page_id, _, _, digest, sha256, refers_to = row
                 if not mark:
-                    seen = (page_id, digest, refers_to)
+                    seen = (page_id, digest, sha256, refers_to)
                     continue
-                if seen[:2] == (page_id, digest):
-                    row[4] = seen[2]
+                if seen[:3] == (page_id, digest, sha256):
+                    refers_to = seen[3]
                 if at is None:
                     at = _Roll(fs, path, task.partitionId(), len(done), task.taskAttemptId())
-                at.put(record(*row))
+                at.put(record(*row[:4], refers_to))
                 if at.bytes >= roll_bytes:
                     done.append(at.close())
                     at = None
@@ -133,8 +135,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFr
     An empty table gives a manifest without rows.
     """
     rows = plan(pages)
-    dealt = rows.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "mark", "url")
-    made = dealt.select("page_id", "url", "payload", "digest", "refers_to", "mark").mapInArrow(_writer(folder + "/data", roll_bytes), _MANIFEST)
+    dealt = rows.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "sha256", "mark", "url")
+    made = dealt.select("page_id", "url", "payload", "digest", "sha256", "refers_to", "mark").mapInArrow(_writer(folder + "/data", roll_bytes), _MANIFEST)
     made.write.parquet(folder + "/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(folder + "/manifest")
 
