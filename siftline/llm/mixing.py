@@ -54,7 +54,8 @@ def targets(sizes: list[int]) -> list[float]:
         for i in full:
             out[i] = float(MAX_REPEAT * sizes[i])
             left -= out[i]
-        free = [i for i in free if i not in set(full)]
+        gone = set(full)
+        free = [i for i in free if i not in gone]
     return out
 
 
