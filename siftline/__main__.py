@@ -117,7 +117,7 @@ def audit(spark: SparkSession, config: dict, datasets: list[str], output: str, h
         rows = scan.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("hash"))
         near = cut(dedup.cross_scope(dedup.near_pairs(rows, radius), rows, reference=""))
         near.write.mode("errorifexists").json(f"{output}/near_candidates")
-        result |= {"exact_groups": dedup.exact_groups(scan, "sha256").count(), "near_pairs": near.count(), "scopes": _rows(dedup.scope_counts(near, rows)), "not_decoded": scan.filter("decode_error is not null").count()}
+        result |= {"exact_groups": dedup.exact_groups(scan, "sha256").count(), "near_pairs": near.count(), "scopes": _rows(dedup.scope_counts(rows, dedup.near_classes(rows, radius), reference=None)), "not_decoded": scan.filter("decode_error is not null").count()}
     return _write(result, f"{output}/audit.json")
 
 

@@ -3,18 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests, one machine) is a folder made."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests, one machine) is a folder made."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not context.master.split("[")[0] == "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="siftline-")
         context.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+class Written:
+    """A table in the shared folder, for rounds that replace each other's: it can be removed when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        self.path = f"{shared(self.spark).rstrip('/')}/siftline-round-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

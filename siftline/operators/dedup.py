@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import band_value, bands, hamming
-from ..functions.lineage import cut
+from ..functions.lineage import Written, cut
 from ..functions.pixels import dhash_left, dhash_right, phash, ssim_global, ssim_windowed
 
 
@@ -52,46 +52,71 @@ def candidate_union(*edges: DataFrame) -> DataFrame:
     return out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max((F.col("distance") == 0).cast("int")).cast("boolean").alias("identical"))
 
 
-def _both(edges: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+def _both(edges: DataFrame, rows: DataFrame, *names: str, id_: str = "id") -> DataFrame:
     """Edges a, b with the named columns of both ends, as a_name and b_name."""
     for end in ("a", "b"):
-        edges = edges.join(rows.select(F.col("id").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names)), end)
+        edges = edges.join(rows.select(F.col(id_).alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names)), end)
     return edges
 
 
+def gray_classes(images: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """Images (id, gray) by equal gray values: members (id, rep, ``names``) and classes (rep, n, gray), each named by its smallest id. Images without gray are in none."""
+    at = images.filter("gray is not null").select("id", *names, F.sha2(F.array_join(F.col("gray").cast("array<string>"), ","), 256).alias("_c"))
+    least = at.groupBy("_c").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    members = cut(at.join(least, "_c").select("id", "rep", *names))
+    found = members.groupBy("rep").agg(F.count("*").alias("n"))
+    return members, images.select(F.col("id").alias("rep"), "gray").join(found, "rep").select("rep", "n", "gray")
+
+
+def copies(members: DataFrame) -> DataFrame:
+    """a, b: each member but the first beside its class's name, so that links between classes and these say all."""
+    return members.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+
+
 def two_hash_confirmed(images: DataFrame, near: int = 5, dhash_max: int = 18, phash_max: int = 12, ssim_min: float = 0.88, dhash_tight: int = 4, phash_tight: int = 6) -> DataFrame:
-    """a, b, dhash_distance, phash_distance, ssim of the pairs of images (id, gray) that both hashes and the pixels confirm.
+    """a, b, pairs, dhash_distance, phash_distance, ssim of the classes of equal images (id, gray) that both hashes and the pixels confirm.
 
     Candidates are within ``near`` by either hash, each banded on its own. A
     candidate needs both distances within their limits, and then similar pixels
     or two tight distances. The two stages are the rule: a pair that is no
     candidate is not looked at, even if the limits would let it through.
+
+    Images with the same gray values confirm each other and are confirmed alike,
+    so a class is hashed and compared once: a < b are the smallest ids of two
+    classes, ``pairs`` the pairs of images the link stands for. Within a class
+    all are confirmed; gray_classes has the members.
     """
-    marks = cut(images.filter("gray is not null").select("id", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
-    found = near_pairs(marks, near, hash_="dhash").unionByName(near_pairs(marks, near, hash_="phash")).select("a", "b").distinct()
-    at = _both(found, marks, "dhash", "phash").select("a", "b", hamming(F.col("a_dhash"), F.col("b_dhash")).alias("dhash_distance"), hamming(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"))
+    classes = gray_classes(images.select("id", "gray"))[1]
+    marks = cut(classes.select("rep", "n", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
+    found = near_pairs(marks, near, "rep", "dhash").unionByName(near_pairs(marks, near, "rep", "phash")).select("a", "b").distinct()
+    at = _both(found, marks, "dhash", "phash", "n", id_="rep").select("a", "b", (F.col("a_n") * F.col("b_n")).alias("pairs"), hamming(F.col("a_dhash"), F.col("b_dhash")).alias("dhash_distance"), hamming(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"))
     at = at.filter((F.col("dhash_distance") <= dhash_max) & (F.col("phash_distance") <= phash_max))
-    out = _both(at, images, "gray").select("a", "b", "dhash_distance", "phash_distance", ssim_windowed("a_gray", "b_gray").alias("ssim"))
+    out = _both(at, images, "gray").select("a", "b", "pairs", "dhash_distance", "phash_distance", ssim_windowed("a_gray", "b_gray").alias("ssim"))
     return out.filter((F.col("ssim") >= ssim_min) | ((F.col("dhash_distance") <= dhash_tight) & (F.col("phash_distance") <= phash_tight)))
 
 
-def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_min: float = 0.95, flat: float = 5.0) -> DataFrame:
-    """a, b, phash_distance, dhash_distance, ssim, low_texture of images (id, dataset, split, gray): pHash, then dHash, then whole-image similarity.
+def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_min: float = 0.95, flat: float = 5.0, reference: str = "reference") -> DataFrame:
+    """a, b, pairs, phash_distance, dhash_distance, ssim, low_texture of images (id, dataset, split, gray): pHash, then dHash, then whole-image similarity.
 
     Pairs within the reference, or within one split of a dataset, are not
     screened. low_texture: one of the two has a deviation of gray below ``flat``.
+    As in two_hash_confirmed, a <= b name classes of equal images and ``pairs``
+    counts the pairs of images; a = b is a class in several places.
     """
-    marks = cut(images.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
-    near = near_pairs(marks, phash_max, hash_="phash").withColumnRenamed("distance", "phash_distance")
-    at = _both(cross_scope(near, marks), marks, "dhash")
-    at = at.withColumn("dhash_distance", hamming(F.col("a_dhash"), F.col("b_dhash"))).filter(F.col("dhash_distance") <= dhash_max).select("a", "b", "phash_distance", "dhash_distance")
+    members, classes = gray_classes(images, "dataset", "split")
+    marks = cut(classes.select("rep", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
+    near = near_pairs(marks, phash_max, "rep", "phash").unionByName(marks.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance"))).withColumnRenamed("distance", "phash_distance")
+    at = _both(near, marks, "dhash", id_="rep")
+    at = cut(at.withColumn("dhash_distance", hamming(F.col("a_dhash"), F.col("b_dhash"))).filter(F.col("dhash_distance") <= dhash_max).select("a", "b", "phash_distance", "dhash_distance"))
+    pairs = class_pairs(members, at.filter("a != b").select(F.col("a").alias("p"), F.col("b").alias("q")), "rep", reference)
+    pairs = pairs.groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("pairs"))
 
     def texture(gray: str) -> Column:
         total = lambda of: F.aggregate(gray, F.lit(0.0), lambda s, v: s + of(v))
         return F.sqrt(total(lambda v: v * v) / F.size(gray) - F.pow(total(lambda v: v) / F.size(gray), 2))
 
-    out = _both(at, images, "gray").withColumn("ssim", ssim_global("a_gray", "b_gray")).filter(F.col("ssim") >= ssim_min)
-    return out.select("a", "b", "phash_distance", "dhash_distance", "ssim", (F.least(texture("a_gray"), texture("b_gray")) < flat).alias("low_texture"))
+    out = _both(at.join(pairs, ["a", "b"]), images, "gray").withColumn("ssim", ssim_global("a_gray", "b_gray")).filter(F.col("ssim") >= ssim_min)
+    return out.select("a", "b", "pairs", "phash_distance", "dhash_distance", "ssim", (F.least(texture("a_gray"), texture("b_gray")) < flat).alias("low_texture"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -141,17 +166,41 @@ def near_components(rows: DataFrame, radius: int, id_: str = "id", hash_: str =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable. Each round halves paths by the label's label and ends in a checkpoint."""
-    both = cut(symmetric(edges))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        to = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "m").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        new = cut(to.join(up, "to").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
+    """node, label: the smallest node reachable, for every node of an edge (a, b).
+
+    Each round, every node points to its smallest neighbour or itself, pointers
+    are followed to their ends, and the edges are renamed by them: loops go and
+    edges that have become equal are one. A node that takes up no other in a
+    round has a smaller neighbour in the next, so two rounds at least halve the
+    nodes that still have edges: the rounds are few and their table shrinks. A
+    table that a round has replaced is removed; only pointers stay, for the way
+    back, on which names are looked up by a join a round.
+    """
+    left = Written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds: list[DataFrame] = []
+    while not left.df.isEmpty():
+        both = left.df.unionByName(left.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = Written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"), F.lit(True).alias("moved")))
+        while not step.df.filter("moved").isEmpty():  # pointers only fall, so they end; each pass doubles their reach
+            to, up = step.df.select("node", "to"), step.df.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            new = Written(to.join(up, "to").select("node", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
+            step.remove()
+            step = new
+        to = step.df.select("node", "to")
+        rounds.append(to)
+        name = lambda end, to=to: to.select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))
+        named = left.df.join(name("a"), "a").join(name("b"), "b").filter("_a != _b")
+        new = Written(named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        left.remove()
+        left = new
+    loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("b").alias("label")).distinct()
+    if not rounds:
+        return loops
+    labels = rounds[-1].select("node", F.col("to").alias("label"))
+    for to in reversed(rounds[:-1]):
+        top = labels.select(F.col("node").alias("to"), "label")
+        labels = cut(to.join(top, "to", "left").select("node", F.coalesce("label", "to").alias("label")))
+    return labels.unionByName(loops.join(labels.select("node"), "node", "left_anti"))
 
 
 def _reason(scope: str | Column, kind: Column) -> Column:
@@ -194,15 +243,28 @@ def select_survivors(rows: DataFrame) -> DataFrame:
     return out.unionByName(bad.select("source_id", F.lit(False).alias("kept"), F.lit("image_decode_failure").alias("reason")))
 
 
-def scope_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """kind, scope, n: candidate pairs (a, b) by scope, the two ends' dataset/split in order, and distinct images of each dataset/split in any pair. Scopes of rows (id, dataset, split)."""
-    place = F.concat("dataset", F.lit("/"), "split")
-    where = rows.select("id", place.alias("at"))
-    both = pairs.select("a", "b").join(where.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(where.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
+def class_pairs(rows: DataFrame, links: DataFrame, key: str = "hash", reference: str | None = "reference") -> DataFrame:
+    """p, x, n_x, q, y, n_y: what stands for the pairs of rows (dataset, split, ``key``) whose classes are linked (p, q) or the same.
+
+    x and y are two places, dataset/split, where n_x rows of class p and n_y of
+    class q lie; of one class each two places come once. Pairs within a place,
+    and of two rows of the reference, are left out. A class of any size has a
+    row for each place.
+    """
+    held = cut(rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("h"), F.concat("dataset", F.lit("/"), "split").alias("at"), F.col("dataset").eqNullSafe(F.lit(reference)).alias("ref")).agg(F.count("*").alias("n")))
+    end = lambda h, x: held.select(F.col("h").alias(h), F.col("at").alias(x), F.col("ref").alias(f"ref_{x}"), F.col("n").alias(f"n_{x}"))
+    between = links.select("p", "q").join(end("p", "x"), "p").join(end("q", "y"), "q").filter("x != y")
+    within = end("p", "x").join(end("q", "y"), F.col("p") == F.col("q")).filter("x < y")
+    return between.unionByName(within).filter("not (ref_x and ref_y)").select("p", "x", "n_x", "q", "y", "n_y")
+
+
+def scope_counts(rows: DataFrame, links: DataFrame, key: str = "hash", reference: str | None = "reference") -> DataFrame:
+    """kind, scope, n: pairs of rows by scope, the two ends' dataset/split in order, and distinct rows of each dataset/split in any pair; from classes of equal keys and links between them, without listing a pair."""
+    met = cut(class_pairs(rows, links, key, reference))
     scope = F.concat(F.least("x", "y"), F.lit(" <-> "), F.greatest("x", "y"))
-    ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("x").alias("scope")), F.struct(F.col("b").alias("id"), F.col("y").alias("scope")))).alias("e")).select("e.*").distinct()
-    by_pair = both.groupBy(scope.alias("scope")).agg(F.count("*").alias("n")).select(F.lit("pairs").alias("kind"), "scope", "n")
-    return by_pair.unionByName(ends.groupBy("scope").agg(F.count("*").alias("n")).select(F.lit("images").alias("kind"), "scope", "n"))
+    by_pair = met.groupBy(scope.alias("scope")).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("n")).select(F.lit("pairs").alias("kind"), "scope", "n")
+    ends = met.select(F.col("p").alias("h"), F.col("x").alias("scope"), F.col("n_x").alias("n")).unionByName(met.select(F.col("q").alias("h"), F.col("y").alias("scope"), F.col("n_y").alias("n"))).distinct()
+    return by_pair.unionByName(ends.groupBy("scope").agg(F.sum("n").alias("n")).select(F.lit("images").alias("kind"), "scope", "n"))
 
 
 def cross_scope(pairs: DataFrame, rows: DataFrame, reference: str = "reference") -> DataFrame:

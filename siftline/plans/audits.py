@@ -9,55 +9,53 @@ from ..functions import geometry as G
 from ..operators import curves as C
 from ..operators import dedup, guards, reports
 from ..sources import runs as R
-from ..sources.fixtures import BOXES, CONTENT, CURVES, GRAYS, IMAGES, MARKS, MARKS_DUCKDB, derive, read, with_tables
-from .content import _NEAR, RADIUS, _pairs
+from ..sources.fixtures import BOXES, CONTENT, CURVES, GRAYS, IMAGES, MARKS_64, MARKS_DUCKDB, derive, in_64, read, with_tables
+from .content import _NEAR, RADIUS
 from .detection import _r
 from .runs import _BEST
 
 _DATASET = "case when id % 7 = 0 then 'reference' else 'target' end"
 
 
-def _placed(s: SparkSession, d: str) -> DataFrame:
-    return derive(s, d, MARKS).withColumn("dataset", F.expr(_DATASET))
-
-
 def pairs_by_scope(s: SparkSession, d: str) -> DataFrame:
-    """Near pairs across splits and datasets by scope, and distinct images in any."""
-    rows = _placed(s, d)
-    return dedup.scope_counts(dedup.cross_scope(_pairs(s, d), rows), rows)
+    """Near pairs across splits and datasets by scope, and distinct images in any, over all 64 signs."""
+    rows = derive(s, d, MARKS_64).withColumn("dataset", F.expr(_DATASET))
+    return dedup.scope_counts(rows, dedup.near_classes(rows, RADIUS))
 
 
-SCOPE_SQL = with_tables("""
+SCOPE_SQL = in_64(with_tables("""
 select 'pairs' as kind, least(x, y) || ' <-> ' || greatest(x, y) as scope, count(*) as n from across group by 1, 2
 union all select 'images', place, count(distinct id) from (select a as id, x as place from across union all select b, y from across) group by 1, 2""",
     marks=MARKS_DUCKDB, near=_NEAR, placed=f"select id, split, {_DATASET} as dataset, {_DATASET} || '/' || split as place from marks",
-    across="select a, b, p.place as x, q.place as y from near join placed p on p.id = a join placed q on q.id = b where p.place <> q.place and not (p.dataset = 'reference' and q.dataset = 'reference')")
+    across="select a, b, p.place as x, q.place as y from near join placed p on p.id = a join placed q on q.id = b where p.place <> q.place and not (p.dataset = 'reference' and q.dataset = 'reference')"))
 
 
 def near_dup_audit(s: SparkSession, d: str) -> DataFrame:
     """The screen's summary: candidates and low-texture ones, then pairs and images by scope."""
     images = derive(s, d, GRAYS)
     found = dedup.cut(dedup.near_screen(images))
-    whole = found.agg(F.count("*").alias("review"), F.count_if("low_texture").alias("low_texture")).unpivot([], ["review", "low_texture"], "scope", "n")
-    return whole.select(F.lit("candidates").alias("kind"), "scope", "n").unionByName(dedup.scope_counts(found, images.select("id", "dataset", "split")))
+    whole = found.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("review"), F.coalesce(F.sum(F.when(F.col("low_texture"), F.col("pairs"))), F.lit(0)).alias("low_texture")).unpivot([], ["review", "low_texture"], "scope", "n")
+    members = dedup.gray_classes(images, "dataset", "split")[0]
+    links = found.filter("a != b").select(F.col("a").alias("p"), F.col("b").alias("q"))
+    return whole.select(F.lit("candidates").alias("kind"), "scope", "n").unionByName(dedup.scope_counts(members, links, "rep"))
 
 
 def added_matches(s: SparkSession, d: str) -> DataFrame:
-    """Embeddings of val, and copies of some of train, against train: the first five exact and near matches of each."""
-    marks = derive(s, d, MARKS).withColumn("sha", F.expr("md5(cast(hash as string))"))
+    """Embeddings of val, and copies of some of train, against train: the first five exact and near matches of each, over all 64 signs."""
+    marks = derive(s, d, MARKS_64).withColumn("sha", F.expr("md5(cast(hash as string))"))
     train = marks.filter("split = 'train'")
     added = marks.filter("split = 'val'").unionByName(train.filter("id % 20 = 7").withColumn("id", F.col("id") + 1000000))
     got = dedup.matches_in_reference(added, train, RADIUS)
     return got.select("id", F.posexplode("matches").alias("place", "m")).select("id", "place", "m.*")
 
 
-ADDED_SQL = with_tables(f"""
+ADDED_SQL = in_64(with_tables(f"""
 select id, cast(place as int) as place, "with", distance, identical from (
   select *, row_number() over (partition by id order by kind, distance, "with") - 1 as place from (
     select a.id, 0 as kind, 0 as distance, r.w as "with", true as identical from added a join ref r on a.hash = r.hash
     union all select a.id, 1, cast(bit_count(xor(a.hash, r.hash)) as int), r.w, false from added a join ref r on bit_count(xor(a.hash, r.hash)) <= {RADIUS})) where place < 5""",
     marks=MARKS_DUCKDB, added="select id, hash from marks where split = 'val' union all select id + 1000000, hash from marks where split = 'train' and id % 20 = 7",
-    ref="select hash, min(id) as w from marks where split = 'train' group by 1")
+    ref="select hash, min(id) as w from marks where split = 'train' group by 1"))
 
 
 def collision_gate(s: SparkSession, d: str) -> DataFrame:

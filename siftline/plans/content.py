@@ -48,14 +48,22 @@ def two_hash_candidates(s: SparkSession, d: str, marks: str = MARKS) -> DataFram
 TWO_HASH_SQL = with_tables("select a, b, min(distance) as distance, bool_or(distance = 0) as identical from (select * from near union all select * from near2) group by 1, 2", marks=MARKS_DUCKDB, near=_NEAR, steps=STEPS_DUCKDB, near2=_NEAR.replace("marks", "steps"))
 
 
+def _with_copies(links: DataFrame, images: DataFrame) -> DataFrame:
+    """Links between classes of equal images, and each copy beside its class's name."""
+    same = dedup.copies(dedup.gray_classes(images.select("id", "gray"))[0]).withColumn("kind", F.lit("copy"))
+    return _r(links.withColumn("kind", F.lit("link")).unionByName(same, allowMissingColumns=True), "ssim")
+
+
 def two_hash_confirmed(s: SparkSession, d: str) -> DataFrame:
-    """Near duplicates by two independent hashes of gray images, confirmed by both distances and the pixels."""
-    return _r(dedup.two_hash_confirmed(derive(s, d, GRAYS).select("id", "gray")), "ssim")
+    """Near duplicates by two independent hashes of gray images, confirmed by both distances and the pixels: links between classes of equal images, and the copies."""
+    images = derive(s, d, GRAYS)
+    return _with_copies(dedup.two_hash_confirmed(images.select("id", "gray")), images)
 
 
 def near_dup_screen(s: SparkSession, d: str) -> DataFrame:
-    """Near duplicates across splits and datasets: pHash, then dHash, then pixels, with low texture marked."""
-    return _r(dedup.near_screen(derive(s, d, GRAYS)), "ssim")
+    """Near duplicates across splits and datasets: pHash, then dHash, then pixels, with low texture marked; links between classes of equal images, and the copies."""
+    images = derive(s, d, GRAYS)
+    return _with_copies(dedup.near_screen(images), images)
 
 
 def leakage_matrix(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:
