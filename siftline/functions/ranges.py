@@ -1,8 +1,10 @@
-"""Running sums and ranks over a whole group without ranking the group in one task.
+"""Places and running sums over a whole group without ranking the group in one task.
 
-The order's values are cut into ranges. Sums by range are a small table, whose
-running sums say what stands before each range; the rest is a window within a
-range. The largest piece of work is a range of a group and not the group.
+Rows are dealt out by ranges of the order, whose borders Spark samples, so that
+ranges are about equally deep however the values crowd; where the order has ties
+broken, a single value that many rows share is cut as well. Sums by range are a
+small table, whose running sums say what stands before each range; the rest is
+work within a range. Results do not depend on where the borders are.
 """
 
 from __future__ import annotations
@@ -10,32 +12,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from .lineage import cut
+
 _BEFORE = (Window.unboundedPreceding, -1)
 _SO_FAR = (Window.unboundedPreceding, 0)
 
 
-def unit_range(score: Column, ranges: int = RANGES) -> Column:
-    """The range of a score that lies between 0 and 1; what lies outside goes to the first or the last."""
-    return F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(score * ranges))).cast("int")
-
-
-def any_range(value: Column, scale: float = 100.0, ranges: int = RANGES) -> Column:
-    """The range of any finite number: it is bent into 0 to 1, steepest around 0 and half way to an end at ``scale``."""
-    return unit_range(0.5 + 0.5 * value / (F.abs(value) + scale), ranges)
+def ranged(rows: DataFrame, *order: str | Column, name: str = "_range") -> DataFrame:
+    """rows with the number of their range, which never falls along the order; written once, as another run would sample other borders."""
+    return cut(rows.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
 
 
-def running_sums(rows: DataFrame, by: list[str], score: str, ties: list[str], values: dict[str, Column], place: Column, descending: bool = True) -> DataFrame:
+def running_sums(rows: DataFrame, by: list[str], score: str, ties: list[str], values: dict[str, Column], descending: bool = True) -> DataFrame:
     """rows, ``_range`` and for each name the sum of its value over the group's rows up to this one, itself included.
 
-    The order is by score and then by ``ties``, ascending; ``place`` is the
-    range, which never falls as the score rises. Group columns are not null.
+    The order is by score and then by ``ties``, ascending; ``_range`` rises
+    along it. Group columns are not null.
     """
     way = F.desc if descending else F.asc
-    at = rows.withColumn("_range", place)
+    at = ranged(rows, *by, way(score), *ties)
     sums = at.groupBy(*by, "_range").agg(*(F.sum(v).alias(f"_s_{n}") for n, v in values.items()))
-    over = Window.partitionBy(*by).orderBy(way("_range")).rowsBetween(*_BEFORE)
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(*_BEFORE)
     before = sums.select(*by, "_range", *(F.coalesce(F.sum(f"_s_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in values))
     inner = Window.partitionBy(*by, "_range").orderBy(way(score), *ties).rowsBetween(*_SO_FAR)
     both = at.join(before, [*by, "_range"])
     return both.select(*rows.columns, "_range", *((F.sum(v).over(inner) + F.col(f"_b_{n}")).alias(n) for n, v in values.items()))
+
+
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """rows with ``number``, their place in the order from 0 on, and how many there are. Of the ranges a count each comes to the driver."""
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(counts):
+        starts.append((r["_part"], total))
+        total += r["n"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part long, _before long"))  # a row for each range
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("_part", part).join(before, "_part").select(*rows.columns, (within + F.col("_before")).alias("number")), total

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.ranges import running_sums, unit_range
+from ..functions.ranges import numbered, running_sums
 from ..functions.stats import mdd
 
 #: The double after 1: no probability reaches it.
@@ -31,7 +31,7 @@ def threshold_under_budget(scores: DataFrame, max_fpr: float, by: tuple[str, ...
     """
     ties = scores.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     totals = scores.groupBy(*by).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).filter("pos > 0 and neg > 0")
-    run = running_sums(ties, list(by), "score", [], {"tp": F.col("p"), "fp": F.col("n")}, unit_range(F.col("score")))
+    run = running_sums(ties, list(by), "score", [], {"tp": F.col("p"), "fp": F.col("n")})
     at = run.join(totals, list(by))
     each = at.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("pos")).alias("recall"), (F.col("fp") / F.col("neg")).alias("fpr"))
     never = (scores if one_label else totals).select(*by).distinct().select(*by, F.lit(NEVER).alias("threshold"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("fpr"))
@@ -149,16 +149,17 @@ def draw(replicate: Column, number: Column, n: Column, seed: int) -> Column:
 
 def bootstrap(scores: DataFrame, thresholds: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """cls, n_replicates, low, high: percentile interval of recall by class, as bootstrap_report has it."""
-    got = bootstrap_report(scores, thresholds, replicates, seed)
-    return got.filter("cls is not null").select("cls", "n_replicates", "low", "high")
+    return bootstrap_report(scores, thresholds, replicates, seed, background=False).select("cls", "n_replicates", "low", "high")
 
 
-def bootstrap_report(scores: DataFrame, thresholds: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_report(scores: DataFrame, thresholds: DataFrame, replicates: int = 1000, seed: int = 0, background: bool = True) -> DataFrame:
     """metric, cls, n_replicates, low, high: percentile intervals of recall by class and of background_alarm_fraction (cls null), drawing scenes with replacement.
 
     Where all scenes are null, images are drawn; where some are, the query
     fails. One draw serves all metrics. Units are summed first, so a replicate
-    draws rows of sums. Replicates with nothing to divide by are left out, by metric.
+    draws rows of sums. Replicates with nothing to divide by are left out, by
+    metric. Without ``background`` there is recall only, of the same draws. Units
+    are numbered by ranges of their order.
     """
     hit = (F.col("score") >= F.col("threshold")).cast("long")
     at = scores.join(thresholds.select("cls", "threshold"), "cls").withColumn("hit", hit)
@@ -170,13 +171,13 @@ def bootstrap_report(scores: DataFrame, thresholds: DataFrame, replicates: int =
     recall = at.select("scene", "image", F.lit("recall").alias("metric"), "cls", F.col("label").cast("long").alias("of"), (F.col("hit") * F.col("label")).alias("is"))
     images = at.groupBy("scene", "image", "image_id").agg(F.max("label").alias("any"), F.max("hit").alias("alarm"))
     alarm = images.select("scene", "image", F.lit("background_alarm_fraction").alias("metric"), F.lit(None).cast("int").alias("cls"), (1 - F.col("any")).cast("long").alias("of"), ((1 - F.col("any")) * F.col("alarm")).alias("is"))
-    sums = recall.unionByName(alarm).groupBy("scene", "image", "metric", "cls").agg(F.sum("of").alias("of"), F.sum("is").alias("is"))
+    sums = (recall.unionByName(alarm) if background else recall).groupBy("scene", "image", "metric", "cls").agg(F.sum("of").alias("of"), F.sum("is").alias("is"))
     sums = sums.groupBy("scene", "image").agg(F.collect_list(F.struct("metric", "cls", "of", "is")).alias("sums"))
-    unit = sums.select("sums", (F.row_number().over(Window.orderBy("scene", "image")) - 1).alias("unit"), F.count("*").over(Window.partitionBy()).alias("n"))
-    draws = unit.select("n", F.col("unit").alias("number"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select("replicate", draw(F.col("replicate"), F.col("number"), F.col("n"), seed).alias("unit"))
+    unit, n = numbered(sums, "scene", "image")
+    draws = unit.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = draws.select("replicate", draw(F.col("replicate"), F.col("number"), F.lit(n), seed).alias("unit"))
     few = draws.groupBy("replicate", "unit").agg(F.count("*").alias("times"))
-    drawn = few.join(unit.select("unit", "sums"), "unit").select("replicate", "times", F.explode("sums").alias("s")).select("replicate", "times", "s.*")
+    drawn = few.join(unit.select(F.col("number").alias("unit"), "sums"), "unit").select("replicate", "times", F.explode("sums").alias("s")).select("replicate", "times", "s.*")
     each = drawn.groupBy("metric", "cls", "replicate").agg(F.sum(F.col("times") * F.col("is")).alias("is"), F.sum(F.col("times") * F.col("of")).alias("of")).filter("of > 0").withColumn("value", F.col("is") / F.col("of"))
     return each.groupBy("metric", "cls").agg(F.count("*").alias("n_replicates"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.ranges import running_sums, unit_range
+from ..functions.ranges import running_sums
 from .matching import greedy_matches
 
 
@@ -14,10 +14,10 @@ ORDER = ["image_id", "det_idx"]
 
 
 def _envelope_sums(run: DataFrame, by: list[str]) -> DataFrame:
-    """by, s: the sum over true positives (_range, conf, image_id, det_idx, precision) of the largest precision from there on, by ranges of confidence."""
+    """by, s: the sum over true positives (_range, conf, image_id, det_idx, precision) of the largest precision from there on, by ranges of the descending ranking."""
     top = run.groupBy(*by, "_range").agg(F.max("precision").alias("_t"))
-    lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    later = top.select(*by, "_range", F.max("_t").over(lower).alias("_l"))
+    after = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    later = top.select(*by, "_range", F.max("_t").over(after).alias("_l"))
     # From the end on: a frame that ends at the current row is one running maximum, one that starts there is not.
     end = Window.partitionBy(*by, "_range").orderBy("conf", F.desc("image_id"), F.desc("det_idx")).rowsBetween(Window.unboundedPreceding, 0)
     env = run.join(later, [*by, "_range"]).select(*by, F.greatest(F.max("precision").over(end), "_l").alias("e"))
@@ -33,8 +33,8 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> Dat
     Null without ground truth, 0 without detections. Equal scores rank by image
     and detection.
     """
-    rows = cut(flags.filter("flag >= 0").select(*by, "conf", *ORDER, "flag"))
-    run = running_sums(rows, by, "conf", ORDER, {"hits": F.col("flag"), "seen": F.lit(1)}, unit_range(F.col("conf")))
+    rows = flags.filter("flag >= 0").select(*by, "conf", *ORDER, "flag")
+    run = running_sums(rows, by, "conf", ORDER, {"hits": F.col("flag"), "seen": F.lit(1)})
     got = _envelope_sums(run.filter("flag = 1").withColumn("precision", F.col("hits") / F.col("seen")), by)
     ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0)))
     return totals.join(got, by, "left").select(*by, "n_gt", ap.alias("ap"))
@@ -51,14 +51,14 @@ def stratified_ap(boxes: DataFrame, detections: DataFrame, bands: dict[str, tupl
     """
     keys = [*by, "cls"]
     match = cut(greedy_matches(boxes, detections, thresholds, by=by))
-    ranked = running_sums(match, keys, "conf", ORDER, {"rank": F.lit(1)}, unit_range(F.col("conf")))
+    ranked = running_sums(match, keys, "conf", ORDER, {"rank": F.lit(1)})
     each = F.explode(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("threshold"), F.col("sizes").alias("size"))).alias("m")
     band = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for b, (low, high) in bands.items()))).alias("b")
     wide = ranked.select(*keys, "conf", *ORDER, "rank", each).filter("m.size is not null").select("*", band)
     inside = ((F.col("m.size") >= F.col("b.low")) & (F.col("m.size") < F.col("b.high"))).cast("int")
-    rows = cut(wide.select(*keys, "b.band", "m.threshold", "conf", *ORDER, "rank", inside.alias("hit")))
+    rows = wide.select(*keys, "b.band", "m.threshold", "conf", *ORDER, "rank", inside.alias("hit"))
     groups = [*keys, "band", "threshold"]
-    run = running_sums(rows, groups, "conf", ORDER, {"hits": F.col("hit"), "ignored": 1 - F.col("hit")}, unit_range(F.col("conf")))
+    run = running_sums(rows, groups, "conf", ORDER, {"hits": F.col("hit"), "ignored": 1 - F.col("hit")})
     sums = _envelope_sums(run.filter("hit = 1").withColumn("precision", F.col("hits") / (F.col("rank") - F.col("ignored"))), groups)
     n_gt = boxes.select(*keys, "size", band).groupBy(*keys, "b.band").agg(F.count_if((F.col("size") >= F.col("b.low")) & (F.col("size") < F.col("b.high"))).alias("n_gt"))
     every = n_gt.select("*", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")).join(sums, groups, "left")

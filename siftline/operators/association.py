@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.ranges import any_range, running_sums
+from ..functions.ranges import running_sums
 
 
 def with_average_rank(df: DataFrame, col: str, by: list[str], name: str) -> DataFrame:
     """df with the rank of a column, ties averaged, by group. Distinct values are ranked, by ranges, and joined back."""
     values = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
-    run = running_sums(values, by, col, [], {"_upto": F.col("_n")}, any_range(F.col(col), 1.0), descending=False)
+    run = running_sums(values, by, col, [], {"_upto": F.col("_n")}, descending=False)
     rank = run.select(*by, col, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(rank, [*by, col])
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import coverage
 from ..functions.lineage import cut
-from ..functions.ranges import running_sums, unit_range
-from ..functions.stats import mdd, quantiles
+from ..functions.ranges import running_sums
+from ..functions.stats import linear_quantiles, mdd, quantiles
 from .matching import overlaps
 
 
@@ -30,7 +30,7 @@ def score_variants(rows: DataFrame, gamma: float = 0.5) -> DataFrame:
     """Each detection (conf, quality, flag) once per way to rank it: p, p q, p q^gamma, q, and an oracle that ranks true positives by quality within the places they hold."""
     rows = cut(rows)
     hits = rows.filter("flag = 1")
-    ranked = lambda by: running_sums(hits, ["cls"], by, ["image_id", "det_idx"], {"_k": F.lit(1)}, unit_range(F.col(by)))
+    ranked = lambda by: running_sums(hits, ["cls"], by, ["image_id", "det_idx"], {"_k": F.lit(1)})
     # The k-th true positive by confidence gives its place to the k-th by quality.
     places = ranked("conf").select("cls", "_k", F.col("conf").alias("_place"))
     moved = ranked("quality").join(places, ["cls", "_k"]).select("cls", "image_id", "det_idx", "_place")
@@ -143,9 +143,11 @@ def resume_deltas(curves: DataFrame, base: DataFrame, resumed: DataFrame, on: li
 def edge_errors(pairs: DataFrame) -> DataFrame:
     """g_cls, n, iou and the medians of the four absolute edge errors, left, top, right, bottom, in widths and heights of the box."""
     edge = lambda axis, side, sign: F.abs((F.col(f"d_{axis}") + sign * F.col(f"d_{side}") / 2 - F.col(f"g_{axis}") - sign * F.col(f"g_{side}") / 2) / F.col(f"g_{side}"))
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    four = {"left": edge("x", "w", -1), "top": edge("y", "h", -1), "right": edge("x", "w", 1), "bottom": edge("y", "h", 1)}
-    return pairs.groupBy("g_cls").agg(F.count("*").alias("n"), median("iou").alias("iou"), *(median(e).alias(k) for k, e in four.items()))
+    kinds = {"iou": F.col("iou"), "left": edge("x", "w", -1), "top": edge("y", "h", -1), "right": edge("x", "w", 1), "bottom": edge("y", "h", 1)}
+    long = pairs.select("g_cls", *(c.alias(k) for k, c in kinds.items())).unpivot(["g_cls"], list(kinds), "kind", "value")
+    middle = linear_quantiles(long, ["g_cls", "kind"], "value", {"median": 0.5})
+    wide = middle.groupBy("g_cls").agg(*(F.max(F.when(F.col("kind") == k, F.col("median"))).alias(k) for k in kinds))
+    return pairs.groupBy("g_cls").agg(F.count("*").alias("n")).join(wide, "g_cls").select("g_cls", "n", *kinds)
 
 
 def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -112,7 +112,7 @@ def matched_operating_point(s: SparkSession, d: str) -> DataFrame:
 MATCHED_SQL = with_tables("select cls, factor, recall, fpr from (select *, row_number() over (partition by cls order by round(abs(fpr - 0.05e0), 9), factor) as r from sweep) where r = 1", scores=SCORES, th=_TH, sweep=_SWEEP)
 
 
-#: Multipliers of a sweep, the grid on which a background alarm rate is met, and the rates.
+# Multipliers of a sweep, the grid on which a background alarm rate is met, and the rates.
 SWEEP = [0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0, 4.0, 6.0]
 GRID = [0.05 + i * ((12 - 0.05) / 239) for i in range(239)] + [12.0]
 TARGETS = [0.02, 0.05, 0.1]
@@ -131,6 +131,21 @@ def background_matched(s: SparkSession, d: str) -> DataFrame:
     return _r(A.background_matched(_background(s, d, GRID), TARGETS), "factor", "recall_0", "recall_1", "recall_any", "alarm")
 
 
+def _sweep_sql(factors: list[float], body: str) -> str:
+    hits = "select f as factor, image_id, s.cls, label, score >= threshold * f as hit from scores s join th on s.cls = th.cls cross join (values " + ", ".join(f"({x!r}::double)" for x in factors) + ") x(f) where split = 'test'"
+    return with_tables(body, scores=SCORES, th=_TH, hits=hits, swept="""
+select factor, avg(cast(hit as int)) filter (where cls = 0 and label = 1) as recall_0, avg(cast(hit as int)) filter (where cls = 1 and label = 1) as recall_1,
+       any_value(r) as recall_any, any_value(a) as alarm from (
+  select h.*, r, a from hits h join (select factor, avg(found) filter (where there = 1) as r, avg(alarm) filter (where there = 0) as a from (
+    select factor, image_id, max(label) as there, max(cast(hit as int)) as alarm, max(case when label = 1 then cast(hit as int) else 0 end) as found from hits group by 1, 2) group by 1) i using (factor)) group by 1""")
+
+
+BACKGROUND_SWEEP_SQL = _sweep_sql(SWEEP, "select factor, round(recall_0, 6) as recall_0, round(recall_1, 6) as recall_1, round(recall_any, 6) as recall_any, round(alarm, 6) as alarm from swept")
+BACKGROUND_MATCHED_SQL = _sweep_sql(GRID, """
+select target, round(factor, 6) as factor, round(recall_0, 6) as recall_0, round(recall_1, 6) as recall_1, round(recall_any, 6) as recall_any, round(alarm, 6) as alarm
+from (select *, row_number() over (partition by target order by abs(alarm - target) nulls first, factor) as r from swept cross join (values (0.02e0), (0.05e0), (0.1e0)) t(target)) where r = 1""")
+
+
 def _seeded(s: SparkSession, d: str) -> DataFrame:
     return _scores(s, d).withColumn("seed", (F.col("image_id") % 3).cast("int"))
 
@@ -177,6 +192,16 @@ def bootstrap_report(s: SparkSession, d: str) -> DataFrame:
     return _r(A.bootstrap_report(_scores(s, d, "test"), A.threshold_under_budget(_scores(s, d, "val"), BUDGET)), "low", "high")
 
 
+BOOTSTRAP_REPORT_SQL = with_tables("""
+, hits as (select s.*, cast(score >= threshold as int) as hit from scores s join th on s.cls = th.cls where split = 'test'),
+sums as (select scene, 'recall' as metric, cls, sum(label) as of_, sum(hit * label) as is_ from hits group by 1, 3
+  union all select scene, 'background_alarm_fraction', null, sum(1 - there), sum((1 - there) * alarm) from (select scene, image_id, max(label) as there, max(hit) as alarm from hits group by 1, 2) group by 1),
+unit as (select scene, row_number() over (order by scene) - 1 as u, count(*) over () as n from (select distinct scene from hits)),
+draws as (select r, cast(concat('0x', substr(md5(concat_ws(':', 0, r, u)), 1, 12)) as bigint) % n as u from unit cross join range(1000) x(r)),
+each as (select metric, cls, r, sum(is_) / sum(of_) as v from draws d join unit x on x.u = d.u join sums s on s.scene = x.scene group by 1, 2, 3 having sum(of_) > 0)
+select metric, cls, count(*) as n_replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from each group by 1, 2""", scores=SCORES, th=_TH).replace(")\n\n, hits", "),\nhits")
+
+
 def false_alarm_attribution(s: SparkSession, d: str) -> DataFrame:
     """Test images without any class: which classes alarm on them."""
     at = _scores(s, d, "test").join(A.threshold_under_budget(_scores(s, d, "val"), BUDGET).select("cls", "threshold"), "cls")
@@ -206,6 +231,6 @@ QUERIES = {
     "image_scores": (image_scores, IMAGE_SCORES_SQL), "alarm_threshold": (alarm_threshold, THRESHOLD_SQL), "alarm_metrics": (alarm_metrics, METRICS_SQL), "background_alarms": (background_alarms, BACKGROUND_SQL),
     "calibration_ece_brier": (calibration_ece_brier, ECE_SQL), "temperature_fit": (temperature_fit, TEMPERATURE_SQL), "operating_sweep": (operating_sweep, SWEEP_SQL),
     "matched_operating_point": (matched_operating_point, MATCHED_SQL), "fixed_vs_reselected": (fixed_vs_reselected, FIXED_SQL), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_SQL),
-    "background_sweep": (background_sweep, None), "background_matched": (background_matched, None), "bootstrap_report": (bootstrap_report, None),
+    "background_sweep": (background_sweep, BACKGROUND_SWEEP_SQL), "background_matched": (background_matched, BACKGROUND_MATCHED_SQL), "bootstrap_report": (bootstrap_report, BOOTSTRAP_REPORT_SQL),
     "false_alarm_attribution": (false_alarm_attribution, ATTRIBUTION_SQL), "hardest_negatives": (hardest_negatives, HARDEST_SQL),
 }

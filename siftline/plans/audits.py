@@ -18,15 +18,17 @@ _DATASET = "case when id % 7 = 0 then 'reference' else 'target' end"
 
 
 def pairs_by_scope(s: SparkSession, d: str) -> DataFrame:
-    """Near pairs across splits and datasets by scope, and distinct images in any, over all 64 signs."""
-    rows = derive(s, d, MARKS_64).withColumn("dataset", F.expr(_DATASET))
+    """Near pairs across splits and datasets by scope, and distinct images in any, over all 64 signs; one in twenty has a copy in test."""
+    marks = derive(s, d, MARKS_64)
+    copied = marks.filter("id % 20 = 7").select((F.col("id") + 1000000).alias("id"), F.lit("test").alias("split"), "hash")
+    rows = marks.unionByName(copied).withColumn("dataset", F.expr(_DATASET))
     return dedup.scope_counts(rows, dedup.near_classes(rows, RADIUS))
 
 
 SCOPE_SQL = in_64(with_tables("""
 select 'pairs' as kind, least(x, y) || ' <-> ' || greatest(x, y) as scope, count(*) as n from across group by 1, 2
 union all select 'images', place, count(distinct id) from (select a as id, x as place from across union all select b, y from across) group by 1, 2""",
-    marks=MARKS_DUCKDB, near=_NEAR, placed=f"select id, split, {_DATASET} as dataset, {_DATASET} || '/' || split as place from marks",
+    own=MARKS_DUCKDB, marks="select * from own union all select id + 1000000, 'test', hash from own where id % 20 = 7", near=_NEAR, placed=f"select id, split, {_DATASET} as dataset, {_DATASET} || '/' || split as place from marks",
     across="select a, b, p.place as x, q.place as y from near join placed p on p.id = a join placed q on q.id = b where p.place <> q.place and not (p.dataset = 'reference' and q.dataset = 'reference')"))
 
 

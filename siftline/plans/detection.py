@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.stats import quantiles
+from ..functions.stats import linear_quantiles, quantiles
 from ..operators import ap, association, matching
 from ..sources.fixtures import BOXES, IMAGES, PREDICTIONS, derive, with_tables
 
@@ -209,6 +209,7 @@ def stratified_ap(s: SparkSession, d: str) -> DataFrame:
     return _r(ap.stratified_ap(sized, derive(s, d, PREDICTIONS), bands, [0.5 + 0.05 * i for i in range(10)]), "ap50", "ap75", "ap")
 
 
+_BANDS = "select * from (values ('all', 0e0, 'inf'::double), ('tiny', 0e0, 32e0), ('small', 32e0, 128e0), ('large', 128e0, 'inf'::double)) b(band, low, high)"
 _STEPS = ", ".join(f"({0.5 + 0.05 * i!r}::double)" for i in range(10))
 STRATIFIED_SQL = with_tables("""
 , size as (select image_id, cls, list(px order by box_idx) as px from sized where input = 640 group by 1, 2),
@@ -220,7 +221,7 @@ gt as (select band, cls, count(*) filter (where px >= low and px < high) as n_gt
 each as (select g.band, g.cls, n_gt, x.t, case when n_gt > 0 then coalesce(s, 0) / n_gt end as ap from gt g cross join (values """ + _STEPS + """) x(t) left join env e on e.band = g.band and e.cls = g.cls and e.t = x.t)
 select band, cls, n_gt, round(max(ap) filter (where t = 0.5), 6) as ap50, round(max(ap) filter (where round(t, 2) = 0.75), 6) as ap75, round(case when n_gt > 0 then sum(ap) / 10 end, 6) as ap
 from each group by band, cls, n_gt""", images=IMAGES, **_T, sized=_SIZED, **_greedy_sql(_STEPS),
-    band_="select * from (values ('all', 0e0, 'inf'::double), ('tiny', 0e0, 32e0), ('small', 32e0, 128e0), ('large', 128e0, 'inf'::double)) b(band, low, high)").replace(")\n\n, size", "),\nsize")
+    band_=_BANDS).replace(")\n\n, size", "),\nsize")
 
 
 def score_iou_association(s: SparkSession, d: str) -> DataFrame:
@@ -236,8 +237,9 @@ select g_cls, count(*) as n, round(corr(conf, q), 6) as pearson, round(corr(rx,
 
 def geometry_summary(s: SparkSession, d: str) -> DataFrame:
     at = _sized(s, d, (640,)).withColumn("short", F.round(F.least(F.col("w") * F.col("width"), F.col("h") * F.col("height")), 6))
-    p = lambda q: F.round(F.percentile("px", F.lit(q)), 6)
-    return at.groupBy("split", "cls").agg(p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.count_if(F.col("short") < 8).alias("short8"), F.count("*").alias("n"))
+    px = linear_quantiles(at, ["split", "cls"], "px", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    counts = at.groupBy("split", "cls").agg(F.count_if(F.col("short") < 8).alias("short8"), F.count("*").alias("n"))
+    return _r(px.join(counts, ["split", "cls"]), "p05", "p50", "p95")
 
 
 GEOMETRY_SQL = with_tables("""

@@ -10,7 +10,7 @@ from ..operators import alarms as A
 from ..operators import ap, matching, reports
 from ..sources.fixtures import BOXES, IMAGES, PREDICTIONS, SCORES, derive, with_tables
 from .alarms import _P, _Q, _TH, BUDGET, _scores, calibrated_report
-from .detection import _MATCH, _T, _r, _sized
+from .detection import _BANDS, _MATCH, _SIZED, _STEPS, _T, _greedy_sql, _r, _sized
 from .reports import _C, _categorised, _matched
 
 _FIT = f"""
@@ -157,6 +157,21 @@ def cross_domain_strata(s: SparkSession, d: str) -> DataFrame:
     return _r(at.withColumn("delta", F.col("test_ap") - F.col("val_ap")), "val_ap", "test_ap", "val_share", "test_share", "delta")
 
 
+CROSS_SQL = with_tables("""
+, domain as (select image_id, split as domain from images where split <> 'train'),
+size as (select image_id, cls, list(px order by box_idx) as px from sized where input = 640 group by 1, 2),
+flags as (select domain, band, f.cls, f.t, conf, f.image_id, det_idx, case when place = 0 then 0 when px[place] >= low and px[place] < high then 1 else -1 end as flag
+  from fold f join domain o on o.image_id = f.image_id join det d on d.image_id = f.image_id and d.cls = f.cls and d.k = f.k left join size s on s.image_id = f.image_id and s.cls = f.cls cross join band_),
+run as (select *, sum(flag) over w / row_number() over w as prec, row_number() over w as n from flags where flag >= 0 window w as (partition by domain, band, cls, t order by conf desc, image_id, det_idx rows unbounded preceding)),
+env as (select domain, band, cls, t, sum(case when flag = 1 then e else 0 end) as s from (select *, max(prec) over (partition by domain, band, cls, t order by n desc rows unbounded preceding) as e from run) group by 1, 2, 3, 4),
+gt as (select domain, band, cls, count(*) filter (where px >= low and px < high) as n_gt from sized join domain using (image_id) cross join band_ where input = 640 group by 1, 2, 3),
+each as (select g.domain, g.band, g.cls, any_value(n_gt) as n_gt, sum(coalesce(s, 0)) / nullif(any_value(n_gt), 0) / 10 as ap from gt g left join env e on e.domain = g.domain and e.band = g.band and e.cls = g.cls group by 1, 2, 3),
+wide as (select band, cls, max(n_gt) filter (where domain = 'val') as val_n, max(case when n_gt > 0 then ap end) filter (where domain = 'val') as val_ap,
+                max(n_gt) filter (where domain = 'test') as test_n, max(case when n_gt > 0 then ap end) filter (where domain = 'test') as test_ap from each group by 1, 2)
+select w.band, w.cls, w.val_n, round(w.val_ap, 6) as val_ap, w.test_n, round(w.test_ap, 6) as test_ap, round(w.val_n / nullif(a.val_n, 0), 6) as val_share, round(w.test_n / nullif(a.test_n, 0), 6) as test_share, round(w.test_ap - w.val_ap, 6) as delta
+from wide w join wide a on a.cls = w.cls and a.band = 'all'""", images=IMAGES, **_T, sized=_SIZED, **_greedy_sql(_STEPS), band_=_BANDS).replace(")\n\n, domain", "),\ndomain")
+
+
 def tp_by_band(s: SparkSession, d: str) -> DataFrame:
     """Boxes and true positives at two overlaps, by class and size band."""
     at = _categorised(s, d).join(_matched(s, d).select("image_id", "box_idx", "iou"), ["image_id", "box_idx"], "left")
@@ -228,6 +243,6 @@ QUERIES = {
     "calibrated_report": (calibrated_report, CALIBRATED_SQL),
     "calibration_before_after": (calibration_before_after, BEFORE_AFTER_SQL), "background_boxes": (background_boxes, BACKGROUND_BOXES_SQL),
     "alarm_by_resolution": (alarm_by_resolution, ALARM_RESOLUTION_SQL), "recall_by_name": (recall_by_name, RECALL_NAME_SQL),
-    "zero_shot_transfer": (zero_shot_transfer, TRANSFER_SQL), "module_effects": (module_effects, EFFECTS_SQL), "cross_domain_strata": (cross_domain_strata, None),
+    "zero_shot_transfer": (zero_shot_transfer, TRANSFER_SQL), "module_effects": (module_effects, EFFECTS_SQL), "cross_domain_strata": (cross_domain_strata, CROSS_SQL),
     "tp_by_band": (tp_by_band, TP_BAND_SQL), "ranking_conflicts": (ranking_conflicts, CONFLICT_SQL), "edge_errors": (edge_errors, EDGE_SQL), "ap_by_iou_seeds": (ap_by_iou_seeds, AP_SEEDS_SQL),
 }

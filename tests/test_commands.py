@@ -174,14 +174,32 @@ def test_running_sums(spark):
     rows = [(random.randrange(2), round(random.uniform(-0.2, 1.2), 2), i, random.randrange(5)) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, s double, i int, v int")
     for down in (True, False):
-        got = {r["i"]: r["sum"] for r in ranges.running_sums(df, ["g"], "s", ["i"], {"sum": F.col("v")}, ranges.unit_range(F.col("s"), 7), down).collect()}
+        got = {r["i"]: r["sum"] for r in ranges.running_sums(df, ["g"], "s", ["i"], {"sum": F.col("v")}, down).collect()}
         for g in (0, 1):
             total = 0
             for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1] if down else r[1], r[2])):
                 total += r[3]
                 assert got[r[2]] == total
-    at = [float(r["k"]) for r in spark.createDataFrame([(x,) for x in (-1e9, -5.0, 0.0, 3.0, 1e12)], "x double").select(ranges.any_range(F.col("x")).alias("k")).collect()]
-    assert at == sorted(at) and at[0] >= 0 and at[-1] < ranges.RANGES
+
+
+def test_ranges_of_crowded_scores(spark):
+    """Scores crowded near 0, and a third of all rows at one score: no range is much deeper than the others, and results are those of one ranking."""
+    n = 60_000
+    df = spark.range(n).selectExpr("id as i", "0 as g", "case when id % 3 = 0 then 0.001D else pow((id * 7919 % 60013) / 60013D, 8) end as s").repartition(16)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run = ranges.running_sums(df, ["g"], "s", ["i"], {"place": F.lit(1)}).cache()
+        depth = [r["n"] for r in run.groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(depth) > 4 and max(depth) <= 4 * n / len(depth)
+    ranked = sorted(((r["s"], r["i"], r["place"]) for r in run.collect()), key=lambda r: (-r[0], r[1]))
+    assert [r[2] for r in ranked] == list(range(1, n + 1))
+    made, total = ranges.numbered(df, "s", "i")
+    ranked = sorted((r["s"], r["i"], r["number"]) for r in made.collect())
+    assert total == n and [r[2] for r in ranked] == list(range(n))
+    assert ranges.numbered(df.limit(0), "s", "i")[1] == 0
 
 
 def test_names_and_tags(spark):
