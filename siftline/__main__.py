@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import cut
-from .operators import alarms, ap, dedup, guards, integrity, matching, reports
+from .operators import alarms, ap, dedup, guards, matching, reports
 from .sources import images as image_files
-from .sources import labels, readers, sinks
+from .sources import readers, versions
 from .sources.protocol import read_protocol
 
 
@@ -43,8 +43,8 @@ def parser() -> argparse.ArgumentParser:
     add("audit", "output", datasets=["dfire", "fasdd"], hashes=False, radius=4)
     add("plan", "dataset", method="baseline", seed=0, tag="v1")
     add("train", "dataset", method="baseline", seed=0, tag="v1", execute=False)
-    add("check-model", "output", method="baseline", imgsz=128)
-    add("evaluate", "predictions", "dataset", "split", "output", imgsz=640, batch=16)
+    add("check-model", "output", method="baseline")
+    add("evaluate", "predictions", "dataset", "split", "output")
     add("calibrate", "predictions", "output", max_fpr=0.01)
     add("reliability", "predictions", "calibration", "output", bootstrap=1000, seed=0)
     add("benchmark", "times", "output", warmup=50)
@@ -69,43 +69,24 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def _inventory(spark: SparkSession, entry: dict) -> tuple[DataFrame, DataFrame]:
-    """Images (image_id, split, path) and parsed labels of a dataset; images without labels and labels without images are errors."""
-    root = entry["root"]
-    files = readers.file_inventory(spark, f"{root}/images").select(F.col("stem").alias("image_id"), "split", "path")
-    texts = readers.file_inventory(spark, f"{root}/labels", ("txt",)).select(F.col("stem").alias("image_id"), "split")
-    integrity.require_none(integrity.inventory_faults(files, texts, ["split", "image_id"]), "images and labels differ")
-    if files.isEmpty():
-        raise ValueError(f"no images below {root}")
-    parsed = labels.read_label_files(spark, f"{root}/labels", entry["source_names"])
-    return labels.apply_policy(files, parsed, entry["invalid_box_policy"]), parsed
-
-
 def prepare(spark: SparkSession, config: dict, dataset: str) -> dict:
-    """Write the canonical version of a dataset: images with boxes, excluded ones apart, by split."""
-    files, parsed = _inventory(spark, config["datasets"][dataset])
-    boxes = parsed.filter("reason is null").groupBy("image_id").agg(F.collect_list(F.struct("cls", "x", "y", "w", "h")).alias("boxes"))
-    out = f"{config['prepared_root']}/{dataset}"
-    at = cut(files.join(boxes, "image_id", "left"))
-    sinks.write_prepared(at.filter("not excluded").drop("excluded"), f"{out}/manifest")
-    at.filter("excluded").drop("excluded").write.mode("errorifexists").json(f"{out}/excluded")
-    n = {r["split"]: r["count"] for r in at.filter("not excluded").groupBy("split").count().collect()}
-    return {"prepared": out, "images": n, "excluded": at.filter("excluded").count()}
+    """Commit the canonical version of a dataset: manifest, label files, split lists, excluded images apart."""
+    entry, out = config["datasets"][dataset], f"{config['prepared_root']}/{dataset}"
+    rows, _ = versions.labelled(spark, dataset, entry)
+    made = versions.commit(spark, rows, out, {"dataset": dataset, "source": entry, "label_policy": entry.get("invalid_box_policy", "error")}, int(entry.get("neg_repeat", 1)))
+    return {"prepared": out, "images": made["counts"], "excluded": sum(made["excluded"].values()), "portable_content_sha256": made["portable_content_sha256"]}
 
 
 def audit(spark: SparkSession, config: dict, datasets: list[str], output: str, hashes: bool, radius: int) -> dict:
     """Counts of labels and splits, and with ``hashes`` exact and near duplicates across splits and datasets."""
-    parts = {d: _inventory(spark, config["datasets"][d]) for d in datasets}
-    both = guards.union_in_order({d: f for d, (f, _) in parts.items()})
-    parsed = guards.union_in_order({d: p for d, (_, p) in parts.items()}).select("dataset", "image_id", "cls", "reason")
-    box = parsed.groupBy("dataset", "image_id").agg(F.count_if(F.col("cls") == 0).alias("fire"), F.count_if(F.col("cls") == 1).alias("smoke"))
-    at = both.join(box, ["dataset", "image_id"], "left")
+    parts = {d: versions.labelled(spark, d, config["datasets"][d]) for d in datasets}
+    at = cut(guards.union_in_order({d: f for d, (f, _) in parts.items()}))
+    of = lambda c: F.coalesce(F.sum(F.when(~F.col("excluded"), F.size(F.filter("boxes", lambda b: b["cls"] == c)))), F.lit(0))
     counts = at.groupBy("dataset", "split").agg(
-        F.count("*").alias("images"), F.count_if(F.col("fire").isNull() & ~F.col("excluded")).alias("background"), F.count_if("excluded").alias("excluded"),
-        F.coalesce(F.sum("fire"), F.lit(0)).alias("fire_boxes"), F.coalesce(F.sum("smoke"), F.lit(0)).alias("smoke_boxes"),
+        F.count("*").alias("images"), F.count_if((F.size("boxes") == 0) & ~F.col("excluded")).alias("background"), F.count_if("excluded").alias("excluded"), of(0).alias("fire_boxes"), of(1).alias("smoke_boxes"),
     )
-    faults = parsed.filter("reason is not null").groupBy("dataset", "reason").agg(F.count("*").alias("n"))
-    result = {"counts": _rows(counts.orderBy("dataset", "split")), "label_issues": _rows(faults.orderBy("dataset", "reason"))}
+    faults = at.select("dataset", "split", F.explode("label_issues").alias("i")).groupBy("dataset", "split", "i.reason").agg(F.count("*").alias("n"))
+    result = {"counts": _rows(counts.orderBy("dataset", "split")), "label_issues": _rows(faults.orderBy("dataset", "split", "reason"))}
     if hashes:
         from .functions.pixels import dhash_left
 
@@ -113,7 +94,8 @@ def audit(spark: SparkSession, config: dict, datasets: list[str], output: str, h
         scan = scans[0]
         for s in scans[1:]:
             scan = scan.unionByName(s)
-        scan = cut(scan.select(F.col("path").alias("id"), "dataset", readers.split_of(F.col("path")).alias("split"), "sha256", "gray", "decode_error"))
+        where = at.select(F.col("image").alias("path"), "dataset", "split")  # by path, whatever the layout
+        scan = cut(scan.join(where, ["path", "dataset"]).select(F.col("path").alias("id"), "dataset", "split", "sha256", "gray", "decode_error"))
         rows = scan.filter("gray is not null").select("id", "dataset", "split", dhash_left("gray").alias("hash"))
         near = cut(dedup.cross_scope(dedup.near_pairs(rows, radius), rows, reference=""))
         near.write.mode("errorifexists").json(f"{output}/near_candidates")
@@ -217,14 +199,12 @@ def main(argv: list[str] | None = None) -> dict:
     elif a.command == "check-model":
         if a.method not in config["methods"]:
             raise ValueError(f"unknown method {a.method}")
-        result = _write({"method": config["methods"][a.method], "imgsz": a.imgsz, "checked": False, "why": "networks are not part of this library"}, a.output)
+        result = _write({"method": config["methods"][a.method], "checked": False, "why": "networks are not part of this library"}, a.output)
     elif a.command == "prepare":
         result = prepare(session(), config, a.dataset)
     elif a.command == "audit":
         result = audit(session(), config, a.datasets, a.output, a.hashes, a.radius)
     elif a.command == "evaluate":
-        if a.batch < 1 or a.imgsz < 64 or a.imgsz % 32:
-            raise ValueError("batch is positive, imgsz a multiple of 32 from 64 on")
         result = evaluate(session(), a.predictions, a.dataset, a.split, a.output)
     elif a.command == "calibrate":
         result = calibrate(session(), a.predictions, a.output, a.max_fpr)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import inventory_digest
 from ..operators import dedup, integrity, sampling
+from ..sources import versions
 from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, STEPS, STEPS_DUCKDB, derive, in_64, read, with_tables
-from ..sources.labels import parse_labels
+from ..sources.labels import NAMES, parse_labels
 from .detection import _r
 
 RADIUS = 14
@@ -154,6 +155,28 @@ select split, negative, sum(t)::bigint as n, count(*) as images, cast(max(t) as
   select i.*, not exists (select 1 from boxes b where b.image_id = i.image_id) as negative from images i)) group by 1, 2""", images=IMAGES, boxes=BOXES)
 
 
+def inventory_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Images by split with their own label file's boxes, where test, val and train have files of the same name: boxes, backgrounds, images that a faulty line excludes."""
+    stem = F.floor(F.col("image_id") / 10) * 8 + F.greatest(F.col("image_id") % 10 - 2, F.lit(0))
+    place = F.concat(F.lit("labels/"), "split", F.lit("/"), stem.cast("string"), F.lit(".txt"))
+    images = derive(s, d, IMAGES).select("image_id", "split", place.alias("label"))
+    w = F.when((F.col("image_id") % 7 == 0) & (F.col("box_idx") == 2), 0.0).otherwise(F.col("w"))
+    boxes = derive(s, d, BOXES).select("image_id", "box_idx", F.concat_ws(" ", F.col("cls"), F.col("x"), F.col("y"), w, F.col("h")).alias("text"))
+    lines = boxes.join(images, "image_id").select("label", F.col("box_idx").alias("line"), "text")
+    at, _ = versions.with_boxes(images, lines, list(NAMES), "exclude_invalid_images")
+    n = F.size("boxes")
+    return at.groupBy("split").agg(
+        F.count("*").alias("images"), F.count_if("excluded").alias("excluded"), F.count_if(~F.col("excluded") & (n == 0)).alias("background"), F.sum(F.when(~F.col("excluded"), n).otherwise(0)).alias("boxes"),
+        F.sum(F.when(~F.col("excluded"), F.col("image_id") * n).otherwise(0)).alias("weighted"), F.sum(F.size("label_issues")).cast("long").alias("issues"),
+    )
+
+
+INVENTORY_SQL = with_tables("""
+select split, count(*) as images, count(*) filter (where bad > 0) as excluded, count(*) filter (where bad = 0 and n = 0) as background, sum(case when bad = 0 then n else 0 end)::bigint as boxes,
+       sum(case when bad = 0 then n * image_id else 0 end)::bigint as weighted, sum(bad)::bigint as issues
+from (select i.image_id, any_value(i.split) as split, count(b.image_id) as n, count(b.image_id) filter (where i.image_id % 7 = 0 and box_idx = 2) as bad from images i left join boxes b on b.image_id = i.image_id group by 1) group by 1""", images=IMAGES, boxes=BOXES)
+
+
 def set_equality_gate(s: SparkSession, d: str) -> DataFrame:
     """Order ids in orders against those in lineitem: what stands on one side only, by side."""
     a, b = read(s, d, "orders").select(F.col("o_orderkey").alias("k")), read(s, d, "lineitem").select(F.col("l_orderkey").alias("k"))
@@ -208,7 +231,7 @@ from images i left join (select image_id, count(*) as n, count(*) filter (where
   count(*) filter (where least(x - w / 2, y - h / 2) < -1e-5 or greatest(x + w / 2, y + h / 2) > 1 + 1e-5) as c from boxes group by 1) b on i.image_id = b.image_id group by 1""", images=IMAGES, boxes=BOXES)
 
 QUERIES = {
-    "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "two_hash_confirmed": (two_hash_confirmed, None), "near_dup_screen": (near_dup_screen, None), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
+    "inventory_boxes": (inventory_boxes, INVENTORY_SQL), "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "two_hash_confirmed": (two_hash_confirmed, None), "near_dup_screen": (near_dup_screen, None), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
     "clean_dup_split": (clean_dup_split, CLEAN_SQL), "near_dup_components": (near_dup_components, COMPONENTS_SQL), "equivalence_survivor": (equivalence_survivor, SURVIVOR_SQL), "exclusion_reasons": (exclusion_reasons, REASONS_SQL),
     "adjacent_frames": (adjacent_frames, ADJACENT_SQL), "hash_partition": (hash_partition, HASH_SQL), "stratified_hash_sample": (stratified_hash_sample, SAMPLE_SQL), "oversample_negatives": (oversample_negatives, OVERSAMPLE_SQL),
     "set_equality_gate": (set_equality_gate, GATE_SQL), "inventory_digests": (inventory_digests, DIGEST_SQL), "label_validate": (label_validate, LABEL_SQL), "split_counts": (split_counts, SPLIT_SQL),

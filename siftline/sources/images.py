@@ -9,6 +9,7 @@ that reads them: what is kept of a file is a row.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .readers import IMAGE_SUFFIXES, all_paths, split_of
+from ..functions.lineage import cut
+from .listing import listing
+from .readers import IMAGE_SUFFIXES, split_of
 
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -185,7 +188,7 @@ def _row(path: str, length: int, data: bytes) -> tuple:
     got, sha = header(data) or (None, None, None), hashlib.sha256(data).hexdigest()
     try:
         px = np.ascontiguousarray(decode(data))
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, IndexError, struct.error, zlib.error) as e:
         return path, length, sha, *got, None, None, None, str(e)[:200]
     digest = hashlib.sha256(f"RGB:{px.shape[1]}:{px.shape[0]}:".encode() + px.tobytes()).hexdigest()
     gray = thumbnail(px)
@@ -198,26 +201,27 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_row(*r) for r in zip(b["path"], b["length"], b["content"], strict=True)], columns=names)
 
 
-def _files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """path, length, content of image files; empty ones too."""
-    plain = F.regexp_replace("path", "^file:/+", "file:/")
-    at = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain.alias("path"), "length", "content")
-    none = all_paths(spark, path).select(plain.alias("path")).join(at.select("path"), "path", "left_anti")
-    both = at.unionByName(none.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
-    return both.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+def _files(spark: SparkSession, path: str, suffixes: tuple[str, ...], per_split: int | None = None) -> DataFrame:
+    """path, length, content of image files; empty ones too. With ``per_split`` the first by path of each split, of which alone any content is read."""
+    named = listing(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).select("path", "length")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if per_split is None:
+        at = read.load(path).select("path", "content")
+    else:
+        w = Window.partitionBy(split_of(F.col("path"))).orderBy("path")
+        named = cut(named.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_split).drop("_r"))
+        some = [r["path"] for r in named.filter("length > 0").select("path").collect()]  # per_split names of each split
+        at = read.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in some]).select("path", "content") if some else read.load(path).select("path", "content").limit(0)
+    return named.join(at, "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
 
 
 def content_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, per_split: int | None = None) -> DataFrame:
     """A row for each image below a folder: digest of its bytes, size, digest of its pixels, gray thumbnail, or why it can't be decoded.
 
-    ``per_split`` takes the first files by path of each split, for a trial run.
+    ``per_split`` takes the first files by path of each split, for a trial run;
+    the others are not opened.
     """
-    files = _files(spark, path, suffixes)
-    if per_split is not None:
-        w = Window.partitionBy(split_of(F.col("path"))).orderBy("path")
-        some = files.select("path").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_split).select("path")
-        files = files.join(some, "path", "left_semi")
-    return files.select("path", "length", "content").mapInPandas(_scan, _SCAN)
+    return _files(spark, path, suffixes, per_split).select("path", "length", "content").mapInPandas(_scan, _SCAN)
 
 
 def header_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:

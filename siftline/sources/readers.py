@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .listing import listing
 from .runs import curves, run_folder, run_keys  # noqa: F401
 
 #: Detector output: a header and a list of images, boxes as positional lists (class, x, y, w, h[, confidence]).
@@ -51,19 +52,9 @@ def content_scan(spark: SparkSession, path: str) -> DataFrame:
     return wide.withColumns({c: F.conv(F.conv(F.col(c).cast("string"), 10, 16), 16, -10).cast("long") for c in ("dhash", "phash")})
 
 
-def all_paths(spark: SparkSession, path: str) -> DataFrame:
-    """path of every file below a folder, empty ones too, which Spark's readers leave out: names only, from the listing that the driver makes for any reader."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
-    return spark.createDataFrame([(n,) for n in names], "path string")
-
-
 def file_inventory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
-    """path, length, modificationTime (null for empty files), suffix, stem, split of files below a folder; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    # One spelling of local paths: the listing's has three slashes, the reader's one.
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    full = all_paths(spark, path).withColumn("path", plain("path")).join(listed.withColumn("path", plain("path")), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    at = full.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), split_of(F.col("path")).alias("split"))
+    """path, length, modificationTime, suffix, stem, split of files below a folder, empty ones too; contents are not read."""
+    at = listing(spark, path).select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), split_of(F.col("path")).alias("split"))
     return at.filter(F.col("suffix").isin(*suffixes))
 
 

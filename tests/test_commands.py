@@ -211,12 +211,12 @@ def test_names_and_tags(spark):
 def test_commands(spark, tmp_path):
     root = tmp_path / "data"
     px = np.random.default_rng(2).integers(0, 256, (20, 20, 3), dtype=np.uint8)
-    for split, n in (("train", 3), ("val", 2)):
+    for split, n in (("train", 3), ("val", 2), ("test", 1)):
         for kind in ("images", "labels"):
             (root / kind / split).mkdir(parents=True)
         for i in range(n):
             (root / f"images/{split}/{split}{i}.png").write_bytes(_png(px if i == 0 else 255 - px))
-            (root / f"labels/{split}/{split}{i}.txt").write_text("" if i == 1 else "0 0.5 0.5 0.2 0.2\n" if split == "val" or i == 0 else "0 0.5 0.5 0 0.2\n")
+            (root / f"labels/{split}/{split}{i}.txt").write_text("" if i == 1 else "0 0.5 0.5 0.2 0.2\n" if split != "train" or i == 0 else "0 0.5 0.5 0 0.2\n")
     (tmp_path / "c.yaml").write_text(CONFIG.format(root=root))
     run = lambda *a: commands.main(["--config", str(tmp_path / "c.yaml"), *map(str, a)])
     assert run("plan", "--dataset", "d", "--seed", 1)["run"] == "results/d/v1/baseline/seed1"
@@ -226,10 +226,10 @@ def test_commands(spark, tmp_path):
         run("plan", "--dataset", "d", "--seed", 9)
     assert run("check-model", "--output", tmp_path / "m.json")["checked"] is False
     got = run("prepare", "--dataset", "d")
-    assert got["images"] == {"train": 2, "val": 2} and got["excluded"] == 1
+    assert got["images"] == {"train": 2, "val": 2, "test": 1} and got["excluded"] == 1
     got = run("audit", "--datasets", "d", "--output", tmp_path / "audit", "--hashes")
-    assert [(r["split"], r["images"], r["background"], r["excluded"], r["smoke_boxes"]) for r in got["counts"]] == [("train", 3, 1, 1, 1), ("val", 2, 1, 0, 1)]
-    assert got["label_issues"][0]["reason"] == "zero_area_box" and got["exact_groups"] == 2 and got["near_pairs"] == 3
+    assert [(r["split"], r["images"], r["background"], r["excluded"], r["smoke_boxes"]) for r in got["counts"]] == [("test", 1, 0, 0, 1), ("train", 3, 1, 1, 1), ("val", 2, 1, 0, 1)]
+    assert got["label_issues"][0]["reason"] == "zero_area_box" and got["exact_groups"] == 2 and got["near_pairs"] == 5
     random.seed(1)
     for split in ("val", "test"):
         rows = []
