@@ -39,26 +39,46 @@ def _cosine(n: int) -> np.ndarray:
     return out
 
 
+#: Images that are held as numbers at once, however many a batch has: their windows take 25 kB each, several times over.
+_BLOCK = 256
+
+
+def _blocks(of, *columns: pd.Series) -> pd.Series:
+    parts = [of(*(c.iloc[k : k + _BLOCK] for c in columns)) for k in range(0, len(columns[0]), _BLOCK)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype="float64")
+
+
+def _grid_bits(gray: pd.Series, rising: bool) -> pd.Series:
+    def of(some: pd.Series) -> pd.Series:
+        s = _shrink(_images(some), 8, 9)
+        left, right = s[:, :, :-1], s[:, :, 1:]
+        return _pack((right > left if rising else left > right).reshape(len(s), 64))
+
+    return _blocks(of, gray)
+
+
 @pandas_udf(LongType())
 def dhash_left(gray: pd.Series) -> pd.Series:
     """A bit where a cell is brighter than its right neighbour, on an 8 x 9 grid. Not comparable with dhash_right."""
-    s = _shrink(_images(gray), 8, 9)
-    return _pack((s[:, :, :-1] > s[:, :, 1:]).reshape(len(s), 64))
+    return _grid_bits(gray, False)
 
 
 @pandas_udf(LongType())
 def dhash_right(gray: pd.Series) -> pd.Series:
     """A bit where the right neighbour is brighter."""
-    s = _shrink(_images(gray), 8, 9)
-    return _pack((s[:, :, 1:] > s[:, :, :-1]).reshape(len(s), 64))
+    return _grid_bits(gray, True)
 
 
 @pandas_udf(LongType())
 def phash(gray: pd.Series) -> pd.Series:
     """Signs of the low 8 x 8 block of the cosine transform against the block's median without its first value."""
     d = _cosine(32)
-    low = (d @ _images(gray) @ d.T)[:, :8, :8].reshape(-1, 64)
-    return _pack(low > np.median(low[:, 1:], axis=1, keepdims=True)) if len(low) else pd.Series([], dtype="int64")
+
+    def of(some: pd.Series) -> pd.Series:
+        low = (d @ _images(some) @ d.T)[:, :8, :8].reshape(-1, 64)
+        return _pack(low > np.median(low[:, 1:], axis=1, keepdims=True))
+
+    return _blocks(of, gray)
 
 
 def _similarity(x: np.ndarray, y: np.ndarray, axes: tuple[int, ...], ddof: int) -> np.ndarray:
@@ -74,11 +94,11 @@ def _similarity(x: np.ndarray, y: np.ndarray, axes: tuple[int, ...], ddof: int)
 @pandas_udf(DoubleType())
 def ssim_global(a: pd.Series, b: pd.Series) -> pd.Series:
     """Structural similarity of whole images."""
-    return pd.Series(_similarity(_images(a), _images(b), (1, 2), 0))
+    return _blocks(lambda x, y: pd.Series(_similarity(_images(x), _images(y), (1, 2), 0)), a, b)
 
 
 @pandas_udf(DoubleType())
 def ssim_windowed(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean similarity over 8 x 8 windows at a stride of 4, clipped to [-1, 1]."""
     cut = lambda v: np.lib.stride_tricks.sliding_window_view(_images(v), (8, 8), axis=(1, 2))[:, ::4, ::4]
-    return pd.Series(np.clip(_similarity(cut(a), cut(b), (3, 4), 1), -1, 1).mean(axis=(1, 2)))
+    return _blocks(lambda x, y: pd.Series(np.clip(_similarity(cut(x), cut(y), (3, 4), 1), -1, 1).mean(axis=(1, 2))), a, b)
