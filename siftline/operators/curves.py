@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import ranged
+
 
 def best_and_last(curves: DataFrame, by: str = "run") -> DataFrame:
     """by, best_epoch, best, last_epoch, last, n; the first of equal bests."""
@@ -39,8 +41,14 @@ def window_means(curves: DataFrame, windows: list[tuple[str, int, int]], by: str
 
 def missing_epochs(curves: DataFrame, by: str = "run") -> DataFrame:
     """Epochs from 1 to a run's last that have no row."""
-    every = curves.groupBy(by).agg(F.max("epoch").alias("m")).select(by, F.explode(F.sequence(F.lit(1), F.col("m"))).alias("epoch"))
-    return every.join(curves.select(by, "epoch"), [by, "epoch"], "left_anti")
+    return epoch_gaps(curves, by).select(by, F.explode(F.sequence("first", "last")).alias("epoch"))
+
+
+def epoch_gaps(curves: DataFrame, by: str = "run") -> DataFrame:
+    """by, first, last of each stretch of epochs from 1 on that has no row: one row however long, as after an epoch number gone wrong."""
+    before = F.coalesce(F.lag("epoch").over(Window.partitionBy(by).orderBy("epoch")), F.lit(0))
+    at = curves.filter("epoch >= 1").select(by, "epoch").distinct().withColumn("first", (before + 1).cast(curves.schema["epoch"].dataType))
+    return at.filter("epoch > first").select(by, "first", (F.col("epoch") - 1).cast(curves.schema["epoch"].dataType).alias("last"))
 
 
 def same_epoch(curves: DataFrame, a: str, b: str, on: list[str], by: str = "seed") -> DataFrame:
@@ -52,12 +60,32 @@ def same_epoch(curves: DataFrame, a: str, b: str, on: list[str], by: str = "seed
 def nearest_step(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Each left row (on, step) with the right row (on, step, epoch, metric) of the closest step; the earliest epoch of ties.
 
-    The right side's steps are a few per key and ordered: each left row looks
-    into an array of its key's steps.
+    Both sides stand in one order of key and step, cut into ranges. In a range
+    a running value holds the right row last met, from either end; what a range
+    has none of comes from a table of the ranges' first and last right rows. So
+    a key with any number of steps is many tasks, and a row looks at two others.
+    Left rows whose key the right side lacks are left out, null keys too.
     """
-    steps = right.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("step", "epoch", "metric"))).alias("s"))
-    closest = F.array_min(F.transform("s", lambda r: F.struct(F.abs(r["step"] - F.col("step")).alias("gap"), r["epoch"].alias("epoch"), r["step"].alias("step"), r["metric"].alias("metric"))))
-    return left.join(steps, on).withColumn("_m", closest).select(*left.columns, F.col("_m.epoch").alias("near_epoch"), F.col("_m.step").alias("near_step"), F.col("_m.metric").alias("near_metric"), F.col("_m.gap").alias("gap"))
+    known = " and ".join(f"`{c}` is not null" for c in ["step", *on])
+    one = right.filter(known).groupBy(*on, "step").agg(F.min(F.struct("epoch", "metric")).alias("_r"))
+    row, none = F.struct(*left.columns), lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kind_l, kind_r = left.select(row.alias("x")).schema["x"].dataType, one.schema["_r"].dataType
+    both = left.filter(known).select(*on, "step", row.alias("_l"), none("_r", kind_r)).unionByName(one.select(*on, "step", none("_l", kind_l), "_r"))
+    at = ranged(both.withColumn("_s", F.monotonically_increasing_id()), *on, "step", "_s")
+    met = F.when(F.col("_r").isNotNull(), F.struct("step", F.col("_r.epoch").alias("epoch"), F.col("_r.metric").alias("metric")))
+    at = at.withColumn("_m", met)
+    within, order = Window.partitionBy(*on, "_range"), [F.col("step"), F.col("_s")]
+    so_far = lambda *o: within.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({"_before": F.last("_m", True).over(so_far(*order)), "_after": F.last("_m", True).over(so_far(*(c.desc() for c in order)))})
+    ends = at.filter("_m is not null").groupBy(*on, "_range").agg(F.max("_m").alias("_high"), F.min("_m").alias("_low"))
+    cells = at.select(*on, "_range").distinct().join(ends, [*on, "_range"], "left")
+    other = lambda o: Window.partitionBy(*on).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*on, "_range", F.last("_high", True).over(other(F.asc("_range"))).alias("_lower"), F.last("_low", True).over(other(F.desc("_range"))).alias("_upper"))
+    near = at.filter("_l is not null").join(cells, [*on, "_range"])
+    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["step"] - F.col("step")).alias("gap"), c["epoch"].alias("epoch"), c["step"].alias("step"), c["metric"].alias("metric")))
+    best = F.least(gap(F.coalesce("_before", "_lower")), gap(F.coalesce("_after", "_upper")))
+    got = near.select("_l", best.alias("_b")).filter("_b is not null")
+    return got.select("_l.*", F.col("_b.epoch").alias("near_epoch"), F.col("_b.step").alias("near_step"), F.col("_b.metric").alias("near_metric"), F.col("_b.gap").alias("gap"))
 
 
 def pareto(rows: DataFrame, cost: str, value: str, by: list[str], tie: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .listing import listing
+from ..functions.lineage import cut
+from .listing import listing, qualified
 from .runs import curves, run_folder, run_keys  # noqa: F401
 
 #: Detector output: a header and a list of images, boxes as positional lists (class, x, y, w, h[, confidence]).
@@ -92,10 +94,64 @@ def exposure_log(spark: SparkSession, path: str, stream: bool = False) -> DataFr
     return (spark.readStream if stream else spark.read).schema(EXPOSURE).json(path)
 
 
-def flat_json(document: Column) -> Column:
-    """path -> double of a JSON text: numbers only, nested names joined by dots; text, booleans and nulls drop."""
-    leaf = F.from_json(document, T.MapType(T.StringType(), T.StringType()))
-    number = lambda m: F.map_filter(m, lambda k, v: v.try_cast("double").isNotNull())
-    inner = F.flatten(F.transform(F.map_entries(F.map_filter(leaf, lambda k, v: v.startswith("{"))), lambda e: F.map_entries(F.transform_keys(number(F.from_json(e["value"], T.MapType(T.StringType(), T.StringType()))), lambda k, v: F.concat(e["key"], F.lit("."), k)))))
-    both = F.concat(F.map_entries(number(leaf)), inner)
-    return F.transform_values(F.map_from_entries(both), lambda k, v: v.cast("double"))
+def json_leaves(documents: DataFrame, document: str, *keep: str) -> DataFrame:
+    """``keep`` columns, path, value of every number in JSON texts, at any depth: names joined by dots, places in lists as [0]; text, booleans and nulls drop, and texts that are no JSON.
+
+    Each round takes one level apart, for all documents at once, until none has
+    another: as many rounds as the deepest document has levels.
+    """
+    spark = documents.sparkSession
+    level = documents.select(*keep, F.lit("").alias("path"), F.try_parse_json(document).alias("_v")).filter("_v is not null")
+    done = []
+    while True:
+        level = cut(level.withColumn("_k", F.schema_of_variant("_v")))
+        nested = F.col("_k").startswith("OBJECT") | F.col("_k").startswith("ARRAY")
+        number = (F.col("_k") == "BIGINT") | (F.col("_k") == "DOUBLE") | (F.col("_k") == "FLOAT") | F.col("_k").startswith("DECIMAL")
+        done.append(level.filter(number).select(*keep, "path", F.variant_get("_v", "$", "double").alias("value")))
+        if level.filter(nested).isEmpty():
+            break
+        inner = level.filter(nested).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_inner")))
+        name = F.when(F.col("_key").isNull(), F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "_key"))
+        level = inner.select(*keep, name.alias("path"), F.col("_inner").alias("_v"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def resolve_splits(spark: SparkSession, root: str, entries: Mapping[str, str | Sequence[str] | None]) -> DataFrame:
+    """split, path of the images that entries (split: a folder, a list file ending in .txt, an image, or several of these) name, as a data.yaml does.
+
+    Folders are searched with all below them; a list's relative lines start at
+    its own folder; other suffixes than images' are left out. A relative path
+    that leaves the root by .. is an error. An image named twice by a split is
+    one row. None, or a folder without images, gives no rows.
+    """
+    top, parts = qualified(spark, root).rstrip("/"), []
+    image = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_SUFFIXES)
+
+    def below(path: str) -> str:
+        if ".." in path.split("/"):
+            raise ValueError(f"{path} leaves the root")
+        return qualified(spark, path) if path.startswith("/") or "://" in path or path.startswith("file:") else f"{top}/{path.removeprefix('./')}".rstrip("/")
+
+    for split, value in entries.items():
+        for one in [value] if isinstance(value, str) else value or []:
+            full = below(one)
+            if full.endswith(".txt"):
+                folder = full.rpartition("/")[0]
+                entry = F.trim("entry")
+                lines = spark.read.text(full).select(F.col("value").alias("entry")).filter(F.trim("entry") != "")
+                out = F.concat(F.lit("/"), entry, F.lit("/")).contains("/../")
+                relative = ~(entry.startswith("/") | entry.contains(":/"))
+                path = F.when(out, F.raise_error(F.concat(F.lit("leaves the root: "), entry))).when(relative, F.concat(F.lit(folder + "/"), F.regexp_replace(entry, r"^\./", ""))).when(entry.startswith("/"), F.concat(F.lit(top.partition(":")[0] + ":"), entry)).otherwise(entry)
+                found = lines.select(path.alias("path")).filter(image)
+            elif full.rpartition(".")[2].lower() in IMAGE_SUFFIXES:
+                found = spark.createDataFrame([(full,)], "path string")
+            else:
+                found = listing(spark, full).select("path").filter(image)
+            parts.append(found.select(F.lit(split).alias("split"), "path"))
+    out = spark.createDataFrame([], "split string, path string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct()

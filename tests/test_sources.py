@@ -68,8 +68,39 @@ def test_curves_and_run_keys(spark, tmp_path):
 def test_yaml_and_flat_json(spark, tmp_path):
     (tmp_path / "data.yaml").write_text("# c\nimgsz: 640 # px\nname: 'x'\nlist:\n  - 1\n")
     assert {r["key"]: r["value"] for r in readers.yaml_keys(spark, str(tmp_path / "data.yaml")).collect()} == {"imgsz": "640", "name": "x", "list": ""}
-    r = spark.createDataFrame([('{"a": 1, "b": {"c": 2.5, "d": "x"}, "e": true}',)], "j string").select(readers.flat_json(F.col("j")).alias("m")).first()
-    assert r["m"] == {"a": 1.0, "b.c": 2.5}
+
+
+def _flat(x, at=""):
+    if isinstance(x, dict):
+        return {p: v for k, y in x.items() for p, v in _flat(y, f"{at}.{k}" if at else k).items()}
+    if isinstance(x, list):
+        return {p: v for k, y in enumerate(x) for p, v in _flat(y, f"{at}[{k}]").items()}
+    return {at: float(x)} if isinstance(x, (int, float)) and not isinstance(x, bool) else {}
+
+
+def test_json_leaves_at_any_depth(spark):
+    docs = [{"a": 1, "b": {"c": 2.5, "d": "x"}, "e": True}, {"a": {"b": {"c": {"d": [1, {"e": [[2], "3", None]}], "f g": -1e30}}}, "n": None}, [1, [2]], 7, {}, {"x.y": {"z": 0.1}}]
+    rows = [(k, json.dumps(d)) for k, d in enumerate(docs)] + [(90, None), (91, "{broken"), (92, '"text"')]
+    got = {}
+    for r in readers.json_leaves(spark.createDataFrame(rows, "id long, doc string"), "doc", "id").collect():
+        got.setdefault(r["id"], {})[r["path"]] = r["value"]
+    assert got == {k: _flat(d) for k, d in enumerate(docs) if _flat(d)}
+    assert readers.json_leaves(spark.createDataFrame([], "id long, doc string"), "doc", "id").count() == 0
+
+
+def test_splits_in_all_forms(spark, tmp_path):
+    for n in ("images/train/a.jpg", "images/train/deep/b.PNG", "images/val/c.jpg", "images/val/note.md", "more/d.jpg", "lists/e.jpg"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    (tmp_path / "lists/test.txt").write_bytes(f"./e.jpg\r\n\n{tmp_path}/more/d.jpg\nnote.md\n./e.jpg\n".encode())
+    (tmp_path / "lists/bad.txt").write_text("../more/d.jpg\n")
+    got = readers.resolve_splits(spark, str(tmp_path), {"train": ["images/train", f"{tmp_path}/more"], "val": "./images/val/", "test": "lists/test.txt", "one": "more/d.jpg", "none": None})
+    assert sorted((r["split"], r["path"].removeprefix(f"file:{tmp_path}/")) for r in got.collect()) == [("one", "more/d.jpg"), ("test", "lists/e.jpg"), ("test", "more/d.jpg"), ("train", "images/train/a.jpg"), ("train", "images/train/deep/b.PNG"), ("train", "more/d.jpg"), ("val", "images/val/c.jpg")]
+    assert readers.resolve_splits(spark, str(tmp_path), {}).count() == 0
+    with pytest.raises(Exception, match="leaves the root"):
+        readers.resolve_splits(spark, str(tmp_path), {"x": "lists/bad.txt"}).collect()
+    with pytest.raises(ValueError, match="leaves the root"):
+        readers.resolve_splits(spark, str(tmp_path), {"x": "../other"})
 
 
 def test_sinks(spark, tmp_path):
