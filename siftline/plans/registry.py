@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alarms, audits, content, detection, events, reports, runs, transfer
+from . import alarms, audits, content, detection, events, reports, runs, summaries, transfer
 
-_ALL = detection.QUERIES | alarms.QUERIES | content.QUERIES | runs.QUERIES | events.QUERIES | reports.QUERIES | transfer.QUERIES | audits.QUERIES
+_ALL = detection.QUERIES | alarms.QUERIES | content.QUERIES | runs.QUERIES | events.QUERIES | reports.QUERIES | transfer.QUERIES | audits.QUERIES | summaries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
