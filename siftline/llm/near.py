@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+from ..operators.dedup import components
 from .common import cut
 
 T, ROWS, BANDS, HASHED = 2048, 5, 40, 512
@@ -148,24 +149,6 @@ def _sets(width: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (smallest node reachable) from edges a, b; nodes without edges are absent.
-
-    Each round takes the smallest label around and then the label's own label,
-    so paths shorten by more than half a round; every round ends in a checkpoint.
-    """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        near = labels.join(around, labels["node"] == around["a"]).select("node", "label", F.least("label", "m").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        new = cut(near.join(up, "to").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
-
-
 def _close(a: str, b: str):
     """Sizes and bits of two nodes allow a link."""
     far = sum(F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(T // 64))
