@@ -12,6 +12,7 @@ from .common import cut, fresh_dir, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation's formatted text reads back as, and one more that holds control strings; null texts are empty."""
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     done = chat.from_table(rows).select("conv_id", chat.format_chat(F.col("turns")).alias("formatted"))
@@ -38,10 +39,12 @@ from esc group by conv_id
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the rules, ratio and verdict of every document; null, empty and blank texts have no words and fail."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts; null counts as empty."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
@@ -82,6 +85,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of documents that are similar over word pairs; texts without words are linked with nothing."""
     return near.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
@@ -96,6 +100,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataF
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archives have it, response or revisit; a null html is an empty payload."""
     folder = fresh_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -132,6 +137,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source size, target and words taken of every document; null and wordless texts have size 0 and give none."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 

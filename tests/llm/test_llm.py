@@ -115,6 +115,14 @@ def test_clashing_names(spark):
     clash = docs.withColumns({c: F.lit(7) for c in ("row", "plain", "n", "t0", "counts", "tokenizer", "tokens")})
     made = [rollup.of(rollup.counted(x, {"w": rollup.as_is}, {"b": (BYTE_BPE, rollup.as_is)}), "w", "b").collect() for x in (docs, clash)]
     assert made[0] == made[1] and len(made[0]) == 2
+    some = spark.createDataFrame([(k, f"word {k} a.b@c.de +1 (222) 555-1234 " + "x y " * k, "en", f"s{k % 2}") for k in range(6)], "doc_id long, text string, lang string, source string")
+    clash = some.withColumns({c: F.lit(7) for c in ("place", "shard", "w", "n", "mark", "size", "target", "base", "more", "spans", "kind", "pattern", "ids", "start", "block", "file", "plain")})
+    folders = [common.fresh_dir(spark, "test") for _ in range(2)]
+    for x, f in zip((some, clash), folders, strict=True):
+        tokenfile.write(x, f, BYTE_BPE)
+    for both in ([tokenfile.checksums(spark, f) for f in folders], [pii.find(x) for x in (some, clash)], [mixing.mix(x) for x in (some, clash)]):
+        rows = [sorted(map(str, df.collect())) for df in both]
+        assert rows[0] == rows[1] and len(rows[0]) == 6
 
 
 # --- chat ---
