@@ -82,8 +82,10 @@ def audit(spark: SparkSession, config: dict, datasets: list[str], output: str, h
     parts = {d: versions.labelled(spark, d, config["datasets"][d]) for d in datasets}
     at = cut(guards.union_in_order({d: f for d, (f, _) in parts.items()}))
     of = lambda c: F.coalesce(F.sum(F.when(~F.col("excluded"), F.size(F.filter("boxes", lambda b: b["cls"] == c)))), F.lit(0))
+    outside = lambda b: (F.least(b["x"] - b["w"] / 2, b["y"] - b["h"] / 2) < -1e-5) | (F.greatest(b["x"] + b["w"] / 2, b["y"] + b["h"] / 2) > 1 + 1e-5)
     counts = at.groupBy("dataset", "split").agg(
         F.count("*").alias("images"), F.count_if((F.size("boxes") == 0) & ~F.col("excluded")).alias("background"), F.count_if("excluded").alias("excluded"), of(0).alias("fire_boxes"), of(1).alias("smoke_boxes"),
+        F.coalesce(F.sum(F.when(~F.col("excluded"), F.size(F.filter("boxes", outside)))), F.lit(0)).alias("boundary_crossing_boxes"),
     )
     faults = at.select("dataset", "split", F.explode("label_issues").alias("i")).groupBy("dataset", "split", "i.reason").agg(F.count("*").alias("n"))
     result = {"counts": _rows(counts.orderBy("dataset", "split")), "label_issues": _rows(faults.orderBy("dataset", "split", "reason"))}

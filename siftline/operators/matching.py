@@ -56,13 +56,15 @@ def greedy_matches(boxes: DataFrame, detections: DataFrame, thresholds: list[flo
     at = at.withColumn("m", F.transform("det", lambda x: F.transform("gt", lambda y: over(y, x))))
 
     def fold(t: float) -> Column:
-        def step(used: Column, row: Column) -> Column:
-            free = F.transform(row, lambda v, i: F.when(F.array_contains(used, i), -1.0).otherwise(v))
+        def step(s: Column, row: Column) -> Column:
+            free = F.zip_with(row, s["taken"], lambda v, used: F.when(used, -1.0).otherwise(v))
             best = F.array_max(free)
             hit = (best >= t) & ((best > 0) if strict else (best >= 0))
-            return F.concat(used, F.array(F.when(hit, F.array_position(free, best) - 1).otherwise(-1).cast("int")))
+            place = F.when(hit, F.array_position(free, best) - 1).otherwise(-1).cast("int")
+            return F.struct(F.transform(s["taken"], lambda used, i: used | (i == place)).alias("taken"), F.concat(s["out"], F.array(place)).alias("out"))
 
-        return F.aggregate("m", F.array().cast("array<int>"), step)
+        start = F.struct(F.transform("gt", lambda _: F.lit(False)).alias("taken"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate("m", start, step)["out"]
 
     taken = at.select(*keys, "det", "gt", *(fold(t).alias(f"t{k}") for k, t in enumerate(thresholds)))
     each = taken.select(*keys, "gt", F.posexplode("det").alias("k", "d"), *(f"t{k}" for k in range(len(thresholds))))

@@ -266,6 +266,25 @@ def load(spark: SparkSession, out: str, verify: bool = True, rehash: bool = Fals
     return meta, rows
 
 
+def subset(spark: SparkSession, source: str, keep: DataFrame, out: str, metadata: Mapping) -> dict:
+    """Commit the images of a version, verified, whose id is in ``keep``, as a version of its own that names its source; a split that keeps none is left out."""
+    meta, rows = load(spark, source)
+    some = cut(rows.filter("copy = 1").drop("copy").join(keep.select("id").distinct(), "id", "left_semi"))
+    there = tuple(s for s in meta["splits"] if not some.filter(F.col("split") == s).isEmpty())
+    at = some.withColumns({"stem": _stem("label"), "excluded": F.lit(False), "label_issues": F.array().cast("array<struct<line:int,reason:string>>")})
+    return commit(spark, at, out, {**metadata, "subset_of": meta["files_sha256"]}, splits=there, names=tuple(meta["names"]))
+
+
+def backfill(spark: SparkSession, root: str, write: bool = False, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """split, label: the label files that images of a dataset (images/<split>/, labels/<split>/) lack. With ``write`` they are made, empty, by the tasks; else nothing is written."""
+    top = qualified(spark, root).rstrip("/")
+    at = lambda kind, suffixes: _files(spark, f"{top}/{kind}", suffixes).select(F.regexp_extract("path", rf"/{kind}/([^/]+)/[^/]+$", 1).alias("split"), "stem").filter(F.col("split").isin(*splits)).distinct()
+    missing = cut(at("images", IMAGE_SUFFIXES).join(at("labels", ("txt",)), ["split", "stem"], "left_anti").select("split", F.concat_ws("/", F.lit("labels"), "split", F.concat("stem", F.lit(".txt"))).alias("label")))
+    if write:
+        missing.select("label", F.lit("").alias("text")).mapInArrow(_write_texts(top), "n long").agg(F.sum("n")).collect()
+    return missing
+
+
 def hashed(spark: SparkSession, images: DataFrame) -> DataFrame:
     """images with image_sha256, the digest of each file's bytes."""
     folders = [r["f"] for r in images.select(F.regexp_extract("image", r"^(.*)/[^/]+$", 1).alias("f")).distinct().collect()]

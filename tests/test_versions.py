@@ -102,6 +102,26 @@ def test_a_version(spark, tmp_path, version):
     assert other["portable_content_sha256"] == made["portable_content_sha256"] and not other["image_content_hashed"]
 
 
+def test_a_subset(spark, tmp_path, version):
+    out, made = version
+    keep = spark.createDataFrame([("x/train/b c.png",), ("x/val/a.png",), ("none",)], "id string")
+    got = versions.subset(spark, out, keep, str(tmp_path / "prepared/part"), {"dataset": "x", "subset": "clean"})
+    meta, rows = versions.load(spark, str(tmp_path / "prepared/part"), rehash=True)
+    assert got == meta and meta["subset_of"] == made["files_sha256"] and meta["counts"] == {"train": 1, "val": 1}
+    assert sorted((r["id"], len(r["boxes"])) for r in rows.collect()) == [("x/train/b c.png", 0), ("x/val/a.png", 2)]
+
+
+def test_backfill(spark, tmp_path):
+    entry = _first(tmp_path, FILES)
+    for k in ("val/a", "train/b c"):
+        (tmp_path / f"labels/{k}.txt").unlink()
+    want = [("train", "labels/train/b c.txt"), ("val", "labels/val/a.txt")]
+    assert sorted(map(tuple, versions.backfill(spark, str(tmp_path)).collect())) == want and not (tmp_path / want[0][1]).exists()
+    assert sorted(map(tuple, versions.backfill(spark, str(tmp_path), write=True).collect())) == want
+    assert all((tmp_path / p).read_bytes() == b"" for _, p in want) and versions.backfill(spark, str(tmp_path)).count() == 0
+    assert versions.inventory(spark, "x", entry).count() == len(FILES)
+
+
 def _edit(folder, change):
     """Change the first visible file with content below a folder, and what guards its bytes."""
     f = next(p for p in sorted(folder.rglob("*")) if p.is_file() and p.name[0] not in "._" and p.stat().st_size)
