@@ -9,12 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, ShortType
+
+
+def packed(images: DataFrame, gray: str = "gray") -> Column:
+    """Whole numbers of 0 to 255 as one byte each, 128 below; other arrays as they are. Other whole numbers are an error."""
+    whole = isinstance(images.schema[gray].dataType.elementType, (IntegerType, LongType, ShortType))
+    return F.transform(gray, lambda v: (v - 128).cast("tinyint")) if whole else F.col(gray)
 
 
 def _images(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, float).reshape(32, 32) for v in col]) if len(col) else np.empty((0, 32, 32))
+    """Pixels as numbers; arrays of bytes are packed ones."""
+    plain = lambda v: v.astype(float) + 128 if v.dtype == np.int8 else np.asarray(v, float)
+    return np.stack([plain(np.asarray(v)).reshape(32, 32) for v in col]) if len(col) else np.empty((0, 32, 32))
 
 
 def _pack(bits: np.ndarray) -> pd.Series:

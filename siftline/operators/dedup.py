@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import band_value, bands, hamming
 from ..functions.lineage import Written, cut
-from ..functions.pixels import dhash_left, dhash_right, phash, ssim_global, ssim_windowed
+from ..functions.pixels import dhash_left, dhash_right, packed, phash, ssim_global, ssim_windowed
 
 
 def exact_groups(df: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -60,12 +60,11 @@ def _both(edges: DataFrame, rows: DataFrame, *names: str, id_: str = "id") -> Da
 
 
 def gray_classes(images: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
-    """Images (id, gray) by equal gray values: members (id, rep, ``names``) and classes (rep, n, gray), each named by its smallest id. Images without gray are in none."""
-    at = images.filter("gray is not null").select("id", *names, F.sha2(F.array_join(F.col("gray").cast("array<string>"), ","), 256).alias("_c"))
+    """Images (id, gray) by equal gray values: members (id, rep, ``names``) and classes (rep, n, gray), each named by its smallest id. Images without gray are in none. Gray values are packed."""
+    at = cut(images.filter("gray is not null").select("id", *names, F.sha2(F.array_join(F.col("gray").cast("array<string>"), ","), 256).alias("_c")))
     least = at.groupBy("_c").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    members = cut(at.join(least, "_c").select("id", "rep", *names))
-    found = members.groupBy("rep").agg(F.count("*").alias("n"))
-    return members, images.select(F.col("id").alias("rep"), "gray").join(found, "rep").select("rep", "n", "gray")
+    members = at.join(least, "_c").select("id", "rep", *names)
+    return members, images.select(F.col("id").alias("rep"), packed(images).alias("gray")).join(least, "rep").select("rep", "n", "gray")
 
 
 def copies(members: DataFrame) -> DataFrame:
@@ -86,12 +85,12 @@ def two_hash_confirmed(images: DataFrame, near: int = 5, dhash_max: int = 18, ph
     classes, ``pairs`` the pairs of images the link stands for. Within a class
     all are confirmed; gray_classes has the members.
     """
-    classes = gray_classes(images.select("id", "gray"))[1]
+    classes = cut(gray_classes(images.select("id", "gray"))[1])
     marks = cut(classes.select("rep", "n", dhash_right("gray").alias("dhash"), phash("gray").alias("phash")))
     found = near_pairs(marks, near, "rep", "dhash").unionByName(near_pairs(marks, near, "rep", "phash")).select("a", "b").distinct()
     at = _both(found, marks, "dhash", "phash", "n", id_="rep").select("a", "b", (F.col("a_n") * F.col("b_n")).alias("pairs"), hamming(F.col("a_dhash"), F.col("b_dhash")).alias("dhash_distance"), hamming(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"))
     at = at.filter((F.col("dhash_distance") <= dhash_max) & (F.col("phash_distance") <= phash_max))
-    out = _both(at, images, "gray").select("a", "b", "pairs", "dhash_distance", "phash_distance", ssim_windowed("a_gray", "b_gray").alias("ssim"))
+    out = _both(at, classes, "gray", id_="rep").select("a", "b", "pairs", "dhash_distance", "phash_distance", ssim_windowed("a_gray", "b_gray").alias("ssim"))
     return out.filter((F.col("ssim") >= ssim_min) | ((F.col("dhash_distance") <= dhash_tight) & (F.col("phash_distance") <= phash_tight)))
 
 
@@ -104,6 +103,7 @@ def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_
     counts the pairs of images; a = b is a class in several places.
     """
     members, classes = gray_classes(images, "dataset", "split")
+    members, classes = cut(members), cut(classes)
     marks = cut(classes.select("rep", dhash_left("gray").alias("dhash"), phash("gray").alias("phash")))
     near = near_pairs(marks, phash_max, "rep", "phash").unionByName(marks.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance"))).withColumnRenamed("distance", "phash_distance")
     at = _both(near, marks, "dhash", id_="rep")
@@ -112,10 +112,11 @@ def near_screen(images: DataFrame, phash_max: int = 4, dhash_max: int = 4, ssim_
     pairs = pairs.groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("pairs"))
 
     def texture(gray: str) -> Column:
-        total = lambda of: F.aggregate(gray, F.lit(0.0), lambda s, v: s + of(v))
+        # As doubles: a byte's square is none. The deviation is that of the packed values too.
+        total = lambda of: F.aggregate(gray, F.lit(0.0), lambda s, v: s + of(v.cast("double")))
         return F.sqrt(total(lambda v: v * v) / F.size(gray) - F.pow(total(lambda v: v) / F.size(gray), 2))
 
-    out = _both(at.join(pairs, ["a", "b"]), images, "gray").withColumn("ssim", ssim_global("a_gray", "b_gray")).filter(F.col("ssim") >= ssim_min)
+    out = _both(at.join(pairs, ["a", "b"]), classes, "gray", id_="rep").withColumn("ssim", ssim_global("a_gray", "b_gray")).filter(F.col("ssim") >= ssim_min)
     return out.select("a", "b", "pairs", "phash_distance", "dhash_distance", "ssim", (F.least(texture("a_gray"), texture("b_gray")) < flat).alias("low_texture"))
 
 
