@@ -87,3 +87,31 @@ def run_report(runs: DataFrame, cost: str, value: str, family: list[str], run: s
     known = runs.filter(F.col(cost).isNotNull())
     front = C.pareto(known, cost, value, family, run).select(run, F.lit(True).alias("frontier"))
     return runs.join(front, run, "left").withColumn("frontier", F.coalesce("frontier", F.lit(False)))
+
+
+def ladder_report(curves: DataFrame, base: int, epochs: list[int], on: list[str]) -> DataFrame:
+    """on, rung, kind, epoch, step, base, other, delta of curves (on, rung, epoch, step, metric): every other rung against the base rung at some of its epochs.
+
+    kind ``epoch`` takes the rung's row of the same epoch, ``step`` its row of
+    the closest cumulative step (the earliest epoch of ties); other and delta,
+    in hundredths, are null where there is no such row.
+    """
+    at = cut(curves.select(*on, "rung", "epoch", "step", "metric"))
+    own = at.filter((F.col("rung") == base) & F.col("epoch").isin(epochs)).select(*on, "epoch", "step", F.col("metric").alias("base"))
+    rungs = at.filter(F.col("rung") != base).select(*on, "rung").distinct()
+    left = cut(own.join(rungs, on))
+    same = left.join(at.select(*on, "rung", "epoch", F.col("metric").alias("other")), [*on, "rung", "epoch"], "left").withColumn("kind", F.lit("epoch"))
+    near = C.nearest_step(left, at.filter(F.col("rung") != base), [*on, "rung"]).withColumn("other", F.col("near_metric")).withColumn("kind", F.lit("step"))
+    names = [*on, "rung", "kind", "epoch", "step", "base", "other"]
+    return same.select(*names).unionByName(near.select(*names)).withColumn("delta", 100 * (F.col("other") - F.col("base")))
+
+
+def version_counts(rows: DataFrame) -> DataFrame:
+    """split, images, background, first_only, second_only, both, first_boxes, second_boxes of manifest rows (split, boxes)."""
+    n = lambda c: F.size(F.filter("boxes", lambda b: b["cls"] == c))
+    at = rows.select("split", n(0).alias("a"), n(1).alias("b"))
+    a, b = F.col("a") > 0, F.col("b") > 0
+    return at.groupBy("split").agg(
+        F.count("*").alias("images"), F.count_if(~a & ~b).alias("background"), F.count_if(a & ~b).alias("first_only"), F.count_if(~a & b).alias("second_only"), F.count_if(a & b).alias("both"),
+        F.sum("a").alias("first_boxes"), F.sum("b").alias("second_boxes"),
+    )

@@ -132,7 +132,39 @@ ONLINE_SQL = in_64(with_tables(f"""
 select 'link' as kind, least(x.a, y.a) as a, greatest(x.a, y.a) as b, bit_count(xor(x.hash, y.hash))::int as distance, 1::bigint as n from cls x join cls y on x.a < y.a where bit_count(xor(x.hash, y.hash)) <= {RADIUS}
 union all select 'copies', a, null, 0, n - 1 from cls where n > 1""", own=MARKS_DUCKDB, marks=_COPIES).replace(")\n\n, cls", "),\ncls"))
 
+EPOCHS = [1, 5, 10, 20, 30, 40]
+
+
+def ladder_report(s: SparkSession, d: str) -> DataFrame:
+    """Seeds 1 and 2 of each configuration, whose epochs have more steps, against seed 0 at the same epoch and at the closest step."""
+    c = derive(s, d, CURVES).select("config", F.col("seed").alias("rung"), "epoch", (F.col("epoch") * (7 + 4 * F.col("seed"))).alias("step"), "metric")
+    return _r(splits.ladder_report(c, 0, EPOCHS, ["config"]), "base", "other", "delta")
+
+
+LADDER_SQL = with_tables("""
+, c as (select config, seed as rung, epoch, epoch * (7 + 4 * seed) as step, metric from curves),
+l as (select b.config, r.rung, b.epoch, b.step, b.metric as base from c b join (select distinct config, rung from c where rung <> 0) r on r.config = b.config where b.rung = 0 and b.epoch in (1, 5, 10, 20, 30, 40)),
+m as (select l.*, 'epoch' as kind, c.metric as other from l left join c on c.config = l.config and c.rung = l.rung and c.epoch = l.epoch
+  union all select config, rung, epoch, step, base, 'step', other from (
+    select l.*, c.metric as other, row_number() over (partition by l.config, l.rung, l.epoch order by abs(c.step - l.step), c.epoch) as r from l join c on c.config = l.config and c.rung = l.rung) where r = 1)
+select config, rung, kind, epoch, step, round(base, 6) as base, round(other, 6) as other, round(100 * (other - base), 6) as delta from m""", curves=CURVES).replace(")\n\n, c as", "),\nc as")
+
+
+def version_counts(s: SparkSession, d: str) -> DataFrame:
+    """Images of each split by the classes in them, and boxes by class."""
+    box = F.collect_list(F.struct("cls", "x", "y", "w", "h")).alias("boxes")
+    boxes = derive(s, d, BOXES).groupBy("image_id").agg(box)
+    at = derive(s, d, IMAGES).join(boxes, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)))
+    return splits.version_counts(at)
+
+
+VERSION_SQL = with_tables("""
+select split, count(*) as images, count(*) filter (where a = 0 and b = 0) as background, count(*) filter (where a > 0 and b = 0) as first_only, count(*) filter (where a = 0 and b > 0) as second_only,
+       count(*) filter (where a > 0 and b > 0) as both, sum(a)::bigint as first_boxes, sum(b)::bigint as second_boxes
+from (select i.image_id, any_value(split) as split, count(*) filter (where cls = 0) as a, count(*) filter (where cls = 1) as b from images i left join boxes b on b.image_id = i.image_id group by 1) group by 1""", images=IMAGES, boxes=BOXES)
+
 QUERIES = {
+    "ladder_report": (ladder_report, LADDER_SQL), "version_counts": (version_counts, VERSION_SQL),
     "split_integrity_report": (split_integrity_report, SPLIT_REPORT_SQL), "curve_report": (curve_report, CURVE_REPORT_SQL), "run_report": (run_report, RUN_REPORT_SQL),
     "json_key_statistics": (json_key_statistics, JSON_SQL), "online_near_links": (online_near_links, ONLINE_SQL),
 }
