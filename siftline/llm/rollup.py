@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,22 +49,31 @@ def counted(docs: DataFrame, words: dict[str, Plain], vocabularies: dict[str, tu
     ``words`` count words of the text as a function of it gives it;
     ``vocabularies`` count the ids of the tokenizers library, by the place of
     its file. Null and empty texts count 0; rows that repeat are documents of
-    their own.
+    their own. A version that reads a text as an earlier one of the same
+    vocabulary does has its count, and the text is encoded once.
     """
     text = F.coalesce("text", F.lit(""))
     names = [*vocabularies, *words]
     paths = [path for path, _ in vocabularies.values()]
+    first = [paths.index(p) for p in paths]
+    read = [f(text) for _, f in vocabularies.values()]
     at = docs.select(
         F.struct("doc_id", "source", "lang").alias("row"), F.array(*(n_words(f(text)) for f in words.values())).cast("array<long>").alias("plain"),
-        *(f(text).alias(f"t{k}") for k, (_, f) in enumerate(vocabularies.values())),
+        *((t if first[k] == k else F.when(t != read[first[k]], t)).alias(f"t{k}") for k, t in enumerate(read)),
     )
     row = at.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, z in chunks(b.column(2), CHUNK_BYTES):
-                n = [encoder(path).encode(b.column(2 + k)[a:z])[1].tolist() for k, path in enumerate(paths)]
-                yield pa.record_batch([b.column(0)[a:z], b.column(1)[a:z], pa.array([list(x) for x in zip(*n, strict=True)], pa.list_(pa.int64()))], ["row", "plain", "n"])
+                n: list[np.ndarray] = []
+                for k, path in enumerate(paths):
+                    column = b.column(2 + k)[a:z]
+                    own = np.ones(z - a, bool) if first[k] == k else column.is_valid().to_numpy(zero_copy_only=False)
+                    got = np.zeros(z - a, np.int64) if first[k] == k else n[first[k]].copy()
+                    got[own] = encoder(path).encode(column.filter(pa.array(own)))[1]
+                    n.append(got)
+                yield pa.record_batch([b.column(0)[a:z], b.column(1)[a:z], pa.array(np.stack(n, axis=1).tolist(), pa.list_(pa.int64()))], ["row", "plain", "n"])
 
     if paths:
         at = at.mapInArrow(run, f"row {row}, plain array<long>, n array<long>").select("row", F.concat("n", "plain").alias("n"))
@@ -139,8 +149,6 @@ class RollupStore:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """False if this batch was committed before; then nothing of this call stays."""
-        from py4j.protocol import Py4JJavaError
-
         if not batch_id or set(batch_id) & set("/\\:=") or batch_id.startswith(("_", ".")):
             raise ValueError("a batch id is a plain name")
         to, own = self._path(f"batches/batch={batch_id}"), f"tmp/{batch_id}-{uuid.uuid4().hex}"
@@ -148,19 +156,51 @@ class RollupStore:
             return False
         delta(changes).write.parquet(f"{self.folder}/{own}")
         self._fs.mkdirs(self._path("batches"))
+        return self._moved(own, f"batches/batch={batch_id}")
+
+    def _moved(self, own: str, name: str) -> bool:
+        """Rename a writer's own folder to a name; False, and nothing of it stays, if another writer took that first."""
+        from py4j.protocol import Py4JJavaError
+
         options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
         options[0] = self._rename.NONE  # fails where the name is taken, unlike the rename of a FileSystem
         try:
-            self._context.rename(self._path(own), to, options)
+            self._context.rename(self._path(own), self._path(name), options)
         except Py4JJavaError:
             self._fs.delete(self._path(own), True)
-            if self._fs.exists(to):  # another writer was first with the same batch
+            if self._fs.exists(self._path(name)):
                 return False
             raise
         return True
 
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The folder of the newest base, and the batches that are in it."""
+        if not self._fs.exists(self._path("bases")):
+            return None, set()
+        newest = max(s.getPath().getName() for s in self._fs.listStatus(self._path("bases")))
+        at = f"{self.folder}/bases/{newest}"
+        return at, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/ids").collect()}
+
+    def _of(self, base: str | None, batches: list[str]) -> DataFrame:
+        left = [f"{self.folder}/batches/batch={b}" for b in batches]
+        rows = self.spark.read.schema(_DELTA).parquet(*left) if left else self.spark.createDataFrame([], _DELTA)
+        return rows.unionByName(self.spark.read.schema(_DELTA).parquet(f"{base}/sums")) if base else rows
+
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens and how many changes of each kind; empty without batches."""
-        some = self.batches()
-        rows = self.spark.read.schema(_DELTA).parquet(f"{self.folder}/batches") if some else self.spark.createDataFrame([], _DELTA)
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
+        """source, lang, tokenizer, docs, tokens and how many changes of each kind; empty without batches. Reads the newest base and the batches that came after it."""
+        at, merged = self._base()
+        return self._of(at, [b for b in self.batches() if b not in merged]).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+    def compact(self) -> bool:
+        """Sum all batches into a new base, so that totals read a row a key and not every batch ever committed; False if another writer was first.
+
+        The ids of batches stay, so a batch that comes again still counts once,
+        and a batch that is committed meanwhile is in none of the base.
+        """
+        ids, own, (at, merged) = self.batches(), f"_compact-{uuid.uuid4().hex}", self._base()
+        number = int(at.rpartition("=")[2]) + 1 if at else 1
+        rows = self._of(at, [b for b in ids if b not in merged])
+        rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS)).write.parquet(f"{self.folder}/{own}/sums")
+        self.spark.createDataFrame([(b,) for b in ids], "batch string").write.parquet(f"{self.folder}/{own}/ids")
+        self._fs.mkdirs(self._path("bases"))
+        return self._moved(own, f"bases/base={number:012d}")

@@ -586,6 +586,33 @@ def test_rollup(spark, odd, empty):
         store.commit("x/y", rollup.inserts(rows))
 
 
+def test_compaction(spark, odd):
+    """Totals are the same from bases and from batches; batches come in between, come again, and another writer's base wins."""
+    store, plain = (rollup.RollupStore(spark, common.fresh_dir(spark, "test")) for _ in range(2))
+    rows = rollup.of(rollup.counted(odd, {"w": rollup.as_is}, {}), "w")
+    same = lambda: sorted(map(str, store.totals().collect())) == sorted(map(str, plain.totals().collect()))
+    assert store.compact() and store.totals().count() == 0
+    for k, change in enumerate((rollup.inserts(rows), rollup.deletes(rows.filter("doc_id < 4")), rollup.inserts(rows.limit(2)))):
+        for s in (store, plain):
+            assert s.commit(f"b{k}", change) and not s.commit(f"b{k}", change)
+        assert same() and store.compact() and same()
+    assert not store.commit("b0", rollup.inserts(rows)) and same() and store.batches() == ["b0", "b1", "b2"]
+    base = store._base
+    store._base = lambda: (None, set())  # as a writer sees it that looked before the others
+    assert not store.compact()
+    store._base = base
+    assert same()
+
+
+def test_versions_that_read_alike_are_encoded_once(spark):
+    texts = ["a  b", "a b", None, "", " x\ty ", "one two three"]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = rollup.counted(docs, {}, {"one": (BYTE_BPE, rollup.as_is), "two": (BYTE_BPE, rollup.single_spaced), "three": (BYTE_BPE, rollup.as_is)}).collect()
+    alone = [{r["doc_id"]: r["counts"]["v"] for r in rollup.counted(docs, {}, {"v": (BYTE_BPE, f)}).collect()} for f in (rollup.as_is, rollup.single_spaced)]
+    assert {r["doc_id"]: (r["counts"]["one"], r["counts"]["two"], r["counts"]["three"]) for r in got} == {k: (alone[0][k], alone[1][k], alone[0][k]) for k in range(len(texts))}
+    assert alone[0][0] != alone[1][0]
+
+
 def test_a_batch_has_one_winner(spark, odd, monkeypatch):
     """Two writers of one batch at once: both find it free and write, one renames."""
     store = rollup.RollupStore(spark, common.fresh_dir(spark, "test"))
