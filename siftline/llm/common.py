@@ -54,6 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks that read files back, at most; beyond it a task reads several.
+MAX_READERS = 20_000
+
+
 def one_each(files: DataFrame) -> DataFrame:
-    """The rows of a manifest, dealt out one by one in turn to as many tasks as there are rows."""
-    return files.coalesce(1).repartition(max(1, files.count()))
+    """The rows of a manifest, dealt out in turn to as many tasks as there are rows, or MAX_READERS."""
+    return files.coalesce(1).repartition(max(1, min(files.count(), MAX_READERS)))
