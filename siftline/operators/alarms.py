@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -199,6 +199,15 @@ def background_boxes(images: DataFrame, boxes: DataFrame, detections: DataFrame,
     return got.withColumn("per_image", F.try_divide("false_boxes", "n_background"))
 
 
+def background_penalty(images: DataFrame, boxes: DataFrame, detections: DataFrame, k: int) -> DataFrame:
+    """cls, n, penalty: on images without any box, the mean softplus of each image's k highest logits of a class, fewer where it has fewer; ties by detection."""
+    none = images.select("image_id").join(boxes.select("image_id").distinct(), "image_id", "left_anti")
+    own = Window.partitionBy("image_id", "cls").orderBy(F.desc("conf"), "det_idx")
+    top = detections.join(none, "image_id").withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= k)
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("conf")))
+    return top.groupBy("cls").agg(F.count("*").alias("n"), F.avg(-F.log1p(-p)).alias("penalty"))  # softplus of the logit of p
+
+
 def endpoints(scores: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
     """by, endpoint, value: recall and fpr of each class, background alarm, ece and brier of each class; absent where there is nothing to divide by."""
     at = cut(scores.join(thresholds.select("cls", "threshold"), "cls").withColumn("hit", (F.col("score") >= F.col("threshold")).cast("double")))

@@ -56,6 +56,14 @@ def missed_geometry(missed: DataFrame, detections: DataFrame) -> DataFrame:
     return each.groupBy("image_id", "box_idx").agg(F.max("s").alias("s")).select("image_id", "box_idx", "s.iou", F.col("s.wr").alias("width_ratio"), F.col("s.hr").alias("height_ratio"), F.col("s.ce").alias("centre_error"), F.col("s.cov").alias("covered"))
 
 
+def layer_budget(layers: DataFrame, by: list[str]) -> DataFrame:
+    """by, parameters, macs of convolutions (cin, cout, kernel, side, groups, bias, copies): weights, biases among the parameters, a multiplication of every weight at every place of a square output."""
+    weights = F.floor(F.col("cin") * F.col("cout") * F.col("kernel") * F.col("kernel") / F.col("groups")).cast("long")
+    bias = F.when(F.col("bias"), F.col("cout")).otherwise(0)
+    each = layers.select(*by, (F.col("copies") * (weights + bias)).alias("p"), (F.col("copies") * weights * F.col("side") * F.col("side")).alias("m"))
+    return each.groupBy(*by).agg(F.sum("p").cast("long").alias("parameters"), F.sum("m").cast("long").alias("macs"))
+
+
 def verdict(rate: Column, warn: float = 0.03, error: float = 0.10) -> Column:
     return F.when(rate >= error, "error").when(rate >= warn, "warn").otherwise("info")
 

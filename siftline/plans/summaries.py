@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared
-from ..operators import splits
-from ..sources.fixtures import BOXES, CURVES, IMAGES, MARKS_64, MARKS_DUCKDB, derive, in_64, read, with_tables
+from ..operators import alarms, reports, splits
+from ..sources.fixtures import BOXES, CURVES, IMAGES, MARKS_64, MARKS_DUCKDB, PREDICTIONS, derive, in_64, read, with_tables
 from ..sources.readers import json_leaves
 from ..streaming import index
 from .audits import RUN_TABLE_SQL, run_table
@@ -163,7 +163,34 @@ select split, count(*) as images, count(*) filter (where a = 0 and b = 0) as bac
        count(*) filter (where a > 0 and b > 0) as both, sum(a)::bigint as first_boxes, sum(b)::bigint as second_boxes
 from (select i.image_id, any_value(split) as split, count(*) filter (where cls = 0) as a, count(*) filter (where cls = 1) as b from images i left join boxes b on b.image_id = i.image_id group by 1) group by 1""", images=IMAGES, boxes=BOXES)
 
+
+
+def background_penalty(s: SparkSession, d: str) -> DataFrame:
+    """Two highest logits of each class on images without boxes."""
+    return _r(alarms.background_penalty(derive(s, d, IMAGES), derive(s, d, BOXES), derive(s, d, PREDICTIONS), 2), "penalty")
+
+
+PENALTY_SQL = with_tables("""
+select cls, count(*) as n, round(avg(-ln(1 - greatest(1e-6, least(1 - 1e-6, conf)))), 6) as penalty from (
+  select p.*, row_number() over (partition by image_id, cls order by conf desc, det_idx) as k from predictions p where image_id in (select image_id from images) and image_id not in (select image_id from boxes)) where k <= 2 group by 1""",
+    images=IMAGES, boxes=BOXES, predictions=PREDICTIONS)
+
+_LAYERS = """
+select p_brand as family, cast(8 * (1 + p_partkey % 16) as bigint) as cin, cast(case when p_partkey % 4 = 0 then 8 * (1 + p_partkey % 16) else 16 * (1 + p_size % 8) end as bigint) as cout, cast(1 + 2 * (p_size % 3) as bigint) as kernel,
+       cast(20 * (1 + p_partkey % 8) as bigint) as side, cast(case when p_partkey % 4 = 0 then 8 * (1 + p_partkey % 16) else 1 end as bigint) as groups, p_size % 2 = 0 as bias, cast(1 + p_partkey % 2 as bigint) as copies from {part}
+"""
+
+
+def layer_budget(s: SparkSession, d: str) -> DataFrame:
+    """Parameters and multiplications of layers, one for each part, by brand."""
+    return reports.layer_budget(derive(s, d, _LAYERS), ["family"])
+
+
+LAYER_SQL = with_tables("""
+select family, sum(copies * (cin * cout * kernel * kernel // groups + case when bias then cout else 0 end))::bigint as parameters, sum(copies * (cin * cout * kernel * kernel // groups) * side * side)::bigint as macs from layers group by 1""", layers=_LAYERS)
+
 QUERIES = {
+    "background_penalty": (background_penalty, PENALTY_SQL), "layer_budget": (layer_budget, LAYER_SQL),
     "ladder_report": (ladder_report, LADDER_SQL), "version_counts": (version_counts, VERSION_SQL),
     "split_integrity_report": (split_integrity_report, SPLIT_REPORT_SQL), "curve_report": (curve_report, CURVE_REPORT_SQL), "run_report": (run_report, RUN_REPORT_SQL),
     "json_key_statistics": (json_key_statistics, JSON_SQL), "online_near_links": (online_near_links, ONLINE_SQL),
