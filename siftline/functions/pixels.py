@@ -32,12 +32,13 @@ def _pack(bits: np.ndarray) -> pd.Series:
     return pd.Series(np.packbits(bits.astype(np.uint8), axis=1).view(">i8").ravel().astype(np.int64))
 
 
-def _shrink(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Area means onto an h x w grid."""
+def _shrink(img: np.ndarray, h: int, w: int, whole: bool = False) -> np.ndarray:
+    """Area means onto an h x w grid; with ``whole`` sums by whole weights, which the means are proportional to."""
     def weights(n: int, m: int) -> np.ndarray:
         edges = np.linspace(0, n, m + 1)
         a, z = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
-        return np.maximum(0, z - a) / (n / m)
+        part = np.maximum(0, z - a)
+        return np.rint(part * m) if whole else part / (n / m)
 
     return weights(32, h) @ img @ weights(32, w).T
 
@@ -60,7 +61,8 @@ def _blocks(of, *columns: pd.Series) -> pd.Series:
 
 def _grid_bits(gray: pd.Series, rising: bool) -> pd.Series:
     def of(some: pd.Series) -> pd.Series:
-        s = _shrink(_images(some), 8, 9)
+        # Sums in ninths of a pixel: whole numbers for whole grays, so that equal cells are equal.
+        s = _shrink(_images(some), 8, 9, whole=True)
         left, right = s[:, :, :-1], s[:, :, 1:]
         return _pack((right > left if rising else left > right).reshape(len(s), 64))
 

@@ -10,7 +10,7 @@ from ..operators import curves as C
 from ..operators import dedup, guards, reports
 from ..sources import runs as R
 from ..sources.fixtures import BOXES, CONTENT, CURVES, GRAYS, IMAGES, MARKS_64, MARKS_DUCKDB, derive, in_64, read, with_tables
-from .content import _NEAR, RADIUS
+from .content import _NEAR, RADIUS, SCREENED
 from .detection import _r
 from .runs import _BEST
 
@@ -42,6 +42,12 @@ def near_dup_audit(s: SparkSession, d: str) -> DataFrame:
     return whole.select(F.lit("candidates").alias("kind"), "scope", "n").unionByName(dedup.scope_counts(members, links, "rep"))
 
 
+AUDIT_SQL = with_tables("""
+select 'candidates' as kind, 'review' as scope, count(*) as n from found union all select 'candidates', 'low_texture', count(*) from found where least(va, vb) < 25
+union all select 'pairs', least(x, y) || ' <-> ' || greatest(x, y), count(*) from found group by 2
+union all select 'images', place, count(distinct id) from (select a as id, x as place from found union all select b, y from found) group by 2""", **SCREENED)
+
+
 def added_matches(s: SparkSession, d: str) -> DataFrame:
     """Embeddings of val, and copies of some of train, against train: the first five exact and near matches of each, over all 64 signs."""
     marks = derive(s, d, MARKS_64).withColumn("sha", F.expr("md5(cast(hash as string))"))
@@ -232,7 +238,7 @@ select split, count(*) as images, (count(*) filter (where image_id % 6 <> 1) + c
        count(*) filter (where image_id % 6 = 1) as missing, count(*) filter (where image_id % 50 = 0 and image_id > 0) as orphans from images group by 1""", images=IMAGES)
 
 QUERIES = {
-    "pairs_by_scope": (pairs_by_scope, SCOPE_SQL), "near_dup_audit": (near_dup_audit, None), "added_matches": (added_matches, ADDED_SQL), "collision_gate": (collision_gate, COLLISION_SQL),
+    "pairs_by_scope": (pairs_by_scope, SCOPE_SQL), "near_dup_audit": (near_dup_audit, AUDIT_SQL), "added_matches": (added_matches, ADDED_SQL), "collision_gate": (collision_gate, COLLISION_SQL),
     "stem_groups": (stem_groups, STEM_SQL), "gap_change": (gap_change, GAP_SQL), "resume_deltas": (resume_deltas, RESUME_SQL), "key_statistics": (key_statistics, KEY_SQL),
     "latency_summary": (latency_summary, LATENCY_SQL), "input_ratio": (input_ratio, RATIO_SQL), "run_table": (run_table, RUN_TABLE_SQL), "cumulative_steps": (cumulative_steps, STEPS_SQL),
     "image_paths": (image_paths, PATHS_SQL), "manifest_join": (manifest_join, MANIFEST_SQL), "dataset_union": (dataset_union, UNION_SQL), "runs_by_metric": (runs_by_metric, RUNS_SQL),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import inventory_digest
 from ..operators import dedup, integrity, sampling
 from ..sources import versions
-from ..sources.fixtures import BOXES, CONTENT, GRAYS, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, STEPS, STEPS_DUCKDB, derive, in_64, read, with_tables
+from ..sources.fixtures import BOXES, CONTENT, GRAYS, GRAYS_DUCKDB, IMAGES, MARKS, MARKS_64, MARKS_DUCKDB, STEPS, STEPS_DUCKDB, derive, in_64, read, with_tables
 from ..sources.labels import NAMES, parse_labels
 from .detection import _r
 
@@ -49,6 +49,41 @@ def two_hash_candidates(s: SparkSession, d: str, marks: str = MARKS) -> DataFram
 TWO_HASH_SQL = with_tables("select a, b, min(distance) as distance, bool_or(distance = 0) as identical from (select * from near union all select * from near2) group by 1, 2", marks=MARKS_DUCKDB, near=_NEAR, steps=STEPS_DUCKDB, near2=_NEAR.replace("marks", "steps"))
 
 
+#: Products of an image with the low cosines, with the means of an 8 x 9 grid, and with windows of 8 x 8 at a stride of 4.
+_COSINES = """
+select list(w order by u, v) as w from (select u, v, list_transform(range(1024), lambda i: 0.0625e0 * case when u = 0 then sqrt(0.5e0) else 1 end * case when v = 0 then sqrt(0.5e0) else 1 end
+  * cos(pi() * (2 * (i // 32) + 1) * u / 64) * cos(pi() * (2 * (i % 32) + 1) * v / 64)) as w from range(8) a(u), range(8) b(v))"""
+_MEANS = """
+select list(w order by r, j) as w from (select r, j, list_transform(range(1024), lambda i: case when i // 128 = r then greatest(0, least((j + 1) * 32, (i % 32 + 1) * 9) - greatest(j * 32, i % 32 * 9))::double else 0e0 end) as w from range(8) a(r), range(9) b(j))"""
+_WINDOWS = """
+select list(w order by r, j) as w from (select r, j, list_transform(range(1024), lambda i: case when i // 32 between 4 * r and 4 * r + 7 and i % 32 between 4 * j and 4 * j + 7 then 1e0 else 0e0 end) as w from range(7) a(r), range(7) b(j))"""
+_GRID = "list_aggregate(list_transform(range(64), lambda k: case when s[k // 8 * 9 + k % 8 + {a}] > s[k // 8 * 9 + k % 8 + {b}] then '1' else '0' end), 'string_agg', '')::bit"
+_HASHED = dict(
+    grays=GRAYS_DUCKDB, cosines=_COSINES, means=_MEANS,
+    low="select g.*, min(id) over (partition by gray) as rep, list_transform(c.w, lambda w: list_inner_product(gray, w)) as f, list_transform(m.w, lambda w: list_inner_product(gray, w)) as s, list_avg(gray) as mean, list_inner_product(gray, gray) / 1024 as square from grays g, cosines c, means m",
+    hashed="select id, rep, dataset, dataset || '/' || split as place, gray, mean, square - mean * mean as var, list_aggregate(list_transform(f, lambda x: case when x > list_median(f[2:]) then '1' else '0' end), 'string_agg', '')::bit as phash, " + _GRID.format(a=1, b=2) + " as falls, " + _GRID.format(a=2, b=1) + " as rises from low",
+)
+SCREENED = _HASHED | dict(
+    alike="""
+select a.id as a, b.id as b, a.rep as ra, b.rep as rb, a.place as x, b.place as y, a.var as va, b.var as vb, a.mean as ma, b.mean as mb, list_inner_product(a.gray, b.gray) / 1024 - a.mean * b.mean as cov, bit_count(xor(a.phash, b.phash))::int as dp, bit_count(xor(a.falls, b.falls))::int as dd
+from hashed a join hashed b on a.id < b.id and a.place <> b.place and not (a.dataset = 'reference' and b.dataset = 'reference') and bit_count(xor(a.phash, b.phash)) <= 4 and bit_count(xor(a.falls, b.falls)) <= 4""",
+    found="select * from (select *, (2 * ma * mb + 6.5025e0) * (2 * cov + 58.5225e0) / ((ma * ma + mb * mb + 6.5025e0) * (va + vb + 58.5225e0)) as ssim from alike) where ssim >= 0.95",
+)
+SCREEN_SQL = with_tables("""
+select 'link' as kind, least(ra, rb) as a, greatest(ra, rb) as b, count(*) as pairs, any_value(dp) as phash_distance, any_value(dd) as dhash_distance, round(max(ssim), 6) as ssim, min(least(va, vb)) < 25 as low_texture from found group by 2, 3
+union all select 'copy', rep, id, null, null, null, null, null from hashed where id <> rep""", **SCREENED)
+CONFIRMED_SQL = with_tables("""
+, one as (select id, gray, n, phash, rises, list_transform(v.w, lambda w: list_inner_product(gray, w) / 64) as m, list_transform(v.w, lambda w: list_inner_product(list_transform(gray, lambda x: x * x), w) / 64) as q
+  from (select rep as id, any_value(gray) as gray, any_value(phash) as phash, any_value(rises) as rises, count(*) as n from hashed group by 1), windows v),
+near as (select a.id as a, b.id as b, a.n * b.n as pairs, bit_count(xor(a.rises, b.rises))::int as dd, bit_count(xor(a.phash, b.phash))::int as dp, a.m as ma, b.m as mb, a.q as qa, b.q as qb, list_transform(list_zip(a.gray, b.gray), lambda z: z[1] * z[2]) as prod
+  from one a join one b on a.id < b.id and least(bit_count(xor(a.rises, b.rises)), bit_count(xor(a.phash, b.phash))) <= 5 and bit_count(xor(a.rises, b.rises)) <= 18 and bit_count(xor(a.phash, b.phash)) <= 12),
+each as (select near.* exclude (prod), list_transform(v.w, lambda w: list_inner_product(prod, w) / 64) as p from near, windows v),
+ssim as (select a, b, pairs, dd, dp, list_avg(list_transform(range(1, 50), lambda k: greatest(-1, least(1, (2 * ma[k] * mb[k] + 6.5025e0) * (2 * (p[k] - ma[k] * mb[k]) * 64 / 63 + 58.5225e0)
+  / ((ma[k] * ma[k] + mb[k] * mb[k] + 6.5025e0) * ((qa[k] - ma[k] * ma[k] + qb[k] - mb[k] * mb[k]) * 64 / 63 + 58.5225e0)))))) as ssim from each)
+select 'link' as kind, a, b, pairs, dd as dhash_distance, dp as phash_distance, round(ssim, 6) as ssim from ssim where ssim >= 0.88 or (dd <= 4 and dp <= 6)
+union all select 'copy', rep, id, null, null, null, null from hashed where id <> rep""", **_HASHED, windows=_WINDOWS).replace(")\n\n, one", "),\none")
+
+
 def _with_copies(links: DataFrame, images: DataFrame) -> DataFrame:
     """Links between classes of equal images, and each copy beside its class's name."""
     same = dedup.copies(dedup.gray_classes(images.select("id", "gray"))[0]).withColumn("kind", F.lit("copy"))
@@ -231,7 +266,7 @@ from images i left join (select image_id, count(*) as n, count(*) filter (where
   count(*) filter (where least(x - w / 2, y - h / 2) < -1e-5 or greatest(x + w / 2, y + h / 2) > 1 + 1e-5) as c from boxes group by 1) b on i.image_id = b.image_id group by 1""", images=IMAGES, boxes=BOXES)
 
 QUERIES = {
-    "inventory_boxes": (inventory_boxes, INVENTORY_SQL), "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "two_hash_confirmed": (two_hash_confirmed, None), "near_dup_screen": (near_dup_screen, None), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
+    "inventory_boxes": (inventory_boxes, INVENTORY_SQL), "exact_duplicates": (exact_duplicates, EXACT_SQL), "near_dup_banded": (near_dup_banded, NEAR_SQL), "two_hash_candidates": (two_hash_candidates, TWO_HASH_SQL), "two_hash_confirmed": (two_hash_confirmed, CONFIRMED_SQL), "near_dup_screen": (near_dup_screen, SCREEN_SQL), "leakage_matrix": (leakage_matrix, LEAKAGE_SQL),
     "clean_dup_split": (clean_dup_split, CLEAN_SQL), "near_dup_components": (near_dup_components, COMPONENTS_SQL), "equivalence_survivor": (equivalence_survivor, SURVIVOR_SQL), "exclusion_reasons": (exclusion_reasons, REASONS_SQL),
     "adjacent_frames": (adjacent_frames, ADJACENT_SQL), "hash_partition": (hash_partition, HASH_SQL), "stratified_hash_sample": (stratified_hash_sample, SAMPLE_SQL), "oversample_negatives": (oversample_negatives, OVERSAMPLE_SQL),
     "set_equality_gate": (set_equality_gate, GATE_SQL), "inventory_digests": (inventory_digests, DIGEST_SQL), "label_validate": (label_validate, LABEL_SQL), "split_counts": (split_counts, SPLIT_SQL),

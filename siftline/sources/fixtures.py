@@ -82,6 +82,12 @@ select 4 * vec_id + k as id, case when vec_id % 7 = 0 then 'reference' else 'tar
          when k = 1 then 20 when k = 2 and i < 256 and i % 32 < 8 then 60 when k = 3 then (i * 31 + vec_id) % 13 * 3 - 18 else 0 end))) as int)) as gray
 from (select vec_id, embedding, explode(array(0, 1, 2, 3)) as k from {embeddings} where size(embedding) = 64) e where k = 0 or vec_id % 8 = k
 """
+GRAYS_DUCKDB = """
+select 4 * vec_id + k as id, case when vec_id % 7 = 0 then 'reference' else 'target' end as dataset, case when (vec_id + k) % 10 < 2 then 'val' else 'train' end as split,
+       list_transform(range(1024), lambda i: greatest(0, least(255, floor(128 + 300 * embedding[8 * (i // 128) + i % 32 // 4 + 1] + case
+         when k = 1 then 20 when k = 2 and i < 256 and i % 32 < 8 then 60 when k = 3 then (i * 31 + vec_id) % 13 * 3 - 18 else 0 end)))::double) as gray
+from (select vec_id, embedding, unnest([0, 1, 2, 3]) as k from {embeddings} where len(embedding) = 64) e where k = 0 or vec_id % 8 = k
+"""
 
 
 def in_64(sql: str) -> str:
