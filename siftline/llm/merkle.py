@@ -206,7 +206,8 @@ def prove(rows: DataFrame, key: str, order: list[str], keep: list[str], changed:
     with the true siblings. Rows that repeat are leaves each; an empty table
     has no root and no rows.
     """
-    rows = rows.select(*dict.fromkeys([*keep, key, *order, "node", *([changed] if changed else [])]))
+    # Digests are written first: the borders of ranges are sampled from them, and texts are read once.
+    rows = cut(rows.select(*dict.fromkeys([*keep, key, *order, "node", *([changed] if changed else [])])))
     tree = climb(numbered(rows, F.col(key), *order, "node"))
     if len(tree) == 1:  # no key has two leaves
         tree.append(cut(tree[0].select("_key", "rank", "size", "node")))
