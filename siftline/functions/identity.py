@@ -26,6 +26,17 @@ def band_value(h: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 
 
+def reaches(radius: int, bits: int = 64, most: int = 8) -> list[tuple[int, int, int]]:
+    """(shift, width, reach) of at most ``most`` bands that cover all bits: two hashes within the radius differ by at most ``reach`` bits in some band.
+
+    The numbers reach + 1 add up to radius + 1, so a pair that exceeds the reach
+    of every band is further apart than the radius. Bands are wide, so their
+    values are many, however large the radius is.
+    """
+    m = min(radius + 1, most)
+    return [(s, w, (radius + 1) // m + (k < (radius + 1) % m) - 1) for k, (s, w) in enumerate(bands(m - 1, bits))]
+
+
 def sha_mod(text: Column, n: int) -> Column:
     """The SHA-256 of a text, as a big number, modulo n: folded digit by digit, without overflow for n < 2^58."""
     digits = F.split(F.sha2(text, 256), "")

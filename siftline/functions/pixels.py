@@ -1,7 +1,8 @@
 """Perceptual hashes and structural similarity of gray images, as Arrow-batched functions.
 
-These are the only functions here that leave the JVM: a cosine transform over
-1024 pixels is a matrix product, which numpy does for a whole batch at once.
+These and the comparisons of cells.py are the only functions here that leave the
+JVM: a cosine transform over 1024 pixels is a matrix product, which numpy does
+for a whole batch at once.
 Images are arrays of 1024 values, 32 rows of 32.
 """
 

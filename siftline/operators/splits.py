@@ -55,10 +55,10 @@ def split_report(images: DataFrame, sized: DataFrame, marks: DataFrame, frames:
     out += [_rows(exact, "exact", "groups", F.col("groups")), _rows(exact, "exact", "pairs", F.col("pairs")), _rows(exact, "exact", "within_train", F.col("within_train"), _if_any(F.col("within_train")))]
     links = cut(dedup.near_classes(marks, radius))
     out.append(_rows(pair_count(marks, links), "near", "pairs", F.col("n")))
-    leak = cut(dedup.leakage_matrix(marks, radius))
+    leak = cut(dedup.leakage_matrix(marks, radius, links=links))
     out.append(_rows(leak.filter("split_a != split_b"), "leak", F.concat("split_a", F.lit("->"), "split_b"), F.col("rate"), verdict(F.col("rate"))))
     out.append(_rows(leak.filter("split_a = split_b"), "within", F.col("split_a"), F.col("rate")))
-    subset = dedup.clean_and_duplicate(marks, radius).groupBy("split").agg(F.count_if(F.col("subset") == "dup").alias("n"))
+    subset = dedup.clean_and_duplicate(marks, radius, links=links).groupBy("split").agg(F.count_if(F.col("subset") == "dup").alias("n"))
     out.append(_rows(subset, "duplicate_in_train", F.col("split"), F.col("n")))
     pairs = dedup.adjacent_frames(frames).agg(F.count("*").alias("n"))
     out.append(_rows(pairs, "frames", "pairs", F.col("n"), _if_any(F.col("n"))))
