@@ -35,6 +35,8 @@ T, ROWS, BANDS, HASHED = 2048, 5, 40, 512
 MAX_DIFFERENT = 266
 PERCENT = 80
 CHUNK_CHARS = 1_000_000
+#: What a document counts at least, as its sketch takes 8 T bytes and several times that while bits are made, however short it is.
+CHUNK_LEAST = 4_000
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,12 +99,12 @@ def _bits(s: np.ndarray) -> np.ndarray:
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    """Ids and texts, about CHUNK_CHARS at a time."""
+    """Ids and texts, about CHUNK_CHARS at a time, and at most CHUNK_CHARS / CHUNK_LEAST texts."""
     ids, texts, n = [], [], 0
     for i, t in zip(b.column(0), b.column(1), strict=True):
         ids.append(i.as_py())
         texts.append(t.as_py())
-        n += len(texts[-1] or "") + 100
+        n += len(texts[-1] or "") + CHUNK_LEAST
         if n >= CHUNK_CHARS:
             yield ids, texts
             ids, texts, n = [], [], 0
