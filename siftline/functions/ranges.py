@@ -30,13 +30,18 @@ def running_sums(rows: DataFrame, by: list[str], score: str, ties: list[str], va
     along it. Group columns are not null.
     """
     way = F.desc if descending else F.asc
-    at = ranged(rows, *by, way(score), *ties)
+    return sums_in_ranges(ranged(rows, *by, way(score), *ties), by, score, ties, values, descending)
+
+
+def sums_in_ranges(at: DataFrame, by: list[str], score: str, ties: list[str], values: dict[str, Column], descending: bool = True) -> DataFrame:
+    """running_sums of rows that have their ``_range`` already, such as some of those that were ranked before; ``at`` is read twice."""
+    way = F.desc if descending else F.asc
     sums = at.groupBy(*by, "_range").agg(*(F.sum(v).alias(f"_s_{n}") for n, v in values.items()))
     over = Window.partitionBy(*by).orderBy("_range").rowsBetween(*_BEFORE)
     before = sums.select(*by, "_range", *(F.coalesce(F.sum(f"_s_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in values))
     inner = Window.partitionBy(*by, "_range").orderBy(way(score), *ties).rowsBetween(*_SO_FAR)
     both = at.join(before, [*by, "_range"])
-    return both.select(*rows.columns, "_range", *((F.sum(v).over(inner) + F.col(f"_b_{n}")).alias(n) for n, v in values.items()))
+    return both.select(*(c for c in at.columns if c != "_range"), "_range", *((F.sum(v).over(inner) + F.col(f"_b_{n}")).alias(n) for n, v in values.items()))
 
 
 def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
