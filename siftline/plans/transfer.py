@@ -216,10 +216,9 @@ def ap_by_iou_seeds(s: SparkSession, d: str) -> DataFrame:
     seed = (F.col("image_id") % 2).cast("int").alias("seed")
     boxes, found = derive(s, d, BOXES), derive(s, d, PREDICTIONS)
     hit = matching.two_pass_match(matching.overlaps(boxes, found)).select("image_id", "det_idx", "iou")
-    many = F.explode(F.array(*map(F.lit, steps))).alias("t")
-    each = found.join(hit, ["image_id", "det_idx"], "left").select("*", many).select("cls", seed, "t", "conf", "image_id", "det_idx", F.coalesce((F.col("iou") >= F.col("t")).cast("int"), F.lit(0)).alias("flag"))
-    totals = boxes.groupBy("cls", seed).agg(F.count("*").alias("n_gt")).select("cls", "seed", "n_gt", many)
-    got = ap.average_precision(each, totals, ["cls", "seed", "t"])
+    each = found.join(hit, ["image_id", "det_idx"], "left").select("cls", seed, "conf", "image_id", "det_idx", "iou")
+    totals = boxes.groupBy("cls", seed).agg(F.count("*").alias("n_gt"))
+    got = ap.average_precision_at(ap.cut(each), totals, ["cls", "seed"], steps)
     return _r(got.groupBy("cls", "t").agg(F.count("ap").alias("seeds"), F.avg("ap").alias("ap")), "ap")
 
 
