@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """side, key of what stands on one side only; no rows: the sets are equal."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").select(F.lit("left").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("right").alias("side"), key))
+    on = lambda df, a, b: df.select(key, F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    # One grouping of both sides, which holds a key once, not two joins of distinct keys. A null equals no key, so it stands apart on each side that has it.
+    both = on(left, True, False).unionByName(on(right, False, True)).groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    alone = both.filter((F.col("_a") != F.col("_b")) | F.col(key).isNull())
+    sides = F.filter(F.array(F.when(F.col("_a"), "left"), F.when(F.col("_b"), "right")), lambda s: s.isNotNull())
+    return alone.select(F.explode(sides).alias("side"), key)
 
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
