@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .ranges import running_sums
 
 #: Two-sided 5 % points of Student's t for 1 to 30 degrees of freedom; fixed values.
@@ -47,7 +48,8 @@ def required_n(spark: SparkSession, targets: DataFrame, most: int = 5000) -> Dat
 
 def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, v (distinct values), c (rows that have it), upto (rows up to it), n (all rows)."""
-    values = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    # Written once: the ranges read it twice, to sample their borders, and the counts once more.
+    values = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c")))
     run = running_sums(values, by, "v", [], {"upto": F.col("c")}, descending=False)
     return run.join(values.groupBy(*by).agg(F.sum("c").alias("n")), by)
 

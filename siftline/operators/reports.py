@@ -152,7 +152,8 @@ def edge_errors(pairs: DataFrame) -> DataFrame:
     """g_cls, n, iou and the medians of the four absolute edge errors, left, top, right, bottom, in widths and heights of the box."""
     edge = lambda axis, side, sign: F.abs((F.col(f"d_{axis}") + sign * F.col(f"d_{side}") / 2 - F.col(f"g_{axis}") - sign * F.col(f"g_{side}") / 2) / F.col(f"g_{side}"))
     kinds = {"iou": F.col("iou"), "left": edge("x", "w", -1), "top": edge("y", "h", -1), "right": edge("x", "w", 1), "bottom": edge("y", "h", 1)}
-    long = pairs.select("g_cls", *(c.alias(k) for k, c in kinds.items())).unpivot(["g_cls"], list(kinds), "kind", "value")
+    pairs = cut(pairs.select("g_cls", *(c.alias(k) for k, c in kinds.items())))  # the matching is done once
+    long = pairs.unpivot(["g_cls"], list(kinds), "kind", "value")
     middle = linear_quantiles(long, ["g_cls", "kind"], "value", {"median": 0.5})
     wide = middle.groupBy("g_cls").agg(*(F.max(F.when(F.col("kind") == k, F.col("median"))).alias(k) for k in kinds))
     return pairs.groupBy("g_cls").agg(F.count("*").alias("n")).join(wide, "g_cls").select("g_cls", "n", *kinds)
