@@ -1,8 +1,10 @@
-"""Hashes close in one of a few wide bands, compared cell by cell: each value of a band is a cell, and a group of a shuffle.
+"""Hashes close in one of a few wide bands: each value of a band is a cell.
 
 A hash goes to its own cell of every band and to those within the band's reach.
-In a cell its own hashes are compared with all that came, by numpy: a row of
-distances at a time, so a task holds one cell's hashes and nothing of their square.
+Where cells are few (large radii) each is a group of a shuffle, in which numpy
+compares its own hashes with all that came: a row of distances at a time, so a
+task holds one cell's hashes and nothing of their square. Where cells are many
+and hold a few hashes each, they are the keys of a join.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .identity import band_value
+from .identity import band_value, hamming
 
 
 def _around(width: int, reach: int) -> list[int]:
@@ -60,8 +62,24 @@ def _first(p: list[np.ndarray], q: list[np.ndarray], k: int, cuts: list[tuple[in
     return pa.record_batch({"p": pa.array(a[new].view(np.int64)), "q": pa.array(b[new].view(np.int64)), "distance": pa.array(np.bitwise_count(x[new]).astype(np.int32))})
 
 
+def _dealt(one: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """h, k, cell: each hash once in its own cell of every band and in those within the band's reach."""
+    at = [F.struct(F.lit(k).alias("k"), band_value(F.col("h"), s, w).bitwiseXOR(F.lit(m).cast("long")).alias("cell")) for k, (s, w, reach) in enumerate(cuts) for m in _around(w, reach)]
+    return one.select("h", F.explode(F.array(*at)).alias("c")).select("h", "c.k", "c.cell")
+
+
 def close(one: DataFrame, radius: int, cuts: list[tuple[int, int, int]]) -> DataFrame:
     """p, q, distance of all pairs p < q of the distinct hashes (h) within the radius, each once; cuts as identity.reaches has them."""
-    at = [F.struct(F.lit(k).alias("k"), band_value(F.col("h"), s, w).bitwiseXOR(F.lit(m).cast("long")).alias("cell")) for k, (s, w, reach) in enumerate(cuts) for m in _around(w, reach)]
-    dealt = one.select("h", F.explode(F.array(*at)).alias("c")).select("h", "c.k", "c.cell")
-    return dealt.groupBy("k", "cell").applyInArrow(_compare(radius, cuts), "p long, q long, distance int")
+    return _dealt(one, cuts).groupBy("k", "cell").applyInArrow(_compare(radius, cuts), "p long, q long, distance int")
+
+
+def joined(one: DataFrame, radius: int, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """The same by a join: what comes to a cell meets the cell's own. A pair is in one cell of a band at most, and the first band that has it in its reach gives it."""
+    x, y = _dealt(one, cuts).alias("x"), _dealt(one, [(s, w, 0) for s, w, _ in cuts]).alias("y")
+    p, q = F.col("x.h"), F.col("y.h")
+    far = [F.bit_count(band_value(p.bitwiseXOR(q), s, w)) > reach for s, w, reach in cuts]
+    first = F.lit(True)
+    for k, apart in enumerate(far[:-1]):
+        first &= (F.col("x.k") <= k) | apart
+    d = hamming(p, q)
+    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.cell") == F.col("y.cell")) & (p < q) & (d <= radius) & first).select(p.alias("p"), q.alias("q"), d.cast("int").alias("distance"))

@@ -35,9 +35,9 @@ union all select 'images', place, count(distinct id) from (select a as id, x as
 def near_dup_audit(s: SparkSession, d: str) -> DataFrame:
     """The screen's summary: candidates and low-texture ones, then pairs and images by scope."""
     images = derive(s, d, GRAYS)
-    found = dedup.cut(dedup.near_screen(images))
+    members, classes = dedup.gray_classes(images, "dataset", "split")
+    found = dedup.cut(dedup.near_screen(images, grouped=(members, classes)))
     whole = found.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("review"), F.coalesce(F.sum(F.when(F.col("low_texture"), F.col("pairs"))), F.lit(0)).alias("low_texture")).unpivot([], ["review", "low_texture"], "scope", "n")
-    members = dedup.gray_classes(images, "dataset", "split")[0]
     links = found.filter("a != b").select(F.col("a").alias("p"), F.col("b").alias("q"))
     return whole.select(F.lit("candidates").alias("kind"), "scope", "n").unionByName(dedup.scope_counts(members, links, "rep"))
 

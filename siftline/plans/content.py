@@ -84,22 +84,24 @@ select 'link' as kind, a, b, pairs, dd as dhash_distance, dp as phash_distance,
 union all select 'copy', rep, id, null, null, null, null from hashed where id <> rep""", **_HASHED, windows=_WINDOWS).replace(")\n\n, one", "),\none")
 
 
-def _with_copies(links: DataFrame, images: DataFrame) -> DataFrame:
+def _with_copies(links: DataFrame, members: DataFrame) -> DataFrame:
     """Links between classes of equal images, and each copy beside its class's name."""
-    same = dedup.copies(dedup.gray_classes(images.select("id", "gray"))[0]).withColumn("kind", F.lit("copy"))
+    same = dedup.copies(members).withColumn("kind", F.lit("copy"))
     return _r(links.withColumn("kind", F.lit("link")).unionByName(same, allowMissingColumns=True), "ssim")
 
 
 def two_hash_confirmed(s: SparkSession, d: str) -> DataFrame:
     """Near duplicates by two independent hashes of gray images, confirmed by both distances and the pixels: links between classes of equal images, and the copies."""
     images = derive(s, d, GRAYS)
-    return _with_copies(dedup.two_hash_confirmed(images.select("id", "gray")), images)
+    members, classes = dedup.gray_classes(images.select("id", "gray"))
+    return _with_copies(dedup.two_hash_confirmed(images, classes=classes), members)
 
 
 def near_dup_screen(s: SparkSession, d: str) -> DataFrame:
     """Near duplicates across splits and datasets: pHash, then dHash, then pixels, with low texture marked; links between classes of equal images, and the copies."""
     images = derive(s, d, GRAYS)
-    return _with_copies(dedup.near_screen(images), images)
+    grouped = dedup.gray_classes(images, "dataset", "split")
+    return _with_copies(dedup.near_screen(images, grouped=grouped), grouped[0])
 
 
 def leakage_matrix(s: SparkSession, d: str, marks: str = MARKS) -> DataFrame:

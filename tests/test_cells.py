@@ -3,10 +3,14 @@
 import random
 from math import comb
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from siftline.functions import cells, pixels
 from siftline.functions.identity import reaches
 from siftline.operators import dedup
+from siftline.plans import content
 
 
 def _close(values, radius):
@@ -54,3 +58,60 @@ def test_pairs_of_frames_are_not_dealt_out(spark):
     want = sorted((a[0], b[0]) for a in frames for b in frames if a[0] < b[0] and a[1] != b[1] and a[2] == b[2] and abs(a[3] - b[3]) <= 3)
     assert sorted(tuple(r) for r in got.collect()) == want
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 4, 5, 6])
+def test_links_of_a_small_radius_are_those_of_all_pairs(spark, radius):
+    """Hashes around the radius apart, dense ones and both signs; each link comes once, of whichever bands agree."""
+    rng = random.Random(radius)
+    values = {-(2**63), 2**63 - 1, -1, 0, *range(40)}
+    for _ in range(40):
+        h = rng.getrandbits(64)
+        for n in (1, max(1, radius - 1), radius, radius + 1):
+            for b in rng.sample(range(64), n):
+                h ^= 1 << b
+            values.add(h - 2**64 if h >= 2**63 else h)
+    values = sorted(values)
+    rows = spark.createDataFrame([(v,) for v in [*values, *values, None]], "hash long")
+    assert sorted(tuple(r) for r in dedup.near_classes(rows, radius).collect()) == _close(values, radius)
+
+
+def test_hashes_that_are_not_near_hardly_meet(spark):
+    """At a radius of 5 six bands of 10 or 11 bits let 6 / 2048 of all pairs meet as rows of a join: about 50,000 of these 6,000 hashes."""
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(6000)], "h long")
+    cuts = reaches(5, most=3)
+    assert [w for _, w, _ in cuts] == [21, 22, 21] and [n for *_, n in cuts] == [1, 1, 1]
+    come = cells._dealt(rows, cuts).withColumnRenamed("h", "i")
+    assert come.join(cells._dealt(rows, [(s, w, 0) for s, w, _ in cuts]), ["k", "cell"]).filter("i < h").count() < 2000
+    assert "Aggregate" not in cells.joined(rows, 5, cuts)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_of_windows_is_that_of_each_window(spark):
+    """By sums of blocks: the same as from the windows themselves, also of flat images and of bytes; and images are read once for hashes, classes and copies."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(0, 256, (6, 32, 32)), np.full((2, 32, 32), 7)])
+    y = np.clip(x + rng.integers(-30, 31, x.shape) * (np.arange(8) % 4 > 0)[:, None, None], 0, 255)
+    cut = lambda v: np.lib.stride_tricks.sliding_window_view(v.astype(float), (8, 8), axis=(1, 2))[:, ::4, ::4]
+    want = np.clip(pixels._similarity(cut(x), cut(y), (3, 4), 1), -1, 1).mean(axis=(1, 2))
+    packed = lambda v: pd.Series([(r.ravel() - 128).astype(np.int8) for r in v])
+    plain = lambda v: pd.Series([r.ravel().astype(float) for r in v])
+    for form in (packed, plain):
+        assert np.allclose(pixels.ssim_windowed.func(form(x), form(y)), want, rtol=0, atol=1e-12)
+
+
+def test_images_are_read_once(spark, monkeypatch):
+    """Classes, their copies and the links between them are all made from one written table."""
+    rng = np.random.default_rng(3)
+    gray = [[int(v) for v in rng.integers(0, 256, 1024)] for _ in range(3)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    images = spark.createDataFrame([(i, gray[i // 2]) for i in range(6)], "id long, gray array<int>").mapInPandas(counted, "id long, gray array<int>")
+    monkeypatch.setattr(content, "derive", lambda *_: images)
+    got = content.two_hash_confirmed(spark, "").collect()
+    assert sorted((r["a"], r["b"]) for r in got if r["kind"] == "copy") == [(0, 1), (2, 3), (4, 5)] and seen.value == 6
