@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of the shared folder, which stays there as long as the folder: for tables of many rows, as a checkpoint writes and reads each row as a Java object of its own."""
+    return Written(df).df
+
+
 class Written:
     """A table in the shared folder, for rounds that replace each other's: it can be removed when nothing reads it any more."""
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, written
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _SO_FAR = (Window.unboundedPreceding, 0)
@@ -20,7 +20,7 @@ _SO_FAR = (Window.unboundedPreceding, 0)
 
 def ranged(rows: DataFrame, *order: str | Column, name: str = "_range") -> DataFrame:
     """rows with the number of their range, which never falls along the order; written once, as another run would sample other borders."""
-    return cut(rows.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+    return written(rows.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
 
 
 def running_sums(rows: DataFrame, by: list[str], score: str, ties: list[str], values: dict[str, Column], descending: bool = True) -> DataFrame:

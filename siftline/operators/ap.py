@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.ranges import running_sums, sums_in_ranges
+from ..functions.rankings import envelope_sums
 from .matching import greedy_matches
 
 
@@ -51,6 +52,15 @@ def average_precision_at(detections: DataFrame, totals: DataFrame, by: list[str]
     return totals.join(got, by, "left").select(*by, "n_gt", each).select(*by, "e.t", "n_gt", ap.alias("ap"))
 
 
+def average_precision_by(rows: DataFrame, totals: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
+    """by, variant, n_gt, ap of average_precision under several scores of the same detections, which are columns of rankings.envelope_sums: weights count what is ranked, probes are the true positives. ``by`` names a few groups, those of totals (by, n_gt)."""
+    named = cut(totals.select(*by, "n_gt").repartition(1).withColumn("g", F.monotonically_increasing_id().cast("int")))
+    got = envelope_sums(rows.join(F.broadcast(named.drop("n_gt")), by), scores)
+    each = F.posexplode(F.array(*map(F.lit, scores))).alias("ranking", "variant")
+    ap = F.when(F.col("n_gt") > 0, F.coalesce(F.try_divide("s", "n_gt"), F.lit(0.0)))
+    return named.select("*", each).join(got, ["g", "ranking"], "left").select(*by, "variant", "n_gt", ap.alias("ap"))
+
+
 def stratified_ap(boxes: DataFrame, detections: DataFrame, bands: dict[str, tuple[float, float]], thresholds: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """by, band, cls, n_gt, ap50, ap75, ap (mean over thresholds). ``boxes`` has a column size; a band is half open.
 

@@ -26,19 +26,28 @@ def category_gap(recall: DataFrame, on: list[str], category: str, a: str, b: str
     return got.select(*on, "na", "nb", F.when((F.col("na") >= least) & (F.col("nb") >= least), F.col("ra") - F.col("rb")).alias("gap"))
 
 
-def score_variants(rows: DataFrame, gamma: float = 0.5) -> DataFrame:
-    """Each detection (conf, quality, flag) once per way to rank it: p, p q, p q^gamma, q, and an oracle that ranks true positives by quality within the places they hold."""
-    rows = cut(rows)
-    hits = rows.filter("flag = 1")
+VARIANTS = ["p", "pq", "pq_gamma", "q", "oracle"]
+
+
+def score_variants(found: DataFrame, hits: DataFrame, gamma: float = 0.5, digits: int = 9) -> DataFrame:
+    """Detections (cls, image_id, det_idx, conf, quality) and those of them that hit, for ap.average_precision_by: a column for each way to rank them, rounded to whole units of the last of ``digits``: p, p q, p q^gamma, q, and an oracle that ranks true positives by quality within the places they hold.
+
+    Both are read several times, so they are to be written tables. A detection
+    counts where it stands, and those that hit are probes there. The oracle
+    takes these away and puts them where they move to, so no detection is
+    looked up among all others.
+    """
     ranked = lambda by: running_sums(hits, ["cls"], by, ["image_id", "det_idx"], {"_k": F.lit(1)})
     # The k-th true positive by confidence gives its place to the k-th by quality.
     places = ranked("conf").select("cls", "_k", F.col("conf").alias("_place"))
-    moved = ranked("quality").join(places, ["cls", "_k"]).select("cls", "image_id", "det_idx", "_place")
-    at = rows.join(moved, ["cls", "image_id", "det_idx"], "left")
-    oracle = F.coalesce("_place", "conf")
-    kinds = F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("score")) for n, c in (
-        ("p", F.col("conf")), ("pq", F.col("conf") * F.col("quality")), ("pq_gamma", F.col("conf") * F.pow("quality", F.lit(gamma))), ("q", F.col("quality")), ("oracle", oracle))))
-    return at.withColumn("v", F.explode(kinds)).select("cls", "image_id", "det_idx", "flag", F.col("v.variant").alias("variant"), F.col("v.score").alias("conf"))
+    moved = ranked("quality").join(places, ["cls", "_k"])
+    p, q = F.col("conf"), F.col("quality")
+    own = dict(zip(VARIANTS, (p, p * q, p * F.pow(q, F.lit(gamma)), q), strict=False))
+
+    def stand(rows: DataFrame, weight: int, probe: bool, **scores: Column) -> DataFrame:
+        return rows.select("cls", "image_id", "det_idx", F.lit(weight).alias("weight"), F.lit(probe).alias("probe"), *(F.floor(scores[v] * 10.0**digits + 0.5).cast("double").alias(v) if v in scores else F.lit(None).cast("double").alias(v) for v in VARIANTS))
+
+    return stand(found, 1, False, **own, oracle=p).unionByName(stand(hits, 0, True, **own)).unionByName(stand(hits, -1, False, oracle=p)).unionByName(stand(moved, 1, True, oracle=F.col("_place")))
 
 
 def clean_dup_premium(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
