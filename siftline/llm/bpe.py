@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 
 from .pieces import Pieces, chunks
 
-CHUNK_BYTES, CACHE_PIECES = 4_000_000, 250_000
-DECODE_IDS = 200_000
+#: What a worker holds at once: it stays with its executor after its task, beside others.
+CHUNK_BYTES, CACHE_PIECES = 1_000_000, 60_000
+DECODE_IDS = 100_000
 #: Words of more bytes are cut by windows of twice WINDOW bytes; parts of more than UNCUT bytes take another query.
 LONG_WORD, WINDOW, UNCUT = 64, 48, 600
 #: A query gets words of so many bytes, squared and summed, which is twice the rows that it makes at most.
-BATCH_SQUARES = 6_000_000
+BATCH_SQUARES = 1_500_000
 MEMORY = "300MB"
 
 #: A contraction at p: the row takes the merged token and its lost neighbour's next one, the row before learns of it, all after move up.

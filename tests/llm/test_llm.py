@@ -788,3 +788,10 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     assert back == {(i, t or "", not t) for i, t in text.values()}
     for x in _stage_by_stage(spark, empty, DATA):
         assert x.count() == 0
+
+
+def test_bpe_worker_holds_little():
+    """A worker keeps what it has beside the JVM of its executor; with chunks of 4 MB and caches of 250,000 entries two of them took it over the limit."""
+    from siftline.llm import bpe
+
+    assert bpe.CHUNK_BYTES <= 1_000_000 and bpe.CACHE_PIECES <= 60_000 and bpe.BATCH_SQUARES <= 1_500_000 and bpe.DECODE_IDS <= 100_000
