@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text decoded from the ids; null and empty texts have no ids and come back empty."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.round_trip(docs, ranks, "doc_id", "lang", "source")
+    both = bpe.round_trip(docs, ranks, "doc_id", "lang", "source", limits=bpe.SMALL)
     n = F.size("ids").cast("long").alias("n_tokens")
     return both.select("doc_id", "lang", "source", n, "ids", F.decode("decoded", "UTF-8").alias("text"))
 

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 
 from .pieces import Pieces, chunks
 
-#: What a worker holds at once: it stays with its executor after its task, beside others.
-CHUNK_BYTES, CACHE_PIECES = 1_000_000, 60_000
-DECODE_IDS = 100_000
+#: Bytes of a chunk, pieces of a cache, squares of a query, ids of a decoding. A query gets words of so many bytes, squared
+#: and summed, which is twice the rows that it makes at most. Workers stay beside their executor after a task; SMALL ones hold less and take more CPU.
+LARGE, SMALL = (4_000_000, 250_000, 6_000_000, 200_000), (1_000_000, 60_000, 1_500_000, 100_000)
 #: Words of more bytes are cut by windows of twice WINDOW bytes; parts of more than UNCUT bytes take another query.
 LONG_WORD, WINDOW, UNCUT = 64, 48, 600
-#: A query gets words of so many bytes, squared and summed, which is twice the rows that it makes at most.
-BATCH_SQUARES = 1_500_000
 MEMORY = "300MB"
 
 #: A contraction at p: the row takes the merged token and its lost neighbour's next one, the row before learns of it, all after move up.
@@ -83,10 +81,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class DuckBPE(Pieces):
     """One connection with merge table and vocabulary, and the ids of the pieces met so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limits: tuple[int, int, int, int] = LARGE) -> None:
         import duckdb
 
-        super().__init__(pattern, CACHE_PIECES)
+        self.chunk, cache, self.squares, self.decoded = limits
+        super().__init__(pattern, cache)
         merges = [(l, r, m) for token, m in ranks.items() for k in range(1, len(token)) if (l := ranks.get(token[:k])) is not None and (r := ranks.get(token[k:])) is not None]
         left, right, to = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
         # A token is safe if no merge that takes it in has a smaller rank.
@@ -126,7 +125,7 @@ class DuckBPE(Pieces):
         while todo:
             sql = _ONE if len(raw[todo[0]]) <= UNCUT else _ALL
             squares = np.cumsum([len(raw[k]) ** 2 for k in todo])
-            now = max(1, int(np.searchsorted(squares, BATCH_SQUARES)))
+            now = max(1, int(np.searchsorted(squares, self.squares)))
             now = max(1, sum(len(raw[k]) <= UNCUT for k in todo[:now])) if sql is _ONE else now
             for k, ids in zip(todo[:now], self._run(sql, [raw[k] for k in todo[:now]]), strict=True):
                 out[k] = ids
@@ -192,9 +191,9 @@ class DuckBPE(Pieces):
         out = [b""] * len(n)
         ends = np.cumsum(n)
         row_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        for at in range(0, len(ids), DECODE_IDS):
-            part = slice(at, at + DECODE_IDS)
-            self._table("ids", {"d": row_of[part], "pos": np.arange(at, min(at + DECODE_IDS, len(ids)), dtype=np.int64), "id": ids[part].astype(np.int32)})
+        for at in range(0, len(ids), self.decoded):
+            part = slice(at, at + self.decoded)
+            self._table("ids", {"d": row_of[part], "pos": np.arange(at, min(at + self.decoded, len(ids)), dtype=np.int64), "id": ids[part].astype(np.int32)})
             got = self.con.sql(_DECODE).to_arrow_table()
             if pc.sum(got["n"]).as_py() != len(ids[part]):
                 raise ValueError("an id that the vocabulary lacks")
@@ -203,15 +202,15 @@ class DuckBPE(Pieces):
         return out
 
 
-_BPE: dict[str, DuckBPE] = {}
+_BPE: dict[tuple, DuckBPE] = {}
 
 
-def _bpe(path: str) -> DuckBPE:
-    if path not in _BPE:
+def _bpe(path: str, limits: tuple[int, int, int, int] = LARGE) -> DuckBPE:
+    if (path, limits) not in _BPE:
         import public_tokenizers
 
-        _BPE[path] = DuckBPE(load_ranks(path), public_tokenizers.PATTERN)
-    return _BPE[path]
+        _BPE[path, limits] = DuckBPE(load_ranks(path), public_tokenizers.PATTERN, limits)
+    return _BPE[path, limits]
 
 
 def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -219,12 +218,12 @@ def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32), pa.int32()))
 
 
-def _encoder(path: str, keep: int, decode: bool):
+def _encoder(path: str, keep: int, decode: bool, limits: tuple[int, int, int, int] = LARGE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(path)
+        bpe = _bpe(path, limits)
         for b in batches:
             texts = b.column(keep)
-            for a, z in chunks(texts, CHUNK_BYTES):
+            for a, z in chunks(texts, bpe.chunk):
                 ids, n = bpe.encode(texts[a:z])
                 out = {b.schema.names[k]: b.column(k)[a:z] for k in range(keep)} | {"ids": _lists(ids, n)}
                 if decode:
@@ -259,6 +258,6 @@ def decode(coded: DataFrame, path: str, *keep: str) -> DataFrame:
     return coded.select(*keep, "ids").mapInArrow(run, _schema(coded, list(keep)) + "decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *keep: str, limits: tuple[int, int, int, int] = LARGE) -> DataFrame:
     """``keep`` columns, ids and decoded in one pass over the texts."""
-    return docs.select(*keep, "text").mapInArrow(_encoder(path, len(keep), True), _schema(docs, list(keep)) + "ids array<int>, decoded binary")
+    return docs.select(*keep, "text").mapInArrow(_encoder(path, len(keep), True, limits), _schema(docs, list(keep)) + "ids array<int>, decoded binary")

@@ -790,8 +790,13 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
         assert x.count() == 0
 
 
-def test_bpe_worker_holds_little():
-    """A worker keeps what it has beside the JVM of its executor; with chunks of 4 MB and caches of 250,000 entries two of them took it over the limit."""
+def test_bpe_worker_holds_little(spark, monkeypatch):
+    """In the pipeline a worker keeps less beside its executor; with chunks of 4 MB and caches of 250,000 entries two of them took it over the limit."""
+    import corpus_pipeline
     from siftline.llm import bpe
 
-    assert bpe.CHUNK_BYTES <= 1_000_000 and bpe.CACHE_PIECES <= 60_000 and bpe.BATCH_SQUARES <= 1_500_000 and bpe.DECODE_IDS <= 100_000
+    seen, was = [], bpe._encoder
+    monkeypatch.setattr(bpe, "_encoder", lambda *a: (seen.append(a[3]), was(*a))[1])
+    docs = spark.createDataFrame([(1, "a few words, and a few more", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.encode_and_decode(spark, docs, "").collect()[0]["text"] == "a few words, and a few more"
+    assert seen == [bpe.SMALL] and all(s < a for s, a in zip(bpe.SMALL, bpe.LARGE, strict=True)) and bpe.SMALL[0] <= 1_000_000

@@ -124,3 +124,12 @@ def test_components_compare_hashes_once(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 0), (2, 3), (3, 3), (4, -1), (5, 2**40 - 1)], "id long, hash long")
     assert sorted(tuple(r) for r in dedup.near_components(rows, 14).collect()) == [(1, 1), (2, 1), (3, 1)]
     assert len(plans) == 1 and "FlatMapGroupsInArrow" not in plans[0]
+
+
+def test_matches_compare_hashes_once(spark):
+    """Links are read in both directions, so these come from a written table and not from the comparison."""
+    added = spark.createDataFrame([(1, "x", 0), (2, "y", 2**40 - 1)], "id long, sha string, hash long")
+    known = spark.createDataFrame([(7, "x", 3), (8, "z", 0)], "id long, sha string, hash long")
+    got = dedup.matches_in_reference(added, known, 14)
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], [m["with"] for m in r["matches"]]) for r in got.collect()] == [(1, [7, 8, 7])]
