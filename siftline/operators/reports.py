@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import coverage
-from ..functions.lineage import cut
+from ..functions.lineage import cut, written
 from ..functions.ranges import running_sums
 from ..functions.stats import linear_quantiles, mdd, quantiles
 from .matching import overlaps
@@ -35,12 +35,13 @@ def score_variants(found: DataFrame, hits: DataFrame, gamma: float = 0.5, digits
     Both are read several times, so they are to be written tables. A detection
     counts where it stands, and those that hit are probes there. The oracle
     takes these away and puts them where they move to, so no detection is
-    looked up among all others.
+    looked up among all others; where they move is written once, for the rows
+    are counted, sampled and packed.
     """
     ranked = lambda by: running_sums(hits, ["cls"], by, ["image_id", "det_idx"], {"_k": F.lit(1)})
     # The k-th true positive by confidence gives its place to the k-th by quality.
     places = ranked("conf").select("cls", "_k", F.col("conf").alias("_place"))
-    moved = ranked("quality").join(places, ["cls", "_k"])
+    moved = written(ranked("quality").join(places, ["cls", "_k"]).select("cls", "image_id", "det_idx", "_place"))
     p, q = F.col("conf"), F.col("quality")
     own = dict(zip(VARIANTS, (p, p * q, p * F.pow(q, F.lit(gamma)), q), strict=False))
 

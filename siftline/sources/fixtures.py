@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import written
+
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: One image per order; one in five loses its boxes and is background, with false detections only.
@@ -105,6 +107,13 @@ def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: read(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text})
 
 
+def boxes_and_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """BOXES and PREDICTIONS, from lines that are numbered and written once for both."""
+    lines = written(derive(spark, sf_dir, f"select l_orderkey, l_partkey, l_suppkey, l_returnflag, line from ({_LINES}) lines"))
+    boxes, found = (spark.sql(text.replace(f"({_LINES})", "{lines}"), lines=lines) for text in (BOXES, PREDICTIONS))
+    return boxes, found
+
+
 def with_tables(body: str, **texts: str) -> str:
     """A DuckDB query: ``body`` over the named texts as common tables."""
     names = {t: t for t in _TABLES}

@@ -68,3 +68,24 @@ def test_ranked_rows_are_a_table(spark):
 
     at = ranged(spark.range(100).withColumn("v", F.col("id") % 7), "v")
     assert "parquet" in at._jdf.queryExecution().executedPlan().toString().lower() and at.count() == 100
+
+
+def test_lines_are_numbered_once_for_boxes_and_predictions(spark):
+    """The tables of the two texts, from lines that a plan reads and does not number."""
+    from conftest import DATA
+
+    from siftline.sources import fixtures
+
+    boxes, found = fixtures.boxes_and_predictions(spark, DATA)
+    for got, text in ((boxes, fixtures.BOXES), (found, fixtures.PREDICTIONS)):
+        want = fixtures.derive(spark, DATA, text)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan(boxes) + plan(found)
+
+
+def test_variants_rank_nothing_when_read(spark):
+    """The rows are read three times, so no window is left in their plan."""
+    found = spark.createDataFrame(_found(50), "cls int, image_id long, det_idx int, conf double, quality double, hit boolean")
+    rows = reports.score_variants(found.drop("hit"), found.filter("hit").drop("hit"))
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 50 + 3 * found.filter("hit").count()
