@@ -36,7 +36,7 @@ def split_report(images: DataFrame, sized: DataFrame, marks: DataFrame, frames:
     ``images`` (id, split, width, height), ``sized`` boxes (split, input, cls,
     px: the long side after resizing), ``marks`` (id, split, hash, sha), ``frames``
     (id, split, prefix, number). Near duplicates are counted on classes of equal
-    hashes. A split's rate of images with a near duplicate in another one is an
+    hashes, neighbouring frames by place. A split's rate of images with a near duplicate in another one is an
     error from 0.10 and a warning from 0.03 on; copies within train, neighbouring
     frames in two splits, input sizes of more than 1.5 times the commonest image
     and fewer than 0.15 of val's boxes below ``min_cells`` cells of stride 8 are warnings.
@@ -60,7 +60,7 @@ def split_report(images: DataFrame, sized: DataFrame, marks: DataFrame, frames:
     out.append(_rows(leak.filter("split_a = split_b"), "within", F.col("split_a"), F.col("rate")))
     subset = dedup.clean_and_duplicate(marks, radius, links=links).groupBy("split").agg(F.count_if(F.col("subset") == "dup").alias("n"))
     out.append(_rows(subset, "duplicate_in_train", F.col("split"), F.col("n")))
-    pairs = dedup.adjacent_frames(frames).agg(F.count("*").alias("n"))
+    pairs = dedup.adjacent_frame_count(frames)
     out.append(_rows(pairs, "frames", "pairs", F.col("n"), _if_any(F.col("n"))))
     below = lambda stride: F.avg((F.col("px") < stride * min_cells).cast("double"))
     at = cut(sized.groupBy("split", "input", "cls").agg(F.count("*").alias("n"), below(8).alias("below_8"), below(4).alias("below_4")))

@@ -6,6 +6,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.functions import cells, pixels
 from siftline.functions.identity import reaches
@@ -133,3 +134,15 @@ def test_matches_compare_hashes_once(spark):
     got = dedup.matches_in_reference(added, known, 14)
     assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r["id"], [m["with"] for m in r["matches"]]) for r in got.collect()] == [(1, [7, 8, 7])]
+
+
+def test_frames_are_counted_by_place(spark):
+    """The number of the pairs that the listing has, nulls aside; a place of many rows is one row to the joins."""
+    rng = random.Random(5)
+    frames = [(k, rng.choice(["train", "val", "test", None]), rng.choice([0, 1, None]), rng.choice([*range(12), None])) for k in range(400)]
+    rows = spark.createDataFrame(frames, "id long, split string, prefix int, number long")
+    got = dedup.adjacent_frame_count(rows).first()["n"]
+    assert got == dedup.adjacent_frames(rows).count() > 2000
+    many = spark.range(200_000).select("id", F.when(F.col("id") % 2 == 0, "train").otherwise("val").alias("split"), F.lit(1).alias("prefix"), F.lit(7).alias("number"))
+    assert dedup.adjacent_frame_count(many).first()["n"] == 100_000**2
+    assert dedup.adjacent_frame_count(many.filter("id < 0")).first()["n"] == 0
