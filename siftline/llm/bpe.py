@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .pieces import Pieces, chunks
 
 #: Bytes of a chunk, pieces of a cache, squares of a query, ids of a decoding. A query gets words of so many bytes, squared
 #: and summed, which is twice the rows that it makes at most. Workers stay beside their executor after a task; SMALL ones hold less and take more CPU.
-LARGE, SMALL = (4_000_000, 250_000, 6_000_000, 200_000), (1_000_000, 60_000, 1_500_000, 100_000)
+LARGE, SMALL = (4_000_000, 250_000, 6_000_000, 200_000), (700_000, 30_000, 1_000_000, 70_000)
 #: Words of more bytes are cut by windows of twice WINDOW bytes; parts of more than UNCUT bytes take another query.
 LONG_WORD, WINDOW, UNCUT = 64, 48, 600
 MEMORY = "300MB"
@@ -86,8 +87,12 @@ class DuckBPE(Pieces):
 
         self.chunk, cache, self.squares, self.decoded = limits
         super().__init__(pattern, cache)
-        merges = [(l, r, m) for token, m in ranks.items() for k in range(1, len(token)) if (l := ranks.get(token[:k])) is not None and (r := ranks.get(token[k:])) is not None]
-        left, right, to = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
+        merges = array("i")  # flat: three numbers a merge, not a tuple
+        for token, m in ranks.items():
+            for k in range(1, len(token)):
+                if (l := ranks.get(token[:k])) is not None and (r := ranks.get(token[k:])) is not None:
+                    merges.extend((l, r, m))
+        left, right, to = np.array(merges, np.int32).reshape(-1, 3).T.copy()
         # A token is safe if no merge that takes it in has a smaller rank.
         unsafe = set(left[to <= left].tolist()) | set(right[to <= right].tolist())
         self.ranks = ranks
@@ -97,8 +102,10 @@ class DuckBPE(Pieces):
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": "false"})
         self._table("m", {"l": left, "r": right, "m": to, "safe": np.array([m not in unsafe for m in to.tolist()], bool)})
         self.con.execute("create table merges as select * from m")
+        self.con.unregister("m")
         self._table("v", {"id": np.array(list(ranks.values()), np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.con.execute("create table vocab as select * from v")
+        self.con.unregister("v")
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register(name, pa.table(columns))
@@ -229,7 +236,8 @@ def _encoder(path: str, keep: int, decode: bool, limits: tuple[int, int, int, in
                 if decode:
                     out["decoded"] = pa.array(bpe.decode(ids, n), pa.binary())
                 yield pa.record_batch(out)
-        pa.default_memory_pool().release_unused()
+                del ids, n, out
+                pa.default_memory_pool().release_unused()
 
     return run
 
